@@ -1 +1,125 @@
-"""Placeholder."""
+"""Text-search queries over whole ``documents`` texts (+ ``labels`` for the page)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.fixed_values import BM25_B, BM25_K1, SEARCH_PAGE_SIZE
+from larder.functions import text as T
+from larder.operators import search as X
+from larder.plans import sql_text as S
+from larder.plans.registry import register
+from larder.plans.sql_text import q
+from larder.session import read_table
+
+TERMS = S.analyse_terms("text")
+MATCH_QUERY = "Worthless enau, ouonen"
+RANK_QUERY = "worthless enau ouonen the"
+FUZZY_QUERY = "wortless enua ouonnen atou zq"
+
+
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _qlist(terms) -> str:
+    return "[" + ", ".join(q(t) for t in terms) + "]"
+
+
+@register("term_stats", f"""
+SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents)
+GROUP BY doc_id, term""")
+def term_stats(spark, sf_dir):
+    return X.term_stats(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@register("search_match", f"""
+SELECT doc_id, CAST(len(list_distinct(list_filter({TERMS}, lambda t: list_contains({_qlist(X.analyse_query(MATCH_QUERY))}, t)))) AS INTEGER) AS n_matched
+FROM documents WHERE n_matched >= 1""")
+def search_match(spark, sf_dir):
+    return X.match_search(_docs(spark, sf_dir), "doc_id", "text", MATCH_QUERY)
+
+
+def _bm25_sql(weights_sql: str, k: int = SEARCH_PAGE_SIZE) -> str:
+    """BM25 page over documents for a ``w(term, weight)`` table."""
+    return f"""
+WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS avgdl FROM d),
+w AS ({weights_sql}),
+h AS (SELECT doc_id, dl, term FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d)
+      WHERE term IN (SELECT term FROM w)),
+hc AS (SELECT doc_id, dl, term, count(*) AS tf FROM h GROUP BY doc_id, dl, term),
+dfs AS (SELECT term, count(*) AS df FROM hc GROUP BY term),
+sc AS (SELECT hc.doc_id, sum(w.weight * ln(1.0::DOUBLE + (st.n - CAST(dfs.df AS DOUBLE) + 0.5::DOUBLE)
+                                                / (CAST(dfs.df AS DOUBLE) + 0.5::DOUBLE))
+              * (CAST(hc.tf AS DOUBLE) / (CAST(hc.tf AS DOUBLE) + {BM25_K1}::DOUBLE
+                 * ({1.0 - BM25_B}::DOUBLE + {BM25_B}::DOUBLE * CAST(hc.dl AS DOUBLE) / st.avgdl)))) AS score
+       FROM hc JOIN dfs ON dfs.term = hc.term JOIN w ON w.term = hc.term CROSS JOIN st GROUP BY hc.doc_id)
+SELECT doc_id, round(score, 6) AS score,
+       CAST(row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank,
+       (SELECT count(*) FROM sc) AS total
+FROM sc ORDER BY score DESC, doc_id LIMIT {k}"""
+
+
+_RANK_W = " UNION ALL ".join(f"SELECT {q(t)} AS term, 1.0::DOUBLE AS weight" for t in X.analyse_query(RANK_QUERY))
+
+
+@register("search_ranked", _bm25_sql(_RANK_W))
+def search_ranked(spark, sf_dir):
+    return X.rank_bm25(_docs(spark, sf_dir), "doc_id", "text", RANK_QUERY)
+
+
+@register("search_total", f"""
+SELECT count(*) AS total FROM documents
+WHERE len(list_filter({TERMS}, lambda t: list_contains({_qlist(X.analyse_query(RANK_QUERY))}, t))) > 0""")
+def search_total(spark, sf_dir):
+    page = X.rank_bm25(_docs(spark, sf_dir), "doc_id", "text", RANK_QUERY)
+    return page.select("total").limit(1)
+
+
+# --- fuzzy: the oracle maps the (few) non-ASCII letters to free one-byte codes so that
+# DuckDB's byte-wise damerau_levenshtein counts characters, like ours.
+_FREE_CODES = [c for c in range(1, 128) if not chr(c).isalnum() and c != 32]
+
+
+def _fuzzy_sql() -> str:
+    qrows = " UNION ALL ".join(
+        f"SELECT {q(t)} AS query_term, {X.auto_fuzziness(len(t))} AS max_d, {len(t)} AS qlen"
+        for t in X.analyse_query(FUZZY_QUERY))
+    codes = "[" + ", ".join(str(c) for c in _FREE_CODES) + "]"
+    return f"""
+vocab AS (SELECT DISTINCT unnest({TERMS}) AS term FROM documents),
+chars AS (SELECT DISTINCT ch FROM (SELECT unnest(string_split(term, '')) AS ch FROM vocab) WHERE ord(ch) > 127),
+cmap AS (SELECT string_agg(ch, '' ORDER BY ch) AS f,
+                string_agg(chr({codes}[CAST(i AS INTEGER)]), '' ORDER BY ch) AS t
+         FROM (SELECT ch, row_number() OVER (ORDER BY ch) AS i FROM chars)),
+qt AS ({qrows}),
+pairs AS (SELECT qt.query_term, v.term, qt.max_d, qt.qlen, length(v.term) AS tlen,
+                 damerau_levenshtein(translate(v.term, cmap.f, cmap.t), translate(qt.query_term, cmap.f, cmap.t)) AS distance
+          FROM vocab v CROSS JOIN qt CROSS JOIN cmap
+          WHERE abs(length(v.term) - qt.qlen) <= qt.max_d),
+fz AS (SELECT query_term, term, CAST(distance AS INTEGER) AS distance,
+              1.0::DOUBLE - distance / least(qlen, tlen) AS weight FROM pairs WHERE distance <= max_d)"""
+
+
+@register("fuzzy_terms", f"WITH {_fuzzy_sql()} SELECT * FROM fz")
+def fuzzy_terms(spark, sf_dir):
+    vocab = _docs(spark, sf_dir).select(F.explode(T.analyse_terms("text")).alias("term"))
+    return X.fuzzy_terms(spark, vocab, X.analyse_query(FUZZY_QUERY))
+
+
+def _labels_page_sql(inner: str) -> str:
+    return f"""SELECT p.*, l.quality = 1 AS keto, l.toxic = 0 AS vegan FROM ({inner}) p
+LEFT JOIN labels l ON l.doc_id = p.doc_id"""
+
+
+_FZ_BM25 = _bm25_sql("SELECT term, sum(weight) AS weight FROM fz GROUP BY term")
+# splice the fuzzy CTEs in front of the BM25 ones
+_FZ_BM25 = _FZ_BM25.replace("WITH d AS", f"WITH {_fuzzy_sql()},\nd AS", 1)
+
+
+@register("search_fuzzy", _labels_page_sql(_FZ_BM25))
+def search_fuzzy(spark, sf_dir):
+    labels = read_table(spark, sf_dir, "labels").select(
+        "doc_id", (F.col("quality") == 1).alias("keto"), (F.col("toxic") == 0).alias("vegan"))
+    return X.search_fuzzy(_docs(spark, sf_dir), "doc_id", "text", FUZZY_QUERY, labels)

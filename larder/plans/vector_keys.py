@@ -1 +1,92 @@
-"""Placeholder."""
+"""Vector queries on ``embeddings`` (the product catalogue) and ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.operators import vectors as V
+from larder.plans.registry import register
+from larder.session import read_table
+
+_DBL = "CAST(embedding AS DOUBLE[])"
+_SUM = "lambda a, b: a + b"
+
+
+def _dot_sql(a: str, b: str) -> str:
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]), {_SUM})"
+
+
+@register("cosine_pairs", f"""
+WITH e AS (SELECT vec_id, {_DBL} AS v FROM embeddings)
+SELECT a.vec_id, b.vec_id AS next_id, {_dot_sql('a.v', 'b.v')} AS dot,
+       {_dot_sql('a.v', 'b.v')} / (sqrt({_dot_sql('a.v', 'a.v')}) * sqrt({_dot_sql('b.v', 'b.v')}) + 1e-8) AS cosine
+FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
+def cosine_pairs(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"),
+                   F.col("embedding").alias("nv"))
+    j = e.join(nxt, "vec_id")
+    return j.select("vec_id", "next_id", V.dot("embedding", "nv").alias("dot"),
+                    V.cosine("embedding", "nv").alias("cosine"))
+
+
+@register("normalize_vectors", f"""
+WITH s AS (SELECT vec_id, list_transform({_DBL}, lambda x: x * (vec_id + 1)) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt({_dot_sql('v', 'v')}) AS nv FROM s),
+u AS (SELECT vec_id, nv, CASE WHEN nv = 0 THEN list_transform(v, lambda x: CAST(x AS FLOAT))
+                             ELSE list_transform(v, lambda x: CAST(x / nv AS FLOAT)) END AS f FROM n)
+SELECT vec_id, nv AS norm_in,
+       sqrt({_dot_sql('CAST(f AS DOUBLE[])', 'CAST(f AS DOUBLE[])')}) AS norm_out, f[1] AS first FROM u""")
+def normalize_vectors(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    scaled = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") + 1)).alias("v"))
+    unit = scaled.select("vec_id", V.norm("v").alias("norm_in"), V.l2_normalize("v").alias("f"))
+    return unit.select("vec_id", "norm_in", V.norm("f").alias("norm_out"), F.col("f")[0].alias("first"))
+
+
+_KNN_SQL = f"""
+WITH e AS (SELECT vec_id, {_DBL} AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt({_dot_sql('v', 'v')}) AS nv FROM e),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id,
+             list_dot_product(a.v, b.v) / (a.nv * b.nv + 1e-8) AS sim
+      FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS r
+                        FROM p) WHERE r = 1)"""
+
+
+def _knn_all(spark, sf_dir, **kw):
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return V.knn(e, e, k=1, query_id="vec_id", item_id="vec_id", exclude_same_id=True, **kw)
+
+
+@register("knn_exact", _KNN_SQL + "\nSELECT query_id, item_id, round(sim, 6) AS sim FROM best")
+def knn_exact(spark, sf_dir):
+    return _knn_all(spark, sf_dir).select("query_id", "item_id", F.round("sim", 6).alias("sim"))
+
+
+@register("knn_ivf")
+def knn_ivf(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    m = V.knn_ivf(e, e, k=1, nprobe=8, query_id="vec_id", item_id="vec_id", exclude_same_id=True)
+    return m.select("query_id", "item_id", F.round("sim", 6).alias("sim"))
+
+
+KETO_THRESHOLD = 0.38
+CARB_LIMIT = 10.0
+
+
+@register("keto_items", _KNN_SQL + f"""
+SELECT query_id, item_id, round(sim, 6) AS sim, CAST(item_id % 20 AS DOUBLE) AS carbs,
+       coalesce(sim >= {KETO_THRESHOLD} AND item_id % 20 <= {CARB_LIMIT}, false) AS keto FROM best""")
+def keto_items(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    matches = _knn_all(spark, sf_dir)
+    cat = e.select("vec_id", (F.col("vec_id") % 20).cast("double").alias("carbs"))
+    lab = V.classify_keto(matches, cat, "vec_id", "carbs", KETO_THRESHOLD, CARB_LIMIT)
+    return lab.select("query_id", "item_id", F.round("sim", 6).alias("sim"), "carbs", "keto")
+
+
+@register("encode_text")
+def encode_text(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return V.encode_text(docs, "text", dim=256).select("doc_id", "embedding")
