@@ -1 +1,42 @@
-"""Placeholder."""
+"""Incremental ingest of ``documents`` split into files, run twice."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.functions import text as T
+from larder.operators.lexicon import keyword_flag
+from larder.plans import sql_text as S
+from larder.plans.registry import register
+from larder.plans.sql_text import q
+from larder.session import read_table, shared_path
+from larder.streaming import ingest as ING
+
+FLAG_WORDS = ["worthless", "enau"]
+DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+
+
+def _label(batch):
+    return batch.select("doc_id", "lang", T.word_count("text").alias("n_words"),
+                        keyword_flag("text", FLAG_WORDS).alias("clean"))
+
+
+@register("stream_ingest", f"""
+SELECT doc_id, lang, CAST({S.word_count('text')} AS INTEGER) AS n_words,
+       NOT ({' OR '.join(f"contains(lower(text), {q(w)})" for w in FLAG_WORDS)}) AS clean
+FROM documents""")
+def stream_ingest(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    src = shared_path(spark, "stream-src")
+    # the arriving files: the table split by source into several files
+    docs.repartition(4, "source").write.mode("overwrite").parquet(src)
+    target, ckpt = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
+    vocab = shared_path(spark, "stream-vocab")
+
+    def terms(batch):
+        return batch.select(F.explode(T.analyse_terms("text")).alias("term"))
+    ING.ingest(spark, src, DOC_SCHEMA, target, ckpt, _label, vocab, terms, max_files_per_trigger=2)
+    # a restart finds nothing new and writes nothing
+    again = ING.ingest(spark, src, DOC_SCHEMA, target, ckpt, _label, vocab, terms, max_files_per_trigger=2)
+    assert again == 0, "second run must not re-process committed files"
+    return ING.read_ingested(spark, target)
