@@ -198,7 +198,8 @@ def encode_with(df: DataFrame, col: str, encoder, out: str = "embedding") -> Dat
 
     Runs in ``mapInPandas``: one encoder instance per partition, Arrow batches.
     """
-    schema = df.schema.add(out, f"array<float>")
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(FloatType()))])
 
     def run(batches):
         enc = encoder() if callable(encoder) and not hasattr(encoder, "transform") else encoder
@@ -207,3 +208,26 @@ def encode_with(df: DataFrame, col: str, encoder, out: str = "embedding") -> Dat
             pdf[out] = [np.asarray(v, dtype=np.float32) for v in vecs]
             yield pdf
     return df.mapInPandas(run, schema)
+
+
+class HashedNgramEncoder:
+    """Example plug-in encoder for ``encode_with``: hashed character n-grams, L2-normalised.
+
+    Deterministic (CRC32 buckets), no model files; stands in for a neural
+    sentence encoder with the same ``dim`` / ``transform`` interface.
+    """
+
+    def __init__(self, dim: int = 256, n: int = 3):
+        self.dim, self.n = dim, n
+
+    def transform(self, texts):
+        import zlib
+        out = []
+        for t in texts:
+            v = np.zeros(self.dim, dtype=np.float32)
+            s = f" {(t or '').lower()} "
+            for i in range(max(0, len(s) - self.n + 1)):
+                v[zlib.crc32(s[i:i + self.n].encode("utf-8")) % self.dim] += 1.0
+            nrm = np.linalg.norm(v)
+            out.append(v / nrm if nrm > 0 else v)
+        return out
