@@ -74,7 +74,7 @@ def analyse_terms(col) -> Column:
 def clean_text(col) -> Column:
     """Lowercase, drop punctuation except hyphen, collapse blanks, trim."""
     s = F.lower(_c(col))
-    s = F.regexp_replace(s, "[^a-zA-Z0-9_ \\t\\n\\x0B\\f\\r-]", "")
+    s = F.regexp_replace(s, "[^a-zA-Z0-9_ \\t\\n\\x0B\\f\\r-]+", "")
     return F.trim(F.regexp_replace(s, WS_RUN, " "))
 
 
@@ -87,11 +87,24 @@ def not_blank(col) -> Column:
     return c.isNotNull() & (F.trim(c) != "")
 
 
+_COMBINING = None
+
+
+def _combining_table() -> dict:
+    """Deletion table of every code point with a non-zero combining class (built once per worker)."""
+    global _COMBINING
+    if _COMBINING is None:
+        _COMBINING = {cp: None for cp in range(0x300, 0x110000) if unicodedata.combining(chr(cp))}
+    return _COMBINING
+
+
 def _fold_series(s: pd.Series) -> pd.Series:
+    table = _combining_table()
+
     def fold(x):
         if x is None:
             return None
-        return "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))
+        return unicodedata.normalize("NFKD", x).translate(table)
     return s.map(fold)
 
 
@@ -188,7 +201,7 @@ def normalize_ingredient(col) -> Column:
     s = F.regexp_replace(s, f"[0-9]+{WS}*[0-9]*/[0-9]*", "")
     s = F.translate(s, ASCII_PUNCTUATION, " " * len(ASCII_PUNCTUATION))
     s = F.regexp_replace(s, MEASUREMENT_PATTERN, "")
-    s = F.regexp_replace(s, "[^a-z \\t\\n\\x0B\\f\\r]", "")
+    s = F.regexp_replace(s, "[^a-z \\t\\n\\x0B\\f\\r]+", "")
     s = collapse_ws(s)
     return collapse_ws(suffix_stem(s))
 

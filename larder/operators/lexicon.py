@@ -41,46 +41,58 @@ def lexicon_hits(df: DataFrame, id_col: str, phrase_col: str, lexicon: DataFrame
     """Whole-phrase hit and the first flagged word of each phrase.
 
     Output: ``id, phrase, words, whole_hit, first_pos (0-based, NULL if none), first_word``.
-    Multi-word lexicon entries can only hit as the whole phrase.
+    Multi-word lexicon entries can only hit as the whole phrase.  Both
+    lookups are broadcast joins against the (size-checked) lexicon; the only
+    shuffle is the per-phrase ``min(position)`` aggregate.
     """
     flagged = _terms(lexicon, "flagged", max_broadcast_rows)
+    whole_t = flagged.select(F.col("term").alias("_whole"))
+    word_t = flagged.select(F.col("term").alias("_word_hit"))
     base = df.select(F.col(id_col).alias("id"), F.col(phrase_col).alias("phrase")) \
         .withColumn("words", F.filter(F.split("phrase", " "), lambda w: w != ""))
-    whole = base.join(flagged.withColumnRenamed("term", "phrase").withColumn("whole_hit", F.lit(True)),
-                      "phrase", "left")
-    words = base.select("id", F.posexplode("words").alias("pos", "word"))
-    first = words.join(flagged, words.word == flagged.term, "left_semi") \
-        .groupBy("id").agg(F.min("pos").alias("first_pos"))
-    out = whole.join(first, "id", "left")
-    return out.select("id", "phrase", "words",
-                      F.coalesce("whole_hit", F.lit(False)).alias("whole_hit"),
-                      F.col("first_pos").cast("int").alias("first_pos"),
-                      F.try_element_at("words", F.col("first_pos") + 1).alias("first_word"))
+    base = base.join(whole_t, base.phrase == whole_t._whole, "left")
+    words = base.select("id", "phrase", "words", F.col("_whole").isNotNull().alias("whole_hit"),
+                        F.posexplode_outer("words").alias("pos", "word"))
+    words = words.join(word_t, words.word == word_t._word_hit, "left")
+    out = words.groupBy("id").agg(
+        F.any_value("phrase").alias("phrase"), F.any_value("words").alias("words"),
+        F.bool_or("whole_hit").alias("whole_hit"),
+        F.min(F.when(F.col("_word_hit").isNotNull(), F.col("pos"))).cast("int").alias("first_pos"))
+    return out.withColumn("first_word", F.try_element_at("words", F.col("first_pos") + 1))
 
 
 def category_closure(edges: DataFrame, roots: DataFrame, senses: DataFrame | None = None,
-                     max_rounds: int = 100) -> DataFrame:
+                     max_rounds: int = 100, checkpoint_every: int = 4) -> DataFrame:
     """All ``(term, root)`` where a sense of ``term`` is ``root`` or lies below it.
 
     ``edges`` is ``(child, parent)``; ``roots`` has one column ``root``.
     Breadth-first DataFrame loop: frontier joins edges, de-duplicated by a
     left-anti join against everything seen, until the frontier is empty.
-    Cycles are fine.  Each round's result is checkpointed (reliable, in the
-    shared checkpoint folder) so the lineage stays short and a lost executor
-    only re-reads the last round.
+    Cycles are fine.  Each round's frontier is cached and counted (one job per
+    round); every few rounds the reached set is checkpointed (reliable, in the
+    shared checkpoint folder) so the lineage stays short.
     """
-    e = edges.select(F.col("child"), F.col("parent")).distinct()
+    e = edges.select(F.col("child"), F.col("parent")).distinct().checkpoint(eager=True)
     seen = roots.select(F.col("root"), F.col("root").alias("node")).distinct().checkpoint(eager=True)
     frontier = seen
-    for _ in range(max_rounds):
+    cached = []
+    for rnd in range(1, max_rounds + 1):
         step = frontier.join(e, frontier.node == e.parent).select("root", F.col("child").alias("node")).distinct()
-        new = step.join(seen, ["root", "node"], "left_anti").checkpoint(eager=True)
-        if new.isEmpty():
+        new = step.join(seen, ["root", "node"], "left_anti").cache()
+        cached.append(new)
+        if new.count() == 0:  # one job per round; it also fills the cache
             break
-        seen = seen.unionByName(new).checkpoint(eager=True)
+        seen = seen.unionByName(new)
+        if rnd % checkpoint_every == 0:
+            # cut the lineage in the shared checkpoint folder: a lost executor
+            # then recomputes at most ``checkpoint_every`` rounds
+            seen = seen.checkpoint(eager=True)
         frontier = new
     else:
         raise RuntimeError(f"category closure did not converge in {max_rounds} rounds")
+    seen = seen.checkpoint(eager=True)
+    for c in cached:
+        c.unpersist()
     reached = seen.select(F.col("node").alias("term"), "root")
     if senses is not None:
         via = senses.join(seen, senses.sense == seen.node).select("term", "root")
@@ -101,30 +113,26 @@ def classify_vegan(phrases: DataFrame, id_col: str, phrase_col: str, lexicon: Da
     """
     hits = lexicon_hits(phrases, id_col, phrase_col, lexicon, max_broadcast_rows)
     p = F.col("first_pos")
-    prev = F.when(p >= 1, F.try_element_at("words", p))
-    prev2 = F.when(p >= 2, F.concat_ws(" ", F.try_element_at("words", p - 1), F.try_element_at("words", p)))
-    nxt = F.try_element_at("words", p + 2)
-    cand = hits.filter(p.isNotNull() & ~F.col("whole_hit")).select(
-        "id", F.explode(F.array(
-            F.struct(prev.alias("term"), F.lit("before").alias("role")),
-            F.struct(prev2.alias("term"), F.lit("before").alias("role")),
-            F.struct(nxt.alias("term"), F.lit("after").alias("role")))).alias("c")) \
-        .select("id", "c.term", "c.role").filter(F.col("term").isNotNull())
-    ctx = lexicon.filter(F.col("kind") == "excusing_before").select(lexicon_term("term").alias("term"),
-                                                                      F.lit("before").alias("role")) \
-        .unionByName(lexicon.filter(F.col("kind") == "excusing_after")
-                     .select(lexicon_term("term").alias("term"), F.lit("after").alias("role")))
+    before = lexicon.filter(F.col("kind") == "excusing_before").select(lexicon_term("term").alias("t"))
     if closure_terms is not None:
-        ctx = ctx.unionByName(closure_terms.select(F.lower("term").alias("term"), F.lit("before").alias("role")))
-    ctx = bounded_broadcast(ctx.distinct(), max_broadcast_rows)
-    excused = cand.join(ctx, ["term", "role"], "left_semi").select("id").distinct() \
-        .withColumn("excused", F.lit(True))
-    out = hits.join(excused, "id", "left")
-    vegan = F.when(F.col("whole_hit"), F.lit(False)).when(p.isNull(), F.lit(True)) \
-        .otherwise(F.coalesce("excused", F.lit(False)))
+        before = before.unionByName(closure_terms.select(F.lower("term").alias("t")))
+    before = bounded_broadcast(before.distinct(), max_broadcast_rows)
+    after = _terms(lexicon, "excusing_after", max_broadcast_rows).select(F.col("term").alias("t"))
+    cand = hits.select(
+        "*",
+        F.when(p >= 1, F.try_element_at("words", p)).alias("_prev"),
+        F.when(p >= 2, F.concat_ws(" ", F.try_element_at("words", p - 1), F.try_element_at("words", p))).alias("_prev2"),
+        F.when(p.isNotNull(), F.try_element_at("words", p + 2)).alias("_next"))
+    # three lookups, each a broadcast join of a distinct term list: no shuffle, no row growth
+    b1, b2, a1 = before.alias("b1"), before.alias("b2"), after.alias("a1")
+    j = cand.join(b1, cand._prev == F.col("b1.t"), "left") \
+        .join(b2, cand._prev2 == F.col("b2.t"), "left") \
+        .join(a1, cand._next == F.col("a1.t"), "left")
+    excused = F.col("b1.t").isNotNull() | F.col("b2.t").isNotNull() | F.col("a1.t").isNotNull()
+    vegan = F.when(F.col("whole_hit"), F.lit(False)).when(p.isNull(), F.lit(True)).otherwise(excused)
     keys = [F.col("id").alias(id_col)] + ([] if id_col == phrase_col else [F.col("phrase").alias(phrase_col)])
-    return out.select(*keys, "whole_hit", "first_pos", "first_word",
-                      F.coalesce("excused", F.lit(False)).alias("excused"), vegan.alias("vegan"))
+    return j.select(*keys, "whole_hit", "first_pos", "first_word",
+                    (excused & p.isNotNull() & ~F.col("whole_hit")).alias("excused"), vegan.alias("vegan"))
 
 
 def keyword_flag(col, words) -> Column:

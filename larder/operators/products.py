@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from larder.functions import text as T
-from larder.operators.util import bounded_broadcast
+from larder.operators.util import bounded_broadcast, with_column_once
 
 
 def select_products(raw: DataFrame, name_col: str = "product_name",
@@ -40,9 +40,9 @@ def clean_names(df: DataFrame, name_col: str = "product_name", value_col: str |
         keep = keep & F.col(value_col).isNotNull()
     out = df.filter(keep)
     name = T.fold_accents(name_col) if fold else F.col(name_col)
-    out = out.withColumn(name_col, T.clean_text(F.lower(name)))
+    out = with_column_once(out, name_col, T.clean_text(F.lower(name)))
     out = out.filter(T.has_two_letters(name_col) & T.not_blank(name_col))
-    out = out.withColumn(name_col, T.singularize(name_col))
+    out = with_column_once(out, name_col, T.singularize(name_col))
     return out.filter(T.not_blank(name_col))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larder.fixed_values import DIETS
 from larder.functions import text as T
-from larder.operators.util import DEFAULT_BROADCAST_ROWS, bounded_broadcast, with_dense_ids
+from larder.operators.util import DEFAULT_BROADCAST_ROWS, bounded_broadcast, with_column_once, with_dense_ids
 
 
 def label_items(items: DataFrame, recipe_cols: list[str], item_col: str, item_labels: DataFrame,
@@ -54,8 +54,8 @@ def label_recipes(recipes: DataFrame, id_col: str, list_col: str, item_labels: D
 
 def ingredient_vocab(items: DataFrame, item_col: str, out_col: str = "ingredient") -> DataFrame:
     """Global set of normalised ingredient terms (blank terms dropped)."""
-    return items.select(T.normalize_ingredient(item_col).alias(out_col)) \
-        .filter(F.col(out_col) != "").distinct()
+    terms = with_column_once(items.select(item_col), out_col, T.normalize_ingredient(item_col))
+    return terms.filter(F.col(out_col) != "").select(out_col).distinct()
 
 
 def vocab_ids(vocab: DataFrame, term_col: str = "ingredient", limit: int | None = None) -> DataFrame:

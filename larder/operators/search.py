@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -40,13 +40,25 @@ def build_postings(docs: DataFrame, id_col: str, text_col: str):
     return term_stats(docs, id_col, text_col), lengths
 
 
-def _hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
-    """``(doc_id, dl, term, tf)`` for query terms only."""
+def _scan_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]):
+    """ONE pass over the texts for a query.
+
+    Returns ``(hits, n_docs, avgdl)`` where ``hits`` is ``(doc_id, dl, term,
+    tf)`` for the query terms only.  Each document's term array is filtered
+    to the query terms before anything is exploded; corpus statistics are
+    observed on the same pass, and the (small) hit table is checkpointed so
+    scoring and the total count do not read the texts again.
+    """
     qarr = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    a = docs.select(F.col(id_col).alias("doc_id"), T.analyse_terms(text_col).alias("_t"))
-    a = a.select("doc_id", F.size("_t").alias("dl"), F.filter("_t", lambda t: F.array_contains(qarr, t)).alias("_h"))
-    return a.filter(F.size("_h") > 0).select("doc_id", "dl", F.explode("_h").alias("term")) \
-        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    obs = Observation()
+    per_doc = docs.select(F.col(id_col).alias("doc_id"), T.analyse_terms(text_col).alias("_t")) \
+        .select("doc_id", F.size("_t").alias("dl"), F.filter("_t", lambda t: F.array_contains(qarr, t)).alias("_h")) \
+        .observe(obs, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl"))
+    hits = per_doc.filter(F.size("_h") > 0).select("doc_id", "dl", F.explode("_h").alias("term")) \
+        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
+    m = obs.get
+    n = int(m.get("n") or 0)
+    return hits, n, (float(m.get("sdl") or 0) / n if n else 0.0)
 
 
 def match_search(docs: DataFrame, id_col: str, text_col: str, query: str, operator: str = "or") -> DataFrame:
@@ -62,12 +74,6 @@ def match_search(docs: DataFrame, id_col: str, text_col: str, query: str, operat
     return a.filter(F.col("n_matched") >= need)
 
 
-def corpus_stats(docs: DataFrame, text_col: str):
-    """``(N, avgdl)`` in one aggregate."""
-    r = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.analyse_terms(text_col))).alias("avgdl")).first()
-    return int(r["n"]), float(r["avgdl"] or 0.0)
-
-
 def _bm25(hits: DataFrame, weights: DataFrame, n_docs: int, avgdl: float, k1: float, b: float) -> DataFrame:
     """Per-document score from ``hits(doc_id, dl, term, tf)`` and ``weights(term, qterm, weight)``."""
     df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -91,8 +97,7 @@ def rank_bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int =
     terms = analyse_query(query)
     if not terms:
         return spark.createDataFrame([], "doc_id long, score double, rank int, total long")
-    n, avgdl = corpus_stats(docs, text_col)
-    hits = _hits(docs, id_col, text_col, terms)
+    hits, n, avgdl = _scan_hits(docs, id_col, text_col, terms)
     weights = param_table(spark, [(t, t, 1.0) for t in terms], "term string, qterm string, weight double")
     scores = _bm25(hits, weights, n, avgdl, k1, b)
     page = _page(scores, k, digits)
@@ -183,8 +188,7 @@ def search_fuzzy(docs: DataFrame, id_col: str, text_col: str, query: str, labels
     exp = fuzzy_terms(spark, vocab, terms)
     weights = exp.groupBy("term").agg(F.sum("weight").alias("weight"))
     expanded = [r.term for r in weights.select("term").collect()]  # bounded by the expansion of few terms
-    n, avgdl = corpus_stats(docs, text_col)
-    hits = _hits(docs, id_col, text_col, expanded)
+    hits, n, avgdl = _scan_hits(docs, id_col, text_col, expanded)
     scores = _bm25(hits, weights, n, avgdl, k1, b)
     page = _page(scores, k, digits).withColumn("total", F.lit(scores.count()).cast("long"))
     if labels is not None:

@@ -54,3 +54,18 @@ def with_dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", sta
     out = sorted_df.withColumn("_pid", part).join(F.broadcast(offsets), "_pid")
     return out.withColumn(id_col, (F.col("_off") + local + F.lit(start)).cast("long")) \
         .drop("_mid", "_pid", "_off")
+
+
+def with_column_once(df: DataFrame, name: str, expr) -> DataFrame:
+    """Add (or replace) a column that later filters cannot inline.
+
+    Catalyst pushes a filter below the projection that defines its column by
+    substituting the defining expression, so an expensive expression (regex
+    chains, lambdas, Python UDF) then runs once in the filter and again in
+    the projection, and the filter can even slide below a repartition meant
+    to spread the work.  Emitting the value from a one-element ``explode``
+    (a Generate node) evaluates it once: predicates on generator output are
+    never pushed below the generator.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(expr)).alias(name))

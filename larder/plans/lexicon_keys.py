@@ -56,11 +56,16 @@ labv AS (SELECT *, CASE WHEN whole_hit THEN false WHEN first_pos IS NULL THEN tr
 # ----------------------------------------------------------- label_recipes
 
 def _vegan_phrase_labels(spark, sf_dir):
-    lines = I.part_lines(spark, sf_dir).withColumn("phrase", L.prepare_phrase("line"))
-    phrases = lines.select("phrase").distinct()
+    """Item rows and the plant-based label of every DISTINCT ingredient line.
+
+    The expensive text rules run once per distinct raw line (lines repeat a
+    lot), and the labels are joined back on the raw line.
+    """
+    lines = I.part_lines(spark, sf_dir)
+    distinct_lines = lines.select("line").distinct().withColumn("phrase", L.prepare_phrase("line"))
     closure = L.category_closure(I.edges_df(spark, sf_dir),
                                  spark.createDataFrame([(r,) for r in I.PLANT_ROOTS], "root string"))
-    labels = L.classify_vegan(phrases, "phrase", "phrase", I.lexicon_df(spark), closure.select("term"))
+    labels = L.classify_vegan(distinct_lines, "line", "phrase", I.lexicon_df(spark), closure.select("term"))
     return lines, labels
 
 
@@ -74,7 +79,7 @@ def label_recipes(spark, sf_dir):
     lines, labels = _vegan_phrase_labels(spark, sf_dir)
     items = lines.withColumn("keto_item", F.col("p_retailprice") / 100 <= 10)
     # one label row per distinct phrase: broadcast only within the checked bound
-    joined = items.join(bounded_broadcast(labels.select("phrase", "vegan")), "phrase", "left")
+    joined = items.join(bounded_broadcast(labels.select("line", "vegan")), "line", "left")
     return joined.groupBy("p_brand", "p_size").agg(
         F.bool_and(F.coalesce("vegan", F.lit(False))).alias("vegan"),
         F.bool_and("keto_item").alias("keto"),
@@ -86,7 +91,7 @@ WITH RECURSIVE {_vegan_cte()}
 SELECT i.p_partkey, i.phrase, l.vegan FROM items i LEFT JOIN labv l ON l.phrase = i.phrase""")
 def vegan_items(spark, sf_dir):
     lines, labels = _vegan_phrase_labels(spark, sf_dir)
-    return lines.join(labels.select("phrase", "vegan"), "phrase", "left").select("p_partkey", "phrase", "vegan")
+    return lines.join(labels.select("line", "phrase", "vegan"), "line", "left").select("p_partkey", "phrase", "vegan")
 
 
 @register("lexicon_context", f"""
@@ -97,7 +102,7 @@ WHERE l.first_pos IS NOT NULL AND NOT l.whole_hit""")
 def lexicon_context(spark, sf_dir):
     lines, labels = _vegan_phrase_labels(spark, sf_dir)
     hit = labels.filter(F.col("first_pos").isNotNull() & ~F.col("whole_hit"))
-    return lines.join(hit, "phrase").select("p_partkey", "phrase", "first_pos", "first_word", "excused")
+    return lines.join(hit, "line").select("p_partkey", "phrase", "first_pos", "first_word", "excused")
 
 
 @register("lexicon_hits", f"""
@@ -105,10 +110,10 @@ WITH RECURSIVE {_vegan_cte()}
 SELECT i.p_partkey, i.phrase, l.whole_hit, l.first_pos, l.first_word
 FROM items i JOIN labv l ON l.phrase = i.phrase""")
 def lexicon_hits(spark, sf_dir):
-    lines = I.part_lines(spark, sf_dir).withColumn("phrase", L.prepare_phrase("line"))
-    phrases = lines.select("phrase").distinct()
-    hits = L.lexicon_hits(phrases, "phrase", "phrase", I.lexicon_df(spark))
-    return lines.join(hits.select("phrase", "whole_hit", "first_pos", "first_word"), "phrase") \
+    lines = I.part_lines(spark, sf_dir)
+    distinct_lines = lines.select("line").distinct().withColumn("phrase", L.prepare_phrase("line"))
+    hits = L.lexicon_hits(distinct_lines, "line", "phrase", I.lexicon_df(spark))
+    return lines.join(hits.withColumnRenamed("id", "line"), "line") \
         .select("p_partkey", "phrase", "whole_hit", "first_pos", "first_word")
 
 

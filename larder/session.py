@@ -69,5 +69,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+SPREAD_MIN_BYTES = 128 * 1024
+
+
+def spread(df, min_bytes: int = SPREAD_MIN_BYTES):
+    """Round-robin a scan over all cores when it arrives in fewer splits than cores.
+
+    Few, large row groups leave most scan tasks empty, so per-row text work
+    would run on one core.  On a cluster reading many files the scan already
+    has more splits than cores and this is a no-op (no extra shuffle).
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) >= min_bytes else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True):
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if balance else df
