@@ -72,6 +72,18 @@ def every_nth(df: DataFrame, order_col: str, n: int) -> DataFrame:
     return numbered.filter(((F.col("rn") - 1) % n == 0) | (F.col("rn") == total))
 
 
+def join_by_position(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str],
+                     how: str = "left", index_col: str = "idx") -> DataFrame:
+    """Join two tables row by row when no key exists: row ``i`` of each side's total order.
+
+    Both sides get consecutive positions from ``with_dense_ids`` (no
+    one-task window), then an equi join on the position.
+    """
+    lpos = with_dense_ids(left, left_order, index_col, start=1)
+    rpos = with_dense_ids(right, right_order, index_col, start=1)
+    return lpos.join(rpos, index_col, how)
+
+
 def alignment_check(left: DataFrame, right: DataFrame, key: str, col: str, preview: int = 38) -> DataFrame:
     """Row-by-row comparison of two tables on ``key``; NULL-safe, whole values."""
     l_ = left.select(key, F.col(col).alias("_l"))

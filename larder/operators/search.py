@@ -61,6 +61,20 @@ def _scan_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]):
     return hits, n, (float(m.get("sdl") or 0) / n if n else 0.0)
 
 
+def _scan_hits_join(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame):
+    """As ``_scan_hits`` for a large term table: explode every term, semi join the table."""
+    obs = Observation()
+    per_doc = docs.select(F.col(id_col).alias("doc_id"), T.analyse_terms(text_col).alias("_t")) \
+        .select("doc_id", F.size("_t").alias("dl"), "_t") \
+        .observe(obs, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl"))
+    words = per_doc.select("doc_id", "dl", F.explode("_t").alias("term"))
+    hits = words.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term") \
+        .agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
+    m = obs.get
+    n = int(m.get("n") or 0)
+    return hits, n, (float(m.get("sdl") or 0) / n if n else 0.0)
+
+
 def match_search(docs: DataFrame, id_col: str, text_col: str, query: str, operator: str = "or") -> DataFrame:
     """Documents matching any (``or``) / all (``and``) query terms: ``(doc_id, n_matched)``."""
     terms = analyse_query(query)
@@ -176,7 +190,8 @@ def fuzzy_terms(spark: SparkSession, vocab: DataFrame, terms: list[str], term_co
 
 def search_fuzzy(docs: DataFrame, id_col: str, text_col: str, query: str, labels: DataFrame | None = None,
                  k: int = SEARCH_PAGE_SIZE, k1: float = BM25_K1, b: float = BM25_B,
-                 digits: int | None = 6, vocab: DataFrame | None = None) -> DataFrame:
+                 digits: int | None = 6, vocab: DataFrame | None = None,
+                 max_literal_terms: int = 10_000) -> DataFrame:
     """Fuzzy BM25 search: every query term expands to its near vocabulary terms,
     each scored by BM25 and weighted; page of ``k`` with labels and ``total``."""
     spark = docs.sparkSession
@@ -186,9 +201,15 @@ def search_fuzzy(docs: DataFrame, id_col: str, text_col: str, query: str, labels
     if vocab is None:
         vocab = docs.select(F.explode(T.analyse_terms(text_col)).alias("term"))
     exp = fuzzy_terms(spark, vocab, terms)
-    weights = exp.groupBy("term").agg(F.sum("weight").alias("weight"))
-    expanded = [r.term for r in weights.select("term").collect()]  # bounded by the expansion of few terms
-    hits, n, avgdl = _scan_hits(docs, id_col, text_col, expanded)
+    weights = exp.groupBy("term").agg(F.sum("weight").alias("weight")).checkpoint(eager=True)
+    n_exp = weights.limit(max_literal_terms + 1).count()
+    if n_exp <= max_literal_terms:
+        # few expansions (the normal case): filter each term array by a literal list
+        expanded = [r.term for r in weights.select("term").collect()]
+        hits, n, avgdl = _scan_hits(docs, id_col, text_col, expanded)
+    else:
+        # many expansions: join every document term with the expansion table instead
+        hits, n, avgdl = _scan_hits_join(docs, id_col, text_col, weights.select("term"))
     scores = _bm25(hits, weights, n, avgdl, k1, b)
     page = _page(scores, k, digits).withColumn("total", F.lit(scores.count()).cast("long"))
     if labels is not None:

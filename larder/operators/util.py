@@ -42,8 +42,12 @@ def with_dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", sta
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_df = (df.repartitionByRange(n, *order_cols)
-                 .sortWithinPartitions(*order_cols)
+    # ties on the order columns are broken by a row hash, so a value shared by a
+    # large share of the rows is still split over several range partitions
+    tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")
+    keys = list(order_cols) + ["_tie"]
+    sorted_df = (df.select("*", tie).repartitionByRange(n, *keys)
+                 .sortWithinPartitions(*keys)
                  .withColumn("_mid", F.monotonically_increasing_id())
                  .checkpoint(eager=True))
     part = F.shiftright(F.col("_mid"), 33)
@@ -53,7 +57,7 @@ def with_dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", sta
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     out = sorted_df.withColumn("_pid", part).join(F.broadcast(offsets), "_pid")
     return out.withColumn(id_col, (F.col("_off") + local + F.lit(start)).cast("long")) \
-        .drop("_mid", "_pid", "_off")
+        .drop("_mid", "_pid", "_off", "_tie")
 
 
 def with_column_once(df: DataFrame, name: str, expr) -> DataFrame:

@@ -95,11 +95,15 @@ def alignment_check(spark, sf_dir):
 
 
 @register("join_by_position", """
-SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+SELECT l.idx, l.doc_id, l.lang, r.label_doc_id, r.quality, r.toxic
+FROM (SELECT row_number() OVER (ORDER BY doc_id) AS idx, doc_id, lang FROM documents) l
+LEFT JOIN (SELECT row_number() OVER (ORDER BY doc_id) AS idx, doc_id AS label_doc_id, quality, toxic FROM labels) r
+  ON r.idx = l.idx""")
 def join_by_position(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
-    labels = read_table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_doc_id"), "quality", "toxic")
+    return E.join_by_position(docs, labels, ["doc_id"], ["label_doc_id"]) \
+        .select("idx", "doc_id", "lang", "label_doc_id", "quality", "toxic")
 
 
 @register("longest_text", f"""

@@ -89,6 +89,29 @@ def clean_products(spark, sf_dir):
     return P.clean_names(d, "product_name", "n_chars").select("doc_id", "product_name")
 
 
+def _raw_products(spark, sf_dir):
+    """Nested product rows: names as above, nutriments [(fat, ..), (carbohydrates, n_chars / 100)]."""
+    names = _names_nested(spark, sf_dir)
+    carbs = F.col("n_chars") / 100.0
+    nutr = F.array(F.struct(F.lit("fat").alias("name"), F.lit(1.0).alias("value"), F.lit(1.0).alias("100g")),
+                   F.struct(F.lit("carbohydrates").alias("name"), carbs.alias("value"), carbs.alias("100g")))
+    return names.select("product_name", nutr.alias("nutriments"))
+
+
+@register("clean_products_job", f"""
+WITH raw AS ({_NAMES_SQL}),
+picked AS (SELECT list_filter(product_name, lambda x: lower(x.lang) = 'en')[1].text AS product_name,
+                  n_chars / 100.0 AS carbs FROM raw),
+c1 AS (SELECT {S.clean_text('strip_accents(product_name)')} AS name, carbs FROM picked
+       WHERE product_name IS NOT NULL AND trim(product_name) <> '' AND carbs IS NOT NULL),
+c2 AS (SELECT {S.singularize('name')} AS name, carbs FROM c1
+       WHERE regexp_matches(name, '[a-zA-Z].*[a-zA-Z]') AND trim(name) <> '')
+SELECT name AS product_name, CAST(quantile_disc(carbs, 0.5) AS FLOAT) AS carbohydrates_100g
+FROM c2 WHERE trim(name) <> '' GROUP BY name""")
+def clean_products_job(spark, sf_dir):
+    return P.clean_products(_raw_products(spark, sf_dir))
+
+
 @register("stage_counts", f"""
 WITH c AS (SELECT text, lang, {S.clean_text('strip_accents(text)')} AS clean FROM documents)
 SELECT * FROM (VALUES

@@ -82,8 +82,8 @@ def search_total(spark, sf_dir):
 _FREE_CODES = [c for c in range(1, 128) if not chr(c).isalnum() and c != 32]
 
 
-def _fuzzy_sql() -> str:
-    qrows = " UNION ALL ".join(
+def _fuzzy_sql(qrows: str | None = None) -> str:
+    qrows = qrows or " UNION ALL ".join(
         f"SELECT {q(t)} AS query_term, {X.auto_fuzziness(len(t))} AS max_d, {len(t)} AS qlen"
         for t in X.analyse_query(FUZZY_QUERY))
     codes = "[" + ", ".join(str(c) for c in _FREE_CODES) + "]"
@@ -123,3 +123,27 @@ def search_fuzzy(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") == 1).alias("keto"), (F.col("toxic") == 0).alias("vegan"))
     return X.search_fuzzy(_docs(spark, sf_dir), "doc_id", "text", FUZZY_QUERY, labels)
+
+
+SEARCH_IDS = "20000, 40000,60000"
+_IDS = [int(x) for x in SEARCH_IDS.split(",")]
+_QT_FROM_IDS = f"""
+SELECT term AS query_term,
+       CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS max_d,
+       length(term) AS qlen
+FROM (SELECT term, row_number() OVER (ORDER BY term) AS id
+      FROM (SELECT DISTINCT unnest({TERMS}) AS term FROM documents))
+WHERE id IN ({', '.join(str(i) for i in _IDS)})"""
+_IDS_BM25 = _bm25_sql("SELECT term, sum(weight) AS weight FROM fz GROUP BY term") \
+    .replace("WITH d AS", f"WITH {_fuzzy_sql(_QT_FROM_IDS)},\nd AS", 1)
+
+
+@register("search_by_ids", _labels_page_sql(_IDS_BM25))
+def search_by_ids(spark, sf_dir):
+    from larder.operators.recipes import vocab_ids
+    docs = _docs(spark, sf_dir)
+    vocab = vocab_ids(docs.select(F.explode(T.analyse_terms("text")).alias("term")).distinct(), "term") \
+        .withColumnRenamed("term", "ingredient")
+    labels = read_table(spark, sf_dir, "labels").select(
+        "doc_id", (F.col("quality") == 1).alias("keto"), (F.col("toxic") == 0).alias("vegan"))
+    return X.search_by_ids(spark, docs, "doc_id", "text", vocab, SEARCH_IDS, labels)
