@@ -54,11 +54,13 @@ def lexicon_hits(df: DataFrame, id_col: str, phrase_col: str, lexicon: DataFrame
     words = base.select("id", "phrase", "words", F.col("_whole").isNotNull().alias("whole_hit"),
                         F.posexplode_outer("words").alias("pos", "word"))
     words = words.join(word_t, words.word == word_t._word_hit, "left")
-    out = words.groupBy("id").agg(
-        F.any_value("phrase").alias("phrase"), F.any_value("words").alias("words"),
-        F.bool_or("whole_hit").alias("whole_hit"),
+    # phrase and whole_hit depend on id only: grouping keys, so the aggregate
+    # buffer is one int (hash aggregate) and the word array is rebuilt after
+    out = words.groupBy("id", "phrase", "whole_hit").agg(
         F.min(F.when(F.col("_word_hit").isNotNull(), F.col("pos"))).cast("int").alias("first_pos"))
-    return out.withColumn("first_word", F.try_element_at("words", F.col("first_pos") + 1))
+    out = out.withColumn("words", F.filter(F.split("phrase", " "), lambda w: w != ""))
+    return out.select("id", "phrase", "words", "whole_hit", "first_pos",
+                      F.try_element_at("words", F.col("first_pos") + 1).alias("first_word"))
 
 
 def category_closure(edges: DataFrame, roots: DataFrame, senses: DataFrame | None = None,

@@ -7,12 +7,12 @@ rows does not end up as a single huge task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from larder.functions import text as T
-from larder.operators.util import bounded_broadcast, with_column_once
+from larder.operators.util import bounded_broadcast, with_column_once, with_dense_ids
 
 
 def select_products(raw: DataFrame, name_col: str = "product_name",
@@ -119,9 +119,8 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, value: str,
 
 def append_rows(df: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     """Append rows with ids ``max(id) + 1, + 2, ...`` (empty table starts at 0)."""
-    top = df.agg(F.max(id_col).alias("m")).first()["m"]
-    start = -1 if top is None else int(top)
-    # the appended rows are a small, caller-given table: a global row number is fine there
-    order = [c for c in rows.columns]
-    numbered = rows.withColumn(id_col, F.lit(start) + F.row_number().over(Window.orderBy(*order)))
+    top = df.agg(F.max(id_col).alias("m")).first()["m"]  # one scalar
+    start = 0 if top is None else int(top) + 1
+    # consecutive ids in the order of the new rows' columns, without a one-task window
+    numbered = with_dense_ids(rows, list(rows.columns), id_col, start=start)
     return df.unionByName(numbered.select(*df.columns))

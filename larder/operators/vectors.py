@@ -172,15 +172,26 @@ def classify_keto(matches: DataFrame, catalogue: DataFrame, item_id: str, carb_c
 
 # ----------------------------------------------------------------- encoder
 
-def encode_text(df: DataFrame, col: str, dim: int = 256, out: str = "embedding",
-                min_doc_freq: int = 0) -> DataFrame:
+class _ArrayOutput:
+    """Fitted MLlib pipeline whose ``transform`` adds ``out`` as ``ARRAY<FLOAT>``."""
+
+    def __init__(self, model, out):
+        self.model, self.out = model, out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+        return self.model.transform(df).withColumn(self.out, vector_to_array("_n", "float32")) \
+            .drop("_tok", "_tf", "_idf", "_n")
+
+
+def fit_text_encoder(df: DataFrame, col: str, dim: int = 256, out: str = "embedding", min_doc_freq: int = 0):
     """Built-in text encoder: lowercase terms -> hashed term frequencies -> IDF -> L2 norm.
 
-    All MLlib stages, fitted and applied on the cluster; output ``ARRAY<FLOAT>``.
+    All MLlib stages, fitted on the cluster (IDF is one distributed pass whose
+    state is a ``dim``-long vector); the returned object embeds any frame.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
 
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=col, outputCol="_tok", pattern="[^\\p{L}\\p{N}]+", toLowercase=True),
@@ -188,9 +199,13 @@ def encode_text(df: DataFrame, col: str, dim: int = 256, out: str = "embedding",
         IDF(inputCol="_tf", outputCol="_idf", minDocFreq=min_doc_freq),
         Normalizer(inputCol="_idf", outputCol="_n", p=2.0),
     ])
-    model = pipe.fit(df)
-    return model.transform(df).withColumn(out, vector_to_array("_n", "float32")) \
-        .drop("_tok", "_tf", "_idf", "_n")
+    return _ArrayOutput(pipe.fit(df), out)
+
+
+def encode_text(df: DataFrame, col: str, dim: int = 256, out: str = "embedding",
+                min_doc_freq: int = 0) -> DataFrame:
+    """Fit the built-in encoder on ``df`` and embed it; output ``ARRAY<FLOAT>``."""
+    return fit_text_encoder(df, col, dim, out, min_doc_freq).transform(df)
 
 
 def encode_with(df: DataFrame, col: str, encoder, out: str = "embedding") -> DataFrame:

@@ -40,3 +40,20 @@ def stream_ingest(spark, sf_dir):
     again = ING.ingest(spark, src, DOC_SCHEMA, target, ckpt, _label, vocab, terms, max_files_per_trigger=2)
     assert again == 0, "second run must not re-process committed files"
     return ING.read_ingested(spark, target)
+
+
+@register("embed_resume")
+def embed_resume(spark, sf_dir):
+    """Resumable embedding (R2): fit the encoder once, then embed arriving files batch by batch."""
+    from larder.operators.vectors import fit_text_encoder
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_text_encoder(docs, "text", dim=64)
+    src = shared_path(spark, "embed-src")
+    docs.repartition(4).write.mode("overwrite").parquet(src)
+    target, ckpt = shared_path(spark, "embed-out"), shared_path(spark, "embed-ckpt")
+    ING.embed_stream(spark, src, "doc_id BIGINT, text STRING", target, ckpt, model, "text",
+                     key="doc_id", max_files_per_trigger=2)
+    again = ING.embed_stream(spark, src, "doc_id BIGINT, text STRING", target, ckpt, model, "text",
+                             key="doc_id", max_files_per_trigger=2)
+    assert again == 0, "second run must not re-process committed files"
+    return ING.read_ingested(spark, target).select("doc_id", "embedding")
