@@ -180,3 +180,39 @@ SELECT CAST(ids.pos AS INTEGER) AS pos, CAST(ids.term_id AS BIGINT) AS term_id,
 FROM ids JOIN {_VOCAB_SQL} v ON v.id = ids.term_id""")
 def ids_to_terms(spark, sf_dir):
     return R.ids_to_terms(spark, _vocab(spark, sf_dir), IDS_TEXT)
+
+
+# ------------------------------------------- both labels, low-carb by kNN
+
+KNN_THRESHOLD = 0.1
+KNN_CARB_LIMIT = 10.0
+
+
+@register("label_recipes_knn")
+def label_recipes_knn(spark, sf_dir):
+    """The whole labelling job: plant-based by lexicon, low-carb by nearest product.
+
+    Catalogue: part names cleaned like products, carbs = median of
+    ``p_retailprice / 100`` per name.  Every distinct ingredient line is
+    encoded with the same fitted encoder and matched (exact blocked kNN) to
+    the catalogue; its carbs decide.  Recipes are ``(p_brand, p_size)``.
+    """
+    from larder.operators import products as P
+    from larder.operators import vectors as V
+    part = read_table(spark, sf_dir, "part")
+    raw = part.select(F.col("p_name").alias("product_name"), (F.col("p_retailprice") / 100).alias("carbohydrates_100g"))
+    cleaned = P.clean_names(raw, fold=False)
+    catalogue = P.median_per_key(cleaned, "product_name", "carbohydrates_100g", "carbs")
+    # 64-bit hash ids: a collision needs billions of distinct names (birthday bound ~2^32)
+    catalogue = catalogue.withColumn("item_id", F.xxhash64("product_name"))
+    encoder = V.fit_text_encoder(catalogue, "product_name", dim=256)
+    cat_vec = encoder.transform(catalogue)
+    lines, vegan = _vegan_phrase_labels(spark, sf_dir)
+    phrases = vegan.select("line", "phrase").withColumn("query_id", F.xxhash64("line"))
+    q_vec = encoder.transform(phrases.withColumnRenamed("phrase", "product_name"))
+    best = V.knn(q_vec, cat_vec, k=1, query_id="query_id", item_id="item_id")
+    keto = V.classify_keto(best, catalogue, "item_id", "carbs", KNN_THRESHOLD, KNN_CARB_LIMIT) \
+        .select("query_id", "keto")
+    item_labels = vegan.select("line", "vegan").withColumn("query_id", F.xxhash64("line")) \
+        .join(keto, "query_id", "left").select("line", "vegan", F.coalesce("keto", F.lit(False)).alias("keto"))
+    return R.label_items(lines, ["p_brand", "p_size"], "line", item_labels, ["vegan", "keto"])

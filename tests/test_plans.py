@@ -68,7 +68,7 @@ def test_bounded_broadcast_falls_back(spark):
 def test_every_key_has_an_oracle_or_is_listed(qs):
     sqls = E.oracle_sql()
     rows_only = {k for k in qs if k not in sqls}
-    assert rows_only == {"knn_ivf", "encode_text", "embed_resume"}
+    assert rows_only == {"knn_ivf", "encode_text", "embed_resume", "label_recipes_knn"}
 
 
 def test_entry_smoke(spark):
