@@ -61,6 +61,26 @@ def _scan_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]):
     return hits, n, (float(m.get("sdl") or 0) / n if n else 0.0)
 
 
+def rank_postings(postings: DataFrame, lengths: DataFrame, query: str, k: int = SEARCH_PAGE_SIZE,
+                  k1: float = BM25_K1, b: float = BM25_B, digits: int | None = 6) -> DataFrame:
+    """BM25 page from prebuilt index tables (``build_postings``): no text is read.
+
+    Only the postings of the query terms are touched (a filter on ``term``
+    that reaches the scan when the postings are stored as Parquet).
+    """
+    spark = postings.sparkSession
+    terms = analyse_query(query)
+    if not terms:
+        return spark.createDataFrame([], "doc_id long, score double, rank int, total long")
+    st = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl")).first()
+    n = int(st["n"] or 0)
+    avgdl = float(st["sdl"] or 0) / n if n else 0.0
+    hits = postings.filter(F.col("term").isin(terms)).join(lengths, "doc_id")
+    weights = param_table(spark, [(t, t, 1.0) for t in terms], "term string, qterm string, weight double")
+    scores = _bm25(hits, weights, n, avgdl, k1, b)
+    return _page(scores, k, digits).withColumn("total", F.lit(scores.count()).cast("long"))
+
+
 def _scan_hits_join(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame):
     """As ``_scan_hits`` for a large term table: explode every term, semi join the table."""
     obs = Observation()

@@ -110,9 +110,13 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int = 1, query_id: str = "q
         item_id: str = "item_id", vec: str = "embedding", exclude_same_id: bool = False,
         query_block_rows: int = 20_000, item_block_rows: int = 50_000) -> DataFrame:
     """Exact top-k cosine neighbours: ``(query_id, item_id, sim, rank)``; ties by ``item_id``."""
+    # both sides are written once (shared checkpoint folder): the row counts that size
+    # the blocks and the block join then read the vectors instead of recomputing
+    # whatever produced them (an encoder, a lexicon pass), and a lost executor
+    # resumes from the written vectors
     q = queries.select(F.col(query_id).cast("long").alias("_id"), F.col(vec).alias("_v")) \
-        .dropDuplicates(["_id"])
-    c = catalogue.select(F.col(item_id).cast("long").alias("_id"), F.col(vec).alias("_v"))
+        .dropDuplicates(["_id"]).checkpoint(eager=True)
+    c = catalogue.select(F.col(item_id).cast("long").alias("_id"), F.col(vec).alias("_v")).checkpoint(eager=True)
     nq, nc = q.count(), c.count()
     QB, CB = _blocks(nq, query_block_rows), _blocks(nc, item_block_rows)
     qb = q.withColumn("qb", F.pmod(F.xxhash64("_id"), F.lit(QB)).cast("int")) \
@@ -137,7 +141,7 @@ def knn_ivf(queries: DataFrame, catalogue: DataFrame, k: int = 1, cells: int | N
 
     spark = catalogue.sparkSession
     c = catalogue.select(F.col(item_id).cast("long").alias("_id"),
-                         l2_normalize(F.col(vec), as_float=False).alias("_v"))
+                         l2_normalize(F.col(vec), as_float=False).alias("_v")).checkpoint(eager=True)
     nc = c.count()
     cells = cells or max(1, round(math.sqrt(nc)))
     feats = c.withColumn("_f", array_to_vector("_v"))

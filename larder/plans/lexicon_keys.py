@@ -208,6 +208,8 @@ def label_recipes_knn(spark, sf_dir):
     encoder = V.fit_text_encoder(catalogue, "product_name", dim=256)
     cat_vec = encoder.transform(catalogue)
     lines, vegan = _vegan_phrase_labels(spark, sf_dir)
+    # one row per distinct line, used twice (kNN queries, label join): written once
+    vegan = vegan.select("line", "phrase", "vegan").checkpoint(eager=True)
     phrases = vegan.select("line", "phrase").withColumn("query_id", F.xxhash64("line"))
     q_vec = encoder.transform(phrases.withColumnRenamed("phrase", "product_name"))
     best = V.knn(q_vec, cat_vec, k=1, query_id="query_id", item_id="item_id")

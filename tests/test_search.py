@@ -63,3 +63,10 @@ def test_search_fuzzy_and_by_ids(spark, docs):
     assert [r.doc_id for r in got] == [2]   # ids: rice=1, tofu=2
     with pytest.raises(ValueError):
         X.search_by_ids(spark, docs, "doc_id", "text", vocab, "7")
+
+
+def test_postings_index_equals_scan(spark, docs):
+    postings, lengths = X.build_postings(docs, "doc_id", "text")
+    a = [(r.doc_id, r.score, r.total) for r in X.rank_postings(postings, lengths, "egg milk").collect()]
+    b = [(r.doc_id, r.score, r.total) for r in X.rank_bm25(docs, "doc_id", "text", "egg milk").collect()]
+    assert a == b
