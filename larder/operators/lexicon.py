@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.fixed_values import EXCUSING_AFTER, EXCUSING_BEFORE, PLANT_CATEGORIES
 from larder.functions import text as T
 from larder.operators.util import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
@@ -25,7 +26,9 @@ def prepare_phrase(col) -> Column:
     return T.singularize(T.extract_name(col))
 
 
-def make_lexicon(spark: SparkSession, flagged, excusing_before=(), excusing_after=()) -> DataFrame:
+def make_lexicon(spark: SparkSession, flagged, excusing_before=EXCUSING_BEFORE,
+                 excusing_after=EXCUSING_AFTER) -> DataFrame:
+    """Lexicon table from a user's flagged terms; context words default to the fixed lists."""
     rows = [(t, "flagged") for t in flagged] + [(t, "excusing_before") for t in excusing_before] + \
            [(t, "excusing_after") for t in excusing_after]
     return spark.createDataFrame(rows, "term string, kind string")
@@ -102,6 +105,13 @@ def category_closure(edges: DataFrame, roots: DataFrame, senses: DataFrame | Non
     return reached.distinct()
 
 
+def plant_closure(edges: DataFrame, senses: DataFrame | None = None, roots=PLANT_CATEGORIES) -> DataFrame:
+    """Terms under the plant categories (default roots: the fixed category list)."""
+    spark = edges.sparkSession
+    root_df = spark.createDataFrame([(r,) for r in roots], "root string")
+    return category_closure(edges, root_df, senses).select("term").distinct()
+
+
 def classify_vegan(phrases: DataFrame, id_col: str, phrase_col: str, lexicon: DataFrame,
                    closure_terms: DataFrame | None = None,
                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

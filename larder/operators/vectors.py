@@ -58,25 +58,35 @@ def l2_normalize(a, as_float: bool = True) -> Column:
 
 # -------------------------------------------------------- blocked top-k
 
-def _topk_block(qids, qmat, cids, cmat, k, exclude_same_id, chunk=4096):
-    """Top-k cosine of each query against one catalogue block, chunk by chunk."""
-    qn = np.linalg.norm(qmat, axis=1)
-    best_s = np.full((len(qids), 0), -np.inf)
-    best_i = np.zeros((len(qids), 0), dtype=np.int64)
-    for start in range(0, len(cids), chunk):
-        cm = cmat[start:start + chunk]
-        ci = cids[start:start + chunk]
-        sims = (qmat @ cm.T) / (np.outer(qn, np.linalg.norm(cm, axis=1)) + EPS)
-        if exclude_same_id:
-            sims = np.where(qids[:, None] == ci[None, :], -np.inf, sims)
-        s = np.concatenate([best_s, sims], axis=1)
-        i = np.concatenate([best_i, np.broadcast_to(ci, sims.shape)], axis=1)
-        kk = min(k, s.shape[1])
-        # order by similarity desc, then id asc; keep the first kk
-        order = np.lexsort((i, -s), axis=1)[:, :kk]
-        best_s = np.take_along_axis(s, order, axis=1)
-        best_i = np.take_along_axis(i, order, axis=1)
-    return best_s, best_i
+def _topk_block(qids, qmat, cids, cmat, k, exclude_same_id, q_chunk=2048, c_chunk=4096):
+    """Top-k cosine of each query against one catalogue block.
+
+    Works on ``q_chunk x c_chunk`` tiles (64 MB of float64 similarities at
+    most), keeping a running top-k per query, so task memory does not grow
+    with the block sizes.
+    """
+    qn_all = np.linalg.norm(qmat, axis=1)
+    cn_all = np.linalg.norm(cmat, axis=1)
+    out_s, out_i = [], []
+    for qs in range(0, len(qids), q_chunk):
+        qm, qn, qi = qmat[qs:qs + q_chunk], qn_all[qs:qs + q_chunk], qids[qs:qs + q_chunk]
+        best_s = np.full((len(qi), 0), -np.inf)
+        best_i = np.zeros((len(qi), 0), dtype=np.int64)
+        for cs in range(0, len(cids), c_chunk):
+            cm, ci = cmat[cs:cs + c_chunk], cids[cs:cs + c_chunk]
+            sims = (qm @ cm.T) / (np.outer(qn, cn_all[cs:cs + c_chunk]) + EPS)
+            if exclude_same_id:
+                sims = np.where(qi[:, None] == ci[None, :], -np.inf, sims)
+            s = np.concatenate([best_s, sims], axis=1)
+            i = np.concatenate([best_i, np.broadcast_to(ci, sims.shape)], axis=1)
+            kk = min(k, s.shape[1])
+            # order by similarity desc, then id asc; keep the first kk
+            order = np.lexsort((i, -s), axis=1)[:, :kk]
+            best_s = np.take_along_axis(s, order, axis=1)
+            best_i = np.take_along_axis(i, order, axis=1)
+        out_s.append(best_s)
+        out_i.append(best_i)
+    return np.concatenate(out_s, axis=0), np.concatenate(out_i, axis=0)
 
 
 def _block_fn(k, exclude_same_id):
@@ -108,8 +118,13 @@ def _blocks(n: int, block_rows: int) -> int:
 
 def knn(queries: DataFrame, catalogue: DataFrame, k: int = 1, query_id: str = "query_id",
         item_id: str = "item_id", vec: str = "embedding", exclude_same_id: bool = False,
-        query_block_rows: int = 20_000, item_block_rows: int = 50_000) -> DataFrame:
-    """Exact top-k cosine neighbours: ``(query_id, item_id, sim, rank)``; ties by ``item_id``."""
+        query_block_rows: int | None = None, item_block_rows: int | None = None,
+        block_bytes: int = 256 << 20) -> DataFrame:
+    """Exact top-k cosine neighbours: ``(query_id, item_id, sim, rank)``; ties by ``item_id``.
+
+    Block sizes default to what fits ``block_bytes`` of float64 vectors per
+    side, which keeps the replication (``|Q| x C + |C| x Q`` rows) low.
+    """
     # both sides are written once (shared checkpoint folder): the row counts that size
     # the blocks and the block join then read the vectors instead of recomputing
     # whatever produced them (an encoder, a lexicon pass), and a lost executor
@@ -118,6 +133,12 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int = 1, query_id: str = "q
         .dropDuplicates(["_id"]).checkpoint(eager=True)
     c = catalogue.select(F.col(item_id).cast("long").alias("_id"), F.col(vec).alias("_v")).checkpoint(eager=True)
     nq, nc = q.count(), c.count()
+    if query_block_rows is None or item_block_rows is None:
+        first = c.select(F.size("_v")).first()
+        dim = max(1, int(first[0]) if first and first[0] else 1)
+        rows_fit = max(1, block_bytes // (dim * 8))
+        query_block_rows = query_block_rows or rows_fit
+        item_block_rows = item_block_rows or rows_fit
     QB, CB = _blocks(nq, query_block_rows), _blocks(nc, item_block_rows)
     qb = q.withColumn("qb", F.pmod(F.xxhash64("_id"), F.lit(QB)).cast("int")) \
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(CB - 1))))

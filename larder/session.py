@@ -26,15 +26,33 @@ _DEFAULTS = {
 }
 
 
+def shuffle_partitions_for(input_bytes: int, cores: int, target_bytes: int = 256 << 20) -> int:
+    """Shuffle partitions so each holds about ``target_bytes`` (AQE coalesces the rest).
+
+    100 TB at 256 MB gives ~400k partitions; never fewer than the cores.
+    """
+    return max(cores, -(-input_bytes // target_bytes))
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "larder", extra: dict | None = None) -> SparkSession:
-    """Session with AQE, UTC and Arrow on; shuffle partitions sized by cores."""
+                  app_name: str = "larder", extra: dict | None = None,
+                  input_bytes: int | None = None) -> SparkSession:
+    """Session with AQE, UTC and Arrow on.
+
+    Shuffle partitions: given, else sized from ``input_bytes`` (about 256 MB
+    each), else one per core.  AQE coalesces small partitions and splits
+    skewed ones at run time; scan splits are 256 MB.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     cores = os.cpu_count() or 8
     conf = dict(_DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cores)
+    if shuffle_partitions is None:
+        shuffle_partitions = shuffle_partitions_for(input_bytes, cores) if input_bytes else cores
+    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(256 << 20)
+    conf["spark.sql.files.maxPartitionBytes"] = str(256 << 20)
     conf["spark.driver.memory"] = "16g"
     conf.update(extra or {})
     for k, v in conf.items():

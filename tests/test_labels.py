@@ -93,3 +93,10 @@ def test_vocab_ids_and_lookup(spark):
         R.ids_to_terms(spark, vocab, "1, 99")
     sugg = [r.ingredient for r in R.vocab_suggest(vocab, " gg ").collect()]
     assert sugg == ["egg"]
+
+
+def test_plant_closure_default_roots(spark):
+    edges = spark.createDataFrame([("almond", "nut"), ("marcona", "almond"), ("butter", "dairy")],
+                                  "child string, parent string")
+    got = {r.term for r in L.plant_closure(edges).collect()}
+    assert {"almond", "marcona", "nut", "seed", "fungus"} <= got and "butter" not in got

@@ -86,3 +86,12 @@ def test_encode_with_plugin(spark):
     assert len(got[1]) == 32 and abs(np.linalg.norm(got[1]) - 1) < 1e-5
     want = enc.transform(["zz"])[0]
     assert np.allclose(got[2], want)
+
+
+def test_tiled_topk_equals_untiled():
+    rng = np.random.default_rng(7)
+    q, c = rng.normal(size=(23, 8)), rng.normal(size=(41, 8))
+    qi, ci = np.arange(23), np.arange(100, 141)
+    a_s, a_i = V._topk_block(qi, q, ci, c, 4, False, q_chunk=5, c_chunk=7)
+    b_s, b_i = V._topk_block(qi, q, ci, c, 4, False, q_chunk=1000, c_chunk=1000)
+    assert np.array_equal(a_i, b_i) and np.allclose(a_s, b_s)
