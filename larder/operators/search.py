@@ -183,26 +183,63 @@ def _dl_series(a: pd.Series, b: pd.Series) -> pd.Series:
 _dl_udf = F.pandas_udf(_dl_series, IntegerType())
 
 
+def deletion_variants(col, max_deletions: int):
+    """The word and every string made from it by deleting up to ``max_deletions`` (<= 2) characters."""
+    def drop_one(w):
+        n = F.length(w)
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                          lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, n)))) \
+            .otherwise(F.array().cast("array<string>"))
+    c = F.col(col) if isinstance(col, str) else col
+    out = F.array(c)
+    level = F.array(c)
+    for _ in range(max_deletions):
+        level = F.flatten(F.transform(level, drop_one))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
 def fuzzy_terms(spark: SparkSession, vocab: DataFrame, terms: list[str], term_col: str = "term",
-                fuzziness: str | int = "AUTO") -> DataFrame:
+                fuzziness: str | int = "AUTO", method: str = "auto",
+                max_broadcast_terms: int = 1_000) -> DataFrame:
     """Vocabulary terms within the edit budget of each query term.
 
     Output ``(query_term, term, distance, weight)`` with
-    ``weight = 1 - distance / min(len(query_term), len(term))``.  The query
-    side is a small broadcast table; a length band and a JVM ``levenshtein``
-    bound (a swap is at most two plain edits) prune pairs before the exact
-    distance is computed in an Arrow UDF.  No expansion cap.
+    ``weight = 1 - distance / min(len(query_term), len(term))``.  No expansion cap.
+
+    * ``broadcast`` (few query terms, the normal case): the query table is
+      broadcast and every vocabulary term is compared with it after a length
+      band and a JVM ``levenshtein`` bound (a swap is at most two plain edits).
+    * ``deletion`` (many query terms): both sides emit their deletion variants
+      (up to the edit budget), an equi join on the variant finds the candidate
+      pairs, and only those are verified.  Two strings within ``d`` edits
+      (swaps included) share a variant with at most ``d`` deletions on each
+      side, so nothing is missed; no cross product is formed.
+
+    The exact distance is computed in an Arrow UDF on the candidates only.
     """
     rows = []
     for t in dict.fromkeys(terms):
         k = auto_fuzziness(len(t)) if str(fuzziness).upper() == "AUTO" else int(fuzziness)
         rows.append((t, k, len(t)))
-    qt = param_table(spark, rows, "query_term string, max_d int, qlen int")
+    if method == "auto":
+        method = "broadcast" if len(rows) <= max_broadcast_terms else "deletion"
     v = vocab.select(F.col(term_col).alias("term")).distinct().withColumn("tlen", F.length("term"))
     band = (F.abs(F.col("tlen") - F.col("qlen")) <= F.col("max_d"))
-    lev = F.levenshtein("term", "query_term", 4)  # -1 when above 4
-    pre = (lev >= 0) & (lev <= 2 * F.col("max_d"))
-    pairs = v.join(qt, band & pre)
+    if method == "broadcast":
+        qt = param_table(spark, rows, "query_term string, max_d int, qlen int")
+        lev = F.levenshtein("term", "query_term", 4)  # -1 when above 4
+        pre = (lev >= 0) & (lev <= 2 * F.col("max_d"))
+        pairs = v.join(qt, band & pre)
+    else:
+        qt = spark.createDataFrame(rows, "query_term string, max_d int, qlen int")
+        top = max([r[1] for r in rows] or [0])
+        qv = qt.select("*", F.explode(deletion_variants("query_term", 0)).alias("key")) if top == 0 else \
+            qt.select("*", F.explode(F.when(F.col("max_d") >= 2, deletion_variants("query_term", 2))
+                                      .when(F.col("max_d") == 1, deletion_variants("query_term", 1))
+                                      .otherwise(F.array("query_term"))).alias("key"))
+        vv = v.select("*", F.explode(deletion_variants("term", top)).alias("key"))
+        pairs = vv.join(qv, "key").drop("key").dropDuplicates(["query_term", "term"]).filter(band)
     scored = pairs.withColumn("distance", _dl_udf("query_term", "term")).filter(F.col("distance") <= F.col("max_d"))
     return scored.select("query_term", "term", F.col("distance").cast("int"),
                          (F.lit(1.0) - F.col("distance") / F.least("qlen", "tlen")).alias("weight"))

@@ -70,3 +70,21 @@ def test_postings_index_equals_scan(spark, docs):
     a = [(r.doc_id, r.score, r.total) for r in X.rank_postings(postings, lengths, "egg milk").collect()]
     b = [(r.doc_id, r.score, r.total) for r in X.rank_bm25(docs, "doc_id", "text", "egg milk").collect()]
     assert a == b
+
+
+def test_fuzzy_deletion_join_equals_broadcast(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    from pyspark.sql import functions as F
+    from larder.functions import text as T
+    vocab = docs.select(F.explode(T.analyse_terms("text")).alias("term"))
+    terms = ["wortless", "enua", "ouonnen", "atou", "zq", "thé", "a", "tion"]
+    a = {tuple(r) for r in X.fuzzy_terms(spark, vocab, terms, method="broadcast").collect()}
+    b = {tuple(r) for r in X.fuzzy_terms(spark, vocab, terms, method="deletion").collect()}
+    assert a == b and len(a) > 10
+
+
+def test_deletion_variants(spark):
+    df = spark.createDataFrame([("abc",), ("",)], "w string")
+    got = [sorted(r[0]) for r in df.select(X.deletion_variants("w", 2)).collect()]
+    assert got[0] == sorted(["abc", "bc", "ac", "ab", "a", "b", "c"])
+    assert got[1] == [""]
