@@ -22,7 +22,6 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "nullValue": "\\N",
-    "emptyValue": "",
     "lineSep": "\n",
 }
 
