@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
-from larder.operators.util import param_table
+from larder.operators.util import DEFAULT_BROADCAST_ROWS, param_table
 
 
 def contains_any(col, terms, case_insensitive: bool = True) -> Column:
@@ -38,17 +38,54 @@ def exact_terms(df: DataFrame, col: str, terms) -> DataFrame:
     return df.join(t, F.lower(F.col(col)) == F.col("_term"), "left_semi")
 
 
+def _grams(col, n: int):
+    """Distinct ``n``-character substrings of a string (empty array when shorter)."""
+    c = F.col(col) if isinstance(col, str) else col
+    ln = F.length(c)
+    return F.when(ln >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), ln - (n - 1)),
+                                                        lambda i: c.substr(i, F.lit(n))))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
 def term_matches(spark: SparkSession, df: DataFrame, col: str, terms, max_extra_words: int | None = None,
-                 case_insensitive: bool = True) -> DataFrame:
+                 case_insensitive: bool = True, max_broadcast_terms: int = DEFAULT_BROADCAST_ROWS,
+                 gram: int = 3) -> DataFrame:
     """One row per (term, matching row): ``contains(text, term)``.
 
     With ``max_extra_words`` the text may have at most that many more words
-    than the term (near-exact match).
+    than the term (near-exact match).  A term list within the broadcast bound
+    is compared against every row in place (broadcast theta join).  A larger
+    list is blocked instead: a term can only occur in a text that holds the
+    term's first ``gram`` characters, so both sides are keyed by those
+    substrings (texts emit their distinct ones) and joined on equality, then
+    verified; shorter terms key on themselves against the texts' short
+    substrings.  Either way no cross product is formed.
     """
-    t = param_table(spark, [(x,) for x in terms], "term string")
-    text = F.lower(F.col(col)) if case_insensitive else F.col(col)
-    term = F.lower(F.col("term")) if case_insensitive else F.col("term")
-    cond = F.contains(text, term)
+    if isinstance(terms, DataFrame):   # a term table that may be large: never collected
+        t_all = terms.select("term").distinct()
+        n_terms = t_all.limit(max_broadcast_terms + 1).count()
+    else:
+        t_all = spark.createDataFrame([(x,) for x in dict.fromkeys(terms)], "term string")
+        n_terms = len(set(terms))
+    norm = (lambda c: F.lower(c)) if case_insensitive else (lambda c: c)
+    cond_extra = None
     if max_extra_words is not None:
-        cond = cond & (T.word_count(F.col(col)) <= T.word_count(F.col("term")) + max_extra_words)
-    return t.join(df, cond, "inner")
+        cond_extra = T.word_count(F.col(col)) <= T.word_count(F.col("term")) + max_extra_words
+    if n_terms <= max_broadcast_terms:
+        t = F.broadcast(t_all)   # size checked just above
+        cond = F.contains(norm(F.col(col)), norm(F.col("term")))
+        if cond_extra is not None:
+            cond = cond & cond_extra
+        return t.join(df, cond, "inner")
+    t = t_all.withColumn("_nt", norm(F.col("term")))
+    t = t.withColumn("_key", F.when(F.length("_nt") >= gram, F.col("_nt").substr(F.lit(1), F.lit(gram)))
+                     .otherwise(F.col("_nt")))
+    base = df.withColumn("_txt", norm(F.col(col)))
+    keys = _grams("_txt", gram)
+    for n in range(1, gram):
+        keys = F.concat(keys, _grams("_txt", n))
+    texts = base.select("*", F.explode(F.array_distinct(keys)).alias("_key"))
+    j = t.join(texts, "_key").filter(F.contains(F.col("_txt"), F.col("_nt")))
+    if cond_extra is not None:
+        j = j.filter(cond_extra)
+    return j.drop("_key", "_nt", "_txt")

@@ -88,3 +88,17 @@ def test_deletion_variants(spark):
     got = [sorted(r[0]) for r in df.select(X.deletion_variants("w", 2)).collect()]
     assert got[0] == sorted(["abc", "bc", "ac", "ab", "a", "b", "c"])
     assert got[1] == [""]
+
+
+def test_term_matches_blocked_equals_broadcast(spark):
+    from larder.operators import matching as M
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_name")
+    terms = ["gear", "Red", "ld b", "o", "ri", "xyz"]
+    a = {(r.term, r.p_partkey) for r in M.term_matches(spark, part, "p_name", terms).collect()}
+    b = {(r.term, r.p_partkey) for r in M.term_matches(spark, part, "p_name", terms, max_broadcast_terms=2).collect()}
+    assert a == b and len(a) > 100
+    c = {(r.term, r.p_partkey) for r in M.term_matches(spark, part, "p_name", ["gear", "red gear"],
+                                                         max_extra_words=0, max_broadcast_terms=1).collect()}
+    d = {(r.term, r.p_partkey) for r in M.term_matches(spark, part, "p_name", ["gear", "red gear"],
+                                                         max_extra_words=0).collect()}
+    assert c == d
