@@ -17,19 +17,24 @@ from larder.operators.util import with_dense_ids
 def classification_report(df: DataFrame, truth: str, pred: str, digits: int | None = None) -> DataFrame:
     """Per-class precision / recall / F1 / support, then accuracy, macro and weighted averages.
 
-    One ``groupBy(truth, pred).count()`` pass; the confusion table (classes
-    squared rows) is all the later steps touch.  0/0 gives 0.0.  The
-    accuracy row fills only ``f1`` and ``support``, as in the usual layout.
+    One ``groupBy(truth, pred).count()`` over the data; everything after it
+    works on the confusion table (classes squared rows): each cell adds its
+    count to its true class (support, and true positives on the diagonal)
+    and to its predicted class, one small aggregate gives the per-class rows,
+    which are checkpointed so the summary rows do not recompute them.
+    0/0 gives 0.0.  The accuracy row fills only ``f1`` and ``support``.
     """
     conf = df.groupBy(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    classes = conf.select(F.col("t").alias("label")).union(conf.select(F.col("p").alias("label"))) \
-        .filter(F.col("label").isNotNull()).distinct()
-    tp = conf.filter(F.col("t") == F.col("p")).select(F.col("t").alias("label"), F.col("n").alias("tp"))
-    sup = conf.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"))
-    predicted = conf.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("predicted"))
-    per = classes.join(tp, "label", "left").join(sup, "label", "left").join(predicted, "label", "left") \
-        .fillna(0, ["tp", "support", "predicted"])
+    n = F.col("n")
+    parts = F.array(
+        F.struct(F.col("t").alias("label"), F.when(F.col("t") == F.col("p"), n).otherwise(0).alias("tp"),
+                 n.alias("support"), F.lit(0).cast("long").alias("predicted")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"),
+                 n.alias("predicted")))
+    cells = conf.select(F.explode(parts).alias("c")).select("c.*").filter(F.col("label").isNotNull())
+    per = cells.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+                                     F.sum("predicted").alias("predicted"))
 
     def ratio(a, b):
         return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
@@ -38,22 +43,23 @@ def classification_report(df: DataFrame, truth: str, pred: str, digits: int | No
         .withColumn("recall", ratio(F.col("tp"), F.col("support")))
     per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") == 0, F.lit(0.0))
                          .otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
+    per = per.checkpoint(eager=True)  # classes-sized
     tot = per.agg(F.sum("tp").alias("tp"), F.sum("support").alias("n"), F.count(F.lit(1)).alias("k"),
                   F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),
                   F.sum(F.col("precision") * F.col("support")).alias("wp"),
                   F.sum(F.col("recall") * F.col("support")).alias("wr"),
                   F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = tot.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), ratio(F.col("tp"), F.col("n")).alias("f1"),
-                     F.col("n").alias("support"))
-    macro = tot.select(F.lit("macro avg").alias("label"), ratio(F.col("sp"), F.col("k")).alias("precision"),
-                       ratio(F.col("sr"), F.col("k")).alias("recall"), ratio(F.col("sf"), F.col("k")).alias("f1"),
-                       F.col("n").alias("support"))
-    weighted = tot.select(F.lit("weighted avg").alias("label"), ratio(F.col("wp"), F.col("n")).alias("precision"),
-                          ratio(F.col("wr"), F.col("n")).alias("recall"), ratio(F.col("wf"), F.col("n")).alias("f1"),
-                          F.col("n").alias("support"))
-    out = per.select("label", "precision", "recall", "f1", "support").unionByName(acc) \
-        .unionByName(macro).unionByName(weighted) \
+    null = F.lit(None).cast("double")
+    summary = tot.select(F.explode(F.array(
+        F.struct(F.lit("accuracy").alias("label"), null.alias("precision"), null.alias("recall"),
+                 ratio(F.col("tp"), F.col("n")).alias("f1"), F.col("n").alias("support")),
+        F.struct(F.lit("macro avg").alias("label"), ratio(F.col("sp"), F.col("k")).alias("precision"),
+                 ratio(F.col("sr"), F.col("k")).alias("recall"), ratio(F.col("sf"), F.col("k")).alias("f1"),
+                 F.col("n").alias("support")),
+        F.struct(F.lit("weighted avg").alias("label"), ratio(F.col("wp"), F.col("n")).alias("precision"),
+                 ratio(F.col("wr"), F.col("n")).alias("recall"), ratio(F.col("wf"), F.col("n")).alias("f1"),
+                 F.col("n").alias("support")))).alias("r")).select("r.*")
+    out = per.select("label", "precision", "recall", "f1", "support").unionByName(summary) \
         .withColumn("support", F.col("support").cast("long"))
     if digits is not None:
         out = out.select("label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")

@@ -100,3 +100,14 @@ def test_plant_closure_default_roots(spark):
                                   "child string, parent string")
     got = {r.term for r in L.plant_closure(edges).collect()}
     assert {"almond", "marcona", "nut", "seed", "fungus"} <= got and "butter" not in got
+
+
+def test_classification_report_by_hand(spark):
+    from larder.operators import evaluate as EV
+    rows = [(1, 1)] * 3 + [(1, 0)] * 1 + [(0, 0)] * 4 + [(0, 1)] * 2 + [(2, 2)] * 1
+    df = spark.createDataFrame(rows, "t int, p int")
+    got = {r.label: (r.precision, r.recall, r.f1, r.support) for r in EV.classification_report(df, "t", "p").collect()}
+    assert got["1"][:2] == (0.6, 0.75) and got["1"][3] == 4
+    assert got["0"][:2] == (0.8, 4 / 6) and got["2"][:3] == (1.0, 1.0, 1.0)
+    assert got["accuracy"][2] == 8 / 11 and got["accuracy"][0] is None
+    assert abs(got["macro avg"][0] - (0.6 + 0.8 + 1.0) / 3) < 1e-12
