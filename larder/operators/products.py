@@ -80,6 +80,30 @@ def clean_products(raw: DataFrame, name_col: str = "product_name", nutriment_col
         .withColumn("carbohydrates_100g", F.col("carbohydrates_100g").cast("float"))
 
 
+def write_clean_products(raw: DataFrame, path: str, name_col: str = "product_name",
+                         nutriment_col: str = "nutriments", lang: str = "en", accuracy: int = 10000) -> DataFrame:
+    """Run the cleaning job into ``path`` and return ``(stage_no, stage, rows)`` for it.
+
+    The row counts after each step are observed while the job runs (named
+    ``observe`` metrics), so they cost no extra pass over the data; the
+    written table is read back and counted, as the original job did.
+    """
+    from pyspark.sql import Observation
+    spark = raw.sparkSession
+    obs = [Observation(f"s{i}") for i in range(4)]
+    one = F.count(F.lit(1)).alias("rows")
+    picked = select_products(raw.observe(obs[0], one), name_col, nutriment_col, lang)
+    kept = picked.filter(T.not_blank("product_name") & F.col("carbohydrates_100g").isNotNull()).observe(obs[1], one)
+    cleaned = clean_names(kept).observe(obs[2], one)
+    out = median_per_key(cleaned, "product_name", "carbohydrates_100g", "carbohydrates_100g", accuracy) \
+        .withColumn("carbohydrates_100g", F.col("carbohydrates_100g").cast("float")).observe(obs[3], one)
+    out.write.mode("overwrite").parquet(path)
+    written = spark.read.parquet(path).count()
+    names = ["input", "named_with_carbs", "cleaned", "distinct_names"]
+    rows = [(i, n, int(o.get["rows"])) for i, (n, o) in enumerate(zip(names, obs))] + [(4, "written", written)]
+    return spark.createDataFrame(rows, "stage_no int, stage string, rows long")
+
+
 def stage_counts(df: DataFrame, stages: list[tuple[str, object]], distinct_col=None,
                  distinct_stage: str = "distinct") -> DataFrame:
     """Row counts after each cumulative filter stage in ONE pass.

@@ -112,6 +112,26 @@ def clean_products_job(spark, sf_dir):
     return P.clean_products(_raw_products(spark, sf_dir))
 
 
+@register("clean_products_counts", f"""
+WITH raw AS ({_NAMES_SQL}),
+picked AS (SELECT list_filter(product_name, lambda x: lower(x.lang) = 'en')[1].text AS product_name,
+                  n_chars / 100.0 AS carbs FROM raw),
+c0 AS (SELECT * FROM picked WHERE product_name IS NOT NULL AND trim(product_name) <> '' AND carbs IS NOT NULL),
+c1 AS (SELECT {S.clean_text('strip_accents(product_name)')} AS name FROM c0),
+c2 AS (SELECT {S.singularize('name')} AS name FROM c1
+       WHERE regexp_matches(name, '[a-zA-Z].*[a-zA-Z]') AND trim(name) <> ''),
+c3 AS (SELECT name FROM c2 WHERE trim(name) <> '')
+SELECT * FROM (VALUES
+  (0, 'input', (SELECT count(*) FROM documents)),
+  (1, 'named_with_carbs', (SELECT count(*) FROM c0)),
+  (2, 'cleaned', (SELECT count(*) FROM c3)),
+  (3, 'distinct_names', (SELECT count(DISTINCT name) FROM c3)),
+  (4, 'written', (SELECT count(DISTINCT name) FROM c3))) v(stage_no, stage, rows)""")
+def clean_products_counts(spark, sf_dir):
+    from larder.session import shared_path
+    return P.write_clean_products(_raw_products(spark, sf_dir), shared_path(spark, "clean-products"))
+
+
 @register("stage_counts", f"""
 WITH c AS (SELECT text, lang, {S.clean_text('strip_accents(text)')} AS clean FROM documents)
 SELECT * FROM (VALUES

@@ -85,3 +85,16 @@ def test_dense_ids_are_consecutive(spark):
     out = with_dense_ids(df, ["s"], "id", num_partitions=7).orderBy("id").collect()
     assert [r.id for r in out] == list(range(1, len(out) + 1))
     assert [r.s for r in out] == sorted(r.s for r in out)
+
+
+def test_write_clean_products_observed_counts(spark):
+    from larder.session import shared_path
+    rows = [
+        ([L("EN", "Milk")], [N("carbohydrates", 5.0, 4.8)]),
+        ([L("fr", "Lait")], [N("carbohydrates", 5.0, 4.0)]),
+        ([L("en", "Tomatoes")], [N("carbohydrates", 1.0, 1.0)]),
+        ([L("en", "tomato")], [N("carbohydrates", 1.0, 2.0)]),
+        ([L("en", "A 1")], [N("carbohydrates", 1.0, 2.0)]),
+    ]
+    got = {r.stage: r.rows for r in P.write_clean_products(_raw(spark, rows), shared_path(spark, "t-clean")).collect()}
+    assert got == {"input": 5, "named_with_carbs": 4, "cleaned": 3, "distinct_names": 2, "written": 2}
