@@ -152,3 +152,24 @@ def keyword_flag(col, words) -> Column:
     c = F.lower(F.col(col) if isinstance(col, str) else col)
     arr = F.array(*[F.lit(w.lower()) for w in words])
     return ~F.exists(arr, lambda w: F.contains(c, w))
+
+
+def label_sample(sample: DataFrame, id_col: str, list_col: str, lexicon: DataFrame,
+                 closure_terms: DataFrame | None, catalogue: DataFrame, name_col: str, carb_col: str,
+                 carb_limit: float = 10.0) -> DataFrame:
+    """Both diet labels for recipes given as ``ARRAY<STRING>`` ingredient lists.
+
+    Plant-based: the lexicon rules on each distinct ingredient.  Low-carb:
+    the carbs of the catalogue product with the same cleaned name (an equi
+    join; ``vectors.knn`` is the similarity-based alternative); no product
+    or NULL / NaN carbs gives false.  Recipe label = all items pass.
+    """
+    from larder.operators.recipes import label_recipes
+    items = sample.select(F.explode(list_col).alias("item")).distinct() \
+        .withColumn("phrase", prepare_phrase("item"))
+    vegan = classify_vegan(items, "item", "phrase", lexicon, closure_terms).select("item", "phrase", "vegan")
+    cat = catalogue.select(F.col(name_col).alias("phrase"), F.col(carb_col).cast("double").alias("_carbs"))
+    labels = vegan.join(cat, "phrase", "left").select(
+        "item", "vegan",
+        F.coalesce((F.col("_carbs") <= carb_limit) & ~F.isnan("_carbs"), F.lit(False)).alias("keto"))
+    return label_recipes(sample, id_col, list_col, labels, "item", ["keto", "vegan"])

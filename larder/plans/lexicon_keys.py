@@ -25,8 +25,12 @@ def _closure_cte(roots) -> str:
             f"SELECT reach.root, edges.child FROM reach JOIN edges ON edges.parent = reach.node)")
 
 
-def _vegan_cte() -> str:
-    """CTEs ending in ``lab(phrase, whole_hit, first_pos, first_word, excused, vegan)``."""
+def _vegan_cte(items_sql: str | None = None) -> str:
+    """CTEs ending in ``labv(phrase, whole_hit, first_pos, first_word, excused, vegan)``.
+
+    ``items_sql`` is a query with a ``phrase`` column (default: part lines).
+    """
+    items_sql = items_sql or f"SELECT p_partkey, p_brand, p_size, p_retailprice, {PHRASE} AS phrase FROM part"
     return f"""
 {_closure_cte(I.PLANT_ROOTS)},
 closure AS (SELECT DISTINCT lower(node) AS term FROM reach),
@@ -35,7 +39,7 @@ flagged AS (SELECT DISTINCT {LEX_TERM} AS term FROM lexr WHERE kind = 'flagged')
 ctx AS (SELECT {LEX_TERM} AS term, 'before' AS role FROM lexr WHERE kind = 'excusing_before'
         UNION SELECT {LEX_TERM}, 'after' FROM lexr WHERE kind = 'excusing_after'
         UNION SELECT term, 'before' FROM closure),
-items AS (SELECT p_partkey, p_brand, p_size, p_retailprice, {PHRASE} AS phrase FROM part),
+items AS ({items_sql}),
 w AS (SELECT DISTINCT phrase, list_filter(string_split(phrase, ' '), lambda x: x <> '') AS words FROM items),
 pw AS (SELECT phrase, unnest(generate_series(0, len(words) - 1)) AS pos, unnest(words) AS word FROM w),
 firsts AS (SELECT phrase, min(pos) AS first_pos FROM pw WHERE word IN (SELECT term FROM flagged) GROUP BY phrase),
@@ -218,3 +222,92 @@ def label_recipes_knn(spark, sf_dir):
     item_labels = vegan.select("line", "vegan").withColumn("query_id", F.xxhash64("line")) \
         .join(keto, "query_id", "left").select("line", "vegan", F.coalesce("keto", F.lit(False)).alias("keto"))
     return R.label_items(lines, ["p_brand", "p_size"], "line", item_labels, ["vegan", "keto"])
+
+
+# ------------------------------------------------ end-to-end sample scoring
+
+def _sample_list_sql() -> str:
+    return ("'[''' || " + LINE + " || ''' ''2 tablespoons ' || upper(p_name) || 's'']'")
+
+
+def _sample_list():
+    line2 = F.concat(F.lit("2 tablespoons "), F.upper("p_name"), F.lit("s"))
+    return F.concat(F.lit("['"), I.ingredient_line(), F.lit("' '"), line2, F.lit("']"))
+
+
+_SAMPLE_SQL = f"""(SELECT p_partkey AS id, {_sample_list_sql()} AS ingredients,
+   p_retailprice / 100 <= 10 AS keto, NOT contains(lower(p_name), 'bolt') AS vegan FROM part)"""
+_CAT_NAME = S.singularize(S.clean_text("p_name"))
+_ITEMS_SQL = f"""SELECT DISTINCT item, {S.singularize(S.extract_name('item'))} AS phrase
+   FROM (SELECT unnest({S.parse_list_text('ingredients')}) AS item FROM {_SAMPLE_SQL})"""
+
+
+def _report_sql(t: str, p: str) -> str:
+    return f"""
+(WITH d AS (SELECT CAST({t} AS VARCHAR) AS t, CAST({p} AS VARCHAR) AS p FROM joined),
+conf AS (SELECT t, p, count(*) AS n FROM d GROUP BY t, p),
+classes AS (SELECT t AS label FROM conf WHERE t IS NOT NULL UNION SELECT p FROM conf WHERE p IS NOT NULL),
+per0 AS (SELECT c.label,
+           coalesce((SELECT sum(n) FROM conf WHERE t = c.label AND p = c.label), 0) AS tp,
+           coalesce((SELECT sum(n) FROM conf WHERE t = c.label), 0) AS support,
+           coalesce((SELECT sum(n) FROM conf WHERE p = c.label), 0) AS predicted FROM classes c),
+per1 AS (SELECT label, tp, support,
+           CASE WHEN predicted = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / predicted END AS precision,
+           CASE WHEN support = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / support END AS recall FROM per0),
+per AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0
+                  ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM per1),
+tot AS (SELECT sum(tp) AS tp, sum(support) AS n, count(*) AS k, sum(precision) AS sp, sum(recall) AS sr,
+               sum(f1) AS sf, sum(precision * support) AS wp, sum(recall * support) AS wr,
+               sum(f1 * support) AS wf FROM per)
+SELECT label, precision, recall, f1, CAST(support AS BIGINT) AS support FROM per
+UNION ALL SELECT 'accuracy', NULL, NULL, CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / n END,
+                 CAST(n AS BIGINT) FROM tot
+UNION ALL SELECT 'macro avg', sp / k, sr / k, sf / k, CAST(n AS BIGINT) FROM tot
+UNION ALL SELECT 'weighted avg', wp / n, wr / n, wf / n, CAST(n AS BIGINT) FROM tot)"""
+
+
+_EVAL_SQL = f"""
+WITH RECURSIVE {_vegan_cte(_ITEMS_SQL)},
+cat AS (SELECT name, quantile_disc(p_retailprice / 100, 0.5) AS carbs FROM (
+          SELECT {_CAT_NAME} AS name, p_retailprice FROM part
+          WHERE regexp_matches({S.clean_text('p_name')}, '[a-zA-Z].*[a-zA-Z]')
+            AND trim({S.clean_text('p_name')}) <> '' AND p_retailprice IS NOT NULL)
+        WHERE trim(name) <> '' GROUP BY name),
+item_lab AS (SELECT i.item, coalesce(l.vegan, false) AS vegan,
+                    coalesce(c.carbs <= 10 AND NOT isnan(c.carbs), false) AS keto
+             FROM items i LEFT JOIN labv l ON l.phrase = i.phrase LEFT JOIN cat c ON c.name = i.phrase),
+sample AS (SELECT id, unnest({S.parse_list_text('ingredients')}) AS item FROM {_SAMPLE_SQL}),
+pred AS (SELECT s.id, bool_and(l.keto) AS keto_pred, bool_and(l.vegan) AS vegan_pred
+         FROM sample s JOIN item_lab l ON l.item = s.item GROUP BY s.id),
+joined AS (SELECT s.id, s.keto, s.vegan, p.keto_pred, p.vegan_pred FROM {_SAMPLE_SQL} s JOIN pred p ON p.id = s.id)
+SELECT 'keto' AS diet, * FROM {_report_sql('keto', 'keto_pred')}
+UNION ALL SELECT 'vegan' AS diet, * FROM {_report_sql('vegan', 'vegan_pred')}"""
+
+
+@register("evaluate_sample", _EVAL_SQL)
+def evaluate_sample(spark, sf_dir):
+    """The scoring run: a labelled sample as CSV (lists written as text), read back,
+    parsed, labelled for both diets and scored with a classification report per diet."""
+    from larder.functions import text as T
+    from larder.operators import evaluate as EV
+    from larder.operators import products as P
+    from larder.session import shared_path
+    from larder.sources import io as IO
+    part = read_table(spark, sf_dir, "part")
+    sample = part.select(F.col("p_partkey").alias("id"), _sample_list().alias("ingredients"),
+                         (F.col("p_retailprice") / 100 <= 10).alias("keto"),
+                         ~F.contains(F.lower("p_name"), F.lit("bolt")).alias("vegan"))
+    path = IO.write_csv(sample, shared_path(spark, "sample-csv"))
+    back = IO.read_csv(spark, path, "id BIGINT, ingredients STRING, keto BOOLEAN, vegan BOOLEAN")
+    parsed = back.withColumn("items", T.parse_list_text("ingredients"))
+    names = part.select(F.col("p_name").alias("product_name"), (F.col("p_retailprice") / 100).alias("carbs"))
+    catalogue = P.median_per_key(P.clean_names(names, "product_name", "carbs", fold=False),
+                                 "product_name", "carbs", "carbs")
+    closure = L.category_closure(I.edges_df(spark, sf_dir),
+                                 spark.createDataFrame([(r,) for r in I.PLANT_ROOTS], "root string"))
+    pred = L.label_sample(parsed, "id", "items", I.lexicon_df(spark), closure.select("term"),
+                          catalogue, "product_name", "carbs")
+    joined = back.join(pred.select("id", F.col("keto").alias("keto_pred"), F.col("vegan").alias("vegan_pred")), "id")
+    keto = EV.classification_report(joined, "keto", "keto_pred").select(F.lit("keto").alias("diet"), "*")
+    vegan = EV.classification_report(joined, "vegan", "vegan_pred").select(F.lit("vegan").alias("diet"), "*")
+    return keto.unionByName(vegan)
