@@ -23,6 +23,10 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # whole documents can be long: keep Arrow batches to the UDFs small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # remove checkpoint files once their DataFrames are garbage-collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
