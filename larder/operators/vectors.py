@@ -158,7 +158,7 @@ def knn_ivf(queries: DataFrame, catalogue: DataFrame, k: int = 1, cells: int | N
     With ``nprobe >= cells`` every cell is searched and the answer equals ``knn``.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     spark = catalogue.sparkSession
     c = catalogue.select(F.col(item_id).cast("long").alias("_id"),
