@@ -125,7 +125,7 @@ def search_fuzzy(spark, sf_dir):
     return X.search_fuzzy(_docs(spark, sf_dir), "doc_id", "text", FUZZY_QUERY, labels)
 
 
-SEARCH_IDS = "20000, 40000,60000"
+SEARCH_IDS = "5000, 12000,20000"
 _IDS = [int(x) for x in SEARCH_IDS.split(",")]
 _QT_FROM_IDS = f"""
 SELECT term AS query_term,
