@@ -111,3 +111,29 @@ def test_classification_report_by_hand(spark):
     assert got["0"][:2] == (0.8, 4 / 6) and got["2"][:3] == (1.0, 1.0, 1.0)
     assert got["accuracy"][2] == 8 / 11 and got["accuracy"][0] is None
     assert abs(got["macro avg"][0] - (0.6 + 0.8 + 1.0) / 3) < 1e-12
+
+
+def test_histogram_edges(spark):
+    from larder.operators import evaluate as EV
+    df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (None,)], "x double")
+    got = {r.bin: r.n for r in EV.histogram(df, "x", 5).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 0, 5: 1}          # the maximum lands in the last bin
+    same = spark.createDataFrame([(3.0,), (3.0,)], "x double")
+    got = {r.bin: r.n for r in EV.histogram(same, "x", 4).collect()}
+    assert got == {1: 2, 2: 0, 3: 0, 4: 0}                # all-equal input: one full bin
+    empty = spark.createDataFrame([], "x double")
+    assert sum(r.n for r in EV.histogram(empty, "x", 3).collect()) == 0
+
+
+def test_hot_recipe_and_hot_ingredient(spark):
+    # one recipe holds a third of the rows and one ingredient appears in most recipes
+    rows = [(0, "salt")] * 3000 + [(i, "salt") for i in range(1, 3001)] + [(i, f"x{i % 7}") for i in range(1, 3001)]
+    items = spark.createDataFrame(rows, "recipe int, item string").repartition(8)
+    labels = spark.createDataFrame([("salt", True)] + [(f"x{j}", j != 3) for j in range(7)], "item string, vegan boolean")
+    got = {r.recipe: r.vegan for r in R.label_items(items, ["recipe"], "item", labels, ["vegan"]).collect()}
+    assert len(got) == 3001 and got[0] is True
+    assert all(got[i] == (i % 7 != 3) for i in range(1, 3001))
+    # without the broadcast, on a shuffle join
+    got2 = {r.recipe: r.vegan for r in
+            R.label_items(items, ["recipe"], "item", labels, ["vegan"], max_broadcast_rows=1).collect()}
+    assert got2 == got
