@@ -28,7 +28,7 @@ def label_items(items: DataFrame, recipe_cols: list[str], item_col: str, item_la
     counts as false.
     """
     labels = bounded_broadcast(item_labels.select(F.col(item_col).alias("_item"), *label_cols),
-                               max_broadcast_rows)
+                               max_broadcast_rows, materialize=True)
     joined = items.join(labels, items[item_col] == labels["_item"], "left")
     aggs = [F.bool_and(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in label_cols]
     return joined.groupBy(*recipe_cols).agg(*aggs)
@@ -44,7 +44,7 @@ def label_recipes(recipes: DataFrame, id_col: str, list_col: str, item_labels: D
     exploded = recipes.select(id_col, F.col(list_col).isNull().alias("_null_list"),
                               F.explode_outer(list_col).alias("_it"))
     labels = bounded_broadcast(item_labels.select(F.col(item_col).alias("_item"), *label_cols),
-                               max_broadcast_rows)
+                               max_broadcast_rows, materialize=True)
     joined = exploded.join(labels, exploded["_it"] == labels["_item"], "left")
     aggs = [F.bool_and(F.when(F.col("_it").isNull(), F.lit(True))
                        .otherwise(F.coalesce(F.col(c), F.lit(False)))).alias(c) for c in label_cols]

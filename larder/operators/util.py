@@ -11,13 +11,17 @@ DEFAULT_BROADCAST_ROWS = 200_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
+                      known_rows: int | None = None, materialize: bool = False) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
     The count is taken with ``limit(max_rows + 1)`` so the check itself never
-    scans more than the bound.  Above the bound the plain DataFrame comes back
-    and the optimizer picks a shuffle join.
+    reads more than the bound.  Above the bound the plain DataFrame comes back
+    and the optimizer picks a shuffle join.  ``materialize`` first writes a
+    derived (expensive) table to the shared checkpoint folder, so counting it
+    and joining it do not compute it twice.
     """
+    if known_rows is None and materialize:
+        df = df.checkpoint(eager=True)
     n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
