@@ -95,3 +95,17 @@ def load_guard(spark, sf_dir):
     return spark.read.parquet(target).select(
         "doc_id", "quality", "toxic", F.lit(first).cast("long").alias("first_load"),
         F.lit(second).cast("long").alias("second_load"), F.lit(rebuilt).cast("long").alias("rebuild"))
+
+
+@register("labelled_load", """
+SELECT doc_id, title, description, photo_url, keto, vegan FROM (
+  SELECT d.doc_id, d.source AS title, d.text AS description, '' AS photo_url,
+         coalesce(l.quality = 1, false) AS keto, coalesce(l.toxic = 0, false) AS vegan
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+WHERE keto AND vegan""")
+def labelled_load(spark, sf_dir):
+    from larder.operators.recipes import diet_filter
+    labelled = typed_recipes(spark, sf_dir)
+    path = IO.load_labelled(labelled, shared_path(spark, "labelled"), ["keto", "vegan"])
+    loaded = spark.read.schema(RECIPE_DOC_SCHEMA).parquet(path)   # typed label folders
+    return diet_filter(loaded, "keto, vegan").select("doc_id", "title", "description", "photo_url", "keto", "vegan")

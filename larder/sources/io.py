@@ -119,3 +119,15 @@ def conform(df: DataFrame, schema: StructType, defaults: dict | None = None) ->
             c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+def load_labelled(df: DataFrame, target: str, label_cols: list[str], max_records_per_file: int = 1_000_000) -> str:
+    """Write labelled rows clustered by their boolean labels (one folder per label combination).
+
+    Diet filters on the loaded table then prune whole folders at planning
+    time (partition filters) instead of reading every file.  Read it back
+    with the table's schema so the label folders come back as booleans.
+    """
+    df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file) \
+        .partitionBy(*label_cols).parquet(target)
+    return target

@@ -75,3 +75,8 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["p_brand", "p_size", "vegan", "keto", "n_items"]
     assert df.count() > 0
+
+
+def test_diet_filter_prunes_label_folders(spark, qs):
+    plan = _plan(qs["labelled_load"](spark, SF))
+    assert "PartitionFilters: [" in plan and "keto" in plan.split("PartitionFilters: [")[1].split("]")[0]
