@@ -113,16 +113,63 @@ def _fold_udf(s: pd.Series) -> pd.Series:
     return _fold_series(s)
 
 
+_FOLD = None
+
+
+def _fold_tables():
+    """Per-character fold rule (NFKD, then drop combining marks), derived from the Unicode data.
+
+    Folding is character by character (decomposition mappings are per
+    character; the canonical reordering only moves combining marks, which
+    are dropped).  So a BMP character whose fold is one character, or none,
+    is handled by ``translate`` in the JVM; only characters that fold to
+    several characters (ligatures, Hangul syllables, ...) or lie outside the
+    BMP send their row to Python.
+    """
+    global _FOLD
+    if _FOLD is None:
+        src, dst, dels, slow = [], [], [], []
+        for cp in range(0x80, 0x110000):
+            if 0xD800 <= cp <= 0xDFFF:
+                continue
+            ch = chr(cp)
+            f = unicodedata.normalize("NFKD", ch)
+            f = "".join(x for x in f if not unicodedata.combining(x))
+            if f == ch:
+                continue
+            if cp <= 0xFFFF and len(f) == 1:
+                src.append(ch)
+                dst.append(f)
+            elif cp <= 0xFFFF and not f:
+                dels.append(ch)
+            else:
+                slow.append(cp)
+        # translate() deletes the characters of `from` that have no partner in `to`
+        _FOLD = ("".join(src) + "".join(dels), "".join(dst), "".join(chr(c) for c in slow))
+    return _FOLD
+
+
+# A noncharacter: multi-character folds are marked with it to route their rows
+# (a text that already holds it is merely routed to Python, which is also correct).
+_MARK = "\uffff"
+
+
 def fold_accents(col) -> Column:
     """NFKD decomposition with combining marks dropped.
 
-    ASCII rows cannot change, so they are not shipped to Python at all: the
-    UDF sees NULL for them and the original value is kept.
+    ASCII rows are returned as they are; rows whose characters all fold to
+    at most one character are folded by ``translate`` in the JVM; only rows
+    holding a multi-character fold (ligature, Hangul, ...) go to the
+    Arrow UDF, which sees NULL for every other row.
     """
     c = _c(col)
+    src, dst, slow = _fold_tables()
     ascii_only = c.rlike("^[\\x00-\\x7F]*$")
-    folded = _fold_udf(F.when(~ascii_only, c))
-    return F.when(c.isNull(), F.lit(None)).when(ascii_only, c).otherwise(folded)
+    # one hash lookup per character (a regex class of thousands of ranges is far slower)
+    needs_python = F.instr(F.translate(c, slow, _MARK * len(slow)), _MARK) > 0
+    folded = _fold_udf(F.when(needs_python, c))
+    return (F.when(c.isNull(), F.lit(None)).when(ascii_only, c)
+            .when(needs_python, folded).otherwise(F.translate(c, src, dst)))
 
 
 # ------------------------------------------------------- singular forms
