@@ -77,3 +77,17 @@ def test_no_python_udf_in_plan(spark, fn):
     df = spark.createDataFrame([("2 cups x",)], "x string").select(fn("x"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan and "BatchEval" not in plan
+
+
+def test_fold_accents_matches_nfkd_on_random_text(spark):
+    import random
+    import unicodedata
+
+    def ref(x):
+        return "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))
+    rnd = random.Random(3)
+    pool = [chr(c) for c in range(0x20, 0x3400) if not 0xD800 <= c <= 0xDFFF] + ["𝐀", "😀", "ﬃ", "한", "Ǆ"]
+    samples = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 15))) for _ in range(2000)]
+    df = spark.createDataFrame([(s,) for s in samples], "x string")
+    got = [r[0] for r in df.select(T.fold_accents("x")).collect()]
+    assert got == [ref(s) for s in samples]
