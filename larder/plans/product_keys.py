@@ -196,3 +196,24 @@ def append_rows(spark, sf_dir):
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     rows = spark.createDataFrame(NEW_ROWS, "p_name string, p_retailprice double")
     return P.append_rows(part, rows, "p_partkey")
+
+
+# --- medians at volume (lineitem): a few huge groups, and many small ones -----
+# percentile_approx with accuracy A is exact while group size x (1 / A) < 1 rank.
+HOT_ACCURACY = 1_000_000
+
+
+@register("median_hot_groups", """
+SELECT l_returnflag, l_linestatus, CAST(quantile_disc(l_extendedprice, 0.5) AS DOUBLE) AS median_price,
+       count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def median_hot_groups(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.percentile_approx("l_extendedprice", 0.5, HOT_ACCURACY).cast("double").alias("median_price"),
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("median_many_groups", """
+SELECT l_partkey, CAST(quantile_disc(l_quantity, 0.5) AS DOUBLE) AS median_qty FROM lineitem GROUP BY l_partkey""")
+def median_many_groups(spark, sf_dir):
+    return P.median_per_key(read_table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity", "median_qty")
