@@ -271,3 +271,16 @@ class HashedNgramEncoder:
             nrm = np.linalg.norm(v)
             out.append(v / nrm if nrm > 0 else v)
         return out
+
+
+class PluginModel:
+    """Wraps a plug-in encoder (``dim`` / ``transform(texts)``) as a model with ``transform(df)``,
+
+    so the resumable embedding stream can run a user model in ``mapInPandas``.
+    """
+
+    def __init__(self, encoder, col: str, out: str = "embedding"):
+        self.encoder, self.col, self.out = encoder, col, out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return encode_with(df, self.col, self.encoder, self.out)

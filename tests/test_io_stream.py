@@ -48,3 +48,15 @@ def test_ingest_twice_and_new_files(spark):
     assert got == [(1, 2), (2, 1), (3, 2)]
     words = sorted(r.term for r in spark.read.parquet(vocab).collect())
     assert words == ["egg", "milk", "rice", "tofu"]   # egg added once
+
+
+def test_embed_stream_with_plugin_model(spark):
+    from larder.operators.vectors import HashedNgramEncoder, PluginModel
+    src, target, ckpt = shared_path(spark, "t-esrc"), shared_path(spark, "t-eout"), shared_path(spark, "t-eckpt")
+    schema = "id bigint, text string"
+    spark.createDataFrame([(1, "egg"), (2, "rice")], schema).write.mode("append").parquet(src)
+    model = PluginModel(HashedNgramEncoder(dim=16), "text")
+    assert ING.embed_stream(spark, src, schema, target, ckpt, model, "text") == 1
+    assert ING.embed_stream(spark, src, schema, target, ckpt, model, "text") == 0
+    got = {r.id: len(r.embedding) for r in ING.read_ingested(spark, target).collect()}
+    assert got == {1: 16, 2: 16}
