@@ -38,6 +38,9 @@ EXCUSING_AFTER = ["free", "alternative", "substitute"]
 # (the 32 characters of the C locale punctuation class).
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+# Words of the simple keyword heuristic for the plant-based label (substring test).
+HEURISTIC_ANIMAL_WORDS = "egg meat milk butter veel lamb beef chicken sausage".split()
+
 # Relevance ranking defaults of the search service (BM25).
 BM25_K1 = 1.2
 BM25_B = 0.75

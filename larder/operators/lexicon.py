@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.fixed_values import EXCUSING_AFTER, EXCUSING_BEFORE, PLANT_CATEGORIES
+from larder.fixed_values import EXCUSING_AFTER, EXCUSING_BEFORE, HEURISTIC_ANIMAL_WORDS, PLANT_CATEGORIES
 from larder.functions import text as T
 from larder.operators.util import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
@@ -147,10 +147,15 @@ def classify_vegan(phrases: DataFrame, id_col: str, phrase_col: str, lexicon: Da
                     (excused & p.isNotNull() & ~F.col("whole_hit")).alias("excused"), vegan.alias("vegan"))
 
 
-def keyword_flag(col, words) -> Column:
-    """True when the text contains none of ``words`` as a substring (case-insensitive)."""
-    c = F.lower(F.col(col) if isinstance(col, str) else col)
-    arr = F.array(*[F.lit(w.lower()) for w in words])
+def keyword_flag(col, words=HEURISTIC_ANIMAL_WORDS, case_sensitive: bool = True) -> Column:
+    """True when the text contains none of ``words`` as a substring (the simple heuristic).
+
+    Case-sensitive by default, like the heuristic it stands for.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    if not case_sensitive:
+        c, words = F.lower(c), [w.lower() for w in words]
+    arr = F.array(*[F.lit(w) for w in words])
     return ~F.exists(arr, lambda w: F.contains(c, w))
 
 

@@ -134,7 +134,7 @@ KEYWORDS = ["bolt", "widg"]
 
 @register("keyword_heuristic", f"""
 SELECT p_brand, p_size,
-       bool_and(NOT ({' OR '.join(f"contains(lower(p_name), {q(w)})" for w in KEYWORDS)})) AS vegan
+       bool_and(NOT ({' OR '.join(f"contains(p_name, {q(w)})" for w in KEYWORDS)})) AS vegan
 FROM part GROUP BY p_brand, p_size""")
 def keyword_heuristic(spark, sf_dir):
     part = read_table(spark, sf_dir, "part")

@@ -18,7 +18,7 @@ DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BI
 
 def _label(batch):
     return batch.select("doc_id", "lang", T.word_count("text").alias("n_words"),
-                        keyword_flag("text", FLAG_WORDS).alias("clean"))
+                        keyword_flag("text", FLAG_WORDS, case_sensitive=False).alias("clean"))
 
 
 @register("stream_ingest", f"""

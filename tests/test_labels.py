@@ -137,3 +137,10 @@ def test_hot_recipe_and_hot_ingredient(spark):
     got2 = {r.recipe: r.vegan for r in
             R.label_items(items, ["recipe"], "item", labels, ["vegan"], max_broadcast_rows=1).collect()}
     assert got2 == got
+
+
+def test_keyword_heuristic_default_words(spark):
+    df = spark.createDataFrame([("Peanut butter",), ("eggless cake",), ("Beef stew",), ("tofu",)], "x string")
+    got = [r[0] for r in df.select(L.keyword_flag("x")).collect()]
+    # substring and case-sensitive, with the heuristic's known false labels
+    assert got == [False, False, True, True]
