@@ -80,3 +80,12 @@ def test_entry_smoke(spark):
 def test_diet_filter_prunes_label_folders(spark, qs):
     plan = _plan(qs["labelled_load"](spark, SF))
     assert "PartitionFilters: [" in plan and "keto" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("key,agg", [("label_recipes", "partial_min"), ("median_per_key", "partial_percentile_approx"),
+                                     ("median_hot_groups", "partial_percentile_approx"),
+                                     ("keyword_heuristic", "partial_min"), ("term_stats", "partial_count")])
+def test_group_results_are_combined_map_side(spark, qs, key, agg):
+    # a key holding a third of the rows is pre-aggregated in every task before the shuffle
+    plan = _plan(qs[key](spark, SF))
+    assert agg in plan
