@@ -21,10 +21,19 @@ from larder.functions import text as T
 from larder.operators.util import param_table
 
 
-def analyse_query(query: str) -> list[str]:
-    """Query text to its distinct terms, analysed like the documents (Python side, tiny)."""
-    import regex
-    terms = [t for t in regex.split(r"[^\p{L}\p{N}]+", (query or "").lower()) if t]
+def analyse_query(query: str, spark: SparkSession | None = None) -> list[str]:
+    """Query text to its distinct terms, in order.
+
+    With a session the query goes through the very expression that analyses
+    the documents (same lowercasing, same split), as a one-row job; without
+    one, an equivalent Python analysis is used.
+    """
+    if spark is not None and query:
+        row = spark.createDataFrame([(query,)], "q string").select(T.analyse_terms("q").alias("t")).first()
+        terms = list(row["t"] or [])
+    else:
+        import regex
+        terms = [t for t in regex.split(r"[^\p{L}\p{N}]+", (query or "").lower()) if t]
     return list(dict.fromkeys(terms))
 
 
@@ -69,7 +78,7 @@ def rank_postings(postings: DataFrame, lengths: DataFrame, query: str, k: int =
     that reaches the scan when the postings are stored as Parquet).
     """
     spark = postings.sparkSession
-    terms = analyse_query(query)
+    terms = analyse_query(query, spark)
     if not terms:
         return spark.createDataFrame([], "doc_id long, score double, rank int, total long")
     st = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl")).first()
@@ -97,7 +106,7 @@ def _scan_hits_join(docs: DataFrame, id_col: str, text_col: str, terms: DataFram
 
 def match_search(docs: DataFrame, id_col: str, text_col: str, query: str, operator: str = "or") -> DataFrame:
     """Documents matching any (``or``) / all (``and``) query terms: ``(doc_id, n_matched)``."""
-    terms = analyse_query(query)
+    terms = analyse_query(query, docs.sparkSession)
     if not terms:
         return docs.sparkSession.createDataFrame([], "doc_id long, n_matched int")
     qarr = F.array(*[F.lit(t) for t in terms])
@@ -128,7 +137,7 @@ def rank_bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int =
               with_total: bool = True) -> DataFrame:
     """BM25 top-k ``(doc_id, score, rank[, total])``; ties by doc_id."""
     spark = docs.sparkSession
-    terms = analyse_query(query)
+    terms = analyse_query(query, spark)
     if not terms:
         return spark.createDataFrame([], "doc_id long, score double, rank int, total long")
     hits, n, avgdl = _scan_hits(docs, id_col, text_col, terms)
@@ -252,7 +261,7 @@ def search_fuzzy(docs: DataFrame, id_col: str, text_col: str, query: str, labels
     """Fuzzy BM25 search: every query term expands to its near vocabulary terms,
     each scored by BM25 and weighted; page of ``k`` with labels and ``total``."""
     spark = docs.sparkSession
-    terms = analyse_query(query)
+    terms = analyse_query(query, spark)
     if not terms:
         return spark.createDataFrame([], "doc_id long, score double, rank int, total long")
     if vocab is None:

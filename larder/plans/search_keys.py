@@ -105,7 +105,7 @@ fz AS (SELECT query_term, term, CAST(distance AS INTEGER) AS distance,
 @register("fuzzy_terms", f"WITH {_fuzzy_sql()} SELECT * FROM fz")
 def fuzzy_terms(spark, sf_dir):
     vocab = _docs(spark, sf_dir).select(F.explode(T.analyse_terms("text")).alias("term"))
-    return X.fuzzy_terms(spark, vocab, X.analyse_query(FUZZY_QUERY))
+    return X.fuzzy_terms(spark, vocab, X.analyse_query(FUZZY_QUERY, spark))
 
 
 def _labels_page_sql(inner: str) -> str:
