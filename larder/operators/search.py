@@ -247,8 +247,13 @@ def fuzzy_terms(spark: SparkSession, vocab: DataFrame, terms: list[str], term_co
             qt.select("*", F.explode(F.when(F.col("max_d") >= 2, deletion_variants("query_term", 2))
                                       .when(F.col("max_d") == 1, deletion_variants("query_term", 1))
                                       .otherwise(F.array("query_term"))).alias("key"))
+        # the length band is part of the join key: a query term only meets vocabulary
+        # terms of the lengths it can reach, so a common short variant does not pair
+        # every length with every other
+        qv = qv.withColumn("tlen", F.explode(F.sequence(F.col("qlen") - F.col("max_d"),
+                                                        F.col("qlen") + F.col("max_d"))))
         vv = v.select("*", F.explode(deletion_variants("term", top)).alias("key"))
-        pairs = vv.join(qv, "key").drop("key").dropDuplicates(["query_term", "term"]).filter(band)
+        pairs = vv.join(qv, ["key", "tlen"]).drop("key").dropDuplicates(["query_term", "term"])
     scored = pairs.withColumn("distance", _dl_udf("query_term", "term")).filter(F.col("distance") <= F.col("max_d"))
     return scored.select("query_term", "term", F.col("distance").cast("int"),
                          (F.lit(1.0) - F.col("distance") / F.least("qlen", "tlen")).alias("weight"))
