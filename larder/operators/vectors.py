@@ -149,41 +149,69 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int = 1, query_id: str = "q
     return _merge_topk(cands, k)
 
 
+class IvfIndex:
+    """An inverted-file index over a catalogue: k-means cells, stored once, probed many times.
+
+    ``build`` trains MLlib k-means on the L2-normalised catalogue (distributed),
+    writes the centroids and the catalogue with its cell and salt to the
+    shared folder, and records the salt count that splits the largest cell
+    into groups of about ``cell_block_rows``.  ``query`` sends each query to
+    its ``nprobe`` nearest centroids (a blocked kNN against the centroid
+    table) and runs the blocked top-k inside each probed (cell, salt) group.
+    With ``nprobe >= cells`` every cell is searched and the answer equals ``knn``.
+    """
+
+    def __init__(self, centroids: DataFrame, items: DataFrame, salts: int, cells: int):
+        self.centroids, self.items, self.salts, self.cells = centroids, items, salts, cells
+
+    @classmethod
+    def build(cls, catalogue: DataFrame, item_id: str = "item_id", vec: str = "embedding",
+              cells: int | None = None, seed: int = 42, max_iter: int = 20, cell_block_rows: int = 20_000,
+              path: str | None = None) -> "IvfIndex":
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        from larder.session import shared_path
+        spark = catalogue.sparkSession
+        c = catalogue.select(F.col(item_id).cast("long").alias("_id"),
+                             l2_normalize(F.col(vec), as_float=False).alias("_v")).checkpoint(eager=True)
+        nc = c.count()
+        cells = cells or max(1, round(math.sqrt(nc)))
+        feats = c.withColumn("_f", array_to_vector("_v"))
+        model = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
+        centers = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]  # cells x dim
+        assigned = model.transform(feats).select("_id", "_v", F.col("cell").cast("int"))
+        path = path or shared_path(spark, "ivf")
+        assigned.write.mode("overwrite").parquet(f"{path}/items")
+        spark.createDataFrame(centers, "cell int, embedding array<double>") \
+            .write.mode("overwrite").parquet(f"{path}/centroids")
+        items = spark.read.parquet(f"{path}/items")
+        biggest = items.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
+        salts = _blocks(biggest, cell_block_rows)
+        items = items.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+        return cls(spark.read.parquet(f"{path}/centroids"), items, salts, len(centers))
+
+    def query(self, queries: DataFrame, k: int = 1, nprobe: int = 8, query_id: str = "query_id",
+              vec: str = "embedding", exclude_same_id: bool = False) -> DataFrame:
+        nprobe = min(nprobe, self.cells)
+        q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("embedding")) \
+            .dropDuplicates(["query_id"]).checkpoint(eager=True)
+        probes = knn(q, self.centroids, k=nprobe, query_id="query_id", item_id="cell") \
+            .select("query_id", F.col("item_id").cast("int").alias("cell"))
+        qs = probes.join(q, "query_id").select(F.col("query_id").alias("_id"), F.col("embedding").alias("_v"), "cell") \
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
+        cands = qs.groupBy("cell", "salt").cogroup(self.items.groupBy("cell", "salt")).applyInPandas(
+            _block_fn(k, exclude_same_id), "query_id long, item_id long, sim double")
+        return _merge_topk(cands, k)
+
+
 def knn_ivf(queries: DataFrame, catalogue: DataFrame, k: int = 1, cells: int | None = None,
             nprobe: int = 8, seed: int = 42, query_id: str = "query_id", item_id: str = "item_id",
             vec: str = "embedding", exclude_same_id: bool = False, cell_block_rows: int = 20_000,
             max_iter: int = 20) -> DataFrame:
-    """Approximate top-k through an inverted-file partition of the catalogue.
-
-    With ``nprobe >= cells`` every cell is searched and the answer equals ``knn``.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    spark = catalogue.sparkSession
-    c = catalogue.select(F.col(item_id).cast("long").alias("_id"),
-                         l2_normalize(F.col(vec), as_float=False).alias("_v")).checkpoint(eager=True)
-    nc = c.count()
-    cells = cells or max(1, round(math.sqrt(nc)))
-    feats = c.withColumn("_f", array_to_vector("_v"))
-    model = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
-    assigned = model.transform(feats).select("_id", "_v", F.col("cell").cast("int"))
-    centers = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]  # cells x dim
-    cent = spark.createDataFrame(centers, "cell int, embedding array<double>")
-    nprobe = min(nprobe, len(centers))
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("embedding")) \
-        .dropDuplicates(["query_id"])
-    probes = knn(q, cent, k=nprobe, query_id="query_id", item_id="cell") \
-        .select("query_id", F.col("item_id").cast("int").alias("cell"))
-    # salt: split every cell into S sub-blocks so no group exceeds ~cell_block_rows
-    biggest = assigned.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
-    S = _blocks(biggest, cell_block_rows)
-    cat = assigned.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(S)).cast("int"))
-    qs = probes.join(q, "query_id").select(F.col("query_id").alias("_id"), F.col("embedding").alias("_v"), "cell") \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(S - 1))))
-    cands = qs.groupBy("cell", "salt").cogroup(cat.groupBy("cell", "salt")).applyInPandas(
-        _block_fn(k, exclude_same_id), "query_id long, item_id long, sim double")
-    return _merge_topk(cands, k)
+    """Approximate top-k: build an ``IvfIndex`` over the catalogue and query it once."""
+    index = IvfIndex.build(catalogue, item_id, vec, cells, seed, max_iter, cell_block_rows)
+    return index.query(queries, k, nprobe, query_id, vec, exclude_same_id)
 
 
 def classify_keto(matches: DataFrame, catalogue: DataFrame, item_id: str, carb_col: str,

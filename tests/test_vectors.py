@@ -94,3 +94,14 @@ def test_tiled_topk_equals_untiled():
     a_s, a_i = V._topk_block(qi, q, ci, c, 4, False, q_chunk=5, c_chunk=7)
     b_s, b_i = V._topk_block(qi, q, ci, c, 4, False, q_chunk=1000, c_chunk=1000)
     assert np.array_equal(a_i, b_i) and np.allclose(a_s, b_s)
+
+
+def test_ivf_index_is_reused(spark, emb):
+    index = V.IvfIndex.build(emb, item_id="vec_id", cells=10)
+    a = {r.query_id: r.item_id for r in index.query(emb, k=1, nprobe=10, query_id="vec_id",
+                                                    exclude_same_id=True).collect()}
+    b = {r.query_id: r.item_id for r in V.knn(emb, emb, k=1, query_id="vec_id", item_id="vec_id",
+                                              exclude_same_id=True).collect()}
+    assert a == b
+    few = index.query(emb.limit(5), k=2, nprobe=3, query_id="vec_id")
+    assert few.count() == 10
