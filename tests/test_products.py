@@ -98,3 +98,19 @@ def test_write_clean_products_observed_counts(spark):
     ]
     got = {r.stage: r.rows for r in P.write_clean_products(_raw(spark, rows), shared_path(spark, "t-clean")).collect()}
     assert got == {"input": 5, "named_with_carbs": 4, "cleaned": 3, "distinct_names": 2, "written": 2}
+
+
+def test_dedupe_alignment_every_nth_positional(spark):
+    from larder.operators import evaluate as EV
+    df = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 2.0), ("b", 2, 5.0)], "k string, id int, v double")
+    assert sorted(tuple(r) for r in P.dedupe_by_key(df, "k", "id").collect()) == [("a", 1, 2.0), ("b", 2, 5.0)]
+    left = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id int, t string")
+    right = spark.createDataFrame([(1, "x"), (2, "Y"), (4, "z")], "id int, t string")
+    got = {r.id: r.same for r in EV.alignment_check(left, right, "id", "t").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+    nums = spark.range(0, 25).withColumnRenamed("id", "n")
+    assert sorted(r.n for r in EV.every_nth(nums, "n", 10).collect()) == [0, 10, 20, 24]
+    a = spark.createDataFrame([(30,), (10,), (20,)], "x int")
+    b = spark.createDataFrame([("c",), ("a",)], "y string")
+    got = sorted((r.idx, r.x, r.y) for r in EV.join_by_position(a, b, ["x"], ["y"]).collect())
+    assert got == [(1, 10, "a"), (2, 20, "c"), (3, 30, None)]
