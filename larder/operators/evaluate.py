@@ -91,11 +91,15 @@ def join_by_position(left: DataFrame, right: DataFrame, left_order: list[str], r
 
 
 def alignment_check(left: DataFrame, right: DataFrame, key: str, col: str, preview: int = 38) -> DataFrame:
-    """Row-by-row comparison of two tables on ``key``; NULL-safe, whole values."""
-    l_ = left.select(key, F.col(col).alias("_l"))
-    r_ = right.select(key, F.col(col).alias("_r"))
+    """Row-by-row comparison of two tables on ``key``; NULL-safe, whole values.
+
+    A key present on one side only is never ``same``.
+    """
+    l_ = left.select(key, F.col(col).alias("_l"), F.lit(True).alias("_lp"))
+    r_ = right.select(key, F.col(col).alias("_r"), F.lit(True).alias("_rp"))
     j = l_.join(r_, key, "full_outer")
-    return j.select(key, F.col("_l").eqNullSafe(F.col("_r")).alias("same"),
+    both = F.col("_lp").isNotNull() & F.col("_rp").isNotNull()
+    return j.select(key, (both & F.col("_l").eqNullSafe(F.col("_r"))).alias("same"),
                     F.substring("_l", 1, preview).alias("left_preview"),
                     F.substring("_r", 1, preview).alias("right_preview"))
 

@@ -86,7 +86,8 @@ def _changed_copy(docs):
 @register("alignment_check", """
 WITH r AS (SELECT doc_id, CASE WHEN lang = 'de' THEN replace(text, 'e', 'E') ELSE text END AS text
            FROM documents WHERE source <> 'src3')
-SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, l.text IS NOT DISTINCT FROM r.text AS same,
+SELECT coalesce(l.doc_id, r.doc_id) AS doc_id,
+       l.doc_id IS NOT NULL AND r.doc_id IS NOT NULL AND l.text IS NOT DISTINCT FROM r.text AS same,
        substr(l.text, 1, 38) AS left_preview, substr(r.text, 1, 38) AS right_preview
 FROM documents l FULL OUTER JOIN r ON l.doc_id = r.doc_id""")
 def alignment_check(spark, sf_dir):
