@@ -34,8 +34,21 @@ def make_lexicon(spark: SparkSession, flagged, excusing_before=EXCUSING_BEFORE,
     return spark.createDataFrame(rows, "term string, kind string")
 
 
+def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
+    """Normalised, de-duplicated ``(term, kind)`` rows, written once.
+
+    The lexicon is small and read by several lookups; writing it once keeps
+    its de-duplication out of every query plan that uses it.
+    """
+    if getattr(lexicon, "_larder_prepared", False):
+        return lexicon
+    out = lexicon.select(lexicon_term("term").alias("term"), F.col("kind")).distinct().checkpoint(eager=True)
+    out._larder_prepared = True
+    return out
+
+
 def _terms(lexicon: DataFrame, kind: str, max_rows: int) -> DataFrame:
-    t = lexicon.filter(F.col("kind") == kind).select(lexicon_term("term").alias("term")).distinct()
+    t = prepare_lexicon(lexicon).filter(F.col("kind") == kind).select("term")
     return bounded_broadcast(t, max_rows)
 
 
@@ -123,12 +136,14 @@ def classify_vegan(phrases: DataFrame, id_col: str, phrase_col: str, lexicon: Da
     before it joined by a blank are an excusing word, or the word after it is
     an excusing-after word.
     """
+    lexicon = prepare_lexicon(lexicon)
     hits = lexicon_hits(phrases, id_col, phrase_col, lexicon, max_broadcast_rows)
     p = F.col("first_pos")
-    before = lexicon.filter(F.col("kind") == "excusing_before").select(lexicon_term("term").alias("t"))
+    before = lexicon.filter(F.col("kind") == "excusing_before").select(F.col("term").alias("t"))
     if closure_terms is not None:
         before = before.unionByName(closure_terms.select(F.lower("term").alias("t")))
-    before = bounded_broadcast(before.distinct(), max_broadcast_rows)
+    # small (context words + category terms): de-duplicated and written once, then size-checked
+    before = bounded_broadcast(before.distinct(), max_broadcast_rows, materialize=True)
     after = _terms(lexicon, "excusing_after", max_broadcast_rows).select(F.col("term").alias("t"))
     cand = hits.select(
         "*",
