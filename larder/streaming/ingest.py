@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from larder.operators.util import with_dense_ids
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -33,7 +35,8 @@ def ingest(spark: SparkSession, src: str, schema: StructType | str, target: str,
     ``labeller`` turns a micro-batch into output rows.  When ``vocab`` is
     given, ``vocab_terms(batch)`` yields ``(term)`` rows and only terms not
     yet in the vocabulary (left-anti join against earlier batches) are
-    added, again one folder per batch id.
+    added with ids that continue the sequence, again one folder per batch
+    id, so ids stay stable across restarts.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
@@ -46,10 +49,15 @@ def ingest(spark: SparkSession, src: str, schema: StructType | str, target: str,
         labeller(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         if vocab is not None and vocab_terms is not None:
             terms = vocab_terms(batch).select("term").distinct()
+            start = 1
             if _exists(spark, vocab):
-                earlier = spark.read.parquet(vocab).filter(F.col("batch") != batch_id).select("term")
-                terms = terms.join(earlier, "term", "left_anti")
-            terms.write.mode("overwrite").parquet(f"{vocab}/batch={batch_id}")
+                earlier = spark.read.parquet(vocab).filter(F.col("batch") < batch_id)
+                terms = terms.join(earlier.select("term"), "term", "left_anti")
+                top = earlier.agg(F.max("id")).first()[0]
+                start = 1 if top is None else int(top) + 1
+            # new terms continue the id sequence, in text order: ids never change once given
+            with_dense_ids(terms, ["term"], "id", start=start) \
+                .write.mode("overwrite").parquet(f"{vocab}/batch={batch_id}")
 
     query = (stream.writeStream.foreachBatch(run_batch)
              .option("checkpointLocation", checkpoint)

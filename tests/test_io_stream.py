@@ -46,8 +46,9 @@ def test_ingest_twice_and_new_files(spark):
     assert ING.ingest(spark, src, schema, target, ckpt, label, vocab, terms) == 1
     got = sorted(tuple(r) for r in ING.read_ingested(spark, target).collect())
     assert got == [(1, 2), (2, 1), (3, 2)]
-    words = sorted(r.term for r in spark.read.parquet(vocab).collect())
-    assert words == ["egg", "milk", "rice", "tofu"]   # egg added once
+    words = sorted((r.id, r.term) for r in spark.read.parquet(vocab).collect())
+    # egg added once; ids continue from batch to batch and never change
+    assert words == [(1, "egg"), (2, "milk"), (3, "rice"), (4, "tofu")]
 
 
 def test_embed_stream_with_plugin_model(spark):
