@@ -82,7 +82,7 @@ GROUP BY p_brand, p_size""")
 def label_recipes(spark, sf_dir):
     lines, labels = _vegan_phrase_labels(spark, sf_dir)
     items = lines.withColumn("keto_item", F.col("p_retailprice") / 100 <= 10)
-    # one label row per distinct phrase: broadcast only within the checked bound
+    # one label row per distinct line: broadcast only within the checked bound
     joined = items.join(bounded_broadcast(labels.select("line", "vegan"), materialize=True), "line", "left")
     return joined.groupBy("p_brand", "p_size").agg(
         F.bool_and(F.coalesce("vegan", F.lit(False))).alias("vegan"),
