@@ -89,3 +89,17 @@ def test_group_results_are_combined_map_side(spark, qs, key, agg):
     # a key holding a third of the rows is pre-aggregated in every task before the shuffle
     plan = _plan(qs[key](spark, SF))
     assert agg in plan
+
+
+def test_spread_only_when_the_scan_is_narrow(spark, tmp_path):
+    from larder.session import spread
+    wide = str(tmp_path / "wide")
+    spark.range(0, 200000).repartition(16).write.parquet(wide)
+    df = spark.read.parquet(wide)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spread(df) is df                                   # many splits: no extra shuffle
+    narrow = spark.read.parquet(f"{SF}/documents.parquet")
+    out = spread(narrow)
+    assert out is not narrow and out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    tiny = spark.read.parquet(f"{SF}/region.parquet")
+    assert spread(tiny) is tiny                               # too small to be worth a shuffle
