@@ -33,6 +33,7 @@ def regex_escape(term: str) -> str:
 
 
 def alternation(terms) -> str:
+    """Regex alternation of escaped literals."""
     return "|".join(regex_escape(t) for t in terms)
 
 
@@ -79,10 +80,12 @@ def clean_text(col) -> Column:
 
 
 def has_two_letters(col) -> Column:
+    """At least two ASCII letters anywhere in the text."""
     return _c(col).rlike("[a-zA-Z].*[a-zA-Z]")
 
 
 def not_blank(col) -> Column:
+    """Not NULL and not only blanks."""
     c = _c(col)
     return c.isNotNull() & (F.trim(c) != "")
 
@@ -217,10 +220,12 @@ MEASUREMENT_PATTERN = "\\b(" + "|".join(MEASUREMENT_WORDS) + ")\\b"
 
 
 def drop_after_last_comma(col) -> Column:
+    """Text before the last comma (the whole text when there is none)."""
     return F.regexp_replace(_c(col), ",[^,]*$", "")
 
 
 def drop_brackets(col) -> Column:
+    """Remove innermost bracketed parts, brackets included."""
     return F.regexp_replace(_c(col), "\\([^()]+\\)", "")
 
 

@@ -23,6 +23,7 @@ def contains_any(col, terms, case_insensitive: bool = True) -> Column:
 
 
 def include_exclude(col, include, exclude) -> Column:
+    """Contains one of ``include`` and none of ``exclude`` (case-insensitive)."""
     return contains_any(col, include) & ~contains_any(col, exclude)
 
 

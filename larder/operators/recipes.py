@@ -94,6 +94,7 @@ def ids_to_terms(spark, vocab: DataFrame, ids_text: str, term_col: str = "ingred
 
 
 def parse_diets(diets: str) -> list[str]:
+    """Comma list of diet names, trimmed and lowercased; empty or unknown names raise."""
     names = [d.strip().lower() for d in (diets or "").split(",") if d.strip()]
     if not names:
         raise ValueError("no diet given")

@@ -40,6 +40,7 @@ def dot(a, b) -> Column:
 
 
 def norm(a) -> Column:
+    """Euclidean length in double precision."""
     return F.sqrt(dot(a, a))
 
 

@@ -91,6 +91,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def table_path(sf_dir: str, name: str) -> str:
+    """Path of one Parquet table in a data folder."""
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
@@ -116,5 +117,6 @@ def spread(df, min_bytes: int = SPREAD_MIN_BYTES):
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True):
+    """Read one table; ``balance`` spreads a narrow scan over the cores (see ``spread``)."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return spread(df) if balance else df

@@ -55,6 +55,7 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
+    """CSV with header; quotes escaped by doubling so cells may hold quotes and newlines."""
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
