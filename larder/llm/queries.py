@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, mixing, quality
+from larder.llm import chat, mixing, packing, quality, token_counts
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -56,3 +56,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("q_n_symbols").alias("n_symbols"), F.col("q_n_dup_lines").alias("n_dup_lines"),
                       F.col("q_n_repeat_words").alias("n_repeat_words"),
                       F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
+
+
+@query
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, boundary tokens to the section with most of them."""
+    return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
