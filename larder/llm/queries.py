@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, mixing, packing, quality, token_counts
+from larder.llm import chat, jaccard, mixing, packing, quality, token_counts
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -68,3 +68,10 @@ def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, boundary tokens to the section with most of them."""
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity class of every document."""
+    out = jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("j_n").alias("n_shingles"), F.col("j_component").alias("component_id"))
