@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, jaccard, mixing, packing, quality, token_counts
+from larder.llm import chat, embedding_dedup, jaccard, mixing, packing, quality, token_counts
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -75,3 +75,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity class of every document."""
     out = jaccard.jaccard_join(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("j_n").alias("n_shingles"), F.col("j_component").alias("component_id"))
+
+
+@query
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, class and verdict of every vector at cosine 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
