@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, embedding_dedup, jaccard, mixing, packing, quality, token_counts
+from larder.llm import chat, embedding_dedup, jaccard, language, mixing, packing, quality, token_counts
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -81,3 +81,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, class and verdict of every vector at cosine 0.9."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    net = language.train_language_id(docs.where(~held_out))
+    out = language.predict_language(docs, net)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
