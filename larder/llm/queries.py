@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, embedding_dedup, jaccard, language, mixing, packing, quality, token_counts
+from larder.llm import chat, embedding_dedup, jaccard, language, mixing, packing, pii, quality, token_counts
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -91,3 +91,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = language.train_language_id(docs.where(~held_out))
     out = language.predict_language(docs, net)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pii_digest(docs, pii.train_pii(docs))
