@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, embedding_dedup, jaccard, language, mixing, packing, pii, quality, token_counts
+from larder.llm import chat, embedding_dedup, jaccard, language, mixing, packing, pii, quality, suffix_dedup, token_counts
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -98,3 +98,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base counts and digest, all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pii_digest(docs, pii.train_pii(docs))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that are left once repeated 100-byte strings are removed."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
