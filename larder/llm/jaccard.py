@@ -1,22 +1,27 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
 A document is its set of word shingles.  All sets share one order of the
-tokens: rare ones first (by hash), frequent ones last (by frequency).  Two sets
-of Jaccard similarity ``t`` or more share a token within the first
-``p = n - ceil(t n) + 1`` of both.
-
-* If the first token they share is rare, it lies in both prefixes: rare prefix
-  tokens are indexed one by one.
-* If it is frequent, all tokens they share are frequent.  The prefix is then
-  extended by ``q - 1`` more tokens, within which both share at least ``q``.
-  At most ``p - 1`` other tokens lie between those in either set, so with ``q``
-  above the sum of both ``p`` two shared tokens are neighbours in both: frequent tokens
-  are indexed as pairs of neighbours.
-
-Documents that share a key form blocks (found as components of the stars around
-each key's first document, which takes one row per key and document), and
-inside a block every pair is verified exactly.  A block beyond the size of a
-task is cut into tiles; every pair of tiles is verified in a task of its own.
+tokens: rare ones first (by hash), frequent ones last (by frequency).  Let
+``t`` be the similarity, ``p(n) = n - ceil(t n) + 1`` and ``P`` the largest
+``p`` of a set that can be linked.  Two linked sets share their first ``c``
+common tokens within the first ``p + c - 1`` of both.
+
+* If these are all rare, the pair shares ``c`` rare tokens of these prefixes:
+  rare prefix tokens are indexed one by one, and pairs with ``c`` of them are candidates.
+* Else a frequent token lies in that prefix of both.  The prefix is extended to
+  ``p + q - 1`` tokens with ``q = p + P + c - 1``, within which both share ``q``, fewer than ``c``
+  of them rare.  At most ``p - 1`` other tokens lie between the frequent ones in either set, so two
+  of them are neighbours in both: frequent tokens are indexed as pairs of neighbours.
+
+A token is rare if at most ``POSTING`` sets have it in their prefix; tokens that
+turn out to have more become frequent and the prefixes are taken anew, so a
+rare token never makes more than a bounded number of pairs.  Any list of
+frequent tokens gives the same result.  Pairs of frequent tokens may be shared by any number of
+sets; they are linked by stars around the first set, one row per key and set.
+
+Candidates form blocks (components), and inside a block every pair is verified
+exactly.  A block beyond the size of a task is cut into tiles; every pair of
+tiles is verified in a task of its own.
 """
 
 from __future__ import annotations
@@ -34,9 +39,12 @@ from pyspark.sql import types as T
 from larder.llm.common import map_bytes, small, staged
 from larder.llm.components import connected_components
 
-FREQUENT = 1 << 18        # frequent tokens, the most frequent ones, broadcast as 4 MB
-LEAST_COUNT = 8           # tokens counted less often are rare
+FREQUENT = 1 << 20        # frequent tokens at the start, the most frequent ones, broadcast as 16 MB at most
+LEAST_COUNT = 8           # tokens counted less often start as rare
 WINDOW = 4_000_000        # tokens counted at a time in a task
+POSTING = 16              # sets that share a rare prefix token
+PASSES = 3                # times that the prefixes are taken; tokens still above POSTING are linked by stars
+SHARED = 4                # rare tokens that make a candidate (fewer for small sets)
 TILE_ROWS, TILE_BYTES = 4096, 64 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -77,10 +85,18 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of one set; ``frequent`` is sorted, ``rank`` orders it from the least frequent."""
-    n = len(tokens)
+def prefix(n: int, percent: int) -> tuple[int, int, int]:
+    """(p, P, c) of a set of n tokens."""
     p = n - needed(n, percent) + 1
+    largest = n * 100 // percent
+    widest = largest - needed(largest, percent) + 1
+    return p, widest, max(1, min(SHARED, needed(n, percent) - p - widest + 1))
+
+
+def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> tuple:
+    """(rare prefix tokens, keys of neighbouring frequent tokens); ``frequent`` is sorted, ``rank`` orders it."""
+    n = len(tokens)
+    p, widest, c = prefix(n, percent)
     if len(frequent):
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
@@ -88,15 +104,12 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, perc
     else:
         common = np.zeros(n, dtype=bool)
     rare = tokens[~common]
-    keys = rare[:p]
-    if len(rare) < p:
-        largest = n * 100 // percent
-        q = p + largest - needed(largest, percent) + 1
-        place = at[common]
-        tail = tokens[common][np.argsort(rank[place])][:p + q - 1 - len(rare)]
-        if len(tail) > 1:
-            keys = np.concatenate([keys, _mix(tail[:-1] * _M1 + tail[1:])])
-    return keys
+    if len(rare) >= p + c - 1:
+        return rare[:p + c - 1], rare[:0]
+    place = at[common] if len(frequent) else np.zeros(0, np.int64)
+    length = 2 * p + widest + c - 2                     # p + q - 1
+    tail = tokens[common][np.argsort(rank[place])][:length - len(rare)]
+    return rare, _mix(tail[:-1] * _M1 + tail[1:])
 
 
 def linked_labels(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -140,7 +153,7 @@ def linked_labels(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np
     return nodes[label]
 
 
-def _sets(docs: DataFrame, text_col: str, keep: list[str], shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, text_col: str, keep: list[str], shingle: int, percent: int) -> DataFrame:
     fields = [T.StructField("j_n", T.LongType()), T.StructField("j_node", T.LongType()),
               T.StructField("j_set", T.BinaryType())]
     hashes = WordHashes()
@@ -154,8 +167,9 @@ def _sets(docs: DataFrame, text_col: str, keep: list[str], shingle: int) -> Data
             tokens = shingle_set(flat[a:b], shingle)
             raw = tokens.tobytes()
             out["j_n"].append(len(tokens))
-            out["j_node"].append(int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                                 if raw else None)
+            # the low two bits of a node's name tell the c of its set
+            out["j_node"].append(int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True) & ~3
+                                 | prefix(len(tokens), percent)[2] - 1 if raw else None)
             out["j_set"].append(raw)
         return out
 
@@ -211,27 +225,71 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token, rank
 
 
-def _keys(sets: DataFrame, percent: int) -> DataFrame:
-    """``key, node`` rows of the index."""
-    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+def _with_frequent(frequent: tuple, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent tokens with ``more`` of them, which come first in their order."""
+    token, rank = frequent
+    joined = np.concatenate([token, more])
+    rank = np.concatenate([rank + len(more), np.argsort(np.lexsort((more, counts)))])
+    order = np.argsort(joined)
+    return joined[order], rank[order]
+
+
+def _keys(sets: DataFrame, frequent: tuple, percent: int) -> DataFrame:
+    """``key, node, single`` rows of the index."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, rank = frequent.value
+        token, rank = shared.value
         for batch in batches:
-            found = [prefix_keys(np.frombuffer(raw, np.uint64), token, rank, percent)
-                     for raw in batch.column(1).to_pylist()]
+            found = [x for raw in batch.column(1).to_pylist()
+                     for x in prefix_keys(np.frombuffer(raw, np.uint64), token, rank, percent)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
+            node = np.repeat(np.asarray(batch.column(0), dtype=np.int64), 2)
+            single = np.tile([True, False], len(node) // 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)),
-                 pa.array(np.repeat(np.asarray(batch.column(0), dtype=np.int64), sizes))], names=["key", "node"])
+                 pa.array(np.repeat(node, sizes)), pa.array(np.repeat(single, sizes))], names=["key", "node", "single"])
+
+    return sets.where("j_n > 1").select("j_node", "j_set").mapInArrow(run, "key long, node long, single boolean")
 
-    return sets.where("j_n > 1").select("j_node", "j_set").mapInArrow(run, "key long, node long")
+
+def _candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """``u, v`` rows whose components hold every pair of linked sets."""
+    frequent = _frequent(sets)
+    for i in range(PASSES):
+        keys = staged(_keys(sets, frequent, percent), f"prefix-keys-{i}")
+        counts = staged(keys.groupBy("key", "single").agg(
+            F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"),
+            F.bit_xor("node").alias("x")).where("n > 1"), f"postings-{i}")
+        crowded = counts.where(F.col("single") & (F.col("n") > POSTING))
+        if i == PASSES - 1 or not 0 < crowded.count() <= FREQUENT:
+            break
+        rows = crowded.select("key", "n").toPandas()                     # at most FREQUENT rows
+        frequent = _with_frequent(frequent, rows["key"].to_numpy(np.int64).view(np.uint64),
+                                  rows["n"].to_numpy(np.int64))
+    few = counts.where(F.col("single") & (F.col("n") <= POSTING))
+    third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
+    two = few.where("n = 2").select("a", "b")
+    three = few.where("n = 3").select(F.explode(F.array(F.struct("a", "b"), F.struct("a", third.alias("b")),
+                                                        F.struct(third.alias("a"), "b"))).alias("p")).select("p.*")
+    posting = keys.where("single").join(small(few.where("n > 3").select("key"), 1_000_000), "key") \
+        .groupBy("key").agg(F.collect_list("node").alias("nodes"))       # at most POSTING nodes
+    more = posting.select("nodes", F.explode("nodes").alias("a")) \
+        .select("a", F.explode(F.filter("nodes", lambda y: y > F.col("a"))).alias("b"))
+    need = F.least(F.col("u").bitwiseAND(F.lit(3)), F.col("v").bitwiseAND(F.lit(3))) + 1
+    pairs = two.unionByName(three).unionByName(more) \
+        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")) \
+        .groupBy("u", "v").count().where(F.col("count") >= need).select("u", "v")
+    stars = keys.join(small(counts.where(~F.col("single") | (F.col("n") > POSTING))
+                            .select("key", "single", "a"), 1_000_000), ["key", "single"]) \
+        .where("node <> a").select(F.col("node").alias("u"), F.col("a").alias("v"))
+    return pairs.unionByName(stars)
 
 
 def _verified(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, component`` of linked documents; ``blocks`` has ``node, component`` of candidate blocks."""
     members = sets.join(small(blocks, 1_000_000), F.col("j_node") == F.col("node")) \
-        .groupBy("node", F.col("component").alias("block")).agg(F.first("j_set").alias("set"))
+        .select("node", F.col("component").alias("block"), F.col("j_set").alias("set"))
     members = staged(members, "members")
     tiles = members.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("set")).alias("bytes")) \
         .where("k > 1").select("block", F.greatest(F.ceil(F.col("k") / (TILE_ROWS // 2)),
@@ -265,13 +323,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``j_component`` is the smallest id reachable by links (nulls ignored), and
     ``j_first`` marks one row of each component: the smallest id's first row.
     """
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must lie between 70 and 100: below, the extended prefix exceeds a set")
     keep = keep or [id_col]
-    sets = staged(_sets(docs, text_col, list(dict.fromkeys([*keep, id_col])), shingle), "shingles")
-    keys = staged(_keys(sets, percent), "prefix-keys")
-    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    stars = keys.join(shared.select("key", "a"), "key").where("node <> a") \
-        .select(F.col("node").alias("u"), F.col("a").alias("v"))
-    links = _verified(connected_components(stars), sets, percent)
+    sets = staged(_sets(docs, text_col, list(dict.fromkeys([*keep, id_col])), shingle, percent), "shingles")
+    one = sets.where("j_n > 0").groupBy(F.col("j_node").alias("__node")).agg(F.min("j_uid").alias("__uid"))
+    distinct = sets.select("j_uid", "j_node", "j_n", "j_set") \
+        .join(small(staged(one, "set-rows"), 1_000_000).select("__uid"), F.col("j_uid") == F.col("__uid"))
+    links = _verified(connected_components(_candidates(distinct, percent)), distinct, percent)
     first = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("j_uid").alias("uid"))
     nodes = sets.where("j_n > 0").groupBy("j_node").agg(F.min(first).alias("first")) \
         .join(links.select(F.col("node").alias("j_node"), "component"), "j_node", "left") \
