@@ -1,8 +1,7 @@
 """Name matching filters: contains-any, include/exclude, exact lists, per-term matches.
 
-Term lists are caller parameters; per-term matching is a theta join whose
-term side is a broadcast table of checked size, so the big side is never
-shuffled and each task compares its rows against the term list only.
+Term lists are caller parameters; per-term matching is an equi join on the
+first characters of the terms, at every size of the list.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
-from larder.operators.util import DEFAULT_BROADCAST_ROWS, param_table
+from larder.operators.util import param_table
 
 
 def contains_any(col, terms, case_insensitive: bool = True) -> Column:
@@ -49,44 +48,31 @@ def _grams(col, n: int):
 
 
 def term_matches(spark: SparkSession, df: DataFrame, col: str, terms, max_extra_words: int | None = None,
-                 case_insensitive: bool = True, max_broadcast_terms: int = DEFAULT_BROADCAST_ROWS,
-                 gram: int = 3) -> DataFrame:
+                 case_insensitive: bool = True, gram: int = 3) -> DataFrame:
     """One row per (term, matching row): ``contains(text, term)``.
 
     With ``max_extra_words`` the text may have at most that many more words
-    than the term (near-exact match).  A term list within the broadcast bound
-    is compared against every row in place (broadcast theta join).  A larger
-    list is blocked instead: a term can only occur in a text that holds the
-    term's first ``gram`` characters, so both sides are keyed by those
-    substrings (texts emit their distinct ones) and joined on equality, then
-    verified; shorter terms key on themselves against the texts' short
-    substrings.  Either way no cross product is formed.
+    than the term (near-exact match).  An empty term matches every text that
+    is not null.
+
+    A term can only occur in a text that holds the term's first ``gram``
+    characters (all of them if it is shorter), so terms and distinct texts are
+    joined on these substrings and verified, and the matches are joined back to
+    the rows by their text.  Only the text column is multiplied by its substrings, and
+    only for lengths and substrings that some term starts with.
     """
     if isinstance(terms, DataFrame):   # a term table that may be large: never collected
-        t_all = terms.select("term").distinct()
-        n_terms = t_all.limit(max_broadcast_terms + 1).count()
+        t = terms.select("term").distinct()
     else:
-        t_all = spark.createDataFrame([(x,) for x in dict.fromkeys(terms)], "term string")
-        n_terms = len(set(terms))
-    norm = (lambda c: F.lower(c)) if case_insensitive else (lambda c: c)
-    cond_extra = None
+        t = spark.createDataFrame([(x,) for x in dict.fromkeys(terms)], "term string")
+    norm = F.lower if case_insensitive else (lambda c: c)
+    t = t.withColumn("_nt", norm(F.col("term"))).withColumn("_key", F.substring("_nt", 1, gram))
+    texts = df.select(F.col(col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    short = [r[0] for r in t.select(F.length("_key").alias("n")).distinct().collect()]     # at most gram + 1 lengths
+    keys = F.flatten(F.array(*[F.array(F.lit("")) if n == 0 else _grams(norm(F.col("_text")), n) for n in short])) \
+        if short else F.array().cast("array<string>")
+    found = texts.select("_text", F.explode(keys).alias("_key")).join(t, "_key") \
+        .where(F.contains(norm(F.col("_text")), F.col("_nt")))
     if max_extra_words is not None:
-        cond_extra = T.word_count(F.col(col)) <= T.word_count(F.col("term")) + max_extra_words
-    if n_terms <= max_broadcast_terms:
-        t = F.broadcast(t_all)   # size checked just above
-        cond = F.contains(norm(F.col(col)), norm(F.col("term")))
-        if cond_extra is not None:
-            cond = cond & cond_extra
-        return t.join(df, cond, "inner")
-    t = t_all.withColumn("_nt", norm(F.col("term")))
-    t = t.withColumn("_key", F.when(F.length("_nt") >= gram, F.col("_nt").substr(F.lit(1), F.lit(gram)))
-                     .otherwise(F.col("_nt")))
-    base = df.withColumn("_txt", norm(F.col(col)))
-    keys = _grams("_txt", gram)
-    for n in range(1, gram):
-        keys = F.concat(keys, _grams("_txt", n))
-    texts = base.select("*", F.explode(F.array_distinct(keys)).alias("_key"))
-    j = t.join(texts, "_key").filter(F.contains(F.col("_txt"), F.col("_nt")))
-    if cond_extra is not None:
-        j = j.filter(cond_extra)
-    return j.drop("_key", "_nt", "_txt")
+        found = found.where(T.word_count(F.col("_text")) <= T.word_count(F.col("term")) + max_extra_words)
+    return found.select("term", "_text").join(df, F.col("_text") == df[col]).drop("_text")

@@ -1,24 +1,22 @@
 """Text search: term statistics, match, BM25 ranking, fuzzy expansion, id search.
 
-Scoring never builds a full postings table at query time: each document's
-analysed term array is first FILTERED to the (few) query terms, and only
-those hits are exploded, counted and joined.  Corpus-wide statistics
-(document count, average length) are one aggregate.  A persistent postings
-index can be built with ``build_postings`` and scored with ``rank_postings``
-when the same corpus is searched many times.
+A scan for a few query terms filters each document's analysed term array
+before anything is exploded.  Fuzzy search builds the postings once per call
+(or takes stored ones from ``build_postings``): vocabulary, hits and corpus
+statistics all come from that table, so the texts are read once.  A search
+that finds nothing gives an empty page of the usual columns and a total of 0.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from larder.fixed_values import BM25_B, BM25_K1, SEARCH_PAGE_SIZE
 from larder.functions import text as T
-from larder.operators.util import param_table
+from larder.operators.util import param_table, written
+
+MAX_FUZZINESS = 2
 
 
 def analyse_query(query: str, spark: SparkSession | None = None) -> list[str]:
@@ -43,34 +41,45 @@ def term_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def build_postings(docs: DataFrame, id_col: str, text_col: str):
-    """Index tables: postings ``(doc_id, term, tf)`` and lengths ``(doc_id, dl)``."""
-    lengths = docs.select(F.col(id_col).alias("doc_id"), F.size(T.analyse_terms(text_col)).alias("dl"))
-    return term_stats(docs, id_col, text_col), lengths
+def build_postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Index tables: postings ``(doc_id, dl, term, tf)`` and one row ``(n, avgdl)`` of statistics.
 
+    ``dl`` (terms of the document) lies in the posting, so scoring joins no
+    table of lengths.  Postings are written once; the average length is their
+    sum of ``tf`` over the document count, and documents without terms count.
+    """
+    postings = written(
+        docs.select(F.col(id_col).alias("doc_id"), T.analyse_terms(text_col).alias("_t"))
+        .select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    terms = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
+    return postings, n.crossJoin(terms).select("n", _average(F.col("terms"), F.col("n")).alias("avgdl"))
 
-def _scan_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]):
-    """ONE pass over the texts for a query.
 
-    Returns ``(hits, n_docs, avgdl)`` where ``hits`` is ``(doc_id, dl, term,
-    tf)`` for the query terms only.  Each document's term array is filtered
-    to the query terms before anything is exploded; corpus statistics are
-    observed on the same pass, and the (small) hit table is checkpointed so
-    scoring and the total count do not read the texts again.
-    """
-    qarr = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    obs = Observation()
-    per_doc = docs.select(F.col(id_col).alias("doc_id"), T.analyse_terms(text_col).alias("_t")) \
-        .select("doc_id", F.size("_t").alias("dl"), F.filter("_t", lambda t: F.array_contains(qarr, t)).alias("_h")) \
-        .observe(obs, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl"))
-    hits = per_doc.filter(F.size("_h") > 0).select("doc_id", "dl", F.explode("_h").alias("term")) \
-        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
-    m = obs.get
-    n = int(m.get("n") or 0)
-    return hits, n, (float(m.get("sdl") or 0) / n if n else 0.0)
-
-
-def rank_postings(postings: DataFrame, lengths: DataFrame, query: str, k: int = SEARCH_PAGE_SIZE,
+def _average(total: Column, n: Column) -> Column:
+    return F.when(n > 0, total.cast("double") / n).otherwise(F.lit(0.0))
+
+
+def _scan_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts: hits ``(doc_id, dl, term, tf)`` of the terms, and the statistics row."""
+    terms_ = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    per_doc = written(docs.select(F.col(id_col).alias("doc_id"), T.analyse_terms(text_col).alias("_t"))
+                      .select("doc_id", F.size("_t").alias("dl"),
+                              F.filter("_t", lambda t: F.array_contains(terms_, t)).alias("_h")), "hits")
+    hits = per_doc.select("doc_id", "dl", F.explode("_h").alias("term")) \
+        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dl = F.when(F.col("dl") > 0, F.col("dl"))
+    stats = per_doc.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).alias("terms")) \
+        .select("n", _average(F.col("terms"), F.col("n")).alias("avgdl"))
+    return hits, stats
+
+
+def _equal_weights(spark: SparkSession, terms: list[str]) -> DataFrame:
+    return param_table(spark, [(t, 1.0) for t in terms], "term string, weight double")
+
+
+def rank_postings(postings: DataFrame, stats: DataFrame, query: str, k: int = SEARCH_PAGE_SIZE,
                   k1: float = BM25_K1, b: float = BM25_B, digits: int | None = 6) -> DataFrame:
     """BM25 page from prebuilt index tables (``build_postings``): no text is read.
 
@@ -79,57 +88,41 @@ def rank_postings(postings: DataFrame, lengths: DataFrame, query: str, k: int =
     """
     spark = postings.sparkSession
     terms = analyse_query(query, spark)
-    if not terms:
-        return spark.createDataFrame([], "doc_id long, score double, rank int, total long")
-    st = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl")).first()
-    n = int(st["n"] or 0)
-    avgdl = float(st["sdl"] or 0) / n if n else 0.0
-    hits = postings.filter(F.col("term").isin(terms)).join(lengths, "doc_id")
-    weights = param_table(spark, [(t, t, 1.0) for t in terms], "term string, qterm string, weight double")
-    scores = _bm25(hits, weights, n, avgdl, k1, b)
-    return _page(scores, k, digits).withColumn("total", F.lit(scores.count()).cast("long"))
-
-
-def _scan_hits_join(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame):
-    """As ``_scan_hits`` for a large term table: explode every term, semi join the table."""
-    obs = Observation()
-    per_doc = docs.select(F.col(id_col).alias("doc_id"), T.analyse_terms(text_col).alias("_t")) \
-        .select("doc_id", F.size("_t").alias("dl"), "_t") \
-        .observe(obs, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl"))
-    words = per_doc.select("doc_id", "dl", F.explode("_t").alias("term"))
-    hits = words.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term") \
-        .agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
-    m = obs.get
-    n = int(m.get("n") or 0)
-    return hits, n, (float(m.get("sdl") or 0) / n if n else 0.0)
+    hits = postings.where(F.col("term").isin(terms) if terms else F.lit(False))
+    return _page(_bm25(hits, _equal_weights(spark, terms), stats, k1, b), k, digits)
 
 
 def match_search(docs: DataFrame, id_col: str, text_col: str, query: str, operator: str = "or") -> DataFrame:
     """Documents matching any (``or``) / all (``and``) query terms: ``(doc_id, n_matched)``."""
     terms = analyse_query(query, docs.sparkSession)
-    if not terms:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_matched int")
-    qarr = F.array(*[F.lit(t) for t in terms])
-    a = docs.select(F.col(id_col).alias("doc_id"),
-                    F.size(F.array_distinct(F.filter(T.analyse_terms(text_col),
-                                                     lambda t: F.array_contains(qarr, t)))).alias("n_matched"))
-    need = 1 if operator == "or" else len(terms)
-    return a.filter(F.col("n_matched") >= need)
-
-
-def _bm25(hits: DataFrame, weights: DataFrame, n_docs: int, avgdl: float, k1: float, b: float) -> DataFrame:
-    """Per-document score from ``hits(doc_id, dl, term, tf)`` and ``weights(term, qterm, weight)``."""
+    terms_ = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    matched = F.size(F.array_distinct(F.filter(T.analyse_terms(text_col), lambda t: F.array_contains(terms_, t))))
+    out = docs.select(F.col(id_col).alias("doc_id"), matched.alias("n_matched"))
+    return out.filter(F.col("n_matched") >= (1 if operator == "or" else max(1, len(terms))))
+
+
+def search_total(docs: DataFrame, id_col: str, text_col: str, query: str, operator: str = "or") -> DataFrame:
+    """One row ``total``: the documents that match, 0 if none does."""
+    return match_search(docs, id_col, text_col, query, operator).agg(F.count(F.lit(1)).alias("total"))
+
+
+def _bm25(hits: DataFrame, weights: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+    """Per-document score from ``hits(doc_id, dl, term, tf)``, ``weights(term, weight)`` and the statistics row."""
     df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl or 1.0)))
-    contrib = hits.join(df_, "term").join(weights, "term")
+    idf = F.log(F.lit(1.0) + (F.col("n").cast("double") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    contrib = hits.join(df_, "term").join(weights, "term").crossJoin(F.broadcast(stats))    # one row
     return contrib.groupBy("doc_id").agg(F.sum(F.col("weight") * idf * norm).alias("score"))
 
 
 def _page(scores: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """The best ``k`` of the scores with rank and the total of all of them; ties by doc_id."""
+    scores = written(scores, "scores")
     s = F.round("score", digits) if digits is not None else F.col("score")
     top = scores.select("doc_id", s.alias("score")).orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("doc_id"))))
+    total = scores.agg(F.count(F.lit(1)).alias("total"))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("doc_id")))) \
+        .crossJoin(F.broadcast(total))                                                       # one row
 
 
 def rank_bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int = SEARCH_PAGE_SIZE,
@@ -138,16 +131,9 @@ def rank_bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int =
     """BM25 top-k ``(doc_id, score, rank[, total])``; ties by doc_id."""
     spark = docs.sparkSession
     terms = analyse_query(query, spark)
-    if not terms:
-        return spark.createDataFrame([], "doc_id long, score double, rank int, total long")
-    hits, n, avgdl = _scan_hits(docs, id_col, text_col, terms)
-    weights = param_table(spark, [(t, t, 1.0) for t in terms], "term string, qterm string, weight double")
-    scores = _bm25(hits, weights, n, avgdl, k1, b)
-    page = _page(scores, k, digits)
-    if with_total:
-        total = scores.count()
-        page = page.withColumn("total", F.lit(total).cast("long"))
-    return page
+    hits, stats = _scan_hits(docs, id_col, text_col, terms)
+    page = _page(_bm25(hits, _equal_weights(spark, terms), stats, k1, b), k, digits)
+    return page if with_total else page.drop("total")
 
 
 # ------------------------------------------------------------------ fuzzy
@@ -157,43 +143,31 @@ def auto_fuzziness(n: int) -> int:
     return 0 if n <= 2 else (1 if n <= 5 else 2)
 
 
-def damerau_levenshtein(a: str, b: str) -> int:
-    """Edit distance with adjacent swaps costing 1 (unrestricted form), by code point."""
-    la, lb = len(a), len(b)
-    if la == 0 or lb == 0:
-        return la + lb
-    big = la + lb
-    last = {}
-    d = np.zeros((la + 2, lb + 2), dtype=np.int64)
-    d[0, :] = big
-    d[:, 0] = big
-    for i in range(la + 1):
-        d[i + 1, 1] = i
-    for j in range(lb + 1):
-        d[1, j + 1] = j
-    for i in range(1, la + 1):
-        db = 0
-        for j in range(1, lb + 1):
-            i1 = last.get(b[j - 1], 0)
-            j1 = db
-            cost = 0 if a[i - 1] == b[j - 1] else 1
-            if cost == 0:
-                db = j
-            d[i + 1, j + 1] = min(d[i, j] + cost, d[i + 1, j] + 1, d[i, j + 1] + 1,
-                                  d[i1, j1] + (i - i1 - 1) + 1 + (j - j1 - 1))
-        last[a[i - 1]] = i
-    return int(d[la + 1, lb + 1])
-
-
-def _dl_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([damerau_levenshtein(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-_dl_udf = F.pandas_udf(_dl_series, IntegerType())
+def _swapped(word: Column) -> Column:
+    """All strings from ``word`` by swapping two neighbouring characters."""
+    n = F.length(word)
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(
+        word.substr(F.lit(1), i - 1), word.substr(i + 1, F.lit(1)), word.substr(i, F.lit(1)), word.substr(i + 2, n)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance with swaps of neighbours costing 1, by code point: 0, 1, 2, or null above 2.
+
+    A swap pairs characters that are neighbours in ``a`` or in ``b`` (others may be deleted or inserted
+    between them in the other word), so each of up to two swaps is undone on one of the sides and
+    plain edits make up the rest.
+    """
+    sa, sb = _swapped(a), _swapped(b)
+    one = F.exists(sa, lambda s: s == b)
+    two = (F.exists(sa, lambda s: F.levenshtein(s, b, 1) >= 0) | F.exists(sb, lambda s: F.levenshtein(a, s, 1) >= 0)
+           | F.arrays_overlap(sa, sb))
+    plain = F.levenshtein(a, b, 2)
+    return F.when(a == b, 0).when((plain == 1) | one, 1).when((plain == 2) | two, 2)
 
 
 def deletion_variants(col, max_deletions: int):
-    """The word and every string made from it by deleting up to ``max_deletions`` (<= 2) characters."""
+    """The word and every string made from it by deleting up to ``max_deletions`` characters."""
     def drop_one(w):
         n = F.length(w)
         return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
@@ -203,58 +177,44 @@ def deletion_variants(col, max_deletions: int):
     out = F.array(c)
     level = F.array(c)
     for _ in range(max_deletions):
-        level = F.flatten(F.transform(level, drop_one))
+        level = F.array_distinct(F.flatten(F.transform(level, drop_one)))
         out = F.concat(out, level)
     return F.array_distinct(out)
 
 
 def fuzzy_terms(spark: SparkSession, vocab: DataFrame, terms: list[str], term_col: str = "term",
-                fuzziness: str | int = "AUTO", method: str = "auto",
-                max_broadcast_terms: int = 1_000) -> DataFrame:
+                fuzziness: str | int = "AUTO") -> DataFrame:
     """Vocabulary terms within the edit budget of each query term.
 
     Output ``(query_term, term, distance, weight)`` with
     ``weight = 1 - distance / min(len(query_term), len(term))``.  No expansion cap.
-
-    * ``broadcast`` (few query terms, the normal case): the query table is
-      broadcast and every vocabulary term is compared with it after a length
-      band and a JVM ``levenshtein`` bound (a swap is at most two plain edits).
-    * ``deletion`` (many query terms): both sides emit their deletion variants
-      (up to the edit budget), an equi join on the variant finds the candidate
-      pairs, and only those are verified.  Two strings within ``d`` edits
-      (swaps included) share a variant with at most ``d`` deletions on each
-      side, so nothing is missed; no cross product is formed.
-
-    The exact distance is computed in an Arrow UDF on the candidates only.
+    The budget is ``auto_fuzziness`` of the term's length, or a number up to
+    ``MAX_FUZZINESS``; a larger one is refused.
+
+    Both sides emit their deletion variants (up to the edit budget) and an equi
+    join on variant and length finds the candidate pairs: two strings within
+    ``d`` edits (swaps included) share a variant with at most ``d`` deletions
+    on each side.  Only vocabulary terms of a length that some query term can
+    reach emit variants.  Candidates are verified by ``edit_distance``.
     """
     rows = []
     for t in dict.fromkeys(terms):
-        k = auto_fuzziness(len(t)) if str(fuzziness).upper() == "AUTO" else int(fuzziness)
-        rows.append((t, k, len(t)))
-    if method == "auto":
-        method = "broadcast" if len(rows) <= max_broadcast_terms else "deletion"
-    v = vocab.select(F.col(term_col).alias("term")).distinct().withColumn("tlen", F.length("term"))
-    band = (F.abs(F.col("tlen") - F.col("qlen")) <= F.col("max_d"))
-    if method == "broadcast":
-        qt = param_table(spark, rows, "query_term string, max_d int, qlen int")
-        lev = F.levenshtein("term", "query_term", 4)  # -1 when above 4
-        pre = (lev >= 0) & (lev <= 2 * F.col("max_d"))
-        pairs = v.join(qt, band & pre)
-    else:
-        qt = spark.createDataFrame(rows, "query_term string, max_d int, qlen int")
-        top = max([r[1] for r in rows] or [0])
-        qv = qt.select("*", F.explode(deletion_variants("query_term", 0)).alias("key")) if top == 0 else \
-            qt.select("*", F.explode(F.when(F.col("max_d") >= 2, deletion_variants("query_term", 2))
-                                      .when(F.col("max_d") == 1, deletion_variants("query_term", 1))
-                                      .otherwise(F.array("query_term"))).alias("key"))
-        # the length band is part of the join key: a query term only meets vocabulary
-        # terms of the lengths it can reach, so a common short variant does not pair
-        # every length with every other
-        qv = qv.withColumn("tlen", F.explode(F.sequence(F.col("qlen") - F.col("max_d"),
-                                                        F.col("qlen") + F.col("max_d"))))
-        vv = v.select("*", F.explode(deletion_variants("term", top)).alias("key"))
-        pairs = vv.join(qv, ["key", "tlen"]).drop("key").dropDuplicates(["query_term", "term"])
-    scored = pairs.withColumn("distance", _dl_udf("query_term", "term")).filter(F.col("distance") <= F.col("max_d"))
+        d = auto_fuzziness(len(t)) if str(fuzziness).upper() == "AUTO" else int(fuzziness)
+        if not 0 <= d <= MAX_FUZZINESS:
+            raise ValueError(f"fuzziness must be AUTO or 0 to {MAX_FUZZINESS}")
+        rows.append((t, d, len(t)))
+    top = max([d for _, d, _ in rows], default=0)
+    reach = sorted({n + i for _, d, n in rows for i in range(-d, d + 1)})
+    v = vocab.select(F.col(term_col).alias("term"), F.length(term_col).alias("tlen")) \
+        .where(F.col("tlen").isin(reach) if reach else F.lit(False)).distinct()
+    qt = spark.createDataFrame(rows, "query_term string, max_d int, qlen int")
+    own = F.coalesce(*[F.when(F.col("max_d") == d, deletion_variants("query_term", d)) for d in range(top + 1)])
+    qv = qt.select("*", F.explode(own).alias("key")) \
+        .withColumn("tlen", F.explode(F.sequence(F.col("qlen") - F.col("max_d"), F.col("qlen") + F.col("max_d"))))
+    pairs = v.select("*", F.explode(deletion_variants("term", top)).alias("key")).join(qv, ["key", "tlen"]) \
+        .select("query_term", "term", "max_d", "qlen", "tlen").distinct()
+    scored = pairs.withColumn("distance", edit_distance(F.col("query_term"), F.col("term"))) \
+        .filter(F.col("distance") <= F.col("max_d"))
     return scored.select("query_term", "term", F.col("distance").cast("int"),
                          (F.lit(1.0) - F.col("distance") / F.least("qlen", "tlen")).alias("weight"))
 
@@ -262,38 +222,28 @@ def fuzzy_terms(spark: SparkSession, vocab: DataFrame, terms: list[str], term_co
 def search_fuzzy(docs: DataFrame, id_col: str, text_col: str, query: str, labels: DataFrame | None = None,
                  k: int = SEARCH_PAGE_SIZE, k1: float = BM25_K1, b: float = BM25_B,
                  digits: int | None = 6, vocab: DataFrame | None = None,
-                 max_literal_terms: int = 10_000) -> DataFrame:
+                 index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Fuzzy BM25 search: every query term expands to its near vocabulary terms,
-    each scored by BM25 and weighted; page of ``k`` with labels and ``total``."""
+    each scored by BM25 and weighted; page of ``k`` with labels and ``total``.
+
+    ``index`` is what ``build_postings`` gave for the same documents; without
+    it the postings are built here.
+    """
     spark = docs.sparkSession
+    postings, stats = index or build_postings(docs, id_col, text_col)
     terms = analyse_query(query, spark)
-    if not terms:
-        return spark.createDataFrame([], "doc_id long, score double, rank int, total long")
-    if vocab is None:
-        vocab = docs.select(F.explode(T.analyse_terms(text_col)).alias("term"))
-    exp = fuzzy_terms(spark, vocab, terms)
-    weights = exp.groupBy("term").agg(F.sum("weight").alias("weight")).checkpoint(eager=True)
-    n_exp = weights.limit(max_literal_terms + 1).count()
-    if n_exp <= max_literal_terms:
-        # few expansions (the normal case): filter each term array by a literal list
-        expanded = [r.term for r in weights.select("term").collect()]
-        hits, n, avgdl = _scan_hits(docs, id_col, text_col, expanded)
-    else:
-        # many expansions: join every document term with the expansion table instead
-        hits, n, avgdl = _scan_hits_join(docs, id_col, text_col, weights.select("term"))
-    scores = _bm25(hits, weights, n, avgdl, k1, b)
-    page = _page(scores, k, digits).withColumn("total", F.lit(scores.count()).cast("long"))
-    if labels is not None:
-        page = page.join(labels, "doc_id", "left")
-    return page
+    expanded = fuzzy_terms(spark, postings.select("term") if vocab is None else vocab, terms)
+    weights = expanded.groupBy("term").agg(F.sum("weight").alias("weight"))
+    hits = postings.join(weights, "term", "left_semi").select("doc_id", "dl", "term", "tf")
+    page = _page(_bm25(hits, weights, stats, k1, b), k, digits)
+    return page if labels is None else page.join(labels, "doc_id", "left")
 
 
 def search_by_ids(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, vocab_with_ids: DataFrame,
                   ids_text: str, labels: DataFrame | None = None, k: int = SEARCH_PAGE_SIZE,
-                  term_col: str = "ingredient") -> DataFrame:
+                  term_col: str = "ingredient", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Ids to vocabulary terms (unknown ids raise), joined by blanks, then fuzzy search."""
     from larder.operators.recipes import ids_to_terms
     found = ids_to_terms(spark, vocab_with_ids, ids_text, term_col, strict=True).orderBy("pos")
-    query = " ".join(r[term_col] for r in found.collect())  # ids come from one request: small
-    return search_fuzzy(docs, id_col, text_col, query, labels, k)
-
+    query = " ".join(r[term_col] for r in found.collect())  # the ids of one request line
+    return search_fuzzy(docs, id_col, text_col, query, labels, k, index=index)

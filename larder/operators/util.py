@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.session import shared_path
+
 # Parameter tables (lexicons, term lists, overrides) at or under this many rows
 # are broadcast; the bound is checked, never assumed.
 DEFAULT_BROADCAST_ROWS = 200_000
@@ -33,6 +35,17 @@ def param_table(spark: SparkSession, rows: list, schema: str,
     return bounded_broadcast(df, max_rows, known_rows=len(rows))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    What follows reads files that every executor sees: the plan above runs
+    once, and a lost executor costs only its own tasks.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", start: int = 1,
                    num_partitions: int | None = None) -> DataFrame:
     """Consecutive ids in the total order of ``order_cols`` without a one-task window.

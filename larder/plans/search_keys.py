@@ -73,8 +73,29 @@ def search_ranked(spark, sf_dir):
 SELECT count(*) AS total FROM documents
 WHERE len(list_filter({TERMS}, lambda t: list_contains({_qlist(X.analyse_query(RANK_QUERY))}, t))) > 0""")
 def search_total(spark, sf_dir):
-    page = X.rank_bm25(_docs(spark, sf_dir), "doc_id", "text", RANK_QUERY)
-    return page.select("total").limit(1)
+    return X.search_total(_docs(spark, sf_dir), "doc_id", "text", RANK_QUERY)
+
+
+NO_HIT_QUERY = "qqzzx wwvvk"
+
+
+@register("search_none", f"""
+SELECT count(*) FILTER (WHERE hits > 0) AS total, CAST(0 AS BIGINT) AS page_rows, count(*) AS documents
+FROM (SELECT len(list_filter({TERMS}, lambda t: list_contains({_qlist(X.analyse_query(NO_HIT_QUERY))}, t))) AS hits
+      FROM documents)""")
+def search_none(spark, sf_dir):
+    """A query without a hit: total 0 and an empty page."""
+    docs = _docs(spark, sf_dir)
+    page = X.rank_bm25(docs, "doc_id", "text", NO_HIT_QUERY).agg(F.count(F.lit(1)).alias("page_rows"))
+    return X.search_total(docs, "doc_id", "text", NO_HIT_QUERY).crossJoin(page) \
+        .crossJoin(docs.agg(F.count(F.lit(1)).alias("documents")))
+
+
+@register("search_postings", _bm25_sql(_RANK_W))
+def search_postings(spark, sf_dir):
+    """The ranked page from stored postings instead of the texts."""
+    postings, stats = X.build_postings(_docs(spark, sf_dir), "doc_id", "text")
+    return X.rank_postings(postings, stats, RANK_QUERY)
 
 
 # --- fuzzy: the oracle maps the (few) non-ASCII letters to free one-byte codes so that
@@ -142,8 +163,8 @@ _IDS_BM25 = _bm25_sql("SELECT term, sum(weight) AS weight FROM fz GROUP BY term"
 def search_by_ids(spark, sf_dir):
     from larder.operators.recipes import vocab_ids
     docs = _docs(spark, sf_dir)
-    vocab = vocab_ids(docs.select(F.explode(T.analyse_terms("text")).alias("term")).distinct(), "term") \
-        .withColumnRenamed("term", "ingredient")
+    index = X.build_postings(docs, "doc_id", "text")
+    vocab = vocab_ids(index[0].select("term").distinct(), "term").withColumnRenamed("term", "ingredient")
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") == 1).alias("keto"), (F.col("toxic") == 0).alias("vegan"))
-    return X.search_by_ids(spark, docs, "doc_id", "text", vocab, SEARCH_IDS, labels)
+    return X.search_by_ids(spark, docs, "doc_id", "text", vocab, SEARCH_IDS, labels, index=index)
