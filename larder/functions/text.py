@@ -207,9 +207,14 @@ def singular_word(w: Column) -> Column:
             .otherwise(w))
 
 
-def singularize(col) -> Column:
-    """Lowercase, hyphens to blanks, then every word to its singular."""
-    s = collapse_ws(F.translate(F.lower(_c(col)), "-", " "))
+def singularize(col, split_hyphens: bool = True) -> Column:
+    """Lowercase, then every word to its singular.
+
+    Words end at blanks, and at hyphens too unless ``split_hyphens`` is off
+    (product names: ``coca-cola`` stays one word).
+    """
+    s = F.lower(_c(col))
+    s = collapse_ws(F.translate(s, "-", " ") if split_hyphens else s)
     words = F.split(s, " ")
     return F.array_join(F.transform(words, singular_word), " ")
 

@@ -24,16 +24,28 @@ def classification_report(df: DataFrame, truth: str, pred: str, digits: int | No
     which are checkpointed so the summary rows do not recompute them.
     0/0 gives 0.0.  The accuracy row fills only ``f1`` and ``support``.
     """
-    conf = df.groupBy(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p"))
+    return _report(cells, [], digits)
+
+
+def classification_reports(df: DataFrame, pairs: dict[str, tuple[str, str]], name_col: str,
+                           digits: int | None = None) -> DataFrame:
+    """The report of every ``name: (truth, prediction)`` pair in ``name_col``, from one pass over the data."""
+    each = F.array(*[F.struct(F.lit(name).alias(name_col), F.col(t).cast("string").alias("t"),
+                              F.col(p).cast("string").alias("p")) for name, (t, p) in pairs.items()])
+    return _report(df.select(F.explode(each).alias("x")).select("x.*"), [name_col], digits)
+
+
+def _report(cells: DataFrame, groups: list[str], digits: int | None) -> DataFrame:
+    conf = cells.groupBy(*groups, "t", "p").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
     parts = F.array(
         F.struct(F.col("t").alias("label"), F.when(F.col("t") == F.col("p"), n).otherwise(0).alias("tp"),
                  n.alias("support"), F.lit(0).cast("long").alias("predicted")),
         F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"),
                  n.alias("predicted")))
-    cells = conf.select(F.explode(parts).alias("c")).select("c.*").filter(F.col("label").isNotNull())
-    per = cells.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+    cells = conf.select(*groups, F.explode(parts).alias("c")).select(*groups, "c.*").filter(F.col("label").isNotNull())
+    per = cells.groupBy(*groups, "label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
                                      F.sum("predicted").alias("predicted"))
 
     def ratio(a, b):
@@ -44,13 +56,13 @@ def classification_report(df: DataFrame, truth: str, pred: str, digits: int | No
     per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") == 0, F.lit(0.0))
                          .otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
     per = per.checkpoint(eager=True)  # classes-sized
-    tot = per.agg(F.sum("tp").alias("tp"), F.sum("support").alias("n"), F.count(F.lit(1)).alias("k"),
+    tot = per.groupBy(*groups).agg(F.sum("tp").alias("tp"), F.sum("support").alias("n"), F.count(F.lit(1)).alias("k"),
                   F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),
                   F.sum(F.col("precision") * F.col("support")).alias("wp"),
                   F.sum(F.col("recall") * F.col("support")).alias("wr"),
                   F.sum(F.col("f1") * F.col("support")).alias("wf"))
     null = F.lit(None).cast("double")
-    summary = tot.select(F.explode(F.array(
+    summary = tot.select(*groups, F.explode(F.array(
         F.struct(F.lit("accuracy").alias("label"), null.alias("precision"), null.alias("recall"),
                  ratio(F.col("tp"), F.col("n")).alias("f1"), F.col("n").alias("support")),
         F.struct(F.lit("macro avg").alias("label"), ratio(F.col("sp"), F.col("k")).alias("precision"),
@@ -58,11 +70,11 @@ def classification_report(df: DataFrame, truth: str, pred: str, digits: int | No
                  F.col("n").alias("support")),
         F.struct(F.lit("weighted avg").alias("label"), ratio(F.col("wp"), F.col("n")).alias("precision"),
                  ratio(F.col("wr"), F.col("n")).alias("recall"), ratio(F.col("wf"), F.col("n")).alias("f1"),
-                 F.col("n").alias("support")))).alias("r")).select("r.*")
-    out = per.select("label", "precision", "recall", "f1", "support").unionByName(summary) \
+                 F.col("n").alias("support")))).alias("r")).select(*groups, "r.*")
+    out = per.select(*groups, "label", "precision", "recall", "f1", "support").unionByName(summary) \
         .withColumn("support", F.col("support").cast("long"))
     if digits is not None:
-        out = out.select("label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
+        out = out.select(*groups, "label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
     return out
 
 
@@ -107,9 +119,9 @@ def alignment_check(left: DataFrame, right: DataFrame, key: str, col: str, previ
 def longest_per_group(df: DataFrame, group: str, id_col: str, text_col: str) -> DataFrame:
     """Per group: the largest word count and the row holding it (smallest id on ties)."""
     wc = df.select(group, id_col, T.word_count(text_col).alias("n_words"))
-    best = F.max(F.struct(F.col("n_words"), (-F.col(id_col)).alias("neg_id"))).alias("b")
-    return wc.groupBy(group).agg(best).select(group, F.col("b.n_words").alias("max_words"),
-                                             (-F.col("b.neg_id")).alias(id_col))
+    best = F.min(F.struct((-F.col("n_words")).alias("less"), F.col(id_col).alias("id"))).alias("b")
+    return wc.groupBy(group).agg(best).select(group, (-F.col("b.less")).alias("max_words"),
+                                             F.col("b.id").alias(id_col))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:

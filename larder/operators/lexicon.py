@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.fixed_values import EXCUSING_AFTER, EXCUSING_BEFORE, HEURISTIC_ANIMAL_WORDS, PLANT_CATEGORIES
 from larder.functions import text as T
-from larder.operators.util import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from larder.operators.util import DEFAULT_BROADCAST_ROWS, bounded_broadcast, written
 
 
 def lexicon_term(col) -> Column:
@@ -80,37 +80,25 @@ def lexicon_hits(df: DataFrame, id_col: str, phrase_col: str, lexicon: DataFrame
 
 
 def category_closure(edges: DataFrame, roots: DataFrame, senses: DataFrame | None = None,
-                     max_rounds: int = 100, checkpoint_every: int = 4) -> DataFrame:
+                     rounds_per_write: int = 4) -> DataFrame:
     """All ``(term, root)`` where a sense of ``term`` is ``root`` or lies below it.
 
     ``edges`` is ``(child, parent)``; ``roots`` has one column ``root``.
     Breadth-first DataFrame loop: frontier joins edges, de-duplicated by a
-    left-anti join against everything seen, until the frontier is empty.
-    Cycles are fine.  Each round's frontier is cached and counted (one job per
-    round); every few rounds the reached set is checkpointed (reliable, in the
-    shared checkpoint folder) so the lineage stays short.
+    left-anti join against everything seen, until the frontier is empty, at
+    any depth.  Cycles are fine: a pair that was seen never comes back.  Every
+    frontier is written to the shared folder (one job per round), and every few
+    rounds the reached set too, so the lineage stays short.
     """
-    e = edges.select(F.col("child"), F.col("parent")).distinct().checkpoint(eager=True)
-    seen = roots.select(F.col("root"), F.col("root").alias("node")).distinct().checkpoint(eager=True)
-    frontier = seen
-    cached = []
-    for rnd in range(1, max_rounds + 1):
+    e = written(edges.select(F.col("child"), F.col("parent")).distinct(), "edges")
+    seen = written(roots.select(F.col("root"), F.col("root").alias("node")).distinct(), "reached")
+    frontier, rounds = seen, 0
+    while not frontier.isEmpty():
         step = frontier.join(e, frontier.node == e.parent).select("root", F.col("child").alias("node")).distinct()
-        new = step.join(seen, ["root", "node"], "left_anti").cache()
-        cached.append(new)
-        if new.count() == 0:  # one job per round; it also fills the cache
-            break
-        seen = seen.unionByName(new)
-        if rnd % checkpoint_every == 0:
-            # cut the lineage in the shared checkpoint folder: a lost executor
-            # then recomputes at most ``checkpoint_every`` rounds
-            seen = seen.checkpoint(eager=True)
-        frontier = new
-    else:
-        raise RuntimeError(f"category closure did not converge in {max_rounds} rounds")
-    seen = seen.checkpoint(eager=True)
-    for c in cached:
-        c.unpersist()
+        frontier = written(step.join(seen, ["root", "node"], "left_anti"), "frontier")
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % rounds_per_write == 0:
+            seen = written(seen, "reached")
     reached = seen.select(F.col("node").alias("term"), "root")
     if senses is not None:
         via = senses.join(seen, senses.sense == seen.node).select("term", "root")

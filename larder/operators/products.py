@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 from larder.functions import text as T
 from larder.operators.util import bounded_broadcast, with_column_once, with_dense_ids
 
+ROWS_PER_PARTITION = 1_000_000     # of appended rows
+
 
 def select_products(raw: DataFrame, name_col: str = "product_name",
                     nutriment_col: str = "nutriments", lang: str = "en",
@@ -42,7 +44,7 @@ def clean_names(df: DataFrame, name_col: str = "product_name", value_col: str |
     name = T.fold_accents(name_col) if fold else F.col(name_col)
     out = with_column_once(out, name_col, T.clean_text(F.lower(name)))
     out = out.filter(T.has_two_letters(name_col) & T.not_blank(name_col))
-    out = with_column_once(out, name_col, T.singularize(name_col))
+    out = with_column_once(out, name_col, T.singularize(name_col, split_hyphens=False))
     return out.filter(T.not_blank(name_col))
 
 
@@ -146,5 +148,6 @@ def append_rows(df: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     top = df.agg(F.max(id_col).alias("m")).first()["m"]  # one scalar
     start = 0 if top is None else int(top) + 1
     # consecutive ids in the order of the new rows' columns, without a one-task window
-    numbered = with_dense_ids(rows, list(rows.columns), id_col, start=start)
+    numbered = with_dense_ids(rows, list(rows.columns), id_col, start=start,
+                              num_partitions=-(-rows.count() // ROWS_PER_PARTITION) or 1)
     return df.unionByName(numbered.select(*df.columns))

@@ -40,14 +40,15 @@ def label_recipes(recipes: DataFrame, id_col: str, list_col: str, item_labels: D
     """Recipes with an ``ARRAY<STRING>`` of items to ``(id, labels...)``.
 
     Empty list: every label true (all of nothing).  NULL list: NULL labels.
+    A NULL item has no label, so it counts as false.
     """
     exploded = recipes.select(id_col, F.col(list_col).isNull().alias("_null_list"),
+                              (F.coalesce(F.size(list_col), F.lit(0)) > 0).alias("_has_items"),
                               F.explode_outer(list_col).alias("_it"))
     labels = bounded_broadcast(item_labels.select(F.col(item_col).alias("_item"), *label_cols),
                                max_broadcast_rows, materialize=True)
     joined = exploded.join(labels, exploded["_it"] == labels["_item"], "left")
-    aggs = [F.bool_and(F.when(F.col("_it").isNull(), F.lit(True))
-                       .otherwise(F.coalesce(F.col(c), F.lit(False)))).alias(c) for c in label_cols]
+    aggs = [F.bool_and(~F.col("_has_items") | F.coalesce(F.col(c), F.lit(False))).alias(c) for c in label_cols]
     out = joined.groupBy(id_col).agg(F.max("_null_list").alias("_null_list"), *aggs)
     return out.select(id_col, *[F.when(~F.col("_null_list"), F.col(c)).alias(c) for c in label_cols])
 
@@ -74,11 +75,13 @@ def vocab_suggest(vocab: DataFrame, query: str, term_col: str = "ingredient") ->
 
 
 def parse_ids(spark, ids_text: str) -> DataFrame:
-    """Comma list of ids to ``(pos, term_id)``; items that are not all digits are skipped."""
+    """List of ids, separated by blanks or commas, to ``(pos, raw, term_id)``.
+
+    Items that are not all digits are skipped; a number beyond 64 bits has a NULL ``term_id``.
+    """
     parts = spark.createDataFrame([(ids_text,)], "s string") \
-        .select(F.posexplode(F.split("s", ",")).alias("pos", "raw"))
-    raw = F.trim("raw")
-    return parts.filter(raw.rlike("^[0-9]+$")).select("pos", raw.cast("long").alias("term_id"))
+        .select(F.posexplode(F.split(F.trim("s"), r"\s*,\s*|\s+")).alias("pos", "raw"))
+    return parts.filter(F.col("raw").rlike("^[0-9]+$")).select("pos", "raw", F.col("raw").try_cast("long").alias("term_id"))
 
 
 def ids_to_terms(spark, vocab: DataFrame, ids_text: str, term_col: str = "ingredient",
@@ -87,9 +90,9 @@ def ids_to_terms(spark, vocab: DataFrame, ids_text: str, term_col: str = "ingred
     ids = parse_ids(spark, ids_text)
     found = ids.join(vocab.withColumnRenamed("id", "term_id"), "term_id", "left")
     if strict:
-        missing = found.filter(F.col(term_col).isNull()).select("term_id").limit(5).collect()
+        missing = found.filter(F.col(term_col).isNull()).select("raw").limit(5).collect()
         if missing:
-            raise ValueError(f"unknown ingredient ids: {[r.term_id for r in missing]}")
+            raise ValueError(f"unknown ingredient ids: {[r.raw for r in missing]}")
     return found.filter(F.col(term_col).isNotNull()).select("pos", "term_id", term_col)
 
 

@@ -161,7 +161,7 @@ def like_filter(spark, sf_dir):
 
 
 ANY_TERMS = ["gear", "ROD", "a+b"]
-CARB_LIMIT = 1000
+CARB_LIMIT = 950
 
 
 @register("contains_any", f"""

@@ -1,7 +1,7 @@
 """How the driver tables stand in for the application's own data.
 
 ``part`` rows become ingredient lines and ``(p_brand, p_size)`` recipes,
-``p_retailprice / 100`` is the carbohydrate value, ``documents`` are
+half the distance of ``p_retailprice`` from 950 is the carbohydrate value, ``documents`` are
 recipe / description texts, ``labels`` are truth / prediction pairs,
 ``embeddings`` are the product catalogue, and ``nation -> region`` gives
 real category edges.  Each builder has its DuckDB twin for the oracles.
@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 from larder.plans.sql_text import q
 from larder.session import read_table
 
+CARBS_SQL = "(abs(p_retailprice - 950.0) / 2.0)"
+
+
+def carbs() -> Column:
+    """Carbohydrates of a part: 0 to 25, on both sides of the limit of 10."""
+    return F.abs(F.col("p_retailprice") - 950.0) / 2.0
+
+
 UNITS = ["cups", "tablespoons", "fluid ounces", "large", "pinch"]
 
 

@@ -76,12 +76,12 @@ def _vegan_phrase_labels(spark, sf_dir):
 @register("label_recipes", f"""
 WITH RECURSIVE {_vegan_cte()}
 SELECT p_brand, p_size, bool_and(coalesce(l.vegan, false)) AS vegan,
-       bool_and(p_retailprice / 100 <= 10) AS keto, count(*) AS n_items
+       bool_and({I.CARBS_SQL} <= 10) AS keto, count(*) AS n_items
 FROM items i LEFT JOIN labv l ON l.phrase = i.phrase
 GROUP BY p_brand, p_size""")
 def label_recipes(spark, sf_dir):
     lines, labels = _vegan_phrase_labels(spark, sf_dir)
-    items = lines.withColumn("keto_item", F.col("p_retailprice") / 100 <= 10)
+    items = lines.withColumn("keto_item", I.carbs() <= 10)
     # one label row per distinct line: broadcast only within the checked bound
     joined = items.join(bounded_broadcast(labels.select("line", "vegan"), materialize=True), "line", "left")
     return joined.groupBy("p_brand", "p_size").agg(
@@ -197,14 +197,14 @@ def label_recipes_knn(spark, sf_dir):
     """The whole labelling job: plant-based by lexicon, low-carb by nearest product.
 
     Catalogue: part names cleaned like products, carbs = median of
-    ``p_retailprice / 100`` per name.  Every distinct ingredient line is
+    ``inputs.carbs`` per name.  Every distinct ingredient line is
     encoded with the same fitted encoder and matched (exact blocked kNN) to
     the catalogue; its carbs decide.  Recipes are ``(p_brand, p_size)``.
     """
     from larder.operators import products as P
     from larder.operators import vectors as V
     part = read_table(spark, sf_dir, "part")
-    raw = part.select(F.col("p_name").alias("product_name"), (F.col("p_retailprice") / 100).alias("carbohydrates_100g"))
+    raw = part.select(F.col("p_name").alias("product_name"), I.carbs().alias("carbohydrates_100g"))
     cleaned = P.clean_names(raw, fold=False)
     catalogue = P.median_per_key(cleaned, "product_name", "carbohydrates_100g", "carbs")
     # 64-bit hash ids: a collision needs billions of distinct names (birthday bound ~2^32)
@@ -236,8 +236,8 @@ def _sample_list():
 
 
 _SAMPLE_SQL = f"""(SELECT p_partkey AS id, {_sample_list_sql()} AS ingredients,
-   p_retailprice / 100 <= 10 AS keto, NOT contains(lower(p_name), 'bolt') AS vegan FROM part)"""
-_CAT_NAME = S.singularize(S.clean_text("p_name"))
+   {I.CARBS_SQL} <= 10 AS keto, NOT contains(lower(p_name), 'bolt') AS vegan FROM part)"""
+_CAT_NAME = S.singularize(S.clean_text("p_name"), False)
 _ITEMS_SQL = f"""SELECT DISTINCT item, {S.singularize(S.extract_name('item'))} AS phrase
    FROM (SELECT unnest({S.parse_list_text('ingredients')}) AS item FROM {_SAMPLE_SQL})"""
 
@@ -268,7 +268,7 @@ UNION ALL SELECT 'weighted avg', wp / n, wr / n, wf / n, CAST(n AS BIGINT) FROM
 
 _EVAL_SQL = f"""
 WITH RECURSIVE {_vegan_cte(_ITEMS_SQL)},
-cat AS (SELECT name, quantile_disc(p_retailprice / 100, 0.5) AS carbs FROM (
+cat AS (SELECT name, quantile_disc({I.CARBS_SQL}, 0.5) AS carbs FROM (
           SELECT {_CAT_NAME} AS name, p_retailprice FROM part
           WHERE regexp_matches({S.clean_text('p_name')}, '[a-zA-Z].*[a-zA-Z]')
             AND trim({S.clean_text('p_name')}) <> '' AND p_retailprice IS NOT NULL)
@@ -295,12 +295,12 @@ def evaluate_sample(spark, sf_dir):
     from larder.sources import io as IO
     part = read_table(spark, sf_dir, "part")
     sample = part.select(F.col("p_partkey").alias("id"), _sample_list().alias("ingredients"),
-                         (F.col("p_retailprice") / 100 <= 10).alias("keto"),
+                         (I.carbs() <= 10).alias("keto"),
                          ~F.contains(F.lower("p_name"), F.lit("bolt")).alias("vegan"))
     path = IO.write_csv(sample, shared_path(spark, "sample-csv"))
     back = IO.read_csv(spark, path, "id BIGINT, ingredients STRING, keto BOOLEAN, vegan BOOLEAN")
     parsed = back.withColumn("items", T.parse_list_text("ingredients"))
-    names = part.select(F.col("p_name").alias("product_name"), (F.col("p_retailprice") / 100).alias("carbs"))
+    names = part.select(F.col("p_name").alias("product_name"), I.carbs().alias("carbs"))
     catalogue = P.median_per_key(P.clean_names(names, "product_name", "carbs", fold=False),
                                  "product_name", "carbs", "carbs")
     closure = L.category_closure(I.edges_df(spark, sf_dir),
@@ -308,6 +308,4 @@ def evaluate_sample(spark, sf_dir):
     pred = L.label_sample(parsed, "id", "items", I.lexicon_df(spark), closure.select("term"),
                           catalogue, "product_name", "carbs")
     joined = back.join(pred.select("id", F.col("keto").alias("keto_pred"), F.col("vegan").alias("vegan_pred")), "id")
-    keto = EV.classification_report(joined, "keto", "keto_pred").select(F.lit("keto").alias("diet"), "*")
-    vegan = EV.classification_report(joined, "vegan", "vegan_pred").select(F.lit("vegan").alias("diet"), "*")
-    return keto.unionByName(vegan)
+    return EV.classification_reports(joined, {"keto": ("keto", "keto_pred"), "vegan": ("vegan", "vegan_pred")}, "diet")

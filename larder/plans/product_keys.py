@@ -78,9 +78,9 @@ def pick_nutriment(spark, sf_dir):
 _CLEAN_SQL = f"""
 WITH c AS (SELECT doc_id, {S.clean_text('strip_accents(text)')} AS product_name
            FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND n_chars IS NOT NULL)
-SELECT doc_id, {S.singularize('product_name')} AS product_name FROM c
+SELECT doc_id, {S.singularize('product_name', False)} AS product_name FROM c
 WHERE regexp_matches(product_name, '[a-zA-Z].*[a-zA-Z]') AND trim(product_name) <> ''
-  AND trim({S.singularize('product_name')}) <> ''"""
+  AND trim({S.singularize('product_name', False)}) <> ''"""
 
 
 @register("clean_products", _CLEAN_SQL)
@@ -104,7 +104,7 @@ picked AS (SELECT list_filter(product_name, lambda x: lower(x.lang) = 'en')[1].t
                   n_chars / 100.0 AS carbs FROM raw),
 c1 AS (SELECT {S.clean_text('strip_accents(product_name)')} AS name, carbs FROM picked
        WHERE product_name IS NOT NULL AND trim(product_name) <> '' AND carbs IS NOT NULL),
-c2 AS (SELECT {S.singularize('name')} AS name, carbs FROM c1
+c2 AS (SELECT {S.singularize('name', False)} AS name, carbs FROM c1
        WHERE regexp_matches(name, '[a-zA-Z].*[a-zA-Z]') AND trim(name) <> '')
 SELECT name AS product_name, CAST(quantile_disc(carbs, 0.5) AS FLOAT) AS carbohydrates_100g
 FROM c2 WHERE trim(name) <> '' GROUP BY name""")
@@ -118,7 +118,7 @@ picked AS (SELECT list_filter(product_name, lambda x: lower(x.lang) = 'en')[1].t
                   n_chars / 100.0 AS carbs FROM raw),
 c0 AS (SELECT * FROM picked WHERE product_name IS NOT NULL AND trim(product_name) <> '' AND carbs IS NOT NULL),
 c1 AS (SELECT {S.clean_text('strip_accents(product_name)')} AS name FROM c0),
-c2 AS (SELECT {S.singularize('name')} AS name FROM c1
+c2 AS (SELECT {S.singularize('name', False)} AS name FROM c1
        WHERE regexp_matches(name, '[a-zA-Z].*[a-zA-Z]') AND trim(name) <> ''),
 c3 AS (SELECT name FROM c2 WHERE trim(name) <> '')
 SELECT * FROM (VALUES
@@ -183,7 +183,7 @@ def apply_overrides(spark, sf_dir):
     return P.apply_overrides(part, ov, "p_name", "p_retailprice", "product_name", "carbohydrates_100g")
 
 
-NEW_ROWS = [("egg yolk", 3.6), ("hot water", 0.0), ("lemon peel", 16.0), ("vanilla ice cream", 23.6)]
+NEW_ROWS = [("made broth", 2.5), ("test grain", 71.25), ("sample leaf", 0.0), ("trial syrup", 64.0)]
 
 
 @register("append_rows", f"""

@@ -56,8 +56,8 @@ def singular_word(w: str) -> str:
             f"ELSE {w} END")
 
 
-def singularize(x: str) -> str:
-    s = collapse_ws(f"replace(lower({x}), '-', ' ')")
+def singularize(x: str, split_hyphens: bool = True) -> str:
+    s = collapse_ws(f"replace(lower({x}), '-', ' ')" if split_hyphens else f"lower({x})")
     return f"array_to_string(list_transform(string_split({s}, ' '), lambda w: {singular_word('w')}), ' ')"
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -74,8 +75,8 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> int:
 def _has_rows(spark: SparkSession, path: str) -> bool:
     try:
         return spark.read.parquet(path).limit(1).count() > 0
-    except Exception as e:  # noqa: BLE001 - a missing path is the normal "not loaded" case
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):   # not loaded yet
             return False
         raise
 
@@ -93,19 +94,22 @@ def guarded_load(df: DataFrame, target: str, rebuild: bool = False) -> int:
     return spark.read.parquet(target).count()
 
 
-def resume_missing(source: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], target: str) -> int:
+def resume_missing(source: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], target: str,
+                   chunks: int = 4) -> int:
     """Compute and append only the keys not yet in ``target`` (resumable long job).
 
     A left-anti join against what is already written picks the remaining
-    rows; a rerun after a crash repeats nothing that was committed.
+    rows.  They are committed in ``chunks`` appends, split by a hash of the
+    key, so a rerun after a crash repeats at most the chunk that was not done.
     """
     spark = source.sparkSession
     todo = source
     if _has_rows(spark, target):
         done = spark.read.parquet(target).select(key)
         todo = source.join(done, key, "left_anti")
-    out = compute(todo)
-    out.write.mode("append").parquet(target)
+    for i in range(chunks):
+        chunk = todo.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i)
+        compute(chunk).write.mode("append").parquet(target)
     return spark.read.parquet(target).count()
 
 
@@ -129,6 +133,7 @@ def load_labelled(df: DataFrame, target: str, label_cols: list[str], max_records
     time (partition filters) instead of reading every file.  Read it back
     with the table's schema so the label folders come back as booleans.
     """
-    df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file) \
+    # adaptive execution brings the rows of a label together, splits large ones and merges small ones
+    df.hint("rebalance", *label_cols).write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file) \
         .partitionBy(*label_cols).parquet(target)
     return target

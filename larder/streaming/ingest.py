@@ -19,6 +19,10 @@ from pyspark.sql.types import StructType
 from larder.operators.util import with_dense_ids
 
 
+VOCAB_SCHEMA = "term STRING, id BIGINT, batch INT"
+TERMS_PER_PARTITION = 1_000_000
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -46,18 +50,24 @@ def ingest(spark: SparkSession, src: str, schema: StructType | str, target: str,
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         ran.append(batch_id)
+        batch = batch.persist()                     # read once for the rows and once for the terms
         labeller(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         if vocab is not None and vocab_terms is not None:
             terms = vocab_terms(batch).select("term").distinct()
             start = 1
             if _exists(spark, vocab):
-                earlier = spark.read.parquet(vocab).filter(F.col("batch") < batch_id)
+                # the schema is given: a folder left without files by a crash reads as empty
+                earlier = spark.read.schema(VOCAB_SCHEMA).parquet(vocab).filter(F.col("batch") < batch_id)
                 terms = terms.join(earlier.select("term"), "term", "left_anti")
                 top = earlier.agg(F.max("id")).first()[0]
                 start = 1 if top is None else int(top) + 1
             # new terms continue the id sequence, in text order: ids never change once given
-            with_dense_ids(terms, ["term"], "id", start=start) \
+            terms = terms.persist()
+            with_dense_ids(terms, ["term"], "id", start=start,
+                           num_partitions=-(-terms.count() // TERMS_PER_PARTITION) or 1) \
                 .write.mode("overwrite").parquet(f"{vocab}/batch={batch_id}")
+            terms.unpersist()
+        batch.unpersist()
 
     query = (stream.writeStream.foreachBatch(run_batch)
              .option("checkpointLocation", checkpoint)
