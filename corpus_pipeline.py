@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm.common import staged, table
+from larder.llm.common import renamed, staged, table
 from larder.llm.jaccard import jaccard_join
 from larder.llm.mixing import mix
 from larder.llm.packing import pack_documents
@@ -21,14 +21,19 @@ SHINGLE, PERCENT = 5, 80      # near-duplicates of the corpus: word 5-grams, sim
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, cutoffs certified on ``labels``."""
-    out = quality_rules(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return out.where("q_kept").select(*docs.columns)
+    plain, name = renamed(docs)
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", name["doc_id"])
+    out = quality_rules(plain, labels, id_col=name["doc_id"], text_col=name["text"], stratum_col=name["lang"],
+                        keep=plain.columns)
+    return out.where("q_kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    out = jaccard_join(docs, shingle=SHINGLE, percent=PERCENT, keep=docs.columns)
-    return out.where("j_first").select(*docs.columns)
+    plain, name = renamed(docs)
+    out = jaccard_join(plain, id_col=name["doc_id"], text_col=name["text"], shingle=SHINGLE, percent=PERCENT,
+                       keep=plain.columns)
+    return out.where("j_first").select(*plain.columns).toDF(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,15 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict]:
+    """``df`` with its columns named c0, c1, ... and the new name of each old one.
+
+    An operator's own columns then clash with none of them; ``toDF`` with the old names undoes it.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def map_bytes(df: DataFrame, column: str, fn: Callable[[list], dict], fields: list[T.StructField],
               keep: list[str]) -> DataFrame:
     """Append columns computed from a text column's UTF-8 bytes, batch by batch in Arrow.

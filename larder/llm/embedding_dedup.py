@@ -74,7 +74,7 @@ def signature(x: np.ndarray, width: float, k: int, tables: int) -> np.ndarray:
     """One 64-bit bucket name per table."""
     directions, shift = projections(len(x), k, tables)
     cells = np.floor((x @ directions) / width + shift).astype(np.int32).reshape(tables, k)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=t) for t, row in enumerate(cells)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=(len(x) << 32) + t) for t, row in enumerate(cells)], np.uint64)
 
 
 def _linked(ids, vectors, names, tile, table: int, crossing: bool, threshold: float):

@@ -143,15 +143,17 @@ class ByteConvNet:
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, max_docs: int) -> tuple:
     """(rows, labels) of at most ``max_docs * WINDOWS_PER_DOC`` windows, balanced over the labels."""
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.groupBy(F.col(label_col).alias("label")).count()
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                           F.col(label_col).cast("string").alias("name")) \
+        .where("name IS NOT NULL AND text IS NOT NULL")
+    counts = labelled.groupBy(F.col("name").alias("label")).count()
     n_labels = counts.count()
     if not n_labels:
         return np.zeros((0, WINDOW), np.uint8), []
     share = F.lit(max_docs // n_labels + 1) / F.col("count")
-    unit = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = labelled.join(small(counts), F.col(label_col) == F.col("label")).where(unit < share) \
-        .select(F.col(text_col).cast("binary").alias("text"), "label")
+    unit = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    picked = labelled.join(small(counts), F.col("name") == F.col("label")).where(unit < share) \
+        .select(F.col("text").cast("binary").alias("text"), "label")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

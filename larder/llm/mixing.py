@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import WORD, small, staged
+from larder.llm.common import WORD, renamed, small, staged
 
 LIMIT = 3
 
@@ -76,6 +76,9 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: every document's row as often as it is taken, all columns kept."""
-    out = mix_counts(docs, keep=docs.columns, **options)
+    plain, name = renamed(docs)
+    columns = {k: name[options.pop(k, default)] for k, default in
+               (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    out = mix_counts(plain, keep=plain.columns, **columns, **options)
     return out.where("m_copies > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))) \
-        .select(*docs.columns)
+        .select(*plain.columns).toDF(*docs.columns)

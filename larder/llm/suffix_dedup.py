@@ -244,11 +244,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = runs.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix")
     again = staged(runs.join(often, "suffix"), "repeated-runs")
     place = F.struct("id", "h", "first")
-    kinds = again.groupBy("suffix", "run").agg(F.min(F.struct("id", "h", "first", "windows", "distance")).alias("x"))
-    kinds = staged(kinds.select("suffix", "run", "x.*"), "run-kinds")
+    kinds = again.groupBy("suffix", "run").agg(F.min(F.struct("id", "h", "first", "windows", "distance")).alias("x"),
+                                               F.count(F.lit(1)).alias("times"))
+    kinds = staged(kinds.select("suffix", "run", "x.*", "times"), "run-kinds")
 
     # every occurrence of a run but its earliest goes whole
-    whole = again.join(kinds.select("suffix", "run", place.alias("earliest")), ["suffix", "run"]) \
+    whole = again.join(kinds.where("times > 1").select("suffix", "run", place.alias("earliest")), ["suffix", "run"]) \
         .where(place != F.col("earliest")) \
         .select("id", "h", F.col("first").cast("long").alias("begin"),
                 (F.col("first") + F.col("windows") - 1).cast("long").alias("end"))
@@ -270,12 +271,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = texts.repartition("suffix", "part").sortWithinPartitions("suffix", "part") \
         .mapInArrow(_compare, "id long, h long, begin long, end long")
 
-    spans = staged(whole.unionByName(judged), "repeated-windows") \
-        .groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    spans = staged(spans, "document-spans")
-    n_spans = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    spans = whole.unionByName(judged).groupBy("id", "h") \
+        .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")) \
+        .select("id", "h", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end"))
+    spans = staged(spans.mapInArrow(_merged, "id long, h long, begin array<long>, end array<long>"), "document-spans")
+    n_spans = spans.agg(F.sum(F.size("begin"))).first()[0] or 0
     rows = source.join(F.broadcast(spans) if n_spans <= BROADCAST_RUNS else spans, ["id", "h"], "left") \
-        .select("doc", "text", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end"))
+        .select("doc", "text", "begin", "end")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
                            T.StructField("kept", T.BinaryType())])
@@ -286,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for text, begin, end in zip(*[c.to_pylist() for c in batch.columns[1:]]):
                 gone, n, at, kept = 0, 0, 0, []
-                for a, b in _covered(begin, end):
+                for a, b in zip(begin or [], end or []):
                     kept.append(text[at:a])
                     gone, n, at = gone + b - a, n + 1, b
                 out.append((len(text), gone, n, b"".join([*kept, text[at:]])))
@@ -297,10 +299,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(remove, schema)
 
 
-def _covered(begin: list | None, end: list | None) -> list[tuple[int, int]]:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_covered(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1)]
+            + [pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int64())) for i in (0, 1)],
+            names=["id", "h", "begin", "end"])
+
+
+def _covered(begin: list, end: list) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by windows that start from ``begin`` to ``end`` (sorted by begin)."""
     out: list[list[int]] = []
-    for a, b in zip(begin or [], end or []):
+    for a, b in zip(begin, end):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b + LENGTH)
         else:
