@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from larder.session import shared_path
 
 WORD = r"[^\x20\x09-\x0D]+"          # a word: no space, tab, LF, VT, FF or CR
+SLICE_BYTES = 4 << 20                # of texts that a Python task works on at a time
 BROADCAST_ROWS = 10_000              # a side with more rows is joined by a shuffle
 
 
@@ -46,6 +49,18 @@ def renamed(df: DataFrame) -> tuple[DataFrame, dict]:
     return df.toDF(*names), dict(zip(df.columns, names))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int = -1) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``SLICE_BYTES`` of a text column, so that memory follows the bytes, not the rows."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column % batch.num_columns)), 0)))
+        start = 0
+        while start < batch.num_rows:
+            done = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, done + SLICE_BYTES, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def map_bytes(df: DataFrame, column: str, fn: Callable[[list], dict], fields: list[T.StructField],
               keep: list[str]) -> DataFrame:
     """Append columns computed from a text column's UTF-8 bytes, batch by batch in Arrow.
@@ -59,7 +74,7 @@ def map_bytes(df: DataFrame, column: str, fn: Callable[[list], dict], fields: li
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = fn(batch.column(batch.num_columns - 1).to_pylist())
             arrays = [c.cast(f.type) for c, f in zip(batch.columns[:-1], arrow)]
             arrays += [pa.array(new[f.name], type=f.type) for f in list(arrow)[len(arrays):]]

@@ -45,14 +45,14 @@ WINDOW = 4_000_000        # tokens counted at a time in a task
 POSTING = 16              # sets that share a rare prefix token
 PASSES = 3                # times that the prefixes are taken; tokens still above POSTING are linked by stars
 SHARED = 4                # rare tokens that make a candidate (fewer for small sets)
-TILE_ROWS, TILE_BYTES = 4096, 64 << 20
+TILE_ROWS, TILE_BYTES = 3000, 64 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes:
     """64-bit hashes of words, remembered in the worker up to a bound."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 300_000):
         self.known: dict[bytes, int] = {}
         self.bound = bound
 
@@ -137,10 +137,13 @@ def linked_labels(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np
         m = np.zeros((g, len(part)), np.float32)
         for j, t in enumerate(part.tolist()):
             m[owner[start[t]:start[t] + df[t]], j] = 1
-        shared += np.triu(m @ m.T, 1).astype(np.int32)
-    shared = shared + shared.T
-    link = (100 + percent) * shared.astype(np.int64) >= percent * (size[:, None] + size[None, :])
-    link &= shared > 0
+        shared += (m @ m.T).astype(np.int32)
+    link = np.zeros((g, g), dtype=bool)
+    for i in range(0, g, 512):                             # the counts above the diagonal are whole
+        part = shared[i:i + 512].astype(np.int64)
+        link[i:i + 512] = np.triu((100 + percent) * part >= percent * (size[i:i + 512, None] + size[None, :]), i + 1) \
+            & (part > 0)
+    link |= link.T
     label = np.full(g, -1)
     for i in np.argsort(nodes, kind="stable").tolist():
         if label[i] < 0:
