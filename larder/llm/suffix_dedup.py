@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larder.llm.common import staged
+from larder.llm.common import small, staged
 
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM                 # a sampled suffix starts at most so far right of its window
 CHUNK = 1 << 22                       # windows looked at together; their places fit PLACE bits
 PLACE = np.uint64((1 << 23) - 1)
 TUPLES = 100_000                      # tuples of a group that are sorted together
-BROADCAST_RUNS = 500_000
+BROADCAST_ITEMS = 2_000_000           # longs of a broadcast side: suffixes or range ends of documents
 
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,6 +196,30 @@ def _runs_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, schema)
 
 
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a document around its wanted suffixes, each with the bytes of its windows."""
+    names = ["suffix", "id", "h", "first", "windows", "distance", "text"]
+    for batch in batches:
+        held: list[pa.RecordBatch] = []
+        for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            wanted = np.array(wanted, np.int64).view(np.uint64)
+            for suffix, _, first, windows, distance in sampled_runs(text):
+                hit = np.flatnonzero(np.isin(suffix, wanted))
+                first, windows = first[hit], windows[hit]
+                held.append(pa.RecordBatch.from_arrays(
+                    [pa.array(suffix[hit].view(np.int64)), *[batch.column(k).take(pa.array(np.full(len(hit), i)))
+                                                             for k in (0, 1)],
+                     pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int16)),
+                     pa.array(distance[hit].astype(np.int16)),
+                     pa.array([text[a:a + n + LENGTH - 1] for a, n in zip(first.tolist(), windows.tolist())],
+                              pa.binary())], names=names))
+                if sum(b.num_rows for b in held) >= 5000 or len(held) >= 200:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole groups of a partition sorted by suffix and part, a bounded number of tuples at a time."""
 
@@ -257,16 +281,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # different runs around one sampled suffix are compared window by window
     groups = kinds.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1") \
         .select("suffix", F.ceil(F.col("n") / TUPLES).cast("long").alias("parts"))
-    tuples = kinds.join(groups, "suffix")
-    wanted = tuples.groupBy("id", "h").agg(F.collect_list(
-        F.struct("suffix", "parts", "first", "windows", "distance")).alias("runs"))
-    wanted = staged(wanted, "wanted-runs")
-    n_wanted = wanted.agg(F.sum(F.size("runs"))).first()[0] or 0
+    groups = staged(groups, "suffix-groups")
+    wanted = staged(kinds.join(groups, "suffix").groupBy("id", "h").agg(F.collect_set("suffix").alias("wanted")),
+                    "wanted-suffixes")
+    n_wanted = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     texts = source.select("id", "h", "text").join(
-        F.broadcast(wanted) if n_wanted <= BROADCAST_RUNS else wanted, ["id", "h"]) \
-        .select("id", "h", "text", F.explode("runs").alias("r")) \
-        .select("r.suffix", "r.parts", "id", "h", "r.first", "r.windows", "r.distance",
-                F.substring("text", F.col("r.first") + 1, F.col("r.windows") + (LENGTH - 1)).alias("text")) \
+        F.broadcast(wanted) if n_wanted <= BROADCAST_ITEMS else wanted, ["id", "h"]) \
+        .mapInArrow(_tuples, "suffix long, id long, h long, first int, windows short, distance short, text binary") \
+        .join(small(groups.where("parts > 1")), "suffix", "left") \
+        .withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) \
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     judged = texts.repartition("suffix", "part").sortWithinPartitions("suffix", "part") \
         .mapInArrow(_compare, "id long, h long, begin long, end long")
@@ -275,8 +298,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")) \
         .select("id", "h", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end"))
     spans = staged(spans.mapInArrow(_merged, "id long, h long, begin array<long>, end array<long>"), "document-spans")
-    n_spans = spans.agg(F.sum(F.size("begin"))).first()[0] or 0
-    rows = source.join(F.broadcast(spans) if n_spans <= BROADCAST_RUNS else spans, ["id", "h"], "left") \
+    n_spans = spans.agg(F.sum(2 * F.size("begin"))).first()[0] or 0
+    rows = source.join(F.broadcast(spans) if n_spans <= BROADCAST_ITEMS else spans, ["id", "h"], "left") \
         .select("doc", "text", "begin", "end")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
