@@ -126,7 +126,7 @@ def test_removal_equals_plain(make_docs, words, monkeypatch, tuples):
 
 def test_removal_over_chunks_and_shuffle_joins(make_docs, words, monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 500)
-    monkeypatch.setattr(S, "BROADCAST_RUNS", 0)
+    monkeypatch.setattr(S, "BROADCAST_ITEMS", 0)
     docs = repeated_docs(words)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))
            for r in S.remove_repeats(make_docs(docs)).collect()}
