@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions import text as T
+
 EPS = 1e-8
 
 
@@ -113,6 +115,10 @@ def _merge_topk(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_v"))
+
+
 def _blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
@@ -123,16 +129,16 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int = 1, query_id: str = "q
         block_bytes: int = 256 << 20) -> DataFrame:
     """Exact top-k cosine neighbours: ``(query_id, item_id, sim, rank)``; ties by ``item_id``.
 
-    Block sizes default to what fits ``block_bytes`` of float64 vectors per
+    A NULL vector matches nothing; of several rows with one query id the
+    largest vector (by array order) is searched.  Block sizes default to what fits ``block_bytes`` of float64 vectors per
     side, which keeps the replication (``|Q| x C + |C| x Q`` rows) low.
     """
     # both sides are written once (shared checkpoint folder): the row counts that size
     # the blocks and the block join then read the vectors instead of recomputing
     # whatever produced them (an encoder, a lexicon pass), and a lost executor
     # resumes from the written vectors
-    q = queries.select(F.col(query_id).cast("long").alias("_id"), F.col(vec).alias("_v")) \
-        .dropDuplicates(["_id"]).checkpoint(eager=True)
-    c = catalogue.select(F.col(item_id).cast("long").alias("_id"), F.col(vec).alias("_v")).checkpoint(eager=True)
+    q = _vectors(queries, query_id, vec).groupBy("_id").agg(F.max("_v").alias("_v")).checkpoint(eager=True)
+    c = _vectors(catalogue, item_id, vec).checkpoint(eager=True)
     nq, nc = q.count(), c.count()
     if query_block_rows is None or item_block_rows is None:
         first = c.select(F.size("_v")).first()
@@ -150,64 +156,91 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int = 1, query_id: str = "q
     return _merge_topk(cands, k)
 
 
+RECALL_SAMPLE = 256      # catalogue vectors on which ``build`` measures the cells to probe
+TARGET_RECALL = 0.95
+
+
 class IvfIndex:
     """An inverted-file index over a catalogue: k-means cells, stored once, probed many times.
 
-    ``build`` trains MLlib k-means on the L2-normalised catalogue (distributed),
-    writes the centroids and the catalogue with its cell and salt to the
-    shared folder, and records the salt count that splits the largest cell
-    into groups of about ``cell_block_rows``.  ``query`` sends each query to
-    its ``nprobe`` nearest centroids (a blocked kNN against the centroid
-    table) and runs the blocked top-k inside each probed (cell, salt) group.
-    With ``nprobe >= cells`` every cell is searched and the answer equals ``knn``.
+    ``build`` trains MLlib k-means on the L2-normalised catalogue (distributed)
+    and writes the centroids and the catalogue with its cell to the shared
+    folder.  The cells that a query probes are measured, not fixed: for a
+    sample of the catalogue, the rank of the cell that holds the exact nearest
+    neighbour, at the share ``target_recall`` of the sample, so the number grows with
+    the cells.  ``query`` sends each query to its nearest centroids (a blocked kNN against the
+    centroid table) and runs the blocked top-k inside each probed cell; a cell is
+    cut into salts by its own size and its queries into blocks, so neither
+    side of a group grows.  With ``nprobe >= cells`` every cell is searched and the
+    answer equals ``knn``.
     """
 
-    def __init__(self, centroids: DataFrame, items: DataFrame, salts: int, cells: int):
-        self.centroids, self.items, self.salts, self.cells = centroids, items, salts, cells
+    def __init__(self, centroids: DataFrame, items: DataFrame, salts: DataFrame, cells: int, nprobe: int,
+                 block_rows: int):
+        self.centroids, self.items, self.salts = centroids, items, salts
+        self.cells, self.nprobe, self.block_rows = cells, nprobe, block_rows
 
     @classmethod
     def build(cls, catalogue: DataFrame, item_id: str = "item_id", vec: str = "embedding",
               cells: int | None = None, seed: int = 42, max_iter: int = 20, cell_block_rows: int = 20_000,
-              path: str | None = None) -> "IvfIndex":
+              path: str | None = None, target_recall: float = TARGET_RECALL) -> "IvfIndex":
         from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
 
         from larder.session import shared_path
         spark = catalogue.sparkSession
-        c = catalogue.select(F.col(item_id).cast("long").alias("_id"),
-                             l2_normalize(F.col(vec), as_float=False).alias("_v")).checkpoint(eager=True)
+        c = _vectors(catalogue, item_id, vec).select("_id", l2_normalize(F.col("_v"), as_float=False).alias("_v")) \
+            .checkpoint(eager=True)
         nc = c.count()
         cells = cells or max(1, round(math.sqrt(nc)))
         feats = c.withColumn("_f", array_to_vector("_v"))
         model = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
-        centers = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]  # cells x dim
         assigned = model.transform(feats).select("_id", "_v", F.col("cell").cast("int"))
         path = path or shared_path(spark, "ivf")
         assigned.write.mode("overwrite").parquet(f"{path}/items")
-        spark.createDataFrame(centers, "cell int, embedding array<double>") \
-            .write.mode("overwrite").parquet(f"{path}/centroids")
         items = spark.read.parquet(f"{path}/items")
-        biggest = items.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
-        salts = _blocks(biggest, cell_block_rows)
-        items = items.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-        return cls(spark.read.parquet(f"{path}/centroids"), items, salts, len(centers))
-
-    def query(self, queries: DataFrame, k: int = 1, nprobe: int = 8, query_id: str = "query_id",
+        # the mean of a cell's members is its centroid: no list of centroids goes through the driver
+        items.groupBy("cell").agg(vector_to_array(Summarizer.mean(array_to_vector("_v"))).alias("embedding")) \
+            .write.mode("overwrite").parquet(f"{path}/centroids")
+        centroids = spark.read.parquet(f"{path}/centroids")
+        salts = items.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_block_rows).cast("int").alias("salts"))
+        salts.write.mode("overwrite").parquet(f"{path}/salts")
+        salts = spark.read.parquet(f"{path}/salts")
+        cells = salts.count()
+        # rank of the cell of the exact neighbour, for a sample by hash
+        share = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * RECALL_SAMPLE / max(nc, 1)))
+        sample = c.where(share).limit(RECALL_SAMPLE).checkpoint(eager=True)
+        best = knn(sample, c, k=1, query_id="_id", item_id="_id", vec="_v", exclude_same_id=True)
+        order = knn(sample.withColumnRenamed("_v", "embedding"), centroids, k=cells, query_id="_id", item_id="cell")
+        ranks = best.select("query_id", F.col("item_id").alias("_id")).join(items.select("_id", "cell"), "_id") \
+            .join(order.select("query_id", F.col("item_id").alias("cell"), "rank"), ["query_id", "cell"])
+        nprobe = ranks.agg(F.percentile("rank", target_recall)).first()[0]
+        return cls(centroids, items, salts, cells, max(1, math.ceil(nprobe or 1)), cell_block_rows)
+
+    def query(self, queries: DataFrame, k: int = 1, nprobe: int | None = None, query_id: str = "query_id",
               vec: str = "embedding", exclude_same_id: bool = False) -> DataFrame:
-        nprobe = min(nprobe, self.cells)
-        q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("embedding")) \
-            .dropDuplicates(["query_id"]).checkpoint(eager=True)
-        probes = knn(q, self.centroids, k=nprobe, query_id="query_id", item_id="cell") \
-            .select("query_id", F.col("item_id").cast("int").alias("cell"))
-        qs = probes.join(q, "query_id").select(F.col("query_id").alias("_id"), F.col("embedding").alias("_v"), "cell") \
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
-        cands = qs.groupBy("cell", "salt").cogroup(self.items.groupBy("cell", "salt")).applyInPandas(
-            _block_fn(k, exclude_same_id), "query_id long, item_id long, sim double")
+        nprobe = min(nprobe or self.nprobe, self.cells)
+        q = _vectors(queries, query_id, vec).groupBy("_id").agg(F.max("_v").alias("_v")).checkpoint(eager=True)
+        probes = knn(q.withColumnRenamed("_v", "embedding"), self.centroids, k=nprobe, query_id="_id", item_id="cell")
+        probes = probes.select(F.col("query_id").alias("_id"), F.col("item_id").cast("int").alias("cell")) \
+            .checkpoint(eager=True)
+        blocks = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("blocks"))
+        plan = self.salts.join(blocks, "cell").checkpoint(eager=True)
+        qs = probes.join(q, "_id").join(plan, "cell") \
+            .withColumn("block", F.pmod(F.xxhash64("_id"), "blocks").cast("int")) \
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        its = self.items.join(plan, "cell") \
+            .withColumn("salt", F.pmod(F.xxhash64("_id"), "salts").cast("int")) \
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        key = ["cell", "salt", "block"]
+        cands = qs.select("_id", "_v", *key).groupBy(*key).cogroup(its.select("_id", "_v", *key).groupBy(*key)) \
+            .applyInPandas(_block_fn(k, exclude_same_id), "query_id long, item_id long, sim double")
         return _merge_topk(cands, k)
 
 
 def knn_ivf(queries: DataFrame, catalogue: DataFrame, k: int = 1, cells: int | None = None,
-            nprobe: int = 8, seed: int = 42, query_id: str = "query_id", item_id: str = "item_id",
+            nprobe: int | None = None, seed: int = 42, query_id: str = "query_id", item_id: str = "item_id",
             vec: str = "embedding", exclude_same_id: bool = False, cell_block_rows: int = 20_000,
             max_iter: int = 20) -> DataFrame:
     """Approximate top-k: build an ``IvfIndex`` over the catalogue and query it once."""
@@ -226,34 +259,41 @@ def classify_keto(matches: DataFrame, catalogue: DataFrame, item_id: str, carb_c
 
 # ----------------------------------------------------------------- encoder
 
-class _ArrayOutput:
-    """Fitted MLlib pipeline whose ``transform`` adds ``out`` as ``ARRAY<FLOAT>``."""
+def term_buckets(col, dim: int) -> Column:
+    """The bucket of each term of a text, as strings: the first 32 bits of the term's MD5 modulo ``dim``."""
+    return F.transform(T.analyse_terms(col), lambda t: F.pmod(
+        F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("string"))
+
+
+class _TextEncoder:
+    """Fitted pipeline whose ``transform`` adds ``out`` as ``ARRAY<FLOAT>``."""
 
-    def __init__(self, model, out):
-        self.model, self.out = model, out
+    def __init__(self, model, col, dim, out):
+        self.model, self.col, self.dim, self.out = model, col, dim, out
 
     def transform(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
-        return self.model.transform(df).withColumn(self.out, vector_to_array("_n", "float32")) \
-            .drop("_tok", "_tf", "_idf", "_n")
+        buckets = F.coalesce(term_buckets(self.col, self.dim), F.array().cast("array<string>"))
+        return self.model.transform(df.withColumn("_tok", buckets)) \
+            .withColumn(self.out, vector_to_array("_n", "float32")).drop("_tok", "_tf", "_idf", "_n")
 
 
 def fit_text_encoder(df: DataFrame, col: str, dim: int = 256, out: str = "embedding", min_doc_freq: int = 0):
     """Built-in text encoder: lowercase terms -> hashed term frequencies -> IDF -> L2 norm.
 
-    All MLlib stages, fitted on the cluster (IDF is one distributed pass whose
-    state is a ``dim``-long vector); the returned object embeds any frame.
+    Buckets are a column expression (``term_buckets``), the rest are MLlib
+    stages, fitted on the cluster (IDF is one distributed pass whose state is a
+    ``dim``-long vector); the returned object embeds any frame.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=col, outputCol="_tok", pattern="[^\\p{L}\\p{N}]+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_idf", minDocFreq=min_doc_freq),
-        Normalizer(inputCol="_idf", outputCol="_n", p=2.0),
-    ])
-    return _ArrayOutput(pipe.fit(df), out)
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
+
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_tok", outputCol="_tf")
+    buckets = F.coalesce(term_buckets(col, dim), F.array().cast("array<string>"))
+    idf = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=min_doc_freq) \
+        .fit(counts.transform(df.select(buckets.alias("_tok"))))
+    model = PipelineModel([counts, idf, Normalizer(inputCol="_idf", outputCol="_n", p=2.0)])
+    return _TextEncoder(model, col, dim, out)
 
 
 def encode_text(df: DataFrame, col: str, dim: int = 256, out: str = "embedding",

@@ -8,6 +8,7 @@ from larder.functions import text as T
 from larder.operators.lexicon import keyword_flag
 from larder.plans import sql_text as S
 from larder.plans.registry import register
+from larder.plans.vector_keys import encoder_sql
 from larder.plans.sql_text import q
 from larder.session import read_table, shared_path
 from larder.streaming import ingest as ING
@@ -42,7 +43,7 @@ def stream_ingest(spark, sf_dir):
     return ING.read_ingested(spark, target)
 
 
-@register("embed_resume")
+@register("embed_resume", encoder_sql(64))
 def embed_resume(spark, sf_dir):
     """Resumable embedding (R2): fit the encoder once, then embed arriving files batch by batch."""
     from larder.operators.vectors import fit_text_encoder
