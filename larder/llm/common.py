@@ -21,15 +21,24 @@ BROADCAST_ROWS = 10_000              # a side with more rows is joined by a shuf
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, unchanged."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python hold a few megabytes, unless the session sets their size itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     It cuts the lineage: what follows reads files that every executor sees,
     so a lost executor repeats only its own tasks, and the work above runs once.
     """
+    bounded_batches(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

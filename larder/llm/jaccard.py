@@ -40,10 +40,10 @@ from larder.llm.common import map_bytes, small, staged
 from larder.llm.components import connected_components
 
 FREQUENT = 1 << 20        # frequent tokens at the start, the most frequent ones, broadcast as 16 MB at most
-LEAST_COUNT = 8           # tokens counted less often start as rare
-WINDOW = 4_000_000        # tokens counted at a time in a task
-POSTING = 16              # sets that share a rare prefix token
-PASSES = 3                # times that the prefixes are taken; tokens still above POSTING are linked by stars
+LEAST_COUNT = 6           # tokens counted less often start as rare
+WINDOW = 3_000_000        # tokens counted at a time in a task
+POSTING = 48              # sets that share a rare prefix token
+PASSES = 2                # times that the prefixes are taken; tokens still above POSTING are linked by stars
 SHARED = 4                # rare tokens that make a candidate (fewer for small sets)
 TILE_ROWS, TILE_BYTES = 3000, 64 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
