@@ -52,13 +52,8 @@ def build_postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
         docs.select(F.col(id_col).alias("doc_id"), T.analyse_terms(text_col).alias("_t"))
         .select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
         .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    terms = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
-    return postings, n.crossJoin(terms).select("n", _average(F.col("terms"), F.col("n")).alias("avgdl"))
-
-
-def _average(total: Column, n: Column) -> Column:
-    return F.when(n > 0, total.cast("double") / n).otherwise(F.lit(0.0))
+    n, terms = docs.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    return postings, docs.sparkSession.createDataFrame([(n, terms / n if n else 0.0)], "n long, avgdl double")
 
 
 def _scan_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -70,8 +65,7 @@ def _scan_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) ->
     hits = per_doc.select("doc_id", "dl", F.explode("_h").alias("term")) \
         .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     dl = F.when(F.col("dl") > 0, F.col("dl"))
-    stats = per_doc.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).alias("terms")) \
-        .select("n", _average(F.col("terms"), F.col("n")).alias("avgdl"))
+    stats = per_doc.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(dl) / F.count(F.lit(1)), F.lit(0.0)).alias("avgdl"))
     return hits, stats
 
 
@@ -108,10 +102,11 @@ def search_total(docs: DataFrame, id_col: str, text_col: str, query: str, operat
 
 def _bm25(hits: DataFrame, weights: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
     """Per-document score from ``hits(doc_id, dl, term, tf)``, ``weights(term, weight)`` and the statistics row."""
+    n, avgdl = stats.first()                                                 # two scalars
     df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.col("n").cast("double") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    contrib = hits.join(df_, "term").join(weights, "term").crossJoin(F.broadcast(stats))    # one row
+    idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl or 1.0)))
+    contrib = hits.join(df_, "term").join(weights, "term")
     return contrib.groupBy("doc_id").agg(F.sum(F.col("weight") * idf * norm).alias("score"))
 
 
@@ -120,9 +115,8 @@ def _page(scores: DataFrame, k: int, digits: int | None) -> DataFrame:
     scores = written(scores, "scores")
     s = F.round("score", digits) if digits is not None else F.col("score")
     top = scores.select("doc_id", s.alias("score")).orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
-    total = scores.agg(F.count(F.lit(1)).alias("total"))
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("doc_id")))) \
-        .crossJoin(F.broadcast(total))                                                       # one row
+        .withColumn("total", F.lit(scores.count()).cast("long"))
 
 
 def rank_bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int = SEARCH_PAGE_SIZE,

@@ -15,10 +15,10 @@ SF = "/root/testdata/sf0.001"
 def test_label_recipes_knn_brute_force(spark):
     got = {(r.p_brand, r.p_size): (r.vegan, r.keto) for r in E.queries()["label_recipes_knn"](spark, SF).collect()}
     part = spark.read.parquet(f"{SF}/part.parquet")
-    raw = part.select(F.col("p_name").alias("product_name"), (F.col("p_retailprice") / 100).alias("carbohydrates_100g"))
+    raw = part.select(F.col("p_name").alias("product_name"), I.carbs().alias("carbohydrates_100g"))
     cat = P.median_per_key(P.clean_names(raw, fold=False), "product_name", "carbohydrates_100g", "carbs")
     enc = V.fit_text_encoder(cat, "product_name", dim=256)
-    cat_rows = enc.transform(cat).collect()
+    cat_rows = enc.transform(cat.withColumn("item_id", F.xxhash64("product_name"))).collect()
     names = [r.product_name for r in cat_rows]
     carbs = np.array([r.carbs for r in cat_rows])
     cmat = np.array([r.embedding for r in cat_rows], dtype=np.float64)
@@ -29,7 +29,7 @@ def test_label_recipes_knn_brute_force(spark):
     for r in qrows:
         q = np.array(r.embedding, dtype=np.float64)
         sims = cmat @ q / (np.linalg.norm(cmat, axis=1) * np.linalg.norm(q) + 1e-8)
-        order = sorted(range(len(names)), key=lambda j: (-sims[j], np.int64(0)))
+        order = sorted(range(len(names)), key=lambda j: (-sims[j], cat_rows[j].item_id))
         best = order[0]
         keto_by_phrase[r.product_name] = bool(sims[best] >= 0.1 and carbs[best] <= 10)
     closure = L.category_closure(I.edges_df(spark, SF), spark.createDataFrame([("plant",)], "root string"))
