@@ -265,7 +265,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")) \
         .withColumn("id", F.coalesce("doc", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
     runs = staged(_runs_of(source.where(F.length("text") >= LENGTH).select("id", "h", "text")), "runs")
-    often = runs.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix")
+    # written first: both sides of the join are then plain shuffles, whose skewed partitions Spark can split
+    often = staged(runs.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix"), "often")
     again = staged(runs.join(often, "suffix"), "repeated-runs")
     place = F.struct("id", "h", "first")
     kinds = again.groupBy("suffix", "run").agg(F.min(F.struct("id", "h", "first", "windows", "distance")).alias("x"),
