@@ -197,7 +197,7 @@ def label_recipes_knn(spark, sf_dir):
     """The whole labelling job: plant-based by lexicon, low-carb by nearest product.
 
     Catalogue: part names cleaned like products, carbs = median of
-    ``inputs.carbs`` per name.  Every distinct ingredient line is
+    ``inputs.carbs`` per name.  Every distinct ingredient phrase is
     encoded with the same fitted encoder and matched (exact blocked kNN) to
     the catalogue; its carbs decide.  Recipes are ``(p_brand, p_size)``.
     """
@@ -214,12 +214,13 @@ def label_recipes_knn(spark, sf_dir):
     lines, vegan = _vegan_phrase_labels(spark, sf_dir)
     # one row per distinct line, used twice (kNN queries, label join): written once
     vegan = vegan.select("line", "phrase", "vegan").checkpoint(eager=True)
-    phrases = vegan.select("line", "phrase").withColumn("query_id", F.xxhash64("line"))
+    # many lines share a phrase: each is encoded and searched once
+    phrases = vegan.select("phrase").distinct().withColumn("query_id", F.xxhash64("phrase"))
     q_vec = encoder.transform(phrases.withColumnRenamed("phrase", "product_name"))
     best = V.knn(q_vec, cat_vec, k=1, query_id="query_id", item_id="item_id")
     keto = V.classify_keto(best, catalogue, "item_id", "carbs", KNN_THRESHOLD, KNN_CARB_LIMIT) \
         .select("query_id", "keto")
-    item_labels = vegan.select("line", "vegan").withColumn("query_id", F.xxhash64("line")) \
+    item_labels = vegan.withColumn("query_id", F.xxhash64("phrase")) \
         .join(keto, "query_id", "left").select("line", "vegan", F.coalesce("keto", F.lit(False)).alias("keto"))
     return R.label_items(lines, ["p_brand", "p_size"], "line", item_labels, ["vegan", "keto"])
 
