@@ -45,14 +45,14 @@ WINDOW = 3_000_000        # tokens counted at a time in a task
 POSTING = 48              # sets that share a rare prefix token
 PASSES = 2                # times that the prefixes are taken; tokens still above POSTING are linked by stars
 SHARED = 4                # rare tokens that make a candidate (fewer for small sets)
-TILE_ROWS, TILE_BYTES = 3000, 64 << 20
+TILE_ROWS, TILE_BYTES = 2048, 24 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes:
     """64-bit hashes of words, remembered in the worker up to a bound."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.bound = bound
 
