@@ -342,7 +342,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = nodes.groupBy("component").agg(F.min("first").alias("head"))
     label = nodes.join(names, "component").select(F.col("j_node").alias("__node"), F.col("head").alias("j_head"))
     out = sets.select(*dict.fromkeys([*keep, id_col]), "j_uid", "j_n", "j_node") \
-        .join(label, F.col("j_node") == F.col("__node"), "left")
+        .join(small(staged(label, "labels"), 1_000_000), F.col("j_node") == F.col("__node"), "left")
     return out.select(*keep, "j_n", F.when(F.col("j_head").isNull(), F.col(id_col))
                       .otherwise(F.col("j_head.id")).alias("j_component"),
                       F.coalesce(F.col("j_head.uid") == F.col("j_uid"), F.lit(True)).alias("j_first"))

@@ -63,9 +63,11 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     draw.  Nothing depends on partitioning, so reruns agree.
     """
     keep = keep or [id_col]
-    base = staged(docs.select(*[F.col(c) for c in keep], F.col(id_col).alias("__id"),
-                              F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("m_size")), "mix")
-    targets = source_targets(base.select(F.col("__source").alias("source"), F.col("m_size").alias("size")), limit) \
+    base = docs.select(*[F.col(c) for c in keep], F.col(id_col).alias("__id"),
+                       F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("m_size"))
+    # one row per source is written; the words are counted again rather than written with the texts
+    targets = staged(source_targets(base.select(F.col("__source").alias("source"), F.col("m_size").alias("size")),
+                                    limit), "targets") \
         .select(F.col("source").alias("__s"), F.col("source_size").alias("m_source_size"),
                 F.col("target").alias("m_target"))
     rate = F.when(F.col("m_source_size") > 0, F.col("m_target") / F.col("m_source_size")).otherwise(F.lit(0.0))

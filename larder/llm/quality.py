@@ -167,10 +167,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     judged each by its own text.
     """
     keep = keep or [id_col]
-    stats = staged(document_stats(docs.withColumn("q_stratum", F.coalesce(F.col(stratum_col).cast("string"),
-                                                                          F.lit(NO_STRATUM))),
-                                  text_col, list(dict.fromkeys([*keep, id_col, "q_stratum"]))), "quality")
+    source = docs.withColumn("q_stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit(NO_STRATUM)))
+    stats = staged(document_stats(source, text_col, [id_col, "q_stratum"]), "quality")
     cutoffs = fit_cutoffs(stats, labels, id_col, alpha, delta)
+    if keep != [id_col]:                       # counted again rather than written with the texts
+        stats = document_stats(source, text_col, list(dict.fromkeys([*keep, "q_stratum"])))
     strata = sorted({s for s, _ in cutoffs})
     spark = docs.sparkSession
     limits = spark.createDataFrame([(s, *[cutoffs[s, r] for r in RULES]) for s in strata],
