@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from larder.llm import chat, embedding_dedup, jaccard, language, mixing, packing, pii, quality, suffix_dedup, token_counts
 from larder.llm.common import table
-from larder.llm.oracles import ORACLES
 
 QUERIES: dict = {}
 
