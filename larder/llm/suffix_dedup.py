@@ -15,8 +15,10 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier
   prefixes; names of longer strings are then induced one byte to the left at
   a time.  A window ``d`` bytes left of the sampled suffix equals another if
   they share ``LENGTH - d`` bytes of common prefix and the name of the ``d`` bytes before.
-  A task holds a bounded number of tuples at a time, whole groups; a group above
-  the bound is dealt over several by the content of its windows.
+  A task holds a bounded number of tuples at a time, whole groups; the tuples of
+  a group above the bound are dealt over several parts, each tuple to one.  A window
+  that no earlier one of its part equals meets those of the other parts in a
+  shuffle by its bytes, at most one of each part.
 
 Only hashes of 64 bits and more join equal bytes in the first two steps; windows are compared byte for byte in the
 third.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,7 +46,6 @@ BROADCAST_ITEMS = 2_000_000           # longs of a broadcast side: suffixes or r
 
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SLOT = _rng.integers(0, 1 << 63, LENGTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,16 +103,15 @@ def sampled_runs(text: bytes) -> list[tuple]:
 
 
 def repeated_windows(group: np.ndarray, order: np.ndarray, distance: np.ndarray, windows: np.ndarray,
-                     texts: list[bytes], parts: np.ndarray, part: np.ndarray) -> np.ndarray:
+                     texts: list[bytes]) -> np.ndarray:
     """For each run and d, whether its window d bytes left of the sampled suffix starts earlier in another run.
 
-    ``group`` tells the sampled suffixes apart, ``order`` ranks the runs by
-    document and place.  Of a group dealt over several ``parts`` only the
-    windows of this ``part`` are judged.
+    ``group`` tells the sampled suffixes and their parts apart, ``order`` ranks
+    the runs by document and place.
     """
     by = np.argsort(order, kind="stable")
     n = len(by)
-    distance, windows, parts, part = distance[by], windows[by], parts[by], part[by]
+    distance, windows = distance[by], windows[by]
     size = np.fromiter((len(texts[i]) for i in by.tolist()), np.int64, n)
     raw = np.frombuffer(b"".join([texts[i] for i in by.tolist()]) + bytes(LENGTH), np.uint8)
     anchor = np.cumsum(size) - size + distance
@@ -138,12 +138,6 @@ def repeated_windows(group: np.ndarray, order: np.ndarray, distance: np.ndarray,
             _, new = np.unique(left[far] * 256 + raw[anchor[far] - d], return_inverse=True)
             left[far] = new
         here = np.flatnonzero((distance >= d) & (distance - windows < d))
-        split = here[parts[here] > 1]
-        if len(split):
-            at = anchor[split, None] - d + np.arange(LENGTH)
-            mine = (_mix((_BYTE[raw[at]] * _SLOT).sum(axis=1, dtype=np.uint64)) % parts[split].astype(np.uint64)) \
-                .astype(np.int64) == part[split]
-            here = np.setdiff1d(here, split[~mine], assume_unique=True)
         if len(here) < 2:
             continue
         cls[sort] = np.concatenate([[0], np.cumsum(common < LENGTH - d)])
@@ -163,6 +157,24 @@ def _window_spans(found: np.ndarray, first: np.ndarray, distance: np.ndarray) ->
     return row, base + begin, base + end - 1
 
 
+def _first_windows(found: np.ndarray, first: np.ndarray, distance: np.ndarray, windows: np.ndarray,
+                   texts: list[bytes]) -> Iterator[tuple]:
+    """(rows, places, bytes) of the windows that were not found, a bounded number at a time."""
+    d = np.arange(REACH + 1)
+    for a in range(0, len(texts), 500):
+        far, n = distance[a:a + 500, None], windows[a:a + 500, None]
+        row, left = np.nonzero((far >= d) & (far - n < d) & ~found[a:a + 500])
+        if not len(row):
+            continue
+        size = np.fromiter(map(len, texts[a:a + 500]), np.int64, len(far))
+        raw = np.frombuffer(b"".join(texts[a:a + 500]), np.uint8)
+        at = (np.cumsum(size) - size + far[:, 0])[row] - left
+        cut = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[at])
+        ends = np.arange(0, cut.size + 1, LENGTH, dtype=np.int32)
+        yield row + a, first[row + a] + distance[row + a] - left, pa.Array.from_buffers(
+            pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(cut)])
+
+
 def _runs_of(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("suffix", T.LongType()), T.StructField("run", T.LongType()),
                            T.StructField("id", T.LongType()), T.StructField("h", T.LongType()),
@@ -197,14 +209,14 @@ def _runs_of(docs: DataFrame) -> DataFrame:
 
 
 def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of a document around its wanted suffixes, each with the bytes of its windows."""
+    """The wanted runs of a document (by their first windows), each with the bytes of its windows."""
     names = ["suffix", "id", "h", "first", "windows", "distance", "text"]
     for batch in batches:
         held: list[pa.RecordBatch] = []
         for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            wanted = np.array(wanted, np.int64).view(np.uint64)
+            wanted = np.array(wanted, np.int64)
             for suffix, _, first, windows, distance in sampled_runs(text):
-                hit = np.flatnonzero(np.isin(suffix, wanted))
+                hit = np.flatnonzero(np.isin(first, wanted))
                 first, windows = first[hit], windows[hit]
                 held.append(pa.RecordBatch.from_arrays(
                     [pa.array(suffix[hit].view(np.int64)), *[batch.column(k).take(pa.array(np.full(len(hit), i)))
@@ -221,19 +233,30 @@ def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole groups of a partition sorted by suffix and part, a bounded number of tuples at a time."""
+    """Whole groups of a partition sorted by suffix and part, a bounded number of tuples at a time.
 
-    def judge(rows: pa.Table):
+    Rows without a window are spans to remove.  The others are the windows of groups in several parts that are the
+    first ones of their part.
+    """
+    names = ["id", "h", "begin", "end", "window"]
+
+    def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: np.asarray(rows.column(c)) for c in ("suffix", "part", "parts", "id", "h", "first", "windows",
                                                        "distance")}
-        first, distance = col["first"].astype(np.int64), col["distance"].astype(np.int64)
+        first, distance, windows = (col[c].astype(np.int64) for c in ("first", "distance", "windows"))
         rank = np.empty(rows.num_rows, np.int64)
         rank[np.lexsort((first + distance, col["h"], col["id"]))] = np.arange(rows.num_rows)
-        found = repeated_windows(col["suffix"], rank, distance, col["windows"].astype(np.int64),
-                                 rows.column("text").to_pylist(), col["parts"], col["part"])
+        new = (np.diff(col["suffix"]) != 0) | (np.diff(col["part"]) != 0)      # sorted by both
+        texts = rows.column("text").to_pylist()
+        found = repeated_windows(np.concatenate([[0], np.cumsum(new)]), rank, distance, windows, texts)
         row, begin, end = _window_spans(found, first, distance)
-        return pa.RecordBatch.from_arrays([pa.array(col["id"][row]), pa.array(col["h"][row]), pa.array(begin),
-                                           pa.array(end)], names=["id", "h", "begin", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(col["id"][row]), pa.array(col["h"][row]), pa.array(begin),
+                                          pa.array(end), pa.nulls(len(row), pa.binary())], names=names)
+        split = np.flatnonzero(col["parts"] > 1)
+        for row, begin, window in _first_windows(found[split], first[split], distance[split], windows[split],
+                                                 [texts[i] for i in split.tolist()]):
+            yield pa.RecordBatch.from_arrays([pa.array(col["id"][split[row]]), pa.array(col["h"][split[row]]),
+                                              pa.array(begin), pa.array(begin), window], names=names)
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -246,11 +269,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffix, part = np.asarray(rows.column("suffix")), np.asarray(rows.column("part"))
         edges = np.flatnonzero((np.diff(suffix) != 0) | (np.diff(part) != 0)) + 1
         if len(edges):                                    # the last group may go on
-            yield judge(rows.slice(0, int(edges[-1])))
+            yield from judge(rows.slice(0, int(edges[-1])))
             held = rows.slice(int(edges[-1])).to_batches()
             size = sum(b.num_rows for b in held)
     if size:
-        yield judge(pa.Table.from_batches(held))
+        yield from judge(pa.Table.from_batches(held))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,19 +306,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = kinds.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1") \
         .select("suffix", F.ceil(F.col("n") / TUPLES).cast("long").alias("parts"))
     groups = staged(groups, "suffix-groups")
-    wanted = staged(kinds.join(groups, "suffix").groupBy("id", "h").agg(F.collect_set("suffix").alias("wanted")),
-                    "wanted-suffixes")
+    wanted = staged(kinds.join(groups, "suffix").groupBy("id", "h").agg(F.collect_list("first").alias("wanted")),
+                    "wanted-runs")
     n_wanted = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     texts = source.select("id", "h", "text").join(
         F.broadcast(wanted) if n_wanted <= BROADCAST_ITEMS else wanted, ["id", "h"]) \
         .mapInArrow(_tuples, "suffix long, id long, h long, first int, windows short, distance short, text binary") \
         .join(small(groups.where("parts > 1")), "suffix", "left") \
         .withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) \
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    judged = texts.repartition("suffix", "part").sortWithinPartitions("suffix", "part") \
-        .mapInArrow(_compare, "id long, h long, begin long, end long")
-
-    spans = whole.unionByName(judged).groupBy("id", "h") \
+        .withColumn("part", F.expr("pmod(xxhash64(id, h, first), parts)"))
+    judged = staged(texts.repartition("suffix", "part").sortWithinPartitions("suffix", "part")
+                    .mapInArrow(_compare, "id long, h long, begin long, end long, window binary"), "judged")
+    earlier = F.row_number().over(Window.partitionBy("window").orderBy("id", "h", "begin")) - 1
+    across = judged.where("window is not null").withColumn("earlier", earlier).where("earlier > 0")
+
+    spans = whole.unionByName(judged.where("window is null").drop("window")) \
+        .unionByName(across.select("id", "h", "begin", "end")).groupBy("id", "h") \
         .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")) \
         .select("id", "h", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end"))
     spans = staged(spans.mapInArrow(_merged, "id long, h long, begin array<long>, end array<long>"), "document-spans")

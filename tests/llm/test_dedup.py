@@ -1,7 +1,10 @@
 """Embedding near-duplicates, repeated strings and the Jaccard join against plain versions."""
 
 import hashlib
+import json
 import random
+import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -133,6 +136,33 @@ def test_removal_over_chunks_and_shuffle_joins(make_docs, words, monkeypatch):
     assert got == plain_removal(docs)
 
 
+def test_removal_deals_a_large_group_over_parts(make_docs, words, monkeypatch, tmp_path):
+    """Each tuple of a group above the bound goes to one part, and windows that are equal across parts are found."""
+    monkeypatch.setattr(S, "TUPLES", 8)
+    compare, seen = S._compare, str(tmp_path)
+
+    def counted(batches):
+        held = list(batches)
+        rows = [r for b in held for r in zip(b["suffix"].to_pylist(), b["part"].to_pylist())]
+        with open(f"{seen}/{uuid.uuid4()}", "w") as out:
+            json.dump(rows, out)
+        yield from compare(iter(held))
+
+    monkeypatch.setattr(S, "_compare", counted)
+    phrase = words(30, 1)[:150]
+    docs = [(i, words(30, 100 + i) + phrase + words(30, 300 + i)) for i in range(64)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))
+           for r in S.remove_repeats(make_docs(docs)).collect()}
+    groups, parts = Counter(), Counter()
+    for f in tmp_path.iterdir():
+        for suffix, part in json.loads(f.read_text()):
+            groups[suffix] += 1
+            parts[suffix, part] += 1
+    assert got == plain_removal(docs)
+    assert max(groups.values()) == 64                      # one tuple a document, not one a document and part
+    assert max(parts.values()) <= 24
+
+
 def test_removal_repeated_rows_and_empty_table(make_docs, words):
     text = words(60, 4)
     rows = S.remove_repeats(make_docs([(1, text), (1, text), (None, text), (None, None)])).collect()
