@@ -309,7 +309,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = staged(kinds.join(groups, "suffix").groupBy("id", "h").agg(F.collect_list("first").alias("wanted")),
                     "wanted-runs")
     n_wanted = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    texts = source.select("id", "h", "text").join(
+    # equal rows are one document: it is cut once
+    texts = source.where(F.length("text") >= LENGTH).select("id", "h", "text").dropDuplicates(["id", "h"]).join(
         F.broadcast(wanted) if n_wanted <= BROADCAST_ITEMS else wanted, ["id", "h"]) \
         .mapInArrow(_tuples, "suffix long, id long, h long, first int, windows short, distance short, text binary") \
         .join(small(groups.where("parts > 1")), "suffix", "left") \

@@ -136,6 +136,18 @@ def test_removal_over_chunks_and_shuffle_joins(make_docs, words, monkeypatch):
     assert got == plain_removal(docs)
 
 
+def test_removal_repeated_rows_keep_what_others_share(make_docs, words):
+    """Equal rows are one document, the earliest: what it shares with a later one stays in both of them."""
+    shared = words(60, 5)
+    one, two = words(30, 6) + shared + words(30, 7), words(30, 8) + shared + words(30, 9)
+    for rows in ([(1, one), (1, one), (2, two)], [(1, one), (2, two), (2, two), (2, two)]):
+        want = plain_removal(set(rows))
+        assert want[1][1] == 0 < want[2][1]
+        got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)))
+               for r in S.remove_repeats(make_docs(rows).repartition(3)).collect()]
+        assert sorted(got) == sorted((i, want[i]) for i, _ in rows)
+
+
 def test_removal_deals_a_large_group_over_parts(make_docs, words, monkeypatch, tmp_path):
     """Each tuple of a group above the bound goes to one part, and windows that are equal across parts are found."""
     monkeypatch.setattr(S, "TUPLES", 8)
