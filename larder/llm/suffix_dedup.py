@@ -42,7 +42,7 @@ REACH = LENGTH - GRAM                 # a sampled suffix starts at most so far r
 CHUNK = 1 << 22                       # windows looked at together; their places fit PLACE bits
 PLACE = np.uint64((1 << 23) - 1)
 TUPLES = 100_000                      # tuples of a group that are sorted together
-BROADCAST_ITEMS = 2_000_000           # longs of a broadcast side: suffixes or range ends of documents
+BROADCAST_ITEMS = 0                   # numbers of a broadcast side; 0: small inputs are shuffled as large ones are
 
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

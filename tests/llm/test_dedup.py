@@ -185,6 +185,24 @@ def test_removal_repeated_rows_and_empty_table(make_docs, words):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def broadcast_hints(spark, monkeypatch, module, run):
+    """Broadcast hints in the plans of an operator's written tables and of its result."""
+    write, plans = module.staged, []
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(module, "staged", lambda df, name: write(plan(df), name))
+    plan(run())
+    return sum(p.count("strategy=broadcast") for p in plans)
+
+
+def test_removal_joins_small_inputs_as_large_ones(spark, make_docs, words, monkeypatch):
+    docs = make_docs(repeated_docs(words))
+    assert broadcast_hints(spark, monkeypatch, S, lambda: S.remove_repeats(docs)) == 1   # groups in several parts
+
+
 # ---------------------------------------------------------------- Jaccard join
 
 def shingle_set(text, n):
