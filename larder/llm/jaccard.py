@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import map_bytes, small, staged
+from larder.llm.common import map_bytes, staged
 from larder.llm.components import connected_components
 
 FREQUENT = 1 << 20        # frequent tokens at the start, the most frequent ones, broadcast as 16 MB at most
@@ -275,7 +275,7 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     two = few.where("n = 2").select("a", "b")
     three = few.where("n = 3").select(F.explode(F.array(F.struct("a", "b"), F.struct("a", third.alias("b")),
                                                         F.struct(third.alias("a"), "b"))).alias("p")).select("p.*")
-    posting = keys.where("single").join(small(few.where("n > 3").select("key"), 1_000_000), "key") \
+    posting = keys.where("single").join(few.where("n > 3").select("key"), "key") \
         .groupBy("key").agg(F.collect_list("node").alias("nodes"))       # at most POSTING nodes
     more = posting.select("nodes", F.explode("nodes").alias("a")) \
         .select("a", F.explode(F.filter("nodes", lambda y: y > F.col("a"))).alias("b"))
@@ -283,15 +283,15 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     pairs = two.unionByName(three).unionByName(more) \
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")) \
         .groupBy("u", "v").count().where(F.col("count") >= need).select("u", "v")
-    stars = keys.join(small(counts.where(~F.col("single") | (F.col("n") > POSTING))
-                            .select("key", "single", "a"), 1_000_000), ["key", "single"]) \
+    stars = keys.join(counts.where(~F.col("single") | (F.col("n") > POSTING))
+                      .select("key", "single", "a"), ["key", "single"]) \
         .where("node <> a").select(F.col("node").alias("u"), F.col("a").alias("v"))
     return pairs.unionByName(stars)
 
 
 def _verified(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, component`` of linked documents; ``blocks`` has ``node, component`` of candidate blocks."""
-    members = sets.join(small(blocks, 1_000_000), F.col("j_node") == F.col("node")) \
+    members = sets.join(blocks, F.col("j_node") == F.col("node")) \
         .select("node", F.col("component").alias("block"), F.col("j_set").alias("set"))
     members = staged(members, "members")
     tiles = members.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("set")).alias("bytes")) \
@@ -329,10 +329,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not 70 <= percent <= 100:
         raise ValueError("percent must lie between 70 and 100: below, the extended prefix exceeds a set")
     keep = keep or [id_col]
-    sets = staged(_sets(docs, text_col, list(dict.fromkeys([*keep, id_col])), shingle, percent), "shingles")
-    one = sets.where("j_n > 0").groupBy(F.col("j_node").alias("__node")).agg(F.min("j_uid").alias("__uid"))
-    distinct = sets.select("j_uid", "j_node", "j_n", "j_set") \
-        .join(small(staged(one, "set-rows"), 1_000_000).select("__uid"), F.col("j_uid") == F.col("__uid"))
+    sets = staged(_sets(docs, text_col, list(dict.fromkeys([*keep, id_col])), shingle, percent).drop("j_set"), "rows")
+    # cut again, so that the sets are written once, after equal ones have met
+    distinct = staged(_sets(docs, text_col, [], shingle, percent).where("j_n > 0").select("j_node", "j_n", "j_set")
+                      .dropDuplicates(["j_node"]), "shingles")
     links = _verified(connected_components(_candidates(distinct, percent)), distinct, percent)
     first = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("j_uid").alias("uid"))
     nodes = sets.where("j_n > 0").groupBy("j_node").agg(F.min(first).alias("first")) \
@@ -342,7 +342,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = nodes.groupBy("component").agg(F.min("first").alias("head"))
     label = nodes.join(names, "component").select(F.col("j_node").alias("__node"), F.col("head").alias("j_head"))
     out = sets.select(*dict.fromkeys([*keep, id_col]), "j_uid", "j_n", "j_node") \
-        .join(small(staged(label, "labels"), 1_000_000), F.col("j_node") == F.col("__node"), "left")
+        .join(staged(label, "labels"), F.col("j_node") == F.col("__node"), "left")
     return out.select(*keep, "j_n", F.when(F.col("j_head").isNull(), F.col(id_col))
                       .otherwise(F.col("j_head.id")).alias("j_component"),
                       F.coalesce(F.col("j_head.uid") == F.col("j_uid"), F.lit(True)).alias("j_first"))

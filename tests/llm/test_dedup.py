@@ -256,3 +256,8 @@ def test_join_repeated_rows_null_ids_and_empty_table(make_docs):
     assert J.jaccard_join(make_docs([])).count() == 0
     with pytest.raises(ValueError):
         J.jaccard_join(make_docs([]), percent=50)
+
+
+def test_join_shuffles_small_inputs_as_large_ones(spark, make_docs, words, monkeypatch):
+    docs = make_docs(near_copies(words))
+    assert broadcast_hints(spark, monkeypatch, J, lambda: J.jaccard_join(docs)) == 0
