@@ -53,3 +53,42 @@ t AS (
 SELECT doc_id, size, source_size, target,
   ((floor(rate) + (u < rate - floor(rate))::INT)::BIGINT * size)::BIGINT AS taken FROM r
 """
+
+ORACLES["op11_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+      lambda a, x: list_reduce([xor(a, x)] || range(8),
+        lambda k, i: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END)), 4294967295) % 9 AS h
+  FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, t.pos + 1 AS depth, role, text FROM c JOIN t ON t.conv_id = c.base WHERE t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)) + 1, role, text
+  FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN c b ON b.conv_id = c.base WHERE t.pos >= c.h
+), p AS (
+  SELECT conv_id, depth, strlen(text) AS bytes,
+    string_agg(md5(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), l AS (SELECT conv_id, max(depth) AS depth, max_by(key, depth) AS key FROM p GROUP BY conv_id),
+e AS (
+  SELECT depth, key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM l GROUP BY depth, key
+), n AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved FROM p GROUP BY depth, key
+), k AS (
+  SELECT depth - 1 AS depth, left(key, 32 * (depth - 1)) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2
+), m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.depth = n.depth AND k.key = n.key),
+u AS (SELECT *, unnest(range(depth + 1)) AS above FROM m),
+s AS (
+  SELECT above AS depth, left(key, 32 * above) AS key, sum(saved) AS saved_tokens,
+    count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM u GROUP BY 1, 2
+)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM m JOIN s ON s.depth = m.depth AND s.key = m.key LEFT JOIN e ON e.depth = m.depth AND e.key = m.key
+LEFT JOIN m q ON q.depth = m.depth - 1 AND q.key = left(m.key, 32 * (m.depth - 1)) AND m.depth > 0
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, embedding_dedup, jaccard, language, mixing, packing, pii, quality, suffix_dedup, token_counts
+from larder.llm import (chat, embedding_dedup, jaccard, language, mixing, packing, pii, prefix_trie, quality,
+                        quality_classifier, suffix_dedup, token_counts, whitening)
 from larder.llm.common import table
 
 QUERIES: dict = {}
@@ -104,3 +105,40 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that are left once repeated 100-byte strings are removed."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over the rebuilt conversations."""
+    turns, ids = prefix_trie.rebuild(prefix_trie.sequence_turns(table(spark, sf_dir, "conversations")))
+    nodes, ends = prefix_trie.prefix_trie(turns, ids)
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.join(prefix_trie.ends_digest(ends), ["node", "depth"], "left").select(
+        F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children",
+        "n_leaves", F.col("saved_bytes").alias("saved_tokens"), F.coalesce("ends_sha256", empty).alias("ends_sha256"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable vector on the leading sixteen components."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors)
+    rows = whitening.whiten(vectors, model)
+    explained = F.array(*[F.lit(x).cast("double") for x in model.explained]) if model else F.array().cast("array<double>")
+    return rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n if model else None).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"), "whitened",
+        F.try_element_at(explained, F.col("place") + 1).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"))
+
+
+@query
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = quality_classifier.held_out(F.col("doc_id"), 5)
+    model = quality_classifier.train_quality(docs.where(~held_out), labels.where(~held_out))
+    scored = quality_classifier.score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
