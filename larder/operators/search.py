@@ -69,7 +69,7 @@ def _scan_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) ->
     return hits, stats
 
 
-def _equal_weights(spark: SparkSession, terms: list[str]) -> DataFrame:
+def equal_weights(spark: SparkSession, terms: list[str]) -> DataFrame:
     return param_table(spark, [(t, 1.0) for t in terms], "term string, weight double")
 
 
@@ -83,7 +83,7 @@ def rank_postings(postings: DataFrame, stats: DataFrame, query: str, k: int = SE
     spark = postings.sparkSession
     terms = analyse_query(query, spark)
     hits = postings.where(F.col("term").isin(terms) if terms else F.lit(False))
-    return _page(_bm25(hits, _equal_weights(spark, terms), stats, k1, b), k, digits)
+    return page(bm25(hits, equal_weights(spark, terms), stats, k1, b), k, digits)
 
 
 def match_search(docs: DataFrame, id_col: str, text_col: str, query: str, operator: str = "or") -> DataFrame:
@@ -100,7 +100,7 @@ def search_total(docs: DataFrame, id_col: str, text_col: str, query: str, operat
     return match_search(docs, id_col, text_col, query, operator).agg(F.count(F.lit(1)).alias("total"))
 
 
-def _bm25(hits: DataFrame, weights: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+def bm25(hits: DataFrame, weights: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
     """Per-document score from ``hits(doc_id, dl, term, tf)``, ``weights(term, weight)`` and the statistics row."""
     n, avgdl = stats.first()                                                 # two scalars
     df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -110,7 +110,7 @@ def _bm25(hits: DataFrame, weights: DataFrame, stats: DataFrame, k1: float, b: f
     return contrib.groupBy("doc_id").agg(F.sum(F.col("weight") * idf * norm).alias("score"))
 
 
-def _page(scores: DataFrame, k: int, digits: int | None) -> DataFrame:
+def page(scores: DataFrame, k: int, digits: int | None) -> DataFrame:
     """The best ``k`` of the scores with rank and the total of all of them; ties by doc_id."""
     scores = written(scores, "scores")
     s = F.round("score", digits) if digits is not None else F.col("score")
@@ -126,8 +126,8 @@ def rank_bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int =
     spark = docs.sparkSession
     terms = analyse_query(query, spark)
     hits, stats = _scan_hits(docs, id_col, text_col, terms)
-    page = _page(_bm25(hits, _equal_weights(spark, terms), stats, k1, b), k, digits)
-    return page if with_total else page.drop("total")
+    best = page(bm25(hits, equal_weights(spark, terms), stats, k1, b), k, digits)
+    return best if with_total else best.drop("total")
 
 
 # ------------------------------------------------------------------ fuzzy
@@ -229,8 +229,8 @@ def search_fuzzy(docs: DataFrame, id_col: str, text_col: str, query: str, labels
     expanded = fuzzy_terms(spark, postings.select("term") if vocab is None else vocab, terms)
     weights = expanded.groupBy("term").agg(F.sum("weight").alias("weight"))
     hits = postings.join(weights, "term", "left_semi").select("doc_id", "dl", "term", "tf")
-    page = _page(_bm25(hits, weights, stats, k1, b), k, digits)
-    return page if labels is None else page.join(labels, "doc_id", "left")
+    best = page(bm25(hits, weights, stats, k1, b), k, digits)
+    return best if labels is None else best.join(labels, "doc_id", "left")
 
 
 def search_by_ids(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, vocab_with_ids: DataFrame,

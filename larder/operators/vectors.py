@@ -61,12 +61,13 @@ def l2_normalize(a, as_float: bool = True) -> Column:
 
 # -------------------------------------------------------- blocked top-k
 
-def _topk_block(qids, qmat, cids, cmat, k, exclude_same_id, q_chunk=2048, c_chunk=4096):
+def _topk_block(qids, qmat, cids, cmat, k, exclude_same_id, q_chunk=2048, c_chunk=4096, digits=None):
     """Top-k cosine of each query against one catalogue block.
 
     Works on ``q_chunk x c_chunk`` tiles (64 MB of float64 similarities at
     most), keeping a running top-k per query, so task memory does not grow
-    with the block sizes.
+    with the block sizes.  ``digits`` rounds what is ordered, so that the last
+    bits of a product do not part equal vectors.
     """
     qn_all = np.linalg.norm(qmat, axis=1)
     cn_all = np.linalg.norm(cmat, axis=1)
@@ -84,7 +85,7 @@ def _topk_block(qids, qmat, cids, cmat, k, exclude_same_id, q_chunk=2048, c_chun
             i = np.concatenate([best_i, np.broadcast_to(ci, sims.shape)], axis=1)
             kk = min(k, s.shape[1])
             # order by similarity desc, then id asc; keep the first kk
-            order = np.lexsort((i, -s), axis=1)[:, :kk]
+            order = np.lexsort((i, -s if digits is None else -np.round(s, digits)), axis=1)[:, :kk]
             best_s = np.take_along_axis(s, order, axis=1)
             best_i = np.take_along_axis(i, order, axis=1)
         out_s.append(best_s)
@@ -92,7 +93,7 @@ def _topk_block(qids, qmat, cids, cmat, k, exclude_same_id, q_chunk=2048, c_chun
     return np.concatenate(out_s, axis=0), np.concatenate(out_i, axis=0)
 
 
-def _block_fn(k, exclude_same_id):
+def _block_fn(k, exclude_same_id, digits=None):
     def fn(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or cdf.empty:
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
@@ -102,7 +103,7 @@ def _block_fn(k, exclude_same_id):
         cids = cdf["_id"].to_numpy(dtype=np.int64)
         qmat = np.stack(qdf["_v"].to_numpy()).astype(np.float64)
         cmat = np.stack(cdf["_v"].to_numpy()).astype(np.float64)
-        s, i = _topk_block(qids, qmat, cids, cmat, k, exclude_same_id)
+        s, i = _topk_block(qids, qmat, cids, cmat, k, exclude_same_id, digits=digits)
         keep = np.isfinite(s)
         rows_q = np.broadcast_to(qids[:, None], s.shape)
         return pd.DataFrame({"query_id": rows_q[keep], "item_id": i[keep], "sim": s[keep]})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text as T
 from larder.operators import products as P
+from larder.operators.selection import exact_quantile
 from larder.operators.util import param_table
 from larder.plans import sql_text as S
 from larder.plans.registry import register
@@ -199,18 +200,15 @@ def append_rows(spark, sf_dir):
 
 
 # --- medians at volume (lineitem): a few huge groups, and many small ones -----
-# percentile_approx with accuracy A is exact while group size x (1 / A) < 1 rank.
-HOT_ACCURACY = 1_000_000
-
-
 @register("median_hot_groups", """
 SELECT l_returnflag, l_linestatus, CAST(quantile_disc(l_extendedprice, 0.5) AS DOUBLE) AS median_price,
        count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def median_hot_groups(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.percentile_approx("l_extendedprice", 0.5, HOT_ACCURACY).cast("double").alias("median_price"),
-        F.count(F.lit(1)).alias("n"))
+    """Exact medians of groups that grow with the table: rank search by counts."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    keys = ["l_returnflag", "l_linestatus"]
+    return exact_quantile(li, keys, "l_extendedprice", out="median_price") \
+        .join(li.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
 
 
 @register("median_many_groups", """

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from larder.fixed_values import BM25_B, BM25_K1, SEARCH_PAGE_SIZE
 from larder.functions import text as T
 from larder.operators import search as X
+from larder.operators.search_index import PREFIX, SearchIndex
 from larder.plans import sql_text as S
 from larder.plans.registry import register
 from larder.plans.sql_text import q
-from larder.session import read_table
+from larder.session import ensure_checkpoint_dir, read_table, shared_path, table_path
 
 TERMS = S.analyse_terms("text")
 MATCH_QUERY = "Worthless enau, ouonen"
@@ -109,22 +110,55 @@ def _fuzzy_sql(qrows: str | None = None) -> str:
         for t in X.analyse_query(FUZZY_QUERY))
     codes = "[" + ", ".join(str(c) for c in _FREE_CODES) + "]"
     return f"""
-vocab AS (SELECT DISTINCT unnest({TERMS}) AS term FROM documents),
+vocab AS MATERIALIZED (SELECT DISTINCT unnest({TERMS}) AS term FROM documents),
 chars AS (SELECT DISTINCT ch FROM (SELECT unnest(string_split(term, '')) AS ch FROM vocab) WHERE ord(ch) > 127),
-cmap AS (SELECT string_agg(ch, '' ORDER BY ch) AS f,
+cmap AS MATERIALIZED (SELECT string_agg(ch, '' ORDER BY ch) AS f,
                 string_agg(chr({codes}[CAST(i AS INTEGER)]), '' ORDER BY ch) AS t
          FROM (SELECT ch, row_number() OVER (ORDER BY ch) AS i FROM chars)),
 qt AS ({qrows}),
-pairs AS (SELECT qt.query_term, v.term, qt.max_d, qt.qlen, length(v.term) AS tlen,
-                 damerau_levenshtein(translate(v.term, cmap.f, cmap.t), translate(qt.query_term, cmap.f, cmap.t)) AS distance
-          FROM vocab v CROSS JOIN qt CROSS JOIN cmap
-          WHERE abs(length(v.term) - qt.qlen) <= qt.max_d),
+near AS MATERIALIZED (SELECT qt.query_term, v.term, qt.max_d, qt.qlen, length(v.term) AS tlen
+          FROM vocab v JOIN qt ON length(v.term) BETWEEN qt.qlen - qt.max_d AND qt.qlen + qt.max_d),
+pairs AS (SELECT query_term, term, max_d, qlen, tlen,
+                 damerau_levenshtein(translate(term, (SELECT f FROM cmap), (SELECT t FROM cmap)),
+                                     translate(query_term, (SELECT f FROM cmap), (SELECT t FROM cmap))) AS distance
+          FROM near),
 fz AS (SELECT query_term, term, CAST(distance AS INTEGER) AS distance,
               1.0::DOUBLE - distance / least(qlen, tlen) AS weight FROM pairs WHERE distance <= max_d)"""
 
 
+def _index(spark, sf_dir) -> SearchIndex:
+    """The stored index of ``documents``; built by whichever query needs it first."""
+    return SearchIndex.stored(_docs(spark, sf_dir), "doc_id", "text", table_path(sf_dir, "documents"),
+                              f"{ensure_checkpoint_dir(spark)}/larder/indexes")
+
+
+_DROP = "list_transform(range(1, length({w}) + 1), lambda i: left({w}, i - 1) || substr({w}, i + 1))"
+_HEAD = f"left(term, {PREFIX})"
+
+
+@register("search_index_build", f"""
+WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+v AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM t GROUP BY term),
+o AS (SELECT *, {_DROP.replace("{w}", _HEAD)} AS once FROM v)
+SELECT CAST(row_number() OVER (ORDER BY term) AS BIGINT) AS id, term, df, occurrences,
+       len(list_distinct([{_HEAD}] || once ||
+           flatten(list_transform(once, lambda w: {_DROP.replace("{w}", "w")})))) AS n_variants
+FROM o""")
+def search_index_build(spark, sf_dir):
+    """A fresh index of ``documents``: its vocabulary, with the variants stored for each term."""
+    index = SearchIndex.build(_docs(spark, sf_dir), "doc_id", "text", shared_path(spark, "search-index"))
+    stored = index.variants.groupBy("term").agg(F.count(F.lit(1)).alias("n_variants"))
+    return index.vocabulary.join(stored, "term").select("id", "term", "df", "occurrences", "n_variants")
+
+
 @register("fuzzy_terms", f"WITH {_fuzzy_sql()} SELECT * FROM fz")
 def fuzzy_terms(spark, sf_dir):
+    return _index(spark, sf_dir).fuzzy_terms(X.analyse_query(FUZZY_QUERY, spark))
+
+
+@register("fuzzy_terms_scan", f"WITH {_fuzzy_sql()} SELECT * FROM fz")
+def fuzzy_terms_scan(spark, sf_dir):
+    """The same terms from a vocabulary without an index."""
     vocab = _docs(spark, sf_dir).select(F.explode(T.analyse_terms("text")).alias("term"))
     return X.fuzzy_terms(spark, vocab, X.analyse_query(FUZZY_QUERY, spark))
 
@@ -143,7 +177,7 @@ _FZ_BM25 = _FZ_BM25.replace("WITH d AS", f"WITH {_fuzzy_sql()},\nd AS", 1)
 def search_fuzzy(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") == 1).alias("keto"), (F.col("toxic") == 0).alias("vegan"))
-    return X.search_fuzzy(_docs(spark, sf_dir), "doc_id", "text", FUZZY_QUERY, labels)
+    return _index(spark, sf_dir).search(FUZZY_QUERY, labels=labels)
 
 
 SEARCH_IDS = "5000, 12000,20000"
@@ -161,10 +195,6 @@ _IDS_BM25 = _bm25_sql("SELECT term, sum(weight) AS weight FROM fz GROUP BY term"
 
 @register("search_by_ids", _labels_page_sql(_IDS_BM25))
 def search_by_ids(spark, sf_dir):
-    from larder.operators.recipes import vocab_ids
-    docs = _docs(spark, sf_dir)
-    index = X.build_postings(docs, "doc_id", "text")
-    vocab = vocab_ids(index[0].select("term").distinct(), "term").withColumnRenamed("term", "ingredient")
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") == 1).alias("keto"), (F.col("toxic") == 0).alias("vegan"))
-    return X.search_by_ids(spark, docs, "doc_id", "text", vocab, SEARCH_IDS, labels, index=index)
+    return _index(spark, sf_dir).search_by_ids(SEARCH_IDS, labels=labels)

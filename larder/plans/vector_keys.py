@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import vectors as V
+from larder.operators.ann import SUB, TwoLevelIndex
 from larder.plans import sql_text as S
 from larder.plans.registry import register
-from larder.session import read_table
+from larder.session import ensure_checkpoint_dir, read_table, shared_path, table_path
 
 _DBL = "CAST(embedding AS DOUBLE[])"
 _SUM = "lambda a, b: a + b"
@@ -65,24 +66,42 @@ def knn_exact(spark, sf_dir):
     return _knn_all(spark, sf_dir).select("query_id", "item_id", F.round("sim", 6).alias("sim"))
 
 
+def _index(spark, sf_dir) -> TwoLevelIndex:
+    """The stored index of ``embeddings``; built by whichever query needs it first."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return TwoLevelIndex.stored(e, table_path(sf_dir, "embeddings"), f"{ensure_checkpoint_dir(spark)}/larder/indexes",
+                                item_id="vec_id")
+
+
+@register("knn_ivf_build", f"""
+SELECT vec_id, CAST(ceil(len(embedding) / {SUB}.0) AS INTEGER) AS code_bytes, len(embedding) * 4 AS raw_bytes
+FROM embeddings WHERE embedding IS NOT NULL""")
+def knn_ivf_build(spark, sf_dir):
+    """A fresh two-level index of ``embeddings``: bytes that a search reads of each vector, against its own."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = TwoLevelIndex.build(e, shared_path(spark, "ann-index"), item_id="vec_id")
+    coded = index.codes.join(index.vectors.select("cell", "_id", F.size("_v").alias("dim")), ["cell", "_id"])
+    return coded.select(F.col("_id").alias("vec_id"), F.octet_length("code").alias("code_bytes"),
+                        (F.col("dim") * 4).cast("long").alias("raw_bytes"))
+
+
 @register("knn_ivf", _KNN_SQL + "\nSELECT query_id, item_id, round(sim, 6) AS sim FROM best")
 def knn_ivf(spark, sf_dir):
-    """Every cell probed: the answer of the exact search."""
+    """The certified search of the stored index: the answer of the exact search."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = V.IvfIndex.build(e, "vec_id")
-    m = index.query(e, nprobe=index.cells, query_id="vec_id", exclude_same_id=True)
+    m = _index(spark, sf_dir).query(e, query_id="vec_id", exclude_same_id=True, exact=True)
     return m.select("query_id", "item_id", F.round("sim", 6).alias("sim"))
 
 
 @register("knn_ivf_recall", "SELECT count(*) AS queries, true AS recall_ok FROM embeddings")
 def knn_ivf_recall(spark, sf_dir):
-    """The measured number of cells finds at least nine of ten nearest neighbours."""
+    """The codes of the probed cells lead to at least 95 of 100 nearest neighbours."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = V.knn_ivf(e, e, k=1, query_id="vec_id", item_id="vec_id", exclude_same_id=True) \
+    found = _index(spark, sf_dir).query(e, query_id="vec_id", exclude_same_id=True) \
         .select("query_id", F.col("item_id").alias("found"))
     right = F.count_if(F.col("found") == F.col("item_id"))
     return _knn_all(spark, sf_dir).join(found, "query_id", "left") \
-        .agg(F.count(F.lit(1)).alias("queries"), (right >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
+        .agg(F.count(F.lit(1)).alias("queries"), (right >= 0.95 * F.count(F.lit(1))).alias("recall_ok"))
 
 
 KETO_THRESHOLD = 0.38
@@ -94,7 +113,7 @@ SELECT query_id, item_id, round(sim, 6) AS sim, CAST(item_id % 20 AS DOUBLE) AS
        coalesce(sim >= {KETO_THRESHOLD} AND item_id % 20 <= {CARB_LIMIT}, false) AS keto FROM best""")
 def keto_items(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    matches = _knn_all(spark, sf_dir)
+    matches = _index(spark, sf_dir).query(e, query_id="vec_id", exclude_same_id=True, exact=True)
     cat = e.select("vec_id", (F.col("vec_id") % 20).cast("double").alias("carbs"))
     lab = V.classify_keto(matches, cat, "vec_id", "carbs", KETO_THRESHOLD, CARB_LIMIT)
     return lab.select("query_id", "item_id", F.round("sim", 6).alias("sim"), "carbs", "keto")

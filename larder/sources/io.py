@@ -72,7 +72,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
+def has_rows(spark: SparkSession, path: str) -> bool:
     try:
         return spark.read.parquet(path).limit(1).count() > 0
     except AnalysisException as e:
@@ -88,7 +88,7 @@ def guarded_load(df: DataFrame, target: str, rebuild: bool = False) -> int:
     what is there and loads again (overwrite).
     """
     spark = df.sparkSession
-    if not rebuild and _has_rows(spark, target):
+    if not rebuild and has_rows(spark, target):
         return 0
     df.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target).count()
@@ -104,7 +104,7 @@ def resume_missing(source: DataFrame, key: str, compute: Callable[[DataFrame], D
     """
     spark = source.sparkSession
     todo = source
-    if _has_rows(spark, target):
+    if has_rows(spark, target):
         done = spark.read.parquet(target).select(key)
         todo = source.join(done, key, "left_anti")
     for i in range(chunks):

@@ -5,7 +5,8 @@ New files in a source folder are read as a stream, labelled in
 batch replayed after a failure replaces its own output instead of adding
 rows twice; the checkpoint folder records which files were taken.  With
 ``trigger(availableNow=True)`` a run processes what is there and stops;
-running it again processes only new files.
+running it again processes only new files.  The vocabulary grows by keyed state, see
+``grow_vocabulary``.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql.types import StructType
 from larder.operators.util import with_dense_ids
 
 
-VOCAB_SCHEMA = "term STRING, id BIGINT, batch INT"
 TERMS_PER_PARTITION = 1_000_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -37,42 +39,67 @@ def ingest(spark: SparkSession, src: str, schema: StructType | str, target: str,
     """Run the ingest stream until the available files are done; returns batches run.
 
     ``labeller`` turns a micro-batch into output rows.  When ``vocab`` is
-    given, ``vocab_terms(batch)`` yields ``(term)`` rows and only terms not
-    yet in the vocabulary (left-anti join against earlier batches) are
-    added with ids that continue the sequence, again one folder per batch
-    id, so ids stay stable across restarts.
+    given, ``vocab_terms(batch)`` yields ``(term)`` rows for ``grow_vocabulary``,
+    which runs as a query of its own beside the labels.
     """
-    reader = spark.readStream.schema(schema).format(fmt)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(src)
+    stream = _files(spark, src, schema, max_files_per_trigger, fmt)
     ran = []
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         ran.append(batch_id)
-        batch = batch.persist()                     # read once for the rows and once for the terms
         labeller(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        if vocab is not None and vocab_terms is not None:
-            terms = vocab_terms(batch).select("term").distinct()
-            start = 1
-            if _exists(spark, vocab):
-                # the schema is given: a folder left without files by a crash reads as empty
-                earlier = spark.read.schema(VOCAB_SCHEMA).parquet(vocab).filter(F.col("batch") < batch_id)
-                terms = terms.join(earlier.select("term"), "term", "left_anti")
-                top = earlier.agg(F.max("id")).first()[0]
-                start = 1 if top is None else int(top) + 1
-            # new terms continue the id sequence, in text order: ids never change once given
-            terms = terms.persist()
-            with_dense_ids(terms, ["term"], "id", start=start,
-                           num_partitions=-(-terms.count() // TERMS_PER_PARTITION) or 1) \
-                .write.mode("overwrite").parquet(f"{vocab}/batch={batch_id}")
-            terms.unpersist()
-        batch.unpersist()
 
     query = (stream.writeStream.foreachBatch(run_batch)
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    if vocab is not None and vocab_terms is not None:
+        grow_vocabulary(spark, vocab_terms(_files(spark, src, schema, max_files_per_trigger, fmt)), vocab,
+                        f"{checkpoint}-vocabulary")
+    return len(ran)
+
+
+def _files(spark: SparkSession, src: str, schema: StructType | str, max_files_per_trigger: int | None,
+           fmt: str) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(src)
+
+
+def grow_vocabulary(spark: SparkSession, terms: DataFrame, vocab: str, checkpoint: str) -> int:
+    """Add the terms of a stream that no earlier batch had; returns batches run.
+
+    ``terms`` is a streaming frame with a ``term`` column.  A keyed de-duplication
+    in the RocksDB state store lets each term through once, ever, so the vocabulary
+    that is already there is neither read nor joined; the state is versioned
+    by batch, so a replayed batch lets the same terms through and overwrites its
+    own folder ``batch=<id>``.  Ids continue the sequence in text order within a batch: the
+    first id of a batch is the one row that its predecessor left in ``next``.  A null term is skipped.
+    """
+    ran = []
+    counters = f"{vocab.rstrip('/')}-next"
+
+    def run_batch(new: DataFrame, batch_id: int) -> None:
+        ran.append(batch_id)
+        new = new.persist()                          # counted and written, one pass over the state
+        n, start = new.count(), 1
+        if batch_id and _exists(spark, f"{counters}/batch={batch_id - 1}"):
+            start = spark.read.schema("first BIGINT").parquet(f"{counters}/batch={batch_id - 1}").first()["first"]
+        with_dense_ids(new.select("term"), ["term"], "id", start=start, num_partitions=-(-n // TERMS_PER_PARTITION) or 1) \
+            .write.mode("overwrite").parquet(f"{vocab}/batch={batch_id}")
+        spark.createDataFrame([(start + n,)], "first BIGINT").write.mode("overwrite").parquet(f"{counters}/batch={batch_id}")
+        new.unpersist()
+
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    try:
+        query = (terms.where(F.col("term").isNotNull()).select("term").dropDuplicates(["term"])
+                 .writeStream.foreachBatch(run_batch).outputMode("append")
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_PROVIDER, before) if before else spark.conf.unset(STATE_PROVIDER)
     return len(ran)
 
 

@@ -83,7 +83,7 @@ def test_diet_filter_prunes_label_folders(spark, qs):
 
 
 @pytest.mark.parametrize("key,agg", [("label_recipes", "partial_min"), ("median_per_key", "partial_percentile_approx"),
-                                     ("median_hot_groups", "partial_percentile_approx"),
+                                     ("median_hot_groups", "partial_count"),
                                      ("keyword_heuristic", "partial_min"), ("term_stats", "partial_count")])
 def test_group_results_are_combined_map_side(spark, qs, key, agg):
     # a key holding a third of the rows is pre-aggregated in every task before the shuffle
