@@ -9,8 +9,8 @@ bounded sample (``TRAIN_ROWS`` vectors per centroid); every vector is assigned.
 What a vector leaves to its cell's centroid is product-quantised: one byte for
 each ``SUB`` dimensions.  A query reads the codes of its nearest cells, ranks
 them by table look-ups, and only the short list meets the original vectors for
-exact cosines.  How many cells are probed is measured at build time on a sample
-of the catalogue for a target recall.
+exact cosines.  How many cells are probed and how long that list is are measured at build time on a
+sample of the catalogue for a target recall.
 
 ``query(exact=True)`` goes on where the approximate search stops: a cell whose nearest
 possible member (angle to its centroid less the cell's radius) could still beat
@@ -28,7 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.operators import vectors as V
+from larder.operators.search_index import marker_row, sorted_write, source_fingerprint
 from larder.operators.util import written
+from larder.session import shared_path
 
 TRAIN_ROWS = 64              # sample vectors for each centroid to learn
 SUB = 4                      # dimensions that one byte of a code stands for
@@ -36,9 +38,13 @@ CODES = 256
 CODE_ROWS = 16_384           # sample vectors that teach the codes
 RECALL_SAMPLE = 256
 TARGET_RECALL = 0.95
-SHORT_LIST = 96              # candidates for each wanted match that get exact cosines
+LEAST_LIST = 16              # candidates for each wanted match that get exact cosines, at least
+BAR_PROBES, BAR_LIST = 4, 8  # cells and candidates that set the bar of a certified search
+EXACT_PAIRS = 1_000_000_000  # comparisons up to which an index is not worth building
 BLOCK_ROWS = 20_000          # vectors of a cell, or queries of a cell, in one task
 SLACK = 1e-5                 # cosine by which a cell's bound is widened before the cell is left out
+BOOK = "parent int, child int, centroid array<double>"
+META = "n long, dim int, coarse_probes int, probes int, short_list int"
 LEAST_NORM = 0.1             # shorter vectors: cosine and similarity may differ, their cell is never left out
 
 
@@ -87,7 +93,7 @@ def _train(sample: DataFrame, k: int, seed: int) -> DataFrame:
         rows = pdf.sort_values("_id")
         found = kmeans(_stack(rows["_u"]), k, seed + int(key[0]))
         return pd.DataFrame({"parent": int(key[0]), "child": np.arange(len(found)), "centroid": list(found)})
-    return sample.groupBy("parent").applyInPandas(fit, "parent int, child int, centroid array<double>")
+    return sample.groupBy("parent").applyInPandas(fit, BOOK)
 
 
 def _hash_share(col: str, share) -> Column:
@@ -116,19 +122,20 @@ def _ordered(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class TwoLevelIndex:
     """Stored tables below ``path``: ``coarse``, ``cells``, ``codes``, ``vectors``, ``books``, ``meta``."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, meta):
         self.spark, self.path = spark, path
         self.cells = spark.read.schema("coarse int, cell int, centroid array<double>, n long, radius double") \
             .parquet(f"{path}/cells")
         self.codes = spark.read.schema("cell int, _id long, code binary").parquet(f"{path}/codes")
-        self.vectors = spark.read.schema("cell int, _id long, _v array<double>").parquet(f"{path}/vectors")
-        meta = spark.read.parquet(f"{path}/meta").first()
-        self.dim, self.n, self.coarse_probes, self.probes = meta["dim"], meta["n"], meta["coarse_probes"], meta["probes"]
-        coarse = spark.read.parquet(f"{path}/coarse").orderBy("child").collect()            # N^(1/4) rows
-        self.coarse = np.array([r["centroid"] for r in coarse]).reshape(len(coarse), -1)
+        self.vectors = spark.read.schema("cell int, _id long, _v array<double>, norm double").parquet(f"{path}/vectors")
+        self.dim, self.n, self.short_list = meta["dim"], meta["n"], meta["short_list"]
+        self.coarse_probes, self.probes = meta["coarse_probes"], meta["probes"]
+        coarse = sorted(spark.read.schema("child int, centroid array<double>, radius double")
+                        .parquet(f"{path}/coarse").collect(), key=lambda r: r["child"])           # N^(1/4) rows
+        self.coarse = np.array([r["centroid"] for r in coarse]).reshape(len(coarse), self.dim)
         self.coarse_ids = np.array([r["child"] for r in coarse], np.int64)
         self.coarse_radius = np.array([r["radius"] for r in coarse])
-        books = spark.read.parquet(f"{path}/books").orderBy("parent", "child").collect()    # m x 256 short vectors
+        books = spark.read.schema(BOOK).parquet(f"{path}/books").collect()                          # m x 256 short vectors
         m = max((r["parent"] for r in books), default=-1) + 1
         self.books = np.full((m, CODES, SUB), np.inf)
         for r in books:
@@ -139,8 +146,8 @@ class TwoLevelIndex:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "TwoLevelIndex | None":
         """The index that ``build`` completed below ``path``; None if there is none."""
-        from larder.sources.io import has_rows
-        return cls(spark, path) if has_rows(spark, f"{path}/meta") else None
+        meta = marker_row(spark, f"{path}/meta", META)
+        return cls(spark, path, meta) if meta else None
 
     @classmethod
     def build(cls, catalogue: DataFrame, path: str, item_id: str = "item_id", vec: str = "embedding", seed: int = 42,
@@ -186,28 +193,26 @@ class TwoLevelIndex:
         books[~np.isfinite(books).all(axis=2)] = 1e150                                # codes that were not needed
 
         placed = written(cls._placed(assigned, second, loads, books), "ann-placed")
-        from larder.operators.search_index import sorted_write
         sorted_write(placed.select("cell", "_id", "code"), f"{path}/codes", ["cell", "_id"])
-        sorted_write(placed.select("cell", "_id", "_v"), f"{path}/vectors", ["cell", "_id"])
+        sorted_write(placed.select("cell", "_id", "_v", V.norm("_v").alias("norm")), f"{path}/vectors", ["cell", "_id"])
         spread = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
         second.join(spread, "cell").select("coarse", "cell", "centroid", "n", "radius").write.mode("overwrite").parquet(f"{path}/cells")
         first.join(loads, first["child"] == loads["coarse"]).select("child", "centroid", "radius") \
             .write.mode("overwrite").parquet(f"{path}/coarse")
 
-        def note(coarse_probes: int, probes: int) -> "TwoLevelIndex":
-            spark.createDataFrame([(n, dim, coarse_probes, probes)], "n long, dim int, coarse_probes int, probes int") \
-                .write.mode("overwrite").parquet(f"{path}/meta")
-            return cls(spark, path)
-        index = note(len(rows) or 1, max(1, n))
+        def note(coarse_probes: int, probes: int, short_list: int) -> "TwoLevelIndex":
+            meta = spark.createDataFrame([(n, dim, coarse_probes, probes, short_list)], META)
+            meta.write.mode("overwrite").parquet(f"{path}/meta")
+            return cls(spark, path, meta.first())
+        index = note(len(rows) or 1, max(1, n), LEAST_LIST)
         # coarse cells, cells and codes may each miss a third of what the target leaves
         return note(*index._measured(raw, n, 1 - (1 - target_recall) / 3)) if n > 1 else index
 
     @classmethod
-    def stored(cls, catalogue: DataFrame, source: str, root: str, **options) -> "TwoLevelIndex":
-        """The index of a source below ``root``, built if it is not there or the source's files changed."""
-        from larder.operators.search_index import source_fingerprint
+    def stored(cls, catalogue: DataFrame, source: str, root: str, rebuild: bool = False, **options) -> "TwoLevelIndex":
+        """The index of a source below ``root``, built if it is not there, the source's files changed or ``rebuild``."""
         path = f"{root.rstrip('/')}/ann-{source_fingerprint(catalogue.sparkSession, source)}"
-        return cls.open(catalogue.sparkSession, path) or cls.build(catalogue, path, **options)
+        return (None if rebuild else cls.open(catalogue.sparkSession, path)) or cls.build(catalogue, path, **options)
 
     @staticmethod
     def _placed(assigned: DataFrame, cells: DataFrame, loads: DataFrame, books: np.ndarray | None = None) -> DataFrame:
@@ -235,8 +240,8 @@ class TwoLevelIndex:
         return _meet(left, right, ["coarse", "salt"], place,
                      "cell int, _id long, _v array<double>, rest array<double>, code binary, angle double")
 
-    def _measured(self, raw: DataFrame, n: int, target: float) -> tuple[int, int]:
-        """(coarse cells, cells) to probe: the place of the true neighbour's cell, at the target share of a sample."""
+    def _measured(self, raw: DataFrame, n: int, target: float) -> tuple[int, int, int]:
+        """(coarse cells, cells, short list): the place of the true neighbour's cells and code, at the target share of a sample."""
         share = min(1.0, 2 * RECALL_SAMPLE / n)
         sample = written(raw.where(_hash_share("_id", share)).limit(RECALL_SAMPLE), "ann-sample")
         best = V.knn(sample, raw, k=1, query_id="_id", item_id="_id", vec="_v", exclude_same_id=True)
@@ -248,7 +253,16 @@ class TwoLevelIndex:
         coarse = max(1, math.ceil(coarse or 1))
         fine = self._cell_order(q, self._coarse_order(q, coarse), 1 << 30) \
             .join(true.select(F.col("query_id").alias("_id"), "cell"), ["_id", "cell"]).agg(F.percentile("place", target)).first()[0]
-        return coarse, max(1, math.ceil(fine or 1))
+        fine = max(1, math.ceil(fine or 1))
+        near = written(self._cell_order(q, self._coarse_order(q, coarse), fine).select("_id", "cell"), "ann-probes")
+        wanted = q.join(true.select(F.col("query_id").alias("_id"), F.col("_id").alias("_true"), F.col("cell").alias("home")), "_id")
+        bars = self._in_cells(wanted, wanted.select("_id", F.col("home").alias("cell")), self.codes, _score_of(self.books),
+                              "_id long, bar double")
+        asked = written(q.join(bars, "_id"), "ann-bars")
+        place = self._in_cells(asked, near, self.codes, _better(self.books), "_id long, n long") \
+            .groupBy("_id").agg((F.sum("n") + 1).alias("place"))
+        short = place.agg(F.percentile("place", target)).first()[0]
+        return coarse, fine, max(LEAST_LIST, math.ceil(short or 1))
 
     # ------------------------------------------------------------- querying
 
@@ -256,8 +270,8 @@ class TwoLevelIndex:
         """One row for each query id with a vector of the index's length; the unit vector beside the given one."""
         q = queries.where(F.size(vec) == self.dim).select(F.col(query_id).cast("long").alias("_id"),
                                                           F.col(vec).cast("array<double>").alias("_v"))
-        return written(q.groupBy("_id").agg(F.max("_v").alias("_v"))
-                       .withColumn("_u", V.l2_normalize(F.col("_v"), as_float=False)), "ann-queries")
+        q = q.groupBy("_id").agg(F.max("_v").alias("_v")).withColumn("norm", V.norm("_v"))
+        return written(q.withColumn("_u", V.l2_normalize(F.col("_v"), as_float=False)), "ann-queries")
 
     def _coarse_order(self, q: DataFrame, probes: int) -> DataFrame:
         """``_id, coarse, place`` of each query's nearest coarse cells (place from 1)."""
@@ -319,9 +333,11 @@ class TwoLevelIndex:
         q = self._queries(queries, query_id, vec)
         if not self.n:
             return self.spark.createDataFrame([], "query_id long, item_id long, sim double, rank int")
-        coarse = self.coarse_probes if probes is None else len(self.coarse)
+        if exact:                    # any good match will do here: what it leaves open is searched in full
+            probes, short_list = probes or min(BAR_PROBES, self.probes), short_list or BAR_LIST * k
+        coarse = min(self.coarse_probes if probes is None else probes, len(self.coarse))
         near = written(self._cell_order(q, self._coarse_order(q, coarse), probes or self.probes).select("_id", "cell"), "ann-probes")
-        keep = short_list or SHORT_LIST * k
+        keep = short_list or self.short_list * k
         listed = self._in_cells(q, near, self.codes, _by_codes(self.books, keep, exclude_same_id),
                                 "_id long, item_id long, cell int, score double")
         w = Window.partitionBy("_id").orderBy(F.desc("score"), "item_id")
@@ -332,6 +348,8 @@ class TwoLevelIndex:
         more = written(self._could_matter(q, found, k), "ann-more")
         block = V._block_fn(k, exclude_same_id, digits=12)
         rest = self._in_cells(q.select("_id", "_v"), more, self.vectors, block, "query_id long, item_id long, sim double")
+        w = Window.partitionBy("query_id").orderBy(F.round("sim", 12).desc(), "item_id")
+        rest = rest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         both = found.select(F.col("query_id").alias("_id"), "item_id").unionByName(
             rest.select(F.col("query_id").alias("_id"), "item_id")).distinct()
         cell = self.vectors.select(F.col("_id").alias("item_id"), "cell")
@@ -339,9 +357,10 @@ class TwoLevelIndex:
 
     def _exact_cosines(self, q: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         """Pairs with the similarity of the original vectors, the best ``k`` of each query."""
-        full = self.vectors.select("cell", F.col("_id").alias("item_id"), F.col("_v").alias("_w"))
-        scored = pairs.join(full, ["cell", "item_id"]).join(q.select("_id", "_v"), "_id") \
-            .select(F.col("_id").alias("query_id"), "item_id", V.cosine("_v", "_w").alias("sim"))
+        full = self.vectors.select("cell", F.col("_id").alias("item_id"), F.col("_v").alias("_w"), F.col("norm").alias("_nw"))
+        scored = pairs.join(full, ["cell", "item_id"]).join(q.select("_id", "_v", "norm"), "_id") \
+            .select(F.col("_id").alias("query_id"), "item_id",
+                    (V.dot("_v", "_w") / (F.col("norm") * F.col("_nw") + V.EPS)).alias("sim"))
         return V._merge_topk(scored, k)
 
     def _could_matter(self, q: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -351,7 +370,7 @@ class TwoLevelIndex:
         """
         kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("sim").alias("_bar"))
         bars = q.join(kth, "_id", "left").withColumn(
-            "_bar", F.when(V.norm("_v") < LEAST_NORM, -2.0).otherwise(F.coalesce("_bar", F.lit(-2.0))))
+            "_bar", F.when(F.col("norm") < LEAST_NORM, -2.0).otherwise(F.coalesce("_bar", F.lit(-2.0))))
         bars = written(bars.select("_id", "_u", "_bar"), "ann-bars")
         centroids, radius, ids = unit(self.coarse), self.coarse_radius, self.coarse_ids
 
@@ -375,6 +394,19 @@ class TwoLevelIndex:
         return self._by_coarse(bars, wanted, fine, "_id long, cell int")
 
 
+def best_matches(queries: DataFrame, catalogue: DataFrame, k: int = 1, query_id: str = "query_id",
+                 item_id: str = "item_id", vec: str = "embedding", exclude_same_id: bool = False,
+                 pairs: int = EXACT_PAIRS) -> DataFrame:
+    """The rows of ``vectors.knn``: block by block up to ``pairs`` comparisons, by a certified index search beyond.
+
+    Both ways give the same matches; only what is worth an index gets one.
+    """
+    if queries.count() * catalogue.count() <= pairs:
+        return V.knn(queries, catalogue, k, query_id, item_id, vec, exclude_same_id)
+    index = TwoLevelIndex.build(catalogue, shared_path(catalogue.sparkSession, "ann-index"), item_id, vec)
+    return index.query(queries, k, query_id, vec, exclude_same_id, exact=True)
+
+
 def _assign_top(centroids: np.ndarray):
     """Nearest coarse centroid and the angle to it; a short vector's angle counts as half a turn."""
     directions = unit(centroids)
@@ -390,28 +422,34 @@ def _assign_top(centroids: np.ndarray):
     return run
 
 
+def _code_scores(books: np.ndarray, queries: pd.DataFrame, items: pd.DataFrame):
+    """(part of the queries, ids, scores by table look-ups) of a cell's codes, ids in order."""
+    m, _, width = books.shape
+    items = items.sort_values("_id")
+    ids = items["_id"].to_numpy()
+    code = np.frombuffer(b"".join(items["code"]), np.uint8).reshape(len(ids), m)
+    centroid = np.asarray(queries["centroid"].iloc[0], np.float64)
+    usable = np.where(np.isfinite(books), books, 0.0)
+    for start in range(0, len(queries), 256):
+        part = queries.iloc[start:start + 256]
+        x = _stack(part["_u"])
+        padded = np.zeros((len(x), m * width))
+        padded[:, :x.shape[1]] = x
+        table = np.einsum("qmw,mcw->qmc", padded.reshape(len(x), m, width), usable)
+        score = np.repeat((x @ centroid)[:, None], len(ids), axis=1)
+        for j in range(m):
+            score += table[:, j, code[:, j]]
+        yield part, ids, score
+
+
 def _by_codes(books: np.ndarray, keep: int, exclude_same_id: bool):
-    """The ``keep`` best rows of a cell for each query, by table look-ups on the codes."""
+    """The ``keep`` best rows of a cell for each query."""
     def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or items.empty:
             return pd.DataFrame({"_id": [], "item_id": [], "cell": [], "score": []}).astype(
                 {"_id": "int64", "item_id": "int64", "cell": "int32", "score": "float64"})
-        m, _, width = books.shape
-        items = items.sort_values("_id")
-        ids = items["_id"].to_numpy()
-        code = np.frombuffer(b"".join(items["code"]), np.uint8).reshape(len(ids), m)
-        centroid = np.asarray(queries["centroid"].iloc[0], np.float64)
-        usable = np.where(np.isfinite(books), books, 0.0)
         out = []
-        for start in range(0, len(queries), 256):
-            part = queries.iloc[start:start + 256]
-            x = _stack(part["_u"])
-            padded = np.zeros((len(x), m * width))
-            padded[:, :x.shape[1]] = x
-            table = np.einsum("qmw,mcw->qmc", padded.reshape(len(x), m, width), usable)
-            score = np.repeat((x @ centroid)[:, None], len(ids), axis=1)
-            for j in range(m):
-                score += table[:, j, code[:, j]]
+        for part, ids, score in _code_scores(books, queries, items):
             qid = part["_id"].to_numpy()
             if exclude_same_id:
                 score[qid[:, None] == ids[None, :]] = -np.inf
@@ -424,3 +462,27 @@ def _by_codes(books: np.ndarray, keep: int, exclude_same_id: bool):
         got["cell"] = np.int32(items["cell"].iloc[0])
         return got[["_id", "item_id", "cell", "score"]]
     return fn
+
+
+def _score_of(books: np.ndarray):
+    """The code score of each query's ``_true`` item, in the block that holds it."""
+    def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"_id": [], "bar": []}).astype({"_id": "int64", "bar": "float64"})]
+        if not (queries.empty or items.empty):
+            for part, ids, score in _code_scores(books, queries, items):
+                row, at = np.nonzero(part["_true"].to_numpy()[:, None] == ids[None, :])
+                out.append(pd.DataFrame({"_id": part["_id"].to_numpy()[row], "bar": score[row, at]}))
+        return pd.concat(out)
+    return fn
+
+
+def _better(books: np.ndarray):
+    """How many rows of a block score above a query's ``bar``, itself left out."""
+    def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"_id": [], "n": []}).astype({"_id": "int64", "n": "int64"})]
+        if not (queries.empty or items.empty):
+            for part, ids, score in _code_scores(books, queries, items):
+                own = part["_id"].to_numpy()[:, None] == ids[None, :]
+                out.append(pd.DataFrame({"_id": part["_id"], "n": ((score > part["bar"].to_numpy()[:, None]) & ~own).sum(axis=1)}))
+        return pd.concat(out)
+    return fn

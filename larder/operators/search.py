@@ -101,12 +101,16 @@ def search_total(docs: DataFrame, id_col: str, text_col: str, query: str, operat
 
 
 def bm25(hits: DataFrame, weights: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
-    """Per-document score from ``hits(doc_id, dl, term, tf)``, ``weights(term, weight)`` and the statistics row."""
+    """Per-document score from ``hits(doc_id, dl, term, tf)``, ``weights(term, weight[, df])`` and the statistics row.
+
+    Without ``df`` the documents of each term are counted in the hits.
+    """
     n, avgdl = stats.first()                                                 # two scalars
-    df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl or 1.0)))
-    contrib = hits.join(df_, "term").join(weights, "term")
+    if "df" not in weights.columns:
+        weights = weights.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    contrib = hits.join(weights, "term")
     return contrib.groupBy("doc_id").agg(F.sum(F.col("weight") * idf * norm).alias("score"))
 
 

@@ -20,6 +20,7 @@ import hashlib
 from functools import reduce
 from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ PREFIX = 7                   # characters of a term that give deletion variants:
 LOOKUP_KEYS = 2_000          # keys that are put into a filter; more are joined
 PUSHED = 10                  # values of one IN list that the Parquet reader tests one by one
 VOCABULARY = "id long, term string, df long, occurrences long"
+STATS = "n long, avgdl double, id_type string"
 POSTINGS = "term string, doc_id {id}, dl int, tf long"
 
 
@@ -54,12 +56,23 @@ def sorted_write(df: DataFrame, path: str, keys: list[str], bloom: list[str] = (
 
 
 def source_fingerprint(spark: SparkSession, path: str) -> str:
-    """Digest of a Parquet source's files, their sizes and times: it changes when the source does."""
-    files = spark.read.parquet(path).select(
-        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    row = files.select(F.xxhash64("file_path", "file_size", "file_modification_time").alias("h")) \
-        .agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
-    return hashlib.md5(f"{path}:{row[0]}:{row[1]}:{row[2]}".encode()).hexdigest()
+    """Digest of a source's path, bytes, files and last change, from the file system's own books: no data is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    size = fs.getContentSummary(where)
+    seen = (path, size.getLength(), size.getFileCount(), fs.getFileStatus(where).getModificationTime())
+    return hashlib.md5(repr(seen).encode()).hexdigest()
+
+
+def marker_row(spark: SparkSession, path: str, schema: str):
+    """The one row that marks a table set complete; None if it was never written."""
+    try:
+        return spark.read.schema(schema).parquet(path).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def prefix_variants(term: str, deletions: int, prefix: int = PREFIX) -> set[str]:
@@ -86,7 +99,7 @@ class SearchIndex:
         self.vocabulary = spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary")
         self.variants = spark.read.schema("variant string, term string").parquet(f"{path}/variants")
         self.postings = spark.read.schema(POSTINGS.format(id=id_type)).parquet(f"{path}/postings")
-        self.stats = spark.read.schema("n long, avgdl double, id_type string").parquet(f"{path}/stats")
+        self.stats = spark.read.schema(STATS).parquet(f"{path}/stats")
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str, path: str) -> "SearchIndex":
@@ -105,23 +118,22 @@ class SearchIndex:
         head = X.deletion_variants(F.substring("term", 1, PREFIX), X.MAX_FUZZINESS)
         sorted_write(vocabulary.select(F.explode(head).alias("variant"), "term"), f"{path}/variants", ["variant", "term"])
         n, total = docs.count(), vocabulary.agg(F.sum("occurrences")).first()[0] or 0
-        spark.createDataFrame([(n, total / n if n else 0.0, id_type)], "n long, avgdl double, id_type string") \
+        spark.createDataFrame([(n, total / n if n else 0.0, id_type)], STATS) \
             .write.mode("overwrite").parquet(f"{path}/stats")
         return cls(spark, path, id_type)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "SearchIndex | None":
         """The index that ``build`` completed below ``path``, also from another session; None if there is none."""
-        from larder.sources.io import has_rows
-        if not has_rows(spark, f"{path}/stats"):
-            return None
-        return cls(spark, path, spark.read.parquet(f"{path}/stats").first()["id_type"])
+        stats = marker_row(spark, f"{path}/stats", STATS)
+        return cls(spark, path, stats["id_type"]) if stats else None
 
     @classmethod
-    def stored(cls, docs: DataFrame, id_col: str, text_col: str, source: str, root: str) -> "SearchIndex":
-        """The index of a source below ``root``, built if it is not there or the source's files changed."""
+    def stored(cls, docs: DataFrame, id_col: str, text_col: str, source: str, root: str,
+               rebuild: bool = False) -> "SearchIndex":
+        """The index of a source below ``root``, built if it is not there, the source's files changed or ``rebuild``."""
         path = f"{root.rstrip('/')}/search-{source_fingerprint(docs.sparkSession, source)}"
-        return cls.open(docs.sparkSession, path) or cls.build(docs, id_col, text_col, path)
+        return (None if rebuild else cls.open(docs.sparkSession, path)) or cls.build(docs, id_col, text_col, path)
 
     def fuzzy_terms(self, terms: list[str], fuzziness: str | int = "AUTO") -> DataFrame:
         """``query_term, term, distance, weight``: vocabulary terms within the edit budget of each query term.
@@ -142,24 +154,27 @@ class SearchIndex:
         return scored.select("query_term", "term", F.col("distance").cast("int"),
                              (F.lit(1.0) - F.col("distance") / F.least("qlen", tlen)).alias("weight"))
 
-    def hits(self, weights: DataFrame) -> DataFrame:
-        """Postings of the weighted terms: by a filter on a few terms, by a join beyond ``LOOKUP_KEYS``."""
-        few = [r["term"] for r in weights.select("term").limit(LOOKUP_KEYS + 1).collect()]
-        if len(few) <= LOOKUP_KEYS:
-            return self.postings.where(keys_in("term", few))
-        return self.postings.join(weights, "term", "left_semi")
+    def hits(self, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(postings, weights with ``df``) of the weighted terms: look-ups for a few terms, joins beyond ``LOOKUP_KEYS``."""
+        few = {r["term"]: r["weight"] for r in weights.select("term", "weight").limit(LOOKUP_KEYS + 1).collect()}
+        if len(few) > LOOKUP_KEYS:
+            return self.postings.join(weights, "term", "left_semi"), weights.join(self.vocabulary.select("term", "df"), "term")
+        counts = self.vocabulary.where(keys_in("term", list(few))).select("term", "df").collect()
+        rows = [(r["term"], few[r["term"]], r["df"]) for r in counts]
+        return self.postings.where(keys_in("term", list(few))), F.broadcast(
+            self.spark.createDataFrame(rows, "term string, weight double, df long"))
 
     def search(self, query: str, k: int = SEARCH_PAGE_SIZE, fuzzy: bool = True, labels: DataFrame | None = None,
                k1: float = BM25_K1, b: float = BM25_B, digits: int | None = 6) -> DataFrame:
         """The BM25 page of a query, every term widened to its near vocabulary terms unless ``fuzzy`` is false."""
         terms = X.analyse_query(query, self.spark)
         if fuzzy:
-            weights = written(self.fuzzy_terms(terms).groupBy("term").agg(F.sum("weight").alias("weight")), "expanded")
+            weights = self.fuzzy_terms(terms).groupBy("term").agg(F.sum("weight").alias("weight"))
         else:
             weights = X.equal_weights(self.spark, terms)
-        stats = self.stats.select("n", "avgdl")
-        page = X.page(X.bm25(self.hits(weights), weights, stats, k1, b), k, digits)
-        return page if labels is None else page.join(labels, "doc_id", "left")
+        hits, weights = self.hits(weights)
+        best = X.page(X.bm25(hits, weights, self.stats.select("n", "avgdl"), k1, b), k, digits)
+        return best if labels is None else best.join(labels, "doc_id", "left")
 
     def terms_of(self, ids_text: str) -> list[str]:
         """The vocabulary terms of a list of ids, in its order; an unknown id raises ``ValueError``."""

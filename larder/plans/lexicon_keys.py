@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from larder.operators import lexicon as L
 from larder.operators import recipes as R
-from larder.operators.util import bounded_broadcast
+from larder.operators.util import bounded_broadcast, written
 from larder.plans import inputs as I
 from larder.plans import sql_text as S
 from larder.plans.registry import register
 from larder.plans.sql_text import q
+from larder.plans.vector_keys import vectors_cte
 from larder.session import read_table
 
 LINE = I.ingredient_line_sql()
@@ -192,35 +193,61 @@ KNN_THRESHOLD = 0.1
 KNN_CARB_LIMIT = 10.0
 
 
-@register("label_recipes_knn")
+CAT_NAME = S.singularize(S.clean_text("p_name"), False)
+CAT_SQL = f"""SELECT name, quantile_disc({I.CARBS_SQL}, 0.5) AS carbs FROM (
+          SELECT {CAT_NAME} AS name, p_retailprice FROM part
+          WHERE regexp_matches({S.clean_text('p_name')}, '[a-zA-Z].*[a-zA-Z]')
+            AND trim({S.clean_text('p_name')}) <> '' AND p_retailprice IS NOT NULL)
+        WHERE trim(name) <> '' GROUP BY name"""
+
+
+def _name_id(col):
+    """60 bits of the name's MD5: ids that any engine can compute."""
+    return F.conv(F.substring(F.md5(F.col(col).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+@register("label_recipes_knn", f"""
+WITH RECURSIVE {_vegan_cte()},
+cat AS (SELECT ('0x' || substr(md5(name), 1, 15))::BIGINT AS id, name AS text, carbs FROM ({CAT_SQL})),
+asked AS (SELECT ('0x' || substr(md5(phrase), 1, 15))::BIGINT AS id, phrase AS text FROM (SELECT DISTINCT phrase FROM items)),
+{vectors_cte('cat', 'cat', 256, 'cv')},
+{vectors_cte('asked', 'cat', 256, 'qv')},
+pairs AS (SELECT q.id AS query_id, c.id AS item_id,
+    list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))
+      * sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) + 1e-8) AS sim FROM qv q CROSS JOIN cv c),
+best AS (SELECT query_id, arg_min(item_id, (-round(sim, 9), item_id)) AS item_id, max(sim) AS sim FROM pairs GROUP BY query_id),
+keto AS (SELECT a.text AS phrase, coalesce(b.sim >= {KNN_THRESHOLD} AND c.carbs <= {KNN_CARB_LIMIT} AND NOT isnan(c.carbs), false) AS keto
+  FROM asked a LEFT JOIN best b ON b.query_id = a.id LEFT JOIN cat c ON c.id = b.item_id)
+SELECT p_brand, p_size, bool_and(coalesce(l.vegan, false)) AS vegan, bool_and(coalesce(k.keto, false)) AS keto
+FROM items i LEFT JOIN labv l ON l.phrase = i.phrase LEFT JOIN keto k ON k.phrase = i.phrase GROUP BY p_brand, p_size""")
 def label_recipes_knn(spark, sf_dir):
     """The whole labelling job: plant-based by lexicon, low-carb by nearest product.
 
     Catalogue: part names cleaned like products, carbs = median of
     ``inputs.carbs`` per name.  Every distinct ingredient phrase is
-    encoded with the same fitted encoder and matched (exact blocked kNN) to
-    the catalogue; its carbs decide.  Recipes are ``(p_brand, p_size)``.
+    encoded with the same fitted encoder and matched to the catalogue
+    (``ann.best_matches``); its carbs decide.  Recipes are ``(p_brand, p_size)``.
     """
     from larder.operators import products as P
     from larder.operators import vectors as V
+    from larder.operators.ann import best_matches
     part = read_table(spark, sf_dir, "part")
     raw = part.select(F.col("p_name").alias("product_name"), I.carbs().alias("carbohydrates_100g"))
     cleaned = P.clean_names(raw, fold=False)
     catalogue = P.median_per_key(cleaned, "product_name", "carbohydrates_100g", "carbs")
-    # 64-bit hash ids: a collision needs billions of distinct names (birthday bound ~2^32)
-    catalogue = catalogue.withColumn("item_id", F.xxhash64("product_name"))
+    catalogue = written(catalogue.withColumn("item_id", _name_id("product_name")), "catalogue")
     encoder = V.fit_text_encoder(catalogue, "product_name", dim=256)
     cat_vec = encoder.transform(catalogue)
     lines, vegan = _vegan_phrase_labels(spark, sf_dir)
-    # one row per distinct line, used twice (kNN queries, label join): written once
+    # one row per distinct line, used twice (matching, label join): written once
     vegan = vegan.select("line", "phrase", "vegan").checkpoint(eager=True)
     # many lines share a phrase: each is encoded and searched once
-    phrases = vegan.select("phrase").distinct().withColumn("query_id", F.xxhash64("phrase"))
+    phrases = vegan.select("phrase").distinct().withColumn("query_id", _name_id("phrase"))
     q_vec = encoder.transform(phrases.withColumnRenamed("phrase", "product_name"))
-    best = V.knn(q_vec, cat_vec, k=1, query_id="query_id", item_id="item_id")
+    best = best_matches(q_vec, cat_vec)
     keto = V.classify_keto(best, catalogue, "item_id", "carbs", KNN_THRESHOLD, KNN_CARB_LIMIT) \
         .select("query_id", "keto")
-    item_labels = vegan.withColumn("query_id", F.xxhash64("phrase")) \
+    item_labels = vegan.withColumn("query_id", _name_id("phrase")) \
         .join(keto, "query_id", "left").select("line", "vegan", F.coalesce("keto", F.lit(False)).alias("keto"))
     return R.label_items(lines, ["p_brand", "p_size"], "line", item_labels, ["vegan", "keto"])
 
@@ -238,7 +265,6 @@ def _sample_list():
 
 _SAMPLE_SQL = f"""(SELECT p_partkey AS id, {_sample_list_sql()} AS ingredients,
    {I.CARBS_SQL} <= 10 AS keto, NOT contains(lower(p_name), 'bolt') AS vegan FROM part)"""
-_CAT_NAME = S.singularize(S.clean_text("p_name"), False)
 _ITEMS_SQL = f"""SELECT DISTINCT item, {S.singularize(S.extract_name('item'))} AS phrase
    FROM (SELECT unnest({S.parse_list_text('ingredients')}) AS item FROM {_SAMPLE_SQL})"""
 
@@ -269,11 +295,7 @@ UNION ALL SELECT 'weighted avg', wp / n, wr / n, wf / n, CAST(n AS BIGINT) FROM
 
 _EVAL_SQL = f"""
 WITH RECURSIVE {_vegan_cte(_ITEMS_SQL)},
-cat AS (SELECT name, quantile_disc({I.CARBS_SQL}, 0.5) AS carbs FROM (
-          SELECT {_CAT_NAME} AS name, p_retailprice FROM part
-          WHERE regexp_matches({S.clean_text('p_name')}, '[a-zA-Z].*[a-zA-Z]')
-            AND trim({S.clean_text('p_name')}) <> '' AND p_retailprice IS NOT NULL)
-        WHERE trim(name) <> '' GROUP BY name),
+cat AS ({CAT_SQL}),
 item_lab AS (SELECT i.item, coalesce(l.vegan, false) AS vegan,
                     coalesce(c.carbs <= 10 AND NOT isnan(c.carbs), false) AS keto
              FROM items i LEFT JOIN labv l ON l.phrase = i.phrase LEFT JOIN cat c ON c.name = i.phrase),

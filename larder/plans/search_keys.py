@@ -11,7 +11,7 @@ from larder.operators.search_index import PREFIX, SearchIndex
 from larder.plans import sql_text as S
 from larder.plans.registry import register
 from larder.plans.sql_text import q
-from larder.session import ensure_checkpoint_dir, read_table, shared_path, table_path
+from larder.session import ensure_checkpoint_dir, read_table, table_path
 
 TERMS = S.analyse_terms("text")
 MATCH_QUERY = "Worthless enau, ouonen"
@@ -126,10 +126,10 @@ fz AS (SELECT query_term, term, CAST(distance AS INTEGER) AS distance,
               1.0::DOUBLE - distance / least(qlen, tlen) AS weight FROM pairs WHERE distance <= max_d)"""
 
 
-def _index(spark, sf_dir) -> SearchIndex:
+def _index(spark, sf_dir, rebuild=False) -> SearchIndex:
     """The stored index of ``documents``; built by whichever query needs it first."""
     return SearchIndex.stored(_docs(spark, sf_dir), "doc_id", "text", table_path(sf_dir, "documents"),
-                              f"{ensure_checkpoint_dir(spark)}/larder/indexes")
+                              f"{ensure_checkpoint_dir(spark)}/larder/indexes", rebuild)
 
 
 _DROP = "list_transform(range(1, length({w}) + 1), lambda i: left({w}, i - 1) || substr({w}, i + 1))"
@@ -146,7 +146,7 @@ SELECT CAST(row_number() OVER (ORDER BY term) AS BIGINT) AS id, term, df, occurr
 FROM o""")
 def search_index_build(spark, sf_dir):
     """A fresh index of ``documents``: its vocabulary, with the variants stored for each term."""
-    index = SearchIndex.build(_docs(spark, sf_dir), "doc_id", "text", shared_path(spark, "search-index"))
+    index = _index(spark, sf_dir, rebuild=True)
     stored = index.variants.groupBy("term").agg(F.count(F.lit(1)).alias("n_variants"))
     return index.vocabulary.join(stored, "term").select("id", "term", "df", "occurrences", "n_variants")
 

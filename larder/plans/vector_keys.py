@@ -8,7 +8,7 @@ from larder.operators import vectors as V
 from larder.operators.ann import SUB, TwoLevelIndex
 from larder.plans import sql_text as S
 from larder.plans.registry import register
-from larder.session import ensure_checkpoint_dir, read_table, shared_path, table_path
+from larder.session import ensure_checkpoint_dir, read_table, table_path
 
 _DBL = "CAST(embedding AS DOUBLE[])"
 _SUM = "lambda a, b: a + b"
@@ -66,11 +66,11 @@ def knn_exact(spark, sf_dir):
     return _knn_all(spark, sf_dir).select("query_id", "item_id", F.round("sim", 6).alias("sim"))
 
 
-def _index(spark, sf_dir) -> TwoLevelIndex:
+def _index(spark, sf_dir, rebuild=False) -> TwoLevelIndex:
     """The stored index of ``embeddings``; built by whichever query needs it first."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return TwoLevelIndex.stored(e, table_path(sf_dir, "embeddings"), f"{ensure_checkpoint_dir(spark)}/larder/indexes",
-                                item_id="vec_id")
+                                rebuild, item_id="vec_id")
 
 
 @register("knn_ivf_build", f"""
@@ -78,8 +78,7 @@ SELECT vec_id, CAST(ceil(len(embedding) / {SUB}.0) AS INTEGER) AS code_bytes, le
 FROM embeddings WHERE embedding IS NOT NULL""")
 def knn_ivf_build(spark, sf_dir):
     """A fresh two-level index of ``embeddings``: bytes that a search reads of each vector, against its own."""
-    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = TwoLevelIndex.build(e, shared_path(spark, "ann-index"), item_id="vec_id")
+    index = _index(spark, sf_dir, rebuild=True)
     coded = index.codes.join(index.vectors.select("cell", "_id", F.size("_v").alias("dim")), ["cell", "_id"])
     return coded.select(F.col("_id").alias("vec_id"), F.octet_length("code").alias("code_bytes"),
                         (F.col("dim") * 4).cast("long").alias("raw_bytes"))
@@ -119,20 +118,29 @@ def keto_items(spark, sf_dir):
     return lab.select("query_id", "item_id", F.round("sim", 6).alias("sim"), "carbs", "keto")
 
 
+def vectors_cte(texts: str, fitted: str, dim: int, out: str) -> str:
+    """CTE ``out(id, embedding)``: hashed TF-IDF vectors of ``texts(id, text)`` by the bucket rule of
+    ``vectors.term_buckets``, weighted by the documents of ``fitted(id, text)``."""
+    def counts(table: str) -> str:
+        return f"""(SELECT id, bucket, count(*)::DOUBLE AS n FROM (
+  SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {dim} AS bucket
+  FROM (SELECT id, unnest({S.analyse_terms('text')}) AS term FROM {table})) GROUP BY id, bucket)"""
+    return f"""{out}_idf AS (SELECT bucket, count(*) AS df FROM {counts(fitted)} GROUP BY bucket),
+{out}_x AS (SELECT id, t.bucket, n * ln(((SELECT count(*) FROM {fitted}) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) AS v
+  FROM {counts(texts)} t LEFT JOIN {out}_idf i ON i.bucket = t.bucket),
+{out}_l AS (SELECT id, sqrt(list_reduce(list(v * v ORDER BY bucket), lambda a, b: a + b)) AS len,
+             map_from_entries(list((bucket, v))) AS m FROM {out}_x GROUP BY id),
+{out} AS (SELECT d.id, list_transform(range({dim}), lambda i:
+    CAST(coalesce(CASE WHEN len > 0 THEN element_at(m, i)[1] / len END, 0.0) AS FLOAT)) AS embedding
+  FROM {texts} d LEFT JOIN {out}_l l ON l.id = d.id)"""
+
+
 def encoder_sql(dim: int) -> str:
-    """Hashed TF-IDF vectors of ``documents`` by the bucket rule of ``vectors.term_buckets``."""
+    """Vectors of ``documents``, fitted on themselves."""
     return f"""
-WITH t AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {dim} AS bucket
-           FROM (SELECT doc_id, unnest({S.analyse_terms('text')}) AS term FROM documents)),
-tf AS (SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM t GROUP BY doc_id, bucket),
-idf AS (SELECT bucket, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) AS w
-        FROM tf GROUP BY bucket),
-x AS (SELECT doc_id, bucket, n * w AS v FROM tf JOIN idf USING (bucket)),
-l AS (SELECT doc_id, sqrt(list_reduce(list(v * v ORDER BY bucket), lambda a, b: a + b)) AS len,
-             map_from_entries(list((bucket, v))) AS m FROM x GROUP BY doc_id)
-SELECT d.doc_id, list_transform(range({dim}), lambda i:
-    CAST(coalesce(CASE WHEN len > 0 THEN element_at(m, i)[1] / len END, 0.0) AS FLOAT)) AS embedding
-FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id"""
+WITH d AS (SELECT doc_id AS id, text FROM documents),
+{vectors_cte('d', 'd', dim, 'e')}
+SELECT id AS doc_id, embedding FROM e"""
 
 
 @register("encode_text", encoder_sql(256))

@@ -61,3 +61,34 @@ def test_embed_stream_with_plugin_model(spark):
     assert ING.embed_stream(spark, src, schema, target, ckpt, model, "text") == 0
     got = {r.id: len(r.embedding) for r in ING.read_ingested(spark, target).collect()}
     assert got == {1: 16, 2: 16}
+
+
+def test_vocabulary_state_survives_a_replay(spark):
+    """A batch whose output is lost before its commit is run again: same terms, same ids, and no later ones move."""
+    import os
+    import shutil
+    src, vocab, ckpt = (shared_path(spark, f"t-{x}").removeprefix("file:") for x in ("vsrc", "vvocab", "vckpt"))
+
+    def run():
+        lines = spark.readStream.schema("text string").option("maxFilesPerTrigger", 1).parquet(src)
+        return ING.grow_vocabulary(spark, lines.select(F.explode(T.analyse_terms("text")).alias("term")), vocab, ckpt)
+
+    def words():
+        return sorted((r.id, r.term) for r in spark.read.parquet(vocab).collect())
+    for line in ("b a", "c a"):
+        spark.createDataFrame([(line,)], "text string").coalesce(1).write.mode("append").parquet(src)
+        assert run() == 1
+    assert words() == [(1, "a"), (2, "b"), (3, "c")]
+    # the second batch's commit is lost with its rows: the state goes back to the first batch
+    os.remove(f"{ckpt}/commits/1")
+    crc = f"{ckpt}/commits/.1.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    shutil.rmtree(f"{vocab}/batch=1")
+    assert run() == 1
+    assert words() == [(1, "a"), (2, "b"), (3, "c")]
+    spark.createDataFrame([("d c b",), (None,)], "text string").coalesce(1).write.mode("append").parquet(src)
+    assert run() == 1 and run() == 0
+    assert words() == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    state = [os.path.join(w, n) for w, _, ns in os.walk(f"{ckpt}/state") for n in ns]
+    assert any(n.endswith((".zip", ".changelog")) for n in state)          # files of the RocksDB state store
