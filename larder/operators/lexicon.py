@@ -79,26 +79,25 @@ def lexicon_hits(df: DataFrame, id_col: str, phrase_col: str, lexicon: DataFrame
                       F.try_element_at("words", F.col("first_pos") + 1).alias("first_word"))
 
 
-def category_closure(edges: DataFrame, roots: DataFrame, senses: DataFrame | None = None,
-                     rounds_per_write: int = 4) -> DataFrame:
+def category_closure(edges: DataFrame, roots: DataFrame, senses: DataFrame | None = None) -> DataFrame:
     """All ``(term, root)`` where a sense of ``term`` is ``root`` or lies below it.
 
-    ``edges`` is ``(child, parent)``; ``roots`` has one column ``root``.
-    Breadth-first DataFrame loop: frontier joins edges, de-duplicated by a
-    left-anti join against everything seen, until the frontier is empty, at
-    any depth.  Cycles are fine: a pair that was seen never comes back.  Every
-    frontier is written to the shared folder (one job per round), and every few
-    rounds the reached set too, so the lineage stays short.
+    ``edges`` is ``(child, parent)``; ``roots`` has one column ``root``.  Path
+    doubling: every round joins the pairs of a node and something above it
+    with themselves, so after k rounds they reach 2^k levels, and a chain of
+    depth d takes about log2(d) rounds, each one written table.  It ends when a
+    round adds nothing; cycles are fine, a pair exists once.  The tables hold every (node, category
+    above it), roots or not: a hierarchy's nodes times their ancestors.
     """
-    e = written(edges.select(F.col("child"), F.col("parent")).distinct(), "edges")
-    seen = written(roots.select(F.col("root"), F.col("root").alias("node")).distinct(), "reached")
-    frontier, rounds = seen, 0
-    while not frontier.isEmpty():
-        step = frontier.join(e, frontier.node == e.parent).select("root", F.col("child").alias("node")).distinct()
-        frontier = written(step.join(seen, ["root", "node"], "left_anti"), "frontier")
-        seen, rounds = seen.unionByName(frontier), rounds + 1
-        if rounds % rounds_per_write == 0:
-            seen = written(seen, "reached")
+    pairs = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("above")).distinct(), "closure")
+    known, found = 0, pairs.count()
+    while found > known:
+        further = pairs.withColumnRenamed("above", "via").join(pairs.withColumnRenamed("node", "via"), "via").select("node", "above")
+        pairs = written(pairs.unionByName(further).distinct(), "closure")
+        known, found = found, pairs.count()
+    tops = roots.select("root").distinct()
+    seen = pairs.join(tops, pairs["above"] == tops["root"]).select("root", "node") \
+        .unionByName(tops.select("root", F.col("root").alias("node"))).distinct()
     reached = seen.select(F.col("node").alias("term"), "root")
     if senses is not None:
         via = senses.join(seen, senses.sense == seen.node).select("term", "root")

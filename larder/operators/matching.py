@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
-from larder.operators.util import param_table
+from larder.operators.util import param_table, with_column_once
+
+FEW_TERMS = 64               # terms that are looked for row by row
 
 
 def contains_any(col, terms, case_insensitive: bool = True) -> Column:
@@ -55,24 +57,35 @@ def term_matches(spark: SparkSession, df: DataFrame, col: str, terms, max_extra_
     than the term (near-exact match).  An empty term matches every text that
     is not null.
 
-    A term can only occur in a text that holds the term's first ``gram``
-    characters (all of them if it is shorter), so terms and distinct texts are
-    joined on these substrings and verified, and the matches are joined back to
-    the rows by their text.  Only the text column is multiplied by its substrings, and
-    only for lengths and substrings that some term starts with.
+    A list of up to ``FEW_TERMS`` terms is tested inside each row, in one stage.  For more terms, or a
+    table of them (never collected), terms and distinct texts are joined on the term's first
+    ``gram`` characters (all of them if it is shorter), which a text that holds the term holds too; candidates
+    are verified, and the matches go back to the rows by the text's hash and the text.
     """
-    if isinstance(terms, DataFrame):   # a term table that may be large: never collected
-        t = terms.select("term").distinct()
-    else:
-        t = spark.createDataFrame([(x,) for x in dict.fromkeys(terms)], "term string")
     norm = F.lower if case_insensitive else (lambda c: c)
-    t = t.withColumn("_nt", norm(F.col("term"))).withColumn("_key", F.substring("_nt", 1, gram))
+
+    def holds(text: Column, low: Column, term: Column, low_term: Column) -> Column:
+        cond = F.contains(low, low_term)
+        if max_extra_words is not None:
+            cond = cond & (T.word_count(text) <= T.word_count(term) + max_extra_words)
+        return cond
+
+    if not isinstance(terms, DataFrame):
+        terms = list(dict.fromkeys(terms))
+        if len(terms) <= FEW_TERMS:
+            asked = F.array(*[F.struct(F.lit(x).alias("term"), norm(F.lit(x)).alias("low")) for x in terms]) \
+                .cast("array<struct<term:string,low:string>>")
+            rows = with_column_once(df.where(F.col(col).isNotNull()), "_low", norm(F.col(col)))
+            met = F.filter(asked, lambda p: holds(F.col(col), F.col("_low"), p["term"], p["low"]))
+            return rows.select(F.explode(met).alias("_p"), *df.columns).select("_p.term", *df.columns)
+        terms = spark.createDataFrame([(x,) for x in terms], "term string")
+    t = terms.select("term").distinct().withColumn("_nt", norm(F.col("term"))).withColumn("_key", F.substring("_nt", 1, gram))
     texts = df.select(F.col(col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
-    short = [r[0] for r in t.select(F.length("_key").alias("n")).distinct().collect()]     # at most gram + 1 lengths
-    keys = F.flatten(F.array(*[F.array(F.lit("")) if n == 0 else _grams(norm(F.col("_text")), n) for n in short])) \
-        if short else F.array().cast("array<string>")
+    lengths = [r[0] for r in t.select(F.length("_key").alias("n")).where("n IS NOT NULL").distinct().collect()]  # gram + 1 at most
+    keys = [F.array(F.lit("")) if n == 0 else _grams(norm(F.col("_text")), n) for n in lengths]
+    keys = F.flatten(F.array(*keys)) if keys else F.array().cast("array<string>")
     found = texts.select("_text", F.explode(keys).alias("_key")).join(t, "_key") \
-        .where(F.contains(norm(F.col("_text")), F.col("_nt")))
-    if max_extra_words is not None:
-        found = found.where(T.word_count(F.col("_text")) <= T.word_count(F.col("term")) + max_extra_words)
-    return found.select("term", "_text").join(df, F.col("_text") == df[col]).drop("_text")
+        .where(holds(F.col("_text"), norm(F.col("_text")), F.col("term"), F.col("_nt"))) \
+        .select("term", "_text", F.xxhash64("_text").alias("_hash"))
+    hashed = df.withColumn("_hash", F.xxhash64(col))
+    return found.join(hashed, "_hash").where(F.col("_text") == F.col(col)).select("term", *df.columns)

@@ -8,6 +8,7 @@ from larder.fixed_values import BM25_B, BM25_K1, SEARCH_PAGE_SIZE
 from larder.functions import text as T
 from larder.operators import search as X
 from larder.operators.search_index import PREFIX, SearchIndex
+from larder.operators.substring_index import SubstringIndex
 from larder.plans import sql_text as S
 from larder.plans.registry import register
 from larder.plans.sql_text import q
@@ -198,3 +199,45 @@ def search_by_ids(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") == 1).alias("keto"), (F.col("toxic") == 0).alias("vegan"))
     return _index(spark, sf_dir).search_by_ids(SEARCH_IDS, labels=labels)
+
+
+# --- substring search over the vocabulary of the documents
+
+SUGGEST_QUERY = "nch"
+_VOCAB_SQL = f"""(SELECT CAST(row_number() OVER (ORDER BY term) AS BIGINT) AS id, term
+ FROM (SELECT DISTINCT unnest({TERMS}) AS term FROM documents))"""
+
+
+def _substrings(spark, sf_dir, rebuild=False) -> SubstringIndex:
+    """The stored substring index of the vocabulary."""
+    return SubstringIndex.stored(_index(spark, sf_dir).vocabulary.select("id", "term"), "id", "term",
+                                 table_path(sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/larder/indexes",
+                                 rebuild=rebuild)
+
+
+@register("substring_index_build", f"""
+SELECT gram, count(*) AS n FROM (
+  SELECT DISTINCT id, unnest(list_transform(range(1, length(term) + 1),
+                                            lambda i: substr(term || chr(1) || chr(1), i, 3))) AS gram FROM {_VOCAB_SQL})
+GROUP BY gram""")
+def substring_index_build(spark, sf_dir):
+    """A fresh index of the vocabulary: its pieces and in how many terms each is."""
+    return _substrings(spark, sf_dir, rebuild=True).grams.select(F.translate("gram", "\x00", "\x01").alias("gram"), "n")
+
+
+@register("suggest_terms", f"""
+SELECT id, term, CAST(length(term) AS INTEGER) AS length FROM {_VOCAB_SQL} WHERE contains(term, {q(SUGGEST_QUERY)})""")
+def suggest_terms(spark, sf_dir):
+    """Terms that hold what was typed, shortest first, from the stored index."""
+    found = _substrings(spark, sf_dir).search(SUGGEST_QUERY)
+    return found.select("id", F.col("text").alias("term"), F.length("text").alias("length")).orderBy("length", "id")
+
+
+@register("term_pairs", f"""
+SELECT t.term, v.id FROM (SELECT DISTINCT {S.singular_word('term')} AS term FROM {_VOCAB_SQL} WHERE id % 100 = 0) t
+JOIN {_VOCAB_SQL} v ON contains(v.term, t.term)""")
+def term_pairs(spark, sf_dir):
+    """The singular form of every term whose id is divisible by 100, against all terms that hold it."""
+    index = _substrings(spark, sf_dir)
+    asked = index.texts.where("id % 100 = 0").select(T.singularize("text").alias("term"))
+    return index.matches(asked)

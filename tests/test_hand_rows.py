@@ -11,6 +11,7 @@ from larder.operators import evaluate as E
 from larder.operators import lexicon as L
 from larder.operators import products as P
 from larder.operators import recipes as R
+from larder.operators.util import written
 from larder.sources import io as IO
 from larder.streaming import ingest as ING
 
@@ -42,10 +43,23 @@ def test_hyphen_stays_in_product_names(spark):
 def test_closure_of_any_depth_and_with_a_cycle(spark):
     edges = [(f"n{i + 1}", f"n{i}") for i in range(150)] + [("n0", "n150")]
     got = L.category_closure(spark.createDataFrame(edges, "child string, parent string"),
-                             spark.createDataFrame([("n0",)], "root string"), rounds_per_write=20)
+                             spark.createDataFrame([("n0",)], "root string"))
     assert got.count() == 151
 
 
+def test_closure_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+
+    def counted(df, name):
+        rounds.append(name)
+        return written(df, name)
+    monkeypatch.setattr(L, "written", counted)
+    chain = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(150)], "child string, parent string")
+    got = L.category_closure(chain, spark.createDataFrame([("n0",), ("n100",), ("none",)], "root string"))
+    assert sorted(map(tuple, got.groupBy("root").count().collect())) == [("n0", 151), ("n100", 51), ("none", 1)]
+    assert len(rounds) <= 10
+
+
 def test_longest_with_string_ids(spark):
     rows = spark.createDataFrame([("g", "b", "x y"), ("g", "a", "x y"), ("g", "c", "x")], "g string, id string, t string")
     assert [tuple(r) for r in E.longest_per_group(rows, "g", "id", "t").collect()] == [("g", 2, "a")]

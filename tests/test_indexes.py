@@ -242,3 +242,45 @@ def test_join_and_broadcast_find_the_same(spark):
     for bound in (200_000, 0):
         assert {r.k: r.median for r in exact_quantile(df, ["k"], "v", max_broadcast_rows=bound).collect()} == want
     assert exact_quantile(df.where("false"), ["k"], "v").collect() == []
+
+
+# ------------------------------------------------------------------ substrings
+
+TEXTS = ["red gear", "Red Gears", "gear", "ge", "g", "", None, "a\x00b", "größe", "GRÖSSE", "ΟΔΟΣΑ", "red  red", "red gear", "x" * 5000 + "needle"]
+QUERIES = ["", "g", "ge", "gea", "gear", "ear", "Red", "red g", "d  r", "öß", "ΟΔΟΣ", "needle", "zzz", "\x00", "xxxx", "e"]
+
+
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_substrings_equal_a_scan(spark, ignore_case):
+    from larder.operators.substring_index import SubstringIndex
+    rows = list(enumerate(TEXTS))
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "id long, text string, n int, gram string")
+    index = SubstringIndex.build(df, "id", "text", shared_path(spark, "t-sub"), ignore_case)
+    lower = F.lower if ignore_case else (lambda c: c)
+
+    def scan(q):
+        return {r.id for r in df.where(F.contains(lower(F.col("text")), lower(F.lit(q)))).collect()}
+    for q in QUERIES:
+        found = [r.id for r in index.search(q).collect()]
+        assert set(found) == scan(q) and len(found) == len(set(found)), q
+    terms = spark.createDataFrame([(q,) for q in QUERIES + ["gear", None]], "term string")
+    pairs = [(r.term, r.id) for r in index.matches(terms).collect()]
+    assert set(pairs) == {(q, i) for q in QUERIES for i in scan(q)} and len(pairs) == len(set(pairs))
+    assert SubstringIndex.open(spark, index.path).n == len(TEXTS) - 1
+    assert SubstringIndex.open(spark, index.path + "x") is None
+
+
+def test_substrings_of_an_empty_table(spark):
+    from larder.operators.substring_index import SubstringIndex
+    index = SubstringIndex.build(spark.createDataFrame([], "id long, text string"), "id", "text", shared_path(spark, "t-sub"))
+    assert [index.search(q).count() for q in ("", "a", "abc")] == [0, 0, 0]
+
+
+def test_many_terms_take_the_joined_way(spark, monkeypatch):
+    from larder.operators import matching as M
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "k long, t string")
+    want = sorted((r.term, r.k) for r in M.term_matches(spark, df, "t", QUERIES).collect())
+    monkeypatch.setattr(M, "FEW_TERMS", 2)
+    assert sorted((r.term, r.k) for r in M.term_matches(spark, df, "t", QUERIES).collect()) == want
+    assert want and sorted((r.term, r.k) for r in M.term_matches(spark, df, "t", QUERIES, 1).collect()) \
+        == sorted((q, k) for q, k in want if len(TEXTS[k].split()) <= len(q.split()) + 1)

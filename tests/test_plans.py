@@ -68,7 +68,7 @@ def test_bounded_broadcast_falls_back(spark):
 def test_every_key_has_an_oracle_or_is_listed(qs):
     sqls = E.oracle_sql()
     from larder.plans.registry import load_all
-    assert {k for k in load_all()[0] if k not in sqls} == {"label_recipes_knn"}
+    assert {k for k in load_all()[0] if k not in sqls} == set()
 
 
 def test_entry_smoke(spark):
