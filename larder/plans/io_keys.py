@@ -61,7 +61,7 @@ def resume_missing(spark, sf_dir):
     IO.resume_missing(docs.filter(F.col("lang") == "en"), "doc_id", _doc_stats, target)
     # the rerun computes only what is missing
     IO.resume_missing(docs, "doc_id", _doc_stats, target)
-    return spark.read.parquet(target)
+    return IO.read_resumed(spark, target)
 
 
 RECIPE_DOC_SCHEMA = StructType([

@@ -8,13 +8,16 @@ funnelled through the driver.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from larder.session import shared_path
+
 CSV_OPTIONS = {
     "header": "true",
     "multiLine": "true",
@@ -94,23 +97,66 @@ def guarded_load(df: DataFrame, target: str, rebuild: bool = False) -> int:
     return spark.read.parquet(target).count()
 
 
-def resume_missing(source: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], target: str,
-                   chunks: int = 4) -> int:
-    """Compute and append only the keys not yet in ``target`` (resumable long job).
+MANIFEST = "chunk string, n long"
+
+
+def _committed(spark: SparkSession, target: str) -> list:
+    """The manifest's rows: chunks whose rows count."""
+    path = f"{target.rstrip('/')}/_manifest"
+    try:
+        return spark.read.schema(MANIFEST).parquet(path).collect()          # one row a chunk
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
 
-    A left-anti join against what is already written picks the remaining
-    rows.  They are committed in ``chunks`` appends, split by a hash of the
-    key, so a rerun after a crash repeats at most the chunk that was not done.
+
+def _commit(spark: SparkSession, target: str, chunk: str, n: int) -> None:
+    spark.createDataFrame([(chunk, n)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{target.rstrip('/')}/_manifest")
+
+
+def read_resumed(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of a ``resume_missing`` target: those of committed chunks, whatever a crash left beside them."""
+    chunks = [f"{target.rstrip('/')}/chunk={r['chunk']}" for r in _committed(spark, target)]
+    if not chunks:
+        raise FileNotFoundError(f"no committed chunk below {target}")
+    return spark.read.parquet(*chunks)
+
+
+def resume_missing(source: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], target: str,
+                   rows_per_chunk: int = 50_000_000, least_chunks: int = 4) -> int:
+    """Compute and add only the keys not yet in ``target`` (resumable long job); returns the rows there.
+
+    The source is read once: what an anti join against the committed chunks
+    leaves is written to the shared folder, and its files are dealt into chunks of about
+    ``rows_per_chunk`` rows (at least ``least_chunks`` of them, as far as there are files).  Each chunk is read once,
+    written to a folder of its own and then committed by one row of a manifest.  A
+    crash loses the chunk it meets; if it falls between the rows and the commit, ``read_resumed``
+    does not see those rows and the next run makes them again.  A null key is a key.
     """
     spark = source.sparkSession
     todo = source
-    if has_rows(spark, target):
-        done = spark.read.parquet(target).select(key)
-        todo = source.join(done, key, "left_anti")
-    for i in range(chunks):
-        chunk = todo.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i)
-        compute(chunk).write.mode("append").parquet(target)
-    return spark.read.parquet(target).count()
+    if _committed(spark, target):
+        done = read_resumed(spark, target).select(F.col(key).alias("_done")).distinct()
+        todo = source.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
+    staged = shared_path(spark, "resume-todo")
+    todo.write.option("maxRecordsPerFile", rows_per_chunk).parquet(staged)
+    files = spark.read.schema(todo.schema).parquet(staged).groupBy(F.col("_metadata.file_path").alias("file")) \
+        .agg(F.count(F.lit(1)).alias("n")).collect()                                  # one row a file
+    size = min(rows_per_chunk, -(-sum(r["n"] for r in files) // least_chunks))
+    chunks, load = [], size
+    for r in sorted(files, key=lambda r: r["file"]):
+        if load + r["n"] > size:
+            chunks.append([])
+            load = 0
+        chunks[-1].append(r["file"])
+        load += r["n"]
+    for chunk in chunks:
+        name, seen = uuid.uuid4().hex[:12], Observation()
+        rows = compute(spark.read.schema(todo.schema).parquet(*chunk)).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("overwrite").parquet(f"{target.rstrip('/')}/chunk={name}")
+        _commit(spark, target, name, int(seen.get["n"]))
+    return sum(r["n"] for r in _committed(spark, target))
 
 
 def conform(df: DataFrame, schema: StructType, defaults: dict | None = None) -> DataFrame:

@@ -92,3 +92,49 @@ def test_vocabulary_state_survives_a_replay(spark):
     assert words() == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
     state = [os.path.join(w, n) for w, _, ns in os.walk(f"{ckpt}/state") for n in ns]
     assert any(n.endswith((".zip", ".changelog")) for n in state)          # files of the RocksDB state store
+
+
+def test_resume_after_a_crash_between_rows_and_commit(spark, monkeypatch):
+    import pytest
+    target = shared_path(spark, "t-manifest")
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(30)] + [(None, "null")], "k long, v string").repartition(8)
+    real, calls = IO._commit, []
+
+    def lost(*args):
+        calls.append(args)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        real(*args)
+    monkeypatch.setattr(IO, "_commit", lost)
+    with pytest.raises(RuntimeError):
+        IO.resume_missing(rows, "k", lambda d: d, target)
+    monkeypatch.setattr(IO, "_commit", real)
+    before = IO.read_resumed(spark, target).count()
+    assert 0 < before < spark.read.parquet(target).count() < 31        # the third chunk's rows are there, but do not count
+    assert IO.resume_missing(rows, "k", lambda d: d, target) == 31
+    got = IO.read_resumed(spark, target)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert IO.resume_missing(rows, "k", lambda d: d, target) == 31      # nothing is left to do
+
+
+def test_resume_reads_the_source_and_each_chunk_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    source = spark.range(100).withColumnRenamed("id", "k").mapInPandas(count, "k long")
+    sizes = []
+
+    def compute(df):
+        sizes.append(df.count())
+        return df
+    target = shared_path(spark, "t-once")
+    assert IO.resume_missing(source, "k", compute, target, rows_per_chunk=10) == 100
+    assert seen.value == 100 and sum(sizes) == 100 and max(sizes) <= 13 and len(sizes) >= 8
+
+
+def test_resume_of_an_empty_source(spark):
+    target = shared_path(spark, "t-none")
+    assert IO.resume_missing(spark.range(0).withColumnRenamed("id", "k"), "k", lambda d: d, target) == 0
