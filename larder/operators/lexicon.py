@@ -168,14 +168,16 @@ def label_sample(sample: DataFrame, id_col: str, list_col: str, lexicon: DataFra
 
     Plant-based: the lexicon rules on each distinct ingredient.  Low-carb:
     the carbs of the catalogue product with the same cleaned name (an equi
-    join; ``vectors.knn`` is the similarity-based alternative); no product
-    or NULL / NaN carbs gives false.  Recipe label = all items pass.
+    join; ``vectors.knn`` is the similarity-based alternative), the lower middle
+    if the name occurs several times; no product or NULL / NaN carbs gives false.  Recipe label = all items pass.
     """
+    from larder.operators.products import median_per_key
     from larder.operators.recipes import label_recipes
     items = sample.select(F.explode(list_col).alias("item")).distinct() \
         .withColumn("phrase", prepare_phrase("item"))
     vegan = classify_vegan(items, "item", "phrase", lexicon, closure_terms).select("item", "phrase", "vegan")
-    cat = catalogue.select(F.col(name_col).alias("phrase"), F.col(carb_col).cast("double").alias("_carbs"))
+    cat = median_per_key(catalogue.select(F.col(name_col).alias("phrase"), F.col(carb_col).cast("double").alias("_c")),
+                         "phrase", "_c", "_carbs")
     labels = vegan.join(cat, "phrase", "left").select(
         "item", "vegan",
         F.coalesce((F.col("_carbs") <= carb_limit) & ~F.isnan("_carbs"), F.lit(False)).alias("keto"))

@@ -113,7 +113,8 @@ class SearchIndex:
         postings = spark.read.schema(POSTINGS.format(id=id_type)).parquet(f"{path}/postings")
         counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
         with_dense_ids(counted, ["term"], "id").select("id", "term", "df", "occurrences") \
-            .write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/vocabulary")
+            .write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true") \
+            .option("parquet.block.size", 1 << 20).parquet(f"{path}/vocabulary")
         vocabulary = spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary")
         head = X.deletion_variants(F.substring("term", 1, PREFIX), X.MAX_FUZZINESS)
         sorted_write(vocabulary.select(F.explode(head).alias("variant"), "term"), f"{path}/variants", ["variant", "term"])
@@ -159,7 +160,7 @@ class SearchIndex:
         few = {r["term"]: r["weight"] for r in weights.select("term", "weight").limit(LOOKUP_KEYS + 1).collect()}
         if len(few) > LOOKUP_KEYS:
             return self.postings.join(weights, "term", "left_semi"), weights.join(self.vocabulary.select("term", "df"), "term")
-        counts = self.vocabulary.where(keys_in("term", list(few))).select("term", "df").collect()
+        counts = self.entries(terms=list(few)).select("term", "df").collect()
         rows = [(r["term"], few[r["term"]], r["df"]) for r in counts]
         return self.postings.where(keys_in("term", list(few))), F.broadcast(
             self.spark.createDataFrame(rows, "term string, weight double, df long"))
@@ -176,12 +177,16 @@ class SearchIndex:
         best = X.page(X.bm25(hits, weights, self.stats.select("n", "avgdl"), k1, b), k, digits)
         return best if labels is None else best.join(labels, "doc_id", "left")
 
+    def entries(self, ids: list[int] = (), terms: list[str] = ()) -> DataFrame:
+        """Vocabulary rows of some ids and terms: sorted by both, so row groups without them are not read."""
+        return self.vocabulary.where(keys_in("id", list(ids)) | keys_in("term", list(terms)))
+
     def terms_of(self, ids_text: str) -> list[str]:
         """The vocabulary terms of a list of ids, in its order; an unknown id raises ``ValueError``."""
         from larder.operators.recipes import parse_ids
         asked = parse_ids(self.spark, ids_text).orderBy("pos").collect()              # one request line
         ids = [r["term_id"] for r in asked if r["term_id"] is not None]
-        found = {r["id"]: r["term"] for r in self.vocabulary.where(keys_in("id", ids)).select("id", "term").collect()}
+        found = {r["id"]: r["term"] for r in self.entries(ids).select("id", "term").collect()}
         missing = [r["raw"] for r in asked if r["term_id"] not in found][:5]
         if missing:
             raise ValueError(f"unknown ingredient ids: {missing}")

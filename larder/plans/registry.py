@@ -23,5 +23,5 @@ def register(key: str, sql: str | None = None):
 def load_all():
     # importing the modules fills the registry
     from larder.plans import (io_keys, text_keys, product_keys, lexicon_keys,  # noqa: F401
-                              eval_keys, vector_keys, search_keys, stream_keys)
+                              eval_keys, vector_keys, search_keys, stream_keys, sql_keys)
     return QUERIES, ORACLES

@@ -201,6 +201,18 @@ def search_by_ids(spark, sf_dir):
     return _index(spark, sf_dir).search_by_ids(SEARCH_IDS, labels=labels)
 
 
+LOOKUP_IDS, LOOKUP_TERMS = [1, 77, 5000, 12000, 20000, 10 ** 9], ["enau", "the", "ouonen", "worthless", "no such term"]
+
+
+@register("point_lookup", f"""
+WITH v AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY term),
+n AS (SELECT CAST(row_number() OVER (ORDER BY term) AS BIGINT) AS id, term, df FROM v)
+SELECT id, term, df FROM n WHERE id IN ({', '.join(map(str, LOOKUP_IDS))}) OR term IN ({', '.join(map(q, LOOKUP_TERMS))})""")
+def point_lookup(spark, sf_dir):
+    """A few ids and terms of the stored vocabulary."""
+    return _index(spark, sf_dir).entries(LOOKUP_IDS, LOOKUP_TERMS).select("id", "term", "df")
+
+
 # --- substring search over the vocabulary of the documents
 
 SUGGEST_QUERY = "nch"
