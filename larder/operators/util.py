@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.session import shared_path
@@ -10,22 +10,37 @@ from larder.session import shared_path
 # Parameter tables (lexicons, term lists, overrides) at or under this many rows
 # are broadcast; the bound is checked, never assumed.
 DEFAULT_BROADCAST_ROWS = 200_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts by their length, arrays of numbers by their size, other values 8."""
+    parts = [F.lit(8)]
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        size = F.octet_length(f.name) if kind in ("string", "binary", "varchar", "char") else \
+            F.size(f.name) * 8 if kind in ("array", "map") else F.lit(8)
+        parts.append(F.coalesce(size.cast("long"), F.lit(0)) + 8)
+    return sum(parts[1:], parts[0])
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      known_rows: int | None = None, materialize: bool = False) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+                      known_rows: int | None = None, materialize: bool = False,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows of ``max_bytes`` together.
 
-    The count is taken with ``limit(max_rows + 1)`` so the check itself never
-    reads more than the bound.  Above the bound the plain DataFrame comes back
+    Both are taken with ``limit(max_rows + 1)`` so the check itself never
+    reads more rows than the bound.  Above the bound the plain DataFrame comes back
     and the optimizer picks a shuffle join.  ``materialize`` first writes a
     derived (expensive) table to the shared checkpoint folder, so counting it
     and joining it do not compute it twice.
     """
     if known_rows is None and materialize:
         df = df.checkpoint(eager=True)
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if known_rows is not None:
+        return F.broadcast(df) if known_rows <= max_rows else df
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def param_table(spark: SparkSession, rows: list, schema: str,

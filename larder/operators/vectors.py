@@ -343,6 +343,27 @@ class HashedNgramEncoder:
         return out
 
 
+class HashedTermEncoder:
+    """Example plug-in encoder: counts of MD5-hashed terms (``term_buckets``' rule), L2-normalised."""
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def transform(self, texts):
+        import hashlib
+
+        import regex
+        out = []
+        for t in texts:
+            v = np.zeros(self.dim)
+            for term in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()):
+                if term:
+                    v[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % self.dim] += 1
+            length = np.sqrt((v * v).sum())
+            out.append((v / length if length else v).astype(np.float32))
+        return out
+
+
 class PluginModel:
     """Wraps a plug-in encoder (``dim`` / ``transform(texts)``) as a model with ``transform(df)``,
 

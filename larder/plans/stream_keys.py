@@ -58,3 +58,21 @@ def embed_resume(spark, sf_dir):
                              key="doc_id", max_files_per_trigger=2)
     assert again == 0, "second run must not re-process committed files"
     return ING.read_ingested(spark, target).select("doc_id", "embedding")
+
+
+@register("embed_plugin", f"""
+WITH t AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket
+           FROM (SELECT doc_id, unnest({S.analyse_terms('text')}) AS term FROM documents)),
+n AS (SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM t GROUP BY doc_id, bucket),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS len, map_from_entries(list((bucket, n))) AS m FROM n GROUP BY doc_id)
+SELECT d.doc_id, list_transform(range(64), lambda i: CAST(coalesce(element_at(m, i)[1] / len, 0.0) AS FLOAT)) AS embedding
+FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id""")
+def embed_plugin(spark, sf_dir):
+    """Resumable embedding by an encoder that the user brings, in Arrow batches."""
+    from larder.operators.vectors import HashedTermEncoder, PluginModel
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    src, target, ckpt = (shared_path(spark, f"plugin-{x}") for x in ("src", "out", "ckpt"))
+    docs.repartition(4).write.mode("overwrite").parquet(src)
+    ING.embed_stream(spark, src, "doc_id BIGINT, text STRING", target, ckpt, PluginModel(HashedTermEncoder(64), "text"), "text",
+                     key="doc_id", max_files_per_trigger=2)
+    return ING.read_ingested(spark, target).select("doc_id", "embedding")

@@ -58,9 +58,13 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """CSV with header; quotes escaped by doubling so cells may hold quotes and newlines."""
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, max_records_per_file: int = 200_000) -> str:
+    """CSV with header; quotes escaped by doubling so cells may hold quotes and newlines.
+
+    A file whose cells hold newlines cannot be split, so a reader has a task
+    for each file: files are bounded in rows, not in number.
+    """
+    df.write.mode("overwrite").options(**CSV_OPTIONS).option("maxRecordsPerFile", max_records_per_file).csv(path)
     return path
 
 

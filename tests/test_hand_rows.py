@@ -134,3 +134,19 @@ def test_no_query_answers_with_nothing(spark):
     from larder.plans.registry import load_all
     rows = load_all()[0]["contains_any"](spark, "/root/testdata/sf0.01").count()
     assert rows > 0
+
+
+def test_broadcast_is_bounded_in_bytes_too(spark):
+    from larder.operators.util import bounded_broadcast
+    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(100)], "k int, t string")
+
+    def hinted(**bounds):
+        out = spark.range(10).join(bounded_broadcast(wide, **bounds), F.col("id") == F.col("k"))
+        return "strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()
+    assert hinted(max_rows=100) and not hinted(max_rows=99) and not hinted(max_rows=100, max_bytes=50_000)
+
+
+def test_csv_files_are_bounded_in_rows(spark, tmp_path):
+    path = IO.write_csv(spark.range(1000).coalesce(1), str(tmp_path / "csv"), max_records_per_file=100)
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 10
+    assert IO.read_csv(spark, path, "id bigint").count() == 1000
