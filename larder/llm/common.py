@@ -44,6 +44,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of ``staged`` tables that nothing reads any more.
+
+    What came of them is written, so a lost executor never needs them again.
+    """
+    for df in frames:
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/larder/" in folder:                     # a folder that ``shared_path`` named
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a bounded count shows at most ``bound`` rows."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import staged
+from larder.llm.common import discard, staged
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = _lowest(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges, before = staged(small, "edges"), state
+        last, before = edges, state
+        edges = staged(small, "edges")
+        discard(last)
         state = _state(edges)
         if state == before:
             break

@@ -32,11 +32,12 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import map_bytes, staged
+from larder.llm.common import discard, map_bytes, staged
 from larder.llm.components import connected_components
 
 FREQUENT = 1 << 20        # frequent tokens at the start, the most frequent ones, broadcast as 16 MB at most
@@ -46,6 +47,10 @@ POSTING = 48              # sets that share a rare prefix token
 PASSES = 2                # times that the prefixes are taken; tokens still above POSTING are linked by stars
 SHARED = 4                # rare tokens that make a candidate (fewer for small sets)
 TILE_ROWS, TILE_BYTES = 2048, 24 << 20
+# Runtime filters whatever the sizes: a filter of a bounded number of bits
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64g",
+         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -157,9 +162,11 @@ def linked_labels(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np
 
 
 def _sets(docs: DataFrame, text_col: str, keep: list[str], shingle: int, percent: int) -> DataFrame:
+    """``keep, j_uid`` and the set of each row; ``j_set`` is null where an earlier row of the partition has the same."""
     fields = [T.StructField("j_n", T.LongType()), T.StructField("j_node", T.LongType()),
               T.StructField("j_set", T.BinaryType())]
     hashes = WordHashes()
+    seen: set[int] = set()
 
     def run(texts: list) -> dict:
         words = [(x or b"").lower().split() for x in texts]
@@ -169,11 +176,13 @@ def _sets(docs: DataFrame, text_col: str, keep: list[str], shingle: int, percent
         for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
             tokens = shingle_set(flat[a:b], shingle)
             raw = tokens.tobytes()
-            out["j_n"].append(len(tokens))
             # the low two bits of a node's name tell the c of its set
-            out["j_node"].append(int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True) & ~3
-                                 | prefix(len(tokens), percent)[2] - 1 if raw else None)
-            out["j_set"].append(raw)
+            node = int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True) & ~3 \
+                | prefix(len(tokens), percent)[2] - 1 if raw else None
+            out["j_n"].append(len(tokens))
+            out["j_node"].append(node)
+            out["j_set"].append(None if node in seen or not raw else raw)
+            seen.add(node)
         return out
 
     return map_bytes(docs.withColumn("j_uid", F.monotonically_increasing_id()), text_col, run, fields,
@@ -256,11 +265,12 @@ def _keys(sets: DataFrame, frequent: tuple, percent: int) -> DataFrame:
     return sets.where("j_n > 1").select("j_node", "j_set").mapInArrow(run, "key long, node long, single boolean")
 
 
-def _candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """``u, v`` rows whose components hold every pair of linked sets."""
+def _blocks(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of the candidate blocks: components that hold every pair of linked sets."""
     frequent = _frequent(sets)
     for i in range(PASSES):
-        keys = staged(_keys(sets, frequent, percent), f"prefix-keys-{i}")
+        # copies in several partitions give their keys once
+        keys = staged(_keys(sets, frequent, percent).distinct(), f"prefix-keys-{i}")
         counts = staged(keys.groupBy("key", "single").agg(
             F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"),
             F.bit_xor("node").alias("x")).where("n > 1"), f"postings-{i}")
@@ -270,6 +280,7 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
         rows = crowded.select("key", "n").toPandas()                     # at most FREQUENT rows
         frequent = _with_frequent(frequent, rows["key"].to_numpy(np.int64).view(np.uint64),
                                   rows["n"].to_numpy(np.int64))
+        discard(keys, counts)
     few = counts.where(F.col("single") & (F.col("n") <= POSTING))
     third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
     two = few.where("n = 2").select("a", "b")
@@ -286,19 +297,33 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     stars = keys.join(counts.where(~F.col("single") | (F.col("n") > POSTING))
                       .select("key", "single", "a"), ["key", "single"]) \
         .where("node <> a").select(F.col("node").alias("u"), F.col("a").alias("v"))
-    return pairs.unionByName(stars)
+    blocks = connected_components(pairs.unionByName(stars))
+    discard(keys, counts)
+    return blocks
+
 
+def _verified(blocks: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of linked documents; ``blocks`` has ``node, component`` of candidate blocks.
 
-def _verified(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``node, component`` of linked documents; ``blocks`` has ``node, component`` of candidate blocks."""
-    members = sets.join(blocks, F.col("j_node") == F.col("node")) \
-        .select("node", F.col("component").alias("block"), F.col("j_set").alias("set"))
-    members = staged(members, "members")
-    tiles = members.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("set")).alias("bytes")) \
+    Tiles are laid out from the sizes alone; then one row of each set of a block
+    is fetched by its number.  A Bloom filter of those numbers (8 MB at most,
+    Spark's own) spares the shuffle the sets that are in no block.
+    """
+    spark = sets.sparkSession
+    rows = info.where("j_n > 0").join(blocks, F.col("j_node") == F.col("node")) \
+        .groupBy("node", F.col("component").alias("block")).agg(F.min("j_uid").alias("uid"), F.min("j_n").alias("n"))
+    rows = staged(rows, "block-rows")
+    tiles = rows.groupBy("block").agg(F.count(F.lit(1)).alias("k"), (F.sum("n") * 8).alias("bytes")) \
         .where("k > 1").select("block", F.greatest(F.ceil(F.col("k") / (TILE_ROWS // 2)),
                                                    F.ceil(F.col("bytes") / (TILE_BYTES // 2))).alias("n_tiles")) \
         .withColumn("n_tiles", F.when(F.col("n_tiles") <= 2, F.lit(1)).otherwise(F.col("n_tiles")))
-    rows = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles"))) \
+    wanted = staged(rows.join(tiles, "block").select("uid", "node", "block", "n_tiles"), "block-tiles")
+    before = {k: spark.conf.get(k) for k in BLOOM}
+    for k, v in BLOOM.items():
+        spark.conf.set(k, v)
+    rows = wanted.where("uid >= 0").join(sets.where("j_set IS NOT NULL").select(F.col("j_uid").alias("uid"), F.col("j_set").alias("set")),
+                                         "uid") \
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))) \
         .select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n_tiles",
                 "node", "set")
@@ -310,11 +335,28 @@ def _verified(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     stars = staged(rows.groupBy("block", "i", "j").applyInArrow(verify, "u long, v long, tiled long")
                    .where("u <> v"), "links")
+    for k, v in before.items():
+        spark.conf.set(k, v)
     done = stars.where("tiled = 1").select(F.col("u").alias("node"), F.col("v").alias("component"))
     tiled = connected_components(stars.where("tiled > 1").select("u", "v"))
     return done.unionByName(tiled)
 
 
+def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the place of each row in its files, and the names of the two columns that tell it.
+
+    Rows that are no plain reading of files are written first.
+    """
+    names = ["j_file", "j_row"]
+
+    def place(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+    try:
+        return place(docs), names
+    except AnalysisException:
+        return place(staged(docs, "documents")), names
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                  percent: int = 90, keep: list[str] | None = None) -> DataFrame:
     """``keep`` plus ``j_n, j_component, j_first`` for every row.
@@ -325,24 +367,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked if 100 * intersection >= percent * union, equal sets always.
     ``j_component`` is the smallest id reachable by links (nulls ignored), and
     ``j_first`` marks one row of each component: the smallest id's first row.
+    Sets are taken as equal by a 62-bit name, tokens by 64 bits.
     """
     if not 70 <= percent <= 100:
         raise ValueError("percent must lie between 70 and 100: below, the extended prefix exceeds a set")
     keep = keep or [id_col]
-    sets = staged(_sets(docs, text_col, list(dict.fromkeys([*keep, id_col])), shingle, percent).drop("j_set"), "rows")
-    # cut again, so that the sets are written once, after equal ones have met
-    distinct = staged(_sets(docs, text_col, [], shingle, percent).where("j_n > 0").select("j_node", "j_n", "j_set")
-                      .dropDuplicates(["j_node"]), "shingles")
-    links = _verified(connected_components(_candidates(distinct, percent)), distinct, percent)
+    more = [c for c in keep if c != id_col]
+    source, place = located(docs) if more else (docs, [])
+    # every row's set is computed and written once, nowhere shuffled as a whole
+    sets = staged(_sets(source, text_col, [id_col, *place], shingle, percent), "shingles")
+    info = staged(sets.drop("j_set"), "rows")
+    links = _verified(_blocks(sets.where("j_set IS NOT NULL"), percent), info, sets, percent)
     first = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("j_uid").alias("uid"))
-    nodes = sets.where("j_n > 0").groupBy("j_node").agg(F.min(first).alias("first")) \
+    nodes = info.where("j_n > 0").groupBy("j_node").agg(F.min(first).alias("first")) \
         .join(links.select(F.col("node").alias("j_node"), "component"), "j_node", "left") \
         .withColumn("component", F.coalesce("component", "j_node"))
     nodes = staged(nodes, "nodes")
+    discard(sets)
     names = nodes.groupBy("component").agg(F.min("first").alias("head"))
     label = nodes.join(names, "component").select(F.col("j_node").alias("__node"), F.col("head").alias("j_head"))
-    out = sets.select(*dict.fromkeys([*keep, id_col]), "j_uid", "j_n", "j_node") \
-        .join(staged(label, "labels"), F.col("j_node") == F.col("__node"), "left")
-    return out.select(*keep, "j_n", F.when(F.col("j_head").isNull(), F.col(id_col))
-                      .otherwise(F.col("j_head.id")).alias("j_component"),
-                      F.coalesce(F.col("j_head.uid") == F.col("j_uid"), F.lit(True)).alias("j_first"))
+    out = info.join(staged(label, "labels"), F.col("j_node") == F.col("__node"), "left")
+    out = out.select(id_col, *place, "j_n", F.when(F.col("j_head").isNull(), F.col(id_col))
+                     .otherwise(F.col("j_head.id")).alias("j_component"),
+                     F.coalesce(F.col("j_head.uid") == F.col("j_uid"), F.lit(True)).alias("j_first"))
+    if more:
+        out = source.join(out.drop(id_col), place)
+    return out.select(*keep, "j_n", "j_component", "j_first")

@@ -261,3 +261,28 @@ def test_join_repeated_rows_null_ids_and_empty_table(make_docs):
 def test_join_shuffles_small_inputs_as_large_ones(spark, make_docs, words, monkeypatch):
     docs = make_docs(near_copies(words))
     assert broadcast_hints(spark, monkeypatch, J, lambda: J.jaccard_join(docs)) == 0
+
+
+def test_jaccard_copies_over_partitions_keep_other_columns(spark, make_docs, words):
+    """Copies in many partitions, repeated rows and null ids: one row of each class is first, columns come along."""
+    from larder.llm.jaccard import jaccard_join
+    base = [words(40, i) for i in range(12)]
+    rows = [(i, base[i % 12]) for i in range(240)] + [(None, base[0]), (3, base[3]), (3, base[3]), (900, None), (901, "")]
+    docs = make_docs(rows).repartition(9)
+    got = jaccard_join(docs, shingle=3, percent=90, keep=["doc_id", "text", "lang", "j_set", "h"]).collect()
+    assert len(got) == len(rows) and all(r["lang"] == "en" and r["h"] is not None for r in got)
+    firsts = [r for r in got if r["j_first"] and r["text"]]
+    assert sorted(r["doc_id"] for r in firsts) == list(range(12))
+    assert all(r["j_component"] == base.index(r["text"]) for r in got if r["text"])
+    assert {r["doc_id"]: r["j_component"] for r in got if not r["text"]} == {900: 900, 901: 901}
+
+
+def test_discarded_tables_are_gone_and_others_stay(spark):
+    import os
+
+    from larder.llm.common import discard, staged
+    kept, gone = staged(spark.range(5), "t-kept"), staged(spark.range(5), "t-gone")
+    folder = gone.inputFiles()[0].removeprefix("file:").removeprefix("//").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    discard(gone)
+    assert not os.path.exists(folder) and kept.count() == 5
