@@ -347,7 +347,7 @@ def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
     Rows that are no plain reading of files are written first.
     """
-    names = ["j_file", "j_row"]
+    names = ["__file", "__row"]
 
     def place(df: DataFrame) -> DataFrame:
         return df.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
@@ -390,6 +390,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = out.select(id_col, *place, "j_n", F.when(F.col("j_head").isNull(), F.col(id_col))
                      .otherwise(F.col("j_head.id")).alias("j_component"),
                      F.coalesce(F.col("j_head.uid") == F.col("j_uid"), F.lit(True)).alias("j_first"))
-    if more:
-        out = source.join(out.drop(id_col), place)
-    return out.select(*keep, "j_n", "j_component", "j_first")
+    if not more:
+        return out.select(*keep, "j_n", "j_component", "j_first")
+    # the columns to keep come under names of their own, whatever they are called
+    kept = source.select(*place, *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
+    out = kept.join(out.drop(id_col), place).select(*[f"__keep{i}" for i in range(len(keep))], "j_n", "j_component", "j_first")
+    return out.toDF(*keep, "j_n", "j_component", "j_first")
