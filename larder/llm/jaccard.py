@@ -47,11 +47,9 @@ POSTING = 48              # sets that share a rare prefix token
 PASSES = 2                # times that the prefixes are taken; tokens still above POSTING are linked by stars
 SHARED = 4                # rare tokens that make a candidate (fewer for small sets)
 TILE_ROWS, TILE_BYTES = 2048, 24 << 20
-# Runtime filters whatever the sizes: a filter of a bounded number of bits
-BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64g",
-         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+BLOOM_BITS = 1 << 26      # of a filter: 8 MB, whatever the data
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BLOOM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
 class WordHashes:
@@ -302,14 +300,47 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
     return blocks
 
 
+def _bloom_places(uid: np.ndarray) -> np.ndarray:
+    """Three bits of each number (rows x 3)."""
+    x = uid.astype(np.uint64)[:, None] * _BLOOM[None, :]
+    return (_mix(x) >> np.uint64(64 - BLOOM_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _filtered(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``uid, set`` of the rows that are perhaps in ``wanted``: all that are, and few others."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _bloom_places(np.asarray(batch.column(0), dtype=np.int64)).ravel()
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        words = bits.view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], names=["word", "bits"])
+
+    marks = wanted.select("uid").mapInArrow(mark, "word long, bits long").groupBy("word") \
+        .agg(F.bit_or("bits").alias("bits")).toPandas()                  # at most BLOOM_BITS / 64 rows
+    words = np.zeros(BLOOM_BITS // 64, np.int64)
+    words[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(words)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value.view(np.uint8)
+        for batch in batches:
+            at = _bloom_places(np.asarray(batch.column(0), dtype=np.int64))
+            yield batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)))
+
+    return sets.where("j_set IS NOT NULL").select(F.col("j_uid").alias("uid"), F.col("j_set").alias("set")) \
+        .mapInArrow(keep, "uid long, set binary")
+
+
 def _verified(blocks: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, component`` of linked documents; ``blocks`` has ``node, component`` of candidate blocks.
 
     Tiles are laid out from the sizes alone; then one row of each set of a block
-    is fetched by its number.  A Bloom filter of those numbers (8 MB at most,
-    Spark's own) spares the shuffle the sets that are in no block.
+    is fetched by its number.  A Bloom filter of those numbers (``BLOOM_BITS`` bits at any
+    size; a full one lets everything pass) spares the shuffle the sets that are in no block.
     """
-    spark = sets.sparkSession
     rows = info.where("j_n > 0").join(blocks, F.col("j_node") == F.col("node")) \
         .groupBy("node", F.col("component").alias("block")).agg(F.min("j_uid").alias("uid"), F.min("j_n").alias("n"))
     rows = staged(rows, "block-rows")
@@ -318,11 +349,7 @@ def _verified(blocks: DataFrame, info: DataFrame, sets: DataFrame, percent: int)
                                                    F.ceil(F.col("bytes") / (TILE_BYTES // 2))).alias("n_tiles")) \
         .withColumn("n_tiles", F.when(F.col("n_tiles") <= 2, F.lit(1)).otherwise(F.col("n_tiles")))
     wanted = staged(rows.join(tiles, "block").select("uid", "node", "block", "n_tiles"), "block-tiles")
-    before = {k: spark.conf.get(k) for k in BLOOM}
-    for k, v in BLOOM.items():
-        spark.conf.set(k, v)
-    rows = wanted.where("uid >= 0").join(sets.where("j_set IS NOT NULL").select(F.col("j_uid").alias("uid"), F.col("j_set").alias("set")),
-                                         "uid") \
+    rows = _filtered(sets, wanted).join(wanted.hint("merge"), "uid") \
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))) \
         .select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n_tiles",
@@ -335,8 +362,6 @@ def _verified(blocks: DataFrame, info: DataFrame, sets: DataFrame, percent: int)
 
     stars = staged(rows.groupBy("block", "i", "j").applyInArrow(verify, "u long, v long, tiled long")
                    .where("u <> v"), "links")
-    for k, v in before.items():
-        spark.conf.set(k, v)
     done = stars.where("tiled = 1").select(F.col("u").alias("node"), F.col("v").alias("component"))
     tiled = connected_components(stars.where("tiled > 1").select("u", "v"))
     return done.unionByName(tiled)
