@@ -300,34 +300,34 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
     return blocks
 
 
-def _bloom_places(uid: np.ndarray) -> np.ndarray:
-    """Three bits of each number (rows x 3)."""
+def _bloom_places(uid: np.ndarray, bits: int) -> np.ndarray:
+    """Three of ``bits`` places (a power of two) for each number (rows x 3)."""
     x = uid.astype(np.uint64)[:, None] * _BLOOM[None, :]
-    return (_mix(x) >> np.uint64(64 - BLOOM_BITS.bit_length() + 1)).astype(np.int64)
+    return (_mix(x) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
-def _filtered(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+def _filtered(sets: DataFrame, wanted: DataFrame, size: int = BLOOM_BITS) -> DataFrame:
     """``uid, set`` of the rows that are perhaps in ``wanted``: all that are, and few others."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at = _bloom_places(np.asarray(batch.column(0), dtype=np.int64)).ravel()
+            at = _bloom_places(np.asarray(batch.column(0), dtype=np.int64), size).ravel()
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         words = bits.view(np.int64)
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], names=["word", "bits"])
 
     marks = wanted.select("uid").mapInArrow(mark, "word long, bits long").groupBy("word") \
-        .agg(F.bit_or("bits").alias("bits")).toPandas()                  # at most BLOOM_BITS / 64 rows
-    words = np.zeros(BLOOM_BITS // 64, np.int64)
+        .agg(F.bit_or("bits").alias("bits")).toPandas()                  # at most size / 64 rows
+    words = np.zeros(size // 64, np.int64)
     words[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
     shared = sets.sparkSession.sparkContext.broadcast(words)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value.view(np.uint8)
         for batch in batches:
-            at = _bloom_places(np.asarray(batch.column(0), dtype=np.int64))
+            at = _bloom_places(np.asarray(batch.column(0), dtype=np.int64), size)
             yield batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)))
 
     return sets.where("j_set IS NOT NULL").select(F.col("j_uid").alias("uid"), F.col("j_set").alias("set")) \

@@ -288,7 +288,7 @@ def test_discarded_tables_are_gone_and_others_stay(spark):
     assert not os.path.exists(folder) and kept.count() == 5
 
 
-def test_filter_by_number_loses_nothing(spark, monkeypatch):
+def test_filter_by_number_loses_nothing(spark):
     """All wanted rows pass, also through a filter so small that it is full; a sparse one lets few others pass."""
     from pyspark.sql import functions as F
 
@@ -296,7 +296,6 @@ def test_filter_by_number_loses_nothing(spark, monkeypatch):
     sets = spark.range(20_000).select(F.col("id").alias("j_uid"), F.lit(b"x").alias("j_set"))
     wanted = spark.range(0, 20_000, 40).select(F.col("id").alias("uid"))
     for bits, most in ((1 << 26, 520), (1 << 10, 20_000)):
-        monkeypatch.setattr(jaccard, "BLOOM_BITS", bits)
-        got = {r.uid for r in jaccard._filtered(sets, wanted).collect()}
+        got = {r.uid for r in jaccard._filtered(sets, wanted, bits).collect()}
         assert got >= set(range(0, 20_000, 40)) and len(got) <= most
     assert jaccard._filtered(sets, wanted.where("false")).count() == 0
