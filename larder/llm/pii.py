@@ -7,10 +7,16 @@ equal to a token of a base span); neighbours in the text are linked, and so
 are repeated tokens (equal, or with the same digits) at any distance, each with its
 next occurrence.  Loopy message passing over a document's nodes gives each
 token a distribution over the kinds, so that occurrences of one token pull
-each other to one kind; tokens whose best kind reaches ``CERTAIN`` become spans.
+each other to one kind; tokens whose best kind reaches that kind's bar become spans.
 
-The field learns from the base spans of at most ``MAX_DOCS`` documents, and
-``MAX_TOKENS`` tokens of each, by pseudo-likelihood.
+It knows a fifth kind, ``secret``: keys and access tokens.  They are no base
+spans; the field learns how they look from those that a text introduces as such (``SEED``),
+with the introduction left out of the features, and finds them wherever they stand.
+
+The field learns by pseudo-likelihood from at most ``MAX_DOCS`` documents, and
+``MAX_TOKENS`` tokens of each, spread evenly over the text.  A fifth of these
+documents is held out: their spans are hidden, and a kind's bar is the lowest belief from
+which on ``PRECISION`` of what the field finds there is right (``CERTAIN`` where too little is held out).
 """
 
 from __future__ import annotations
@@ -27,12 +33,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("none", *KINDS)
+LABELS = ("none", *KINDS, "secret")
 MAX_DOCS, MAX_TOKENS = 2000, 200
 FEATURES = 1 << 14
 STEPS, RATE = 150, 0.05
 ROUNDS, DAMPING = 10, 0.5
 CERTAIN = 0.97
+PRECISION, HELD_OUT = 0.995, 5
+SEED = re.compile(r"""\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?([A-Za-z0-9+/_-]{16,})""", re.I)
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +51,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 MAYBE = re.compile(r"[0-9@]")
 EDGE = ".,;:!?\"'"
+HEX = frozenset("0123456789abcdefABCDEF")
 
 
 def luhn(digits: str) -> bool:
@@ -78,6 +87,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def seed_spans(text: str) -> list[tuple[str, int, int]]:
+    """Secrets that the text introduces as such: what the field learns the kind from."""
+    return [("secret", *m.span(1)) for m in SEED.finditer(text)]
+
+
+def mixture(token: str) -> str:
+    """Which sorts of characters a token has, and whether a long run of digits ends in its check digit."""
+    core = [c for c in token if c.isalnum()]
+    sorts = "".join(k for k, yes in (("9", any(c.isdigit() for c in core)), ("a", any(c.islower() for c in core)),
+                                     ("A", any(c.isupper() for c in core))) if yes)
+    digits = "".join(core) if core and all("0" <= c <= "9" for c in core) else ""
+    check = str(luhn(digits)) if 12 <= len(digits) <= 19 else "-"
+    return f"{sorts},{all(c in HEX for c in core)},{check},{min(len(core).bit_length(), 8)}"
+
+
 def shape(token: str) -> str:
     """Character classes, runs shortened to their length up to 4 (longer: to a power of two)."""
     out, i = [], 0
@@ -134,7 +158,7 @@ class Graph:
                 j += 1
             ends = [s for s in ends if s[2] > a]
             if ends:
-                out[i] = 1 + KINDS.index(min(ends, key=lambda s: KINDS.index(s[0]))[0])
+                out[i] = LABELS.index(min(ends, key=lambda s: LABELS.index(s[0]))[0])
         return out
 
     @staticmethod
@@ -145,8 +169,9 @@ class Graph:
         digits = sum(map(str.isdigit, word))
         names = ["s=" + shape(word), f"d={min(digits, 24)}", "l=" + str(min(len(word), 40)),
                  "p=" + "".join(sorted({c for c in word if not c.isalnum()})),
-                 "b=" + (before if MAYBE.search(before) or "9" in before else "word"),
-                 "a=" + (after if "9" in after else "word"), "sd=" + shape(word) + before[:6], "1"]
+                 "b=" + (before if "9" in before else "word"),
+                 "a=" + (after if "9" in after else "word"), "sd=" + shape(word) + (before[:6] if "9" in before else ""),
+                 "m=" + mixture(word), "1"]
         return [xxhash.xxh32_intdigest(n) % FEATURES for n in names]
 
 
@@ -157,6 +182,25 @@ class SkipChainField:
         self.unary = np.zeros((FEATURES, len(LABELS)))
         self.chain = np.zeros((len(LABELS), len(LABELS)))
         self.skip = np.zeros((len(LABELS), len(LABELS)))
+        self.bar = np.full(len(LABELS), CERTAIN)
+
+    def set_bars(self, graphs: list[Graph], precision: float = PRECISION) -> None:
+        """Each kind's bar from documents the field has not seen: the lowest belief that keeps the precision."""
+        graphs = [g for g in graphs if g.spans]
+        if not graphs:
+            return
+        belief, truth = np.concatenate(self.marginals(graphs)), np.concatenate([g.label for g in graphs])
+        best = belief.argmax(axis=1)
+        for y in range(1, len(LABELS)):
+            mine = best == y
+            order = np.argsort(-belief[mine, y], kind="stable")
+            p, right = belief[mine, y][order], (truth[mine] == y)[order]
+            good = np.flatnonzero(np.cumsum(right) >= precision * np.arange(1, len(p) + 1))
+            good = good[good + 1 >= 20] if len(good) else good         # a bar needs twenty findings at least
+            if len(good):
+                lowest = float(p[good[-1]])
+                # above CERTAIN only where something wrong was found there
+                self.bar[y] = max(0.5, min(lowest, CERTAIN) if good[-1] == len(p) - 1 else lowest)
 
     @staticmethod
     def _join(graphs: list[Graph]):
@@ -223,21 +267,26 @@ class SkipChainField:
         return np.split(p, np.cumsum([len(g.spans) for g in graphs])[:-1])
 
 
-def added_spans(graph: Graph, belief: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Certain tokens outside the base spans; neighbours of one kind become one span."""
+def added_spans(graph: Graph, belief: np.ndarray, base: list[tuple[str, int, int]],
+                bar: np.ndarray, text: str) -> list[tuple[str, int, int]]:
+    """Tokens outside the base spans that reach their kind's bar; neighbours of one kind become one span."""
     taken = sorted((a, b) for _, a, b in base)
     out: list[list] = []
     linked = {k for _, k in graph.chain}
     previous = None
     for k, ((a, b), p) in enumerate(zip(graph.spans, belief)):
         y = int(p.argmax())
-        if y == 0 or p[y] < CERTAIN or any(x < b and a < z for x, z in taken):
+        if y == 0 or p[y] < bar[y] or any(x < b and a < z for x, z in taken):
             previous = None
             continue
+        while not text[b - 1].isalnum() and b - 1 > a:          # signs around a token are none of it
+            b -= 1
+        while not (text[a].isalnum() or text[a] in "+(") and a + 1 < b:
+            a += 1
         if previous == (k - 1, y) and k in linked:
             out[-1][2] = b
         else:
-            out.append([KINDS[y - 1], a, b])
+            out.append([LABELS[y], a, b])
         previous = (k, y)
     return [tuple(x) for x in out]
 
@@ -255,36 +304,49 @@ def find_spans(texts: list[str | None], field: SkipChainField | None) -> list[tu
                 where.append(i)
     if graphs:
         for i, g, belief in zip(where, graphs, field.marginals(graphs)):
-            found[i] = (found[i][0], added_spans(g, belief, found[i][0]))
+            found[i] = (found[i][0], added_spans(g, belief, found[i][0], field.bar, texts[i]))
     return found
 
 
+def surroundings(text: str, most: int, reach: int = 64) -> str:
+    """The words around up to ``most`` possible tokens, evenly spread over the text; pieces apart stand on lines of their own."""
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    marked = [i for i, (a, b) in enumerate(tokens) if MAYBE.search(text, a, b)]
+    if len(marked) > most:
+        marked = [marked[i] for i in np.unique(np.linspace(0, len(marked) - 1, most).astype(int)).tolist()]
+    parts: list[list[int]] = []
+    for i in marked:
+        first, last = i, i
+        while first > 0 and tokens[i][0] - tokens[first - 1][0] <= reach:
+            first -= 1
+        while last + 1 < len(tokens) and tokens[last + 1][1] - tokens[i][1] <= reach:
+            last += 1
+        if parts and first <= parts[-1][1] + 1:
+            parts[-1][1] = max(parts[-1][1], last)
+        else:
+            parts.append([first, last])
+    return "\n".join(text[tokens[a][0]:tokens[b][1]] for a, b in parts)
+
+
 def train_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> SkipChainField:
-    """A field learned from the base spans of a bounded sample, the lowest hashes of the ids."""
+    """A field learned from the base and introduced spans of a bounded sample, the lowest hashes of the ids."""
     rows = docs.where(F.col(text_col).rlike(MAYBE.pattern)) \
         .select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Only the surroundings of the first ``MAX_TOKENS`` possible tokens of a text go on."""
+        """The surroundings of up to ``MAX_TOKENS`` possible tokens of a text, evenly spread, a line each."""
         for batch in batches:
-            texts = []
-            for text in batch.column(1).to_pylist():
-                parts, last = [], -1
-                for n, m in enumerate(MAYBE.finditer(text)):
-                    if len(parts) >= MAX_TOKENS:
-                        break
-                    if m.start() > last:
-                        a, b = max(last, m.start() - 64, 0), min(len(text), m.end() + 64)
-                        parts.append(text[a:b])
-                        last = b
-                texts.append("".join(parts))
+            texts = [surroundings(text, MAX_TOKENS) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["h", "text"])
 
     n = rows.count()
     near = rows.where(F.pmod("h", F.lit(1 << 20)) < F.lit((1 << 20) * 2 * max_docs / max(n, 1)))
     sample = near.mapInArrow(cut, "h long, text string").orderBy("h", "text").limit(max_docs).collect()
+    graphs = [Graph(t, base_spans(t) + seed_spans(t)) for _, t in sample]
+    kept, hidden = [g for i, g in enumerate(graphs) if i % HELD_OUT], graphs[::HELD_OUT]
     field = SkipChainField()
-    field.train([Graph(t, base_spans(t)) for _, t in sample])
+    field.train(kept)
+    field.set_bars(hidden)
     return field
 
 
@@ -353,9 +415,9 @@ def mask_pii(docs: DataFrame, field: SkipChainField | None, text_col: str = "tex
 
 
 def pii_digest(docs: DataFrame, field: SkipChainField | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base spans, their digest, and all spans as text."""
+    """Counts of the base spans, their digest, all spans as text, and how many they are and the field added."""
     out = find_pii(docs, field, id_col, text_col)
-    order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    order = F.create_map(*[x for i, k in enumerate(LABELS[1:]) for x in (F.lit(k), F.lit(i))])
 
     def line(spans):
         ordered = F.sort_array(F.transform(spans, lambda s: F.struct(
@@ -366,4 +428,5 @@ def pii_digest(docs: DataFrame, field: SkipChainField | None, id_col: str = "doc
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return out.select(id_col, *map(count, KINDS), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                      line(F.concat("base", "added")).alias("spans"))
+                      line(F.concat("base", "added")).alias("spans"),
+                      F.size(F.concat("base", "added")).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"))
