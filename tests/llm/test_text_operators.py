@@ -1,5 +1,6 @@
 """Quality rules, mixing, packing, token counts, language and personal data against plain versions."""
 
+import hashlib
 import math
 import random
 import re
@@ -127,6 +128,28 @@ def test_mix_takes_near_the_target(make_docs, words):
 
 # ---------------------------------------------------------------- tokens and packing
 
+def test_joined_pieces_get_the_ids_of_whole_texts(monkeypatch):
+    """Cutting, joining and two generations of cache change no id, also between odd white space and signs."""
+    from larder.llm import tokens
+    monkeypatch.setattr(tokens, "CACHE", 300)
+    rng = random.Random(4)
+    bank = ["a", "B", "7", " ", "  ", "\n", " \n", "'s", "é", "ß", "\x00", " ", "!", " !", "中", "\t", " 9", " x", "\u3000", "\u2028",
+            "\x85", "\x1c", "🙂", " <|endoftext|>"]
+    texts = ["".join(rng.choice(bank) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    enc = tokens.PieceEncoder(default_path())
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [list(x) for i in range(0, 3000, 500) for x in enc.each(texts[i:i + 500])]
+    assert got == want
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    import public_tokenizers
+
+    from larder.llm.tokens import PieceEncoder
+    with pytest.raises(ValueError, match="byte-level"):
+        PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_ids_equal_the_tokenizer():
     enc = encoder(default_path())
     rng = random.Random(3)
@@ -296,6 +319,51 @@ def test_repeats_of_a_token_get_its_kind(make_docs, words):
     assert not lone.base
 
 
+def secret(i):
+    return hashlib.sha1(str(i).encode()).hexdigest()
+
+
+def test_secrets_are_found_without_their_introduction(make_docs, words):
+    """Learned where a text says so, found where it does not; card-like numbers without the check digit stay."""
+    rows = [(i, f'{words(15, i)} token = "{secret(i)}" {words(9, i + 1)}' if i % 3 == 0 else
+             f"{words(10, i)} {4000000000000000 + 7919 * i} {words(10, i)}" if i % 3 == 1 else personal(i, words)) for i in range(900)]
+    field = pii.train_pii(make_docs(rows))
+    asked = [(i, f"{words(8, i)} {secret(i)} {words(7, i)} {4000000000000000 + 104729 * i}") for i in range(2000, 2100)]
+    got = {r.doc_id: (r.base, r.added) for r in pii.find_pii(make_docs(asked), field).collect()}
+    right = 0
+    for i, text in asked:
+        spans = [(s.kind, text[s.start:s.end]) for s in got[i][1]]
+        assert all(s == ("secret", secret(i)) for s in spans), spans
+        right += len(spans)
+    assert right >= 90
+    digest = pii.pii_digest(make_docs(asked[:1] + [(1, "a@b.co " + secret(5000))]), field).orderBy("doc_id").collect()
+    assert digest[0].spans == f"email:0:6,secret:7:47" and (digest[0].n_spans, digest[0].n_added) == (2, 1)
+
+
+def test_hidden_base_spans_are_found_with_precision(words):
+    """Without the base spans the field finds most of them again by their look, and little else."""
+    graphs = [pii.Graph(t, pii.base_spans(t)) for t in (personal(i, words) for i in range(500))]
+    field = pii.SkipChainField()
+    field.train(graphs[:300])
+    field.set_bars(graphs[300:400])
+    hit = made = total = 0
+    for g in graphs[400:]:
+        p = field.marginals([g])[0]
+        y = p.argmax(axis=1)
+        found = (y > 0) & (p[np.arange(len(y)), y] >= field.bar[y])
+        made, total, hit = made + found.sum(), total + (g.label > 0).sum(), hit + (found & (y == g.label)).sum()
+    assert hit >= 0.98 * made and hit >= 0.9 * total
+
+
+def test_surroundings_spread_over_the_text_and_keep_words_whole():
+    text = " ".join(f"w{i}" if i % 50 == 0 else "word" for i in range(5000))
+    parts = pii.surroundings(text, 20).split("\n")
+    assert len(parts) == 20 and parts[0].startswith("w0 ") and parts[-1].count("w4950")
+    assert all(set(p.split()) <= set(text.split()) for p in parts)
+    assert pii.surroundings("a 1 b 2 c", 5) == "a 1 b 2 c" and pii.surroundings("none here", 5) == ""
+    assert pii.surroundings("9" * 300_000, 5) == "9" * 300_000
+
+
 def test_message_passing_equals_enumeration():
     import itertools
     field = pii.SkipChainField()
@@ -304,13 +372,13 @@ def test_message_passing_equals_enumeration():
     graph = pii.Graph("a1 b2 c3 word a1", [])              # a tree: chain a1-b2-c3 and the link a1-a1
     assert graph.chain == [(0, 1), (1, 2)] and graph.skip == [(0, 3)]
     score = {}
-    for y in itertools.product(range(5), repeat=4):
+    for y in itertools.product(range(len(pii.LABELS)), repeat=4):
         s = sum(field.unary[f, y[k]] for k in range(4) for f in graph.features[k])
         s += sum(field.chain[y[a], y[b]] for a, b in graph.chain) + sum(field.skip[y[a], y[b]] for a, b in graph.skip)
         score[y] = math.exp(s)
     got = field.marginals([graph])[0]
     for k in range(4):
-        want = np.array([sum(v for y, v in score.items() if y[k] == label) for label in range(5)]) / sum(score.values())
+        want = np.array([sum(v for y, v in score.items() if y[k] == label) for label in range(len(pii.LABELS))]) / sum(score.values())
         assert np.allclose(got[k], want, atol=0.02)
 
 
