@@ -58,6 +58,14 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files that no plan refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which otherwise may not run before a job's end.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a bounded count shows at most ``bound`` rows."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

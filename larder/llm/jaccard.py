@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import discard, map_bytes, staged
+from larder.llm.common import discard, map_bytes, release, staged
 from larder.llm.components import connected_components
 
 FREQUENT = 1 << 20        # frequent tokens at the start, the most frequent ones, broadcast as 16 MB at most
@@ -272,6 +272,7 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
         counts = staged(keys.groupBy("key", "single").agg(
             F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"),
             F.bit_xor("node").alias("x")).where("n > 1"), f"postings-{i}")
+        release(sets.sparkSession)
         crowded = counts.where(F.col("single") & (F.col("n") > POSTING))
         if i == PASSES - 1 or not 0 < crowded.count() <= FREQUENT:
             break
@@ -297,6 +298,7 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
         .where("node <> a").select(F.col("node").alias("u"), F.col("a").alias("v"))
     blocks = connected_components(pairs.unionByName(stars))
     discard(keys, counts)
+    release(sets.sparkSession)
     return blocks
 
 
@@ -409,6 +411,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("component", F.coalesce("component", "j_node"))
     nodes = staged(nodes, "nodes")
     discard(sets)
+    release(docs.sparkSession)
     names = nodes.groupBy("component").agg(F.min("first").alias("head"))
     label = nodes.join(names, "component").select(F.col("j_node").alias("__node"), F.col("head").alias("j_head"))
     out = info.join(staged(label, "labels"), F.col("j_node") == F.col("__node"), "left")
