@@ -11,6 +11,9 @@ Members of a bucket are compared by exact cosine in double precision.  A bucket
 beyond ``TILE`` members is cut into tiles, and each pair of tiles is one unit of
 work, so no unit grows with a bucket.  A pair that meets in several tables is
 counted in the first.
+
+Equal vectors (by a 128-bit hash of their components) hash and compare once, as
+one representative that carries their number, so copies add no pairs.
 """
 
 from __future__ import annotations
@@ -77,20 +80,26 @@ def signature(x: np.ndarray, width: float, k: int, tables: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=(len(x) << 32) + t) for t, row in enumerate(cells)], np.uint64)
 
 
-def _linked(ids, vectors, names, tile, table: int, crossing: bool, threshold: float):
-    """Links of one unit of work: (ids, links counted here, smallest linked id) of its linked members."""
+def _linked(ids, vectors, weight, tile, table: int, crossing: bool, threshold: float, names):
+    """Links of one unit of work: (ids, vectors linked here, smallest linked id) of its linked members.
+
+    ``names`` gives the bucket names of some rows; pairs that met in an earlier table were counted there.
+    """
     cosine = vectors @ vectors.T
     link = np.triu(cosine >= threshold, 1) & (ids[:, None] != ids[None, :])
     if crossing:
         link &= tile[:, None] != tile[None, :]
     a, b = np.nonzero(link)
+    if len(a) and table:
+        some, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        own = names(vectors[some])[:, :table]
+        new = ~(own[at[:len(a)]] == own[at[len(a):]]).any(axis=1)
+        a, b = a[new], b[new]
     if not len(a):
         return None
-    new = ~(names[a, :table] == names[b, :table]).any(axis=1)
-    a, b = a[new], b[new]
-    if not len(a):
-        return None
-    count = np.bincount(np.concatenate([a, b]), minlength=len(ids))
+    count = np.zeros(len(ids), np.int64)
+    np.add.at(count, a, weight[b])
+    np.add.at(count, b, weight[a])
     label = np.arange(len(ids))
     both = np.zeros((len(ids), len(ids)), dtype=bool)
     both[a, b] = both[b, a] = True
@@ -136,18 +145,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     own = vectors.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(vector_col).alias("v"))
     width, k, tables = choose_parameters(max(2, vectors.count()), threshold, recall)
+    single = own.schema["v"].dataType.elementType.typeName() == "float"
+    kind = np.float32 if single else np.float64         # a vector travels as it was given
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [unit_vector(x) for x in batch.column(1).to_pylist()]
+            raw = batch.column(1).to_pylist()
+            units = [unit_vector(x) for x in raw]
+            packed = [None if u is None else np.asarray(x, kind).tobytes() for x, u in zip(raw, units)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([None if x is None else x.tobytes() for x in units], pa.binary()),
+                [batch.column(0), pa.array(packed, pa.binary()),
+                 pa.array([None if x is None else xxhash.xxh3_128_digest(x) for x in packed], pa.binary()),
                  pa.array([None if x is None else signature(x, width, k, tables).view(np.int64).tolist()
-                           for x in units], pa.list_(pa.int64()))], names=["id", "unit", "names"])
+                           for x in units], pa.list_(pa.int64()))], names=["id", "raw", "same", "names"])
 
-    points = staged(own.mapInArrow(hashed, "id long, unit binary, names array<long>"), "points")
-    entries = points.where("unit IS NOT NULL AND id IS NOT NULL") \
-        .select("id", F.posexplode("names").alias("t", "bucket"))
+    points = staged(own.mapInArrow(hashed, "id long, raw binary, same binary, names array<long>"), "points")
+    usable = points.where("same IS NOT NULL AND id IS NOT NULL")
+    copies = staged(usable.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "vector-copies")
+    distinct = usable.drop("same").join(copies.select("id", "weight"), "id")          # an id is in one row
+    entries = distinct.select("id", F.posexplode("names").alias("t", "bucket"))
     shared = entries.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1") \
         .select("t", "bucket", F.ceil(F.col("n") / TILE).alias("n_tiles"))
     units = entries.join(shared, ["t", "bucket"]) \
@@ -155,25 +171,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))) \
         .select("id", "t", "bucket", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     key = ["t", "bucket", "i", "j"]
-    rows = units.join(points.select("id", "unit", "names"), "id").repartition(*key).sortWithinPartitions(*key)
+    rows = units.join(distinct.select("id", "weight", "raw"), "id").repartition(*key).sortWithinPartitions(*key)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def names(x: np.ndarray) -> np.ndarray:
+            return np.stack([signature(row, width, k, tables) for row in x])
+
         for run in _runs(batches, key):
             if run.num_rows < 2:
                 continue
             t, i, j = run.column("t")[0].as_py(), run.column("i")[0].as_py(), run.column("j")[0].as_py()
-            found = _linked(np.asarray(run.column("id")),
-                            np.frombuffer(b"".join(run.column("unit").to_pylist())).reshape(run.num_rows, -1),
-                            np.array(run.column("names").to_pylist(), np.int64).reshape(run.num_rows, -1),
-                            np.asarray(run.column("tile")), t, i != j, threshold)
+            vectors = [unit_vector(np.frombuffer(x, kind)) for x in run.column("raw").to_pylist()]
+            found = _linked(np.asarray(run.column("id")), np.stack(vectors), np.asarray(run.column("weight")),
+                            np.asarray(run.column("tile")), t, i != j, threshold, names)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "n", "low"])
 
     links = staged(rows.mapInArrow(compare, "id long, n long, low long"), "vector-links")
-    degree = links.groupBy("id").agg(F.sum("n").alias("n_links"))
+    degree = links.groupBy("id").agg(F.sum("n").alias("n"))
     groups = connected_components(links.select(F.col("id").alias("u"), F.col("low").alias("v")))
-    out = points.select("id").join(degree, "id", "left") \
-        .join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    found = copies.join(degree, "id", "left").join(groups.select(F.col("node").alias("id"), "component"), "id", "left") \
+        .select(F.col("same").alias("__same"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+                F.coalesce("component", "id").alias("component"))
+    out = points.select("id", F.when(F.col("id").isNotNull(), F.col("same")).alias("same")) \
+        .join(found, F.col("same") == F.col("__same"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                       component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

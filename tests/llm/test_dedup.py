@@ -299,3 +299,27 @@ def test_filter_by_number_loses_nothing(spark):
         got = {r.uid for r in jaccard._filtered(sets, wanted, bits).collect()}
         assert got >= set(range(0, 20_000, 40)) and len(got) <= most
     assert jaccard._filtered(sets, wanted.where("false")).count() == 0
+
+
+def test_many_equal_vectors_are_compared_once(spark, monkeypatch):
+    """20,000 copies of one vector and two near ones: three vectors are compared, every link counts."""
+    import numpy as np
+
+    from larder.llm import embedding_dedup as D
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=16)
+    near, far = a + 0.05 * rng.normal(size=16), rng.normal(size=16)
+    rows = [(i, [float(np.float32(x)) for x in a]) for i in range(20_000)]
+    rows += [(30_000, [float(x) for x in near]), (30_001, [float(x) for x in near]), (30_002, [float(x) for x in far]), (-5, None)]
+    written, real = {}, D.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        written[name] = out.count()
+        return out
+    monkeypatch.setattr(D, "staged", counted)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in D.near_duplicates(frame).collect()}
+    assert written["vector-copies"] == 3 and written["vector-links"] <= 3 * 200
+    assert got[0] == (20_001, 0, True) and got[19_999] == (20_001, 0, False)
+    assert got[30_000] == (20_001, 0, False) and got[30_002] == (0, 30_002, True) and got[-5] == (0, -5, True)
