@@ -1,6 +1,5 @@
 """Embedding near-duplicates, repeated strings and the Jaccard join against plain versions."""
 
-import hashlib
 import json
 import random
 import uuid
@@ -182,7 +181,6 @@ def test_removal_repeated_rows_and_empty_table(make_docs, words):
     n = len(text.encode())
     assert got == [(False, n, n), (False, n, n), (True, 0, 0), (True, n, 0)]
     assert S.remove_repeats(make_docs([])).count() == 0
-    assert hashlib.sha256(b"").hexdigest()
 
 
 def broadcast_hints(spark, monkeypatch, module, run):
@@ -250,8 +248,7 @@ def test_join_repeated_rows_null_ids_and_empty_table(make_docs):
     rows = J.jaccard_join(make_docs([(4, a), (4, a), (None, a), (None, b), (7, None), (7, None)])).collect()
     got = sorted(((r.doc_id, r.j_n, r.j_component, r.j_first) for r in rows), key=str)
     assert got == sorted([(4, 4, 4, True), (4, 4, 4, False), (None, 4, 4, False), (None, 1, None, True),
-                          (7, 0, 7, True), (7, 0, 7, True)], key=str) or \
-        [x[:3] for x in got] == sorted([(4, 4, 4), (4, 4, 4), (None, 4, 4), (None, 1, None), (7, 0, 7), (7, 0, 7)], key=str)
+                          (7, 0, 7, True), (7, 0, 7, True)], key=str)
     assert sum(r.j_first for r in rows if r.j_component == 4) == 1
     assert J.jaccard_join(make_docs([])).count() == 0
     with pytest.raises(ValueError):
