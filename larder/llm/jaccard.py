@@ -43,6 +43,7 @@ from larder.llm.components import connected_components
 FREQUENT = 1 << 20        # frequent tokens at the start, the most frequent ones, broadcast as 16 MB at most
 LEAST_COUNT = 6           # tokens counted less often start as rare
 WINDOW = 3_000_000        # tokens counted at a time in a task
+KEY_WINDOW = 1_000_000    # index rows combined at a time in a task
 POSTING = 48              # sets that share a rare prefix token
 PASSES = 2                # times that the prefixes are taken; tokens still above POSTING are linked by stars
 SHARED = 4                # rare tokens that make a candidate (fewer for small sets)
@@ -244,60 +245,159 @@ def _with_frequent(frequent: tuple, more: np.ndarray, counts: np.ndarray) -> tup
     return joined[order], rank[order]
 
 
+PAIR, SINGLE, STAR = 0, 1, 2          # a key of two frequent tokens, a key of one rare token, a link already found
+
+
 def _keys(sets: DataFrame, frequent: tuple, percent: int) -> DataFrame:
-    """``key, node, single`` rows of the index."""
+    """``code, kind, node, other`` rows of the index.
+
+    Rows of a key of two tokens are combined before they are shuffled: of the
+    sets of a window that share it, all but the first are linked to the first at
+    once (``STAR`` rows, dealt by their node), and only the first goes on.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    names = ["code", "kind", "node", "other"]
+
+    def flush(code: np.ndarray, kind: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((node, code, kind))
+        code, kind, node = code[order], kind[order], node[order]
+        same = np.concatenate([[False], (code[1:] == code[:-1]) & (kind[1:] == kind[:-1])])
+        twice = same & np.concatenate([[False], node[1:] == node[:-1]])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(code))))
+        star = same & ~twice & (kind == PAIR)
+        rest = ~star & ~twice
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(code[rest]), pa.array(kind[rest]), pa.array(node[rest]), pa.nulls(int(rest.sum()), pa.int64())], names=names)
+        if star.any():
+            spread = _mix(node[star].view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(spread), pa.array(np.full(len(spread), STAR, np.int32)), pa.array(node[star]), pa.array(node[head[star]])],
+                names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, rank = shared.value
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             found = [x for raw in batch.column(1).to_pylist()
                      for x in prefix_keys(np.frombuffer(raw, np.uint64), token, rank, percent)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             node = np.repeat(np.asarray(batch.column(0), dtype=np.int64), 2)
-            single = np.tile([True, False], len(node) // 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)),
-                 pa.array(np.repeat(node, sizes)), pa.array(np.repeat(single, sizes))], names=["key", "node", "single"])
+            kind = np.tile(np.array([SINGLE, PAIR], np.int32), len(node) // 2)
+            held.append((np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64),
+                         np.repeat(kind, sizes), np.repeat(node, sizes)))
+            size += len(held[-1][0])
+            if size >= KEY_WINDOW:
+                yield from flush(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
+            yield from flush(*map(np.concatenate, zip(*held)))
+
+    return sets.where("j_n > 1").select("j_node", "j_set") \
+        .mapInArrow(run, "code long, kind int, node long, other long")
 
-    return sets.where("j_n > 1").select("j_node", "j_set").mapInArrow(run, "key long, node long, single boolean")
+
+def _run_links(code: np.ndarray, kind: np.ndarray, node: np.ndarray, start: np.ndarray) -> list[tuple]:
+    """(u, v, n, kind) rows of whole runs of equal keys; nodes of a run are sorted and differ."""
+    n = np.diff(np.concatenate([start, [len(code)]]))
+    out = []
+    few = (kind[start] == SINGLE) & (n <= POSTING)
+    for d in np.unique(n[few & (n > 1)]).tolist():
+        members = node[start[few & (n == d)][:, None] + np.arange(d)]
+        a, b = np.triu_indices(d, 1)
+        out.append((members[:, b].ravel(), members[:, a].ravel(), None, PAIR))
+    many = ~few & (n > 1)
+    if many.any():
+        first, size = start[many], n[many] - 1
+        at = np.repeat(first, size) + 1 + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out.append((node[at], node[np.repeat(first, size)], None, STAR))
+        hot = many & (kind[start] == SINGLE)
+        if hot.any():
+            out.append((code[start[hot]], code[start[hot]], n[hot], SINGLE))
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the keys of a partition sorted by kind, code and node.
+
+    ``PAIR`` rows are two sets that share a rare token, ``STAR`` rows link a set to the first one
+    of its key, ``SINGLE`` rows name a token of more than ``POSTING`` sets and their number.  An open run is held
+    until it ends, beyond ``POSTING`` sets only its first and last node and its size.
+    """
+    def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for u, v, n, kind in found:
+            for i in range(0, len(u), 100_000):
+                part = slice(i, i + 100_000)
+                k = len(u[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u[part]), pa.array(v[part]), pa.nulls(k, pa.int64()) if n is None else pa.array(n[part]),
+                     pa.array(np.full(k, kind, np.int32))], names=["u", "v", "n", "kind"])
+
+    none = np.zeros(0, np.int64)
+    held = (none, none.astype(np.int32), none)           # rows of the open run
+    gone, first = 0, 0                                    # rows of it that were linked already, and its first node
+    for batch in batches:
+        code, kind, node = (np.asarray(batch.column(i)) for i in range(3))
+        star = kind == STAR
+        if star.any():
+            yield from rows([(node[star], np.asarray(batch.column(3).drop_null(), dtype=np.int64), None, STAR)])
+            code, kind, node = code[~star], kind[~star], node[~star]
+        code, kind, node = (np.concatenate([h, x]) for h, x in zip(held, (code, kind, node)))
+        if not len(code):
+            continue
+        same = np.concatenate([[False], (code[1:] == code[:-1]) & (kind[1:] == kind[:-1])])
+        keep = ~(same & np.concatenate([[False], node[1:] == node[:-1]]))
+        code, kind, node, same = code[keep], kind[keep], node[keep], same[keep]
+        start = np.flatnonzero(~same)
+        if gone and len(start) > 1:                       # the long run ends here
+            yield from _close(code, kind, node, start[1], gone, first, rows)
+            code, kind, node, start = code[start[1]:], kind[start[1]:], node[start[1]:], start[1:] - start[1]
+            gone = 0
+        last = start[-1]
+        if last:
+            yield from rows(_run_links(code[:last], kind[:last], node[:last], start[:-1]))
+            code, kind, node = code[last:], kind[last:], node[last:]
+        if len(code) > POSTING + 1:                       # too long to hold: link all but the last node
+            if not gone:
+                first = node[0]
+            move = node[:-1] if gone else node[1:-1]
+            yield from rows([(move, np.full(len(move), first), None, STAR)])
+            gone += len(node) - 1
+            code, kind, node = code[-1:], kind[-1:], node[-1:]
+        held = (code, kind, node)
+    code, kind, node = held
+    if gone:
+        yield from _close(code, kind, node, len(code), gone, first, rows)
+    elif len(code):
+        yield from rows(_run_links(code, kind, node, np.zeros(1, np.int64)))
+
+
+def _close(code, kind, node, end: int, gone: int, first: int, rows) -> Iterator[pa.RecordBatch]:
+    """The rest of a run whose beginning was linked already."""
+    found = [(node[:end], np.full(end, first), None, STAR)]
+    if kind[0] == SINGLE:
+        found.append((code[:1], code[:1], np.array([gone + end]), SINGLE))
+    yield from rows(found)
 
 
 def _blocks(sets: DataFrame, percent: int) -> DataFrame:
     """``node, component`` of the candidate blocks: components that hold every pair of linked sets."""
     frequent = _frequent(sets)
     for i in range(PASSES):
-        # copies in several partitions give their keys once
-        keys = staged(_keys(sets, frequent, percent).distinct(), f"prefix-keys-{i}")
-        counts = staged(keys.groupBy("key", "single").agg(
-            F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"),
-            F.bit_xor("node").alias("x")).where("n > 1"), f"postings-{i}")
+        found = staged(_keys(sets, frequent, percent).repartition("code", "kind").sortWithinPartitions("kind", "code", "node")
+                       .mapInArrow(_runs, "u long, v long, n long, kind int"), f"candidates-{i}")
         release(sets.sparkSession)
-        crowded = counts.where(F.col("single") & (F.col("n") > POSTING))
+        crowded = found.where(F.col("kind") == SINGLE)
         if i == PASSES - 1 or not 0 < crowded.count() <= FREQUENT:
             break
-        rows = crowded.select("key", "n").toPandas()                     # at most FREQUENT rows
-        frequent = _with_frequent(frequent, rows["key"].to_numpy(np.int64).view(np.uint64),
-                                  rows["n"].to_numpy(np.int64))
-        discard(keys, counts)
-    few = counts.where(F.col("single") & (F.col("n") <= POSTING))
-    third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
-    two = few.where("n = 2").select("a", "b")
-    three = few.where("n = 3").select(F.explode(F.array(F.struct("a", "b"), F.struct("a", third.alias("b")),
-                                                        F.struct(third.alias("a"), "b"))).alias("p")).select("p.*")
-    posting = keys.where("single").join(few.where("n > 3").select("key"), "key") \
-        .groupBy("key").agg(F.collect_list("node").alias("nodes"))       # at most POSTING nodes
-    more = posting.select("nodes", F.explode("nodes").alias("a")) \
-        .select("a", F.explode(F.filter("nodes", lambda y: y > F.col("a"))).alias("b"))
+        rows = crowded.select("u", "n").toPandas()                       # at most FREQUENT rows
+        frequent = _with_frequent(frequent, rows["u"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+        discard(found)
     need = F.least(F.col("u").bitwiseAND(F.lit(3)), F.col("v").bitwiseAND(F.lit(3))) + 1
-    pairs = two.unionByName(three).unionByName(more) \
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")) \
-        .groupBy("u", "v").count().where(F.col("count") >= need).select("u", "v")
-    stars = keys.join(counts.where(~F.col("single") | (F.col("n") > POSTING))
-                      .select("key", "single", "a"), ["key", "single"]) \
-        .where("node <> a").select(F.col("node").alias("u"), F.col("a").alias("v"))
+    pairs = found.where(F.col("kind") == PAIR).groupBy("u", "v").count().where(F.col("count") >= need).select("u", "v")
+    stars = found.where((F.col("kind") == STAR) & (F.col("u") != F.col("v"))).select("u", "v").distinct()
     blocks = connected_components(pairs.unionByName(stars))
-    discard(keys, counts)
+    discard(found)
     release(sets.sparkSession)
     return blocks
 

@@ -320,3 +320,38 @@ def test_many_equal_vectors_are_compared_once(spark, monkeypatch):
     assert written["vector-copies"] == 3 and written["vector-links"] <= 3 * 200
     assert got[0] == (20_001, 0, True) and got[19_999] == (20_001, 0, False)
     assert got[30_000] == (20_001, 0, False) and got[30_002] == (0, 30_002, True) and got[-5] == (0, -5, True)
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 10_000])
+def test_runs_over_batch_borders(size):
+    """Links of sorted keys, whatever the batches: pairs of short runs of rare tokens, stars of all others."""
+    import pyarrow as pa
+    rng = random.Random(size)
+    rows = set()
+    for code in range(60):
+        for _ in range(rng.choice([1, 2, 3, 30, J.POSTING, J.POSTING + 1, 300])):
+            rows.add((rng.choice([J.PAIR, J.SINGLE]) if code % 2 else J.SINGLE, code, rng.randrange(500)))
+    rows = sorted(rows)
+    rows += [(J.STAR, 1000 + i, i) for i in range(5)]
+    twice = sorted(rows + rng.sample(rows[:-5], 40))
+    full = pa.table({"code": pa.array([c for _, c, _ in twice], pa.int64()), "kind": pa.array([k for k, _, _ in twice], pa.int32()),
+                     "node": pa.array([n for _, _, n in twice], pa.int64()),
+                     "other": pa.array([-1 if k == J.STAR else None for k, _, _ in twice], pa.int64())})
+    got = Counter()
+    for b in J._runs(iter(full.to_batches(max_chunksize=size))):
+        for r in b.to_pylist():
+            if r["u"] != r["v"] or r["kind"] == J.SINGLE:
+                got[r["u"], r["v"], r["n"], r["kind"]] += 1
+    runs, want = {}, Counter()
+    for kind, code, node in rows:
+        runs.setdefault((kind, code), []).append(node)
+    for (kind, code), nodes in runs.items():
+        if kind == J.STAR:
+            want[nodes[0], -1, None, J.STAR] += 1
+        elif kind == J.SINGLE and len(nodes) <= J.POSTING:
+            want.update((b, a, None, J.PAIR) for i, a in enumerate(nodes) for b in nodes[i + 1:])
+        else:
+            want.update((n, nodes[0], None, J.STAR) for n in nodes[1:])
+            if kind == J.SINGLE:
+                want[code, code, len(nodes), J.SINGLE] += 1
+    assert got == want
