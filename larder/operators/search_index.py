@@ -20,7 +20,6 @@ import hashlib
 from functools import reduce
 from operator import or_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +27,7 @@ from larder.fixed_values import BM25_B, BM25_K1, SEARCH_PAGE_SIZE
 from larder.functions import text as T
 from larder.operators import search as X
 from larder.operators.util import with_dense_ids, written
+from larder.session import path_exists
 
 PREFIX = 7                   # characters of a term that give deletion variants: 29 strings at most
 LOOKUP_KEYS = 2_000          # keys that are put into a filter; more are joined
@@ -67,12 +67,7 @@ def source_fingerprint(spark: SparkSession, path: str) -> str:
 
 def marker_row(spark: SparkSession, path: str, schema: str):
     """The one row that marks a table set complete; None if it was never written."""
-    try:
-        return spark.read.schema(schema).parquet(path).first()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return spark.read.schema(schema).parquet(path).first() if path_exists(spark, path) else None
 
 
 def prefix_variants(term: str, deletions: int, prefix: int = PREFIX) -> set[str]:

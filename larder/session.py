@@ -115,6 +115,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/larder/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of the file system that holds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     """Path of one Parquet table in a data folder."""
     return f"{sf_dir.rstrip('/')}/{name}.parquet"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larder.session import shared_path
+from larder.session import path_exists, shared_path
 
 CSV_OPTIONS = {
     "header": "true",
@@ -107,12 +107,7 @@ MANIFEST = "chunk string, n long"
 def _committed(spark: SparkSession, target: str) -> list:
     """The manifest's rows: chunks whose rows count."""
     path = f"{target.rstrip('/')}/_manifest"
-    try:
-        return spark.read.schema(MANIFEST).parquet(path).collect()          # one row a chunk
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return []
-        raise
+    return spark.read.schema(MANIFEST).parquet(path).collect() if path_exists(spark, path) else []      # one row a chunk
 
 
 def _commit(spark: SparkSession, target: str, chunk: str, n: int) -> None:

@@ -18,20 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from larder.operators.util import with_dense_ids
-
+from larder.session import path_exists
 
 TERMS_PER_PARTITION = 1_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
-
-
 def ingest(spark: SparkSession, src: str, schema: StructType | str, target: str, checkpoint: str,
            labeller: Callable[[DataFrame], DataFrame], vocab: str | None = None,
            vocab_terms: Callable[[DataFrame], DataFrame] | None = None,
@@ -84,7 +77,7 @@ def grow_vocabulary(spark: SparkSession, terms: DataFrame, vocab: str, checkpoin
         ran.append(batch_id)
         new = new.persist()                          # counted and written, one pass over the state
         n, start = new.count(), 1
-        if batch_id and _exists(spark, f"{counters}/batch={batch_id - 1}"):
+        if batch_id and path_exists(spark, f"{counters}/batch={batch_id - 1}"):
             start = spark.read.schema("first BIGINT").parquet(f"{counters}/batch={batch_id - 1}").first()["first"]
         with_dense_ids(new.select("term"), ["term"], "id", start=start, num_partitions=-(-n // TERMS_PER_PARTITION) or 1) \
             .write.mode("overwrite").parquet(f"{vocab}/batch={batch_id}")
