@@ -105,3 +105,24 @@ def test_ivf_index_is_reused(spark, emb):
     assert a == b
     few = index.query(emb.limit(5), k=2, nprobe=3, query_id="vec_id")
     assert few.count() == 10
+
+
+def test_best_matches_of_a_block_by_brute_force():
+    rng = np.random.default_rng(3)
+    q, c = rng.integers(-2, 3, size=(30, 4)).astype(float), rng.integers(-2, 3, size=(70, 4)).astype(float)
+    c[5, 0], q[29, 1] = np.nan, np.inf
+    qi, ci = rng.integers(0, 40, 30), rng.integers(0, 40, 70)                  # ids come more than once
+    with np.errstate(invalid="ignore"):
+        s, i = V._topk_block(qi, q, ci, c, 5, True, q_chunk=7, c_chunk=11, digits=12)
+        sims = q @ c.T / (np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) + V.EPS)
+    for x in range(30):
+        want = sorted((-round(v, 12), ci[j]) for j, v in enumerate(sims[x]) if np.isfinite(v) and ci[j] != qi[x])[:5]
+        assert [(-round(v, 12), j) for v, j in zip(s[x], i[x]) if np.isfinite(v)] == want
+
+
+def test_exact_search_uses_every_core():
+    """A table that fits one block is still cut for the cores; its copies do not grow until memory asks for more."""
+    qb, cb = V.block_grid(100_000, 100_000, 12, 131_072)
+    assert qb * cb >= 12 and V.block_grid(600_000, 600_000, 12, 131_072) == (qb, cb)
+    assert V.block_grid(256, 100_000, 12, 131_072)[0] == 1 and V.block_grid(5, 5, 12, 131_072) == (1, 1)
+    assert V.block_grid(0, 0, 12, 131_072) == (1, 1)
