@@ -2,8 +2,8 @@
 
 ``TwoLevelIndex.build`` cuts the catalogue of N vectors into about sqrt(N)
 cells in two levels of about N^(1/4) k-means centroids each, so a vector is compared
-with 2 N^(1/4) centroids instead of sqrt(N), and a task or the driver never
-holds more than N^(1/4) of them.  Centroids are learned on a
+with 2 N^(1/4) centroids instead of sqrt(N), and the driver never
+holds more than N^(1/4) of them (a task that ranks a block of queries reads all sqrt(N)).  Centroids are learned on a
 bounded sample (``TRAIN_ROWS`` vectors per centroid); every vector is assigned.
 
 What a vector leaves to its cell's centroid is product-quantised: one byte for
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import vectors as V
 from larder.operators.search_index import marker_row, sorted_write, source_fingerprint
-from larder.operators.util import written
+from larder.operators.util import bounded_broadcast, written
 from larder.session import shared_path
 
 TRAIN_ROWS = 64              # sample vectors for each centroid to learn
@@ -42,6 +42,9 @@ LEAST_LIST = 16              # candidates for each wanted match that get exact c
 BAR_PROBES, BAR_LIST = 4, 8  # cells and candidates that set the bar of a certified search
 EXACT_PAIRS = 1_000_000_000  # comparisons up to which an index is not worth building
 BLOCK_ROWS = 20_000          # vectors of a cell, or queries of a cell, in one task
+TILE_BYTES = 64 << 20        # original vectors of a tile, as doubles
+CELL_LISTS = "_id long, coarse int, cells array<int>"
+NO_CELLS = pd.DataFrame({"_id": [], "coarse": [], "cells": []}).astype({"_id": "int64", "coarse": "int32", "cells": "object"})
 SLACK = 1e-5                 # cosine by which a cell's bound is widened before the cell is left out
 BOOK = "parent int, child int, centroid array<double>"
 META = "n long, dim int, coarse_probes int, probes int, short_list int"
@@ -132,9 +135,11 @@ class TwoLevelIndex:
         self.coarse_probes, self.probes = meta["coarse_probes"], meta["probes"]
         coarse = sorted(spark.read.schema("child int, centroid array<double>, radius double")
                         .parquet(f"{path}/coarse").collect(), key=lambda r: r["child"])           # N^(1/4) rows
+        loads = {r["coarse"]: r["load"] for r in self.cells.groupBy("coarse").agg(F.sum("n").alias("load")).collect()}
         self.coarse = np.array([r["centroid"] for r in coarse]).reshape(len(coarse), self.dim)
         self.coarse_ids = np.array([r["child"] for r in coarse], np.int64)
         self.coarse_radius = np.array([r["radius"] for r in coarse])
+        self.coarse_loads = np.array([loads.get(r["child"], 0) for r in coarse], np.int64)
         books = spark.read.schema(BOOK).parquet(f"{path}/books").collect()                          # m x 256 short vectors
         m = max((r["parent"] for r in books), default=-1) + 1
         self.books = np.full((m, CODES, SUB), np.inf)
@@ -322,6 +327,80 @@ class TwoLevelIndex:
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("salts", "blocks")
         return _meet(left, right, ["cell", "salt", "block"], fn, schema)
 
+    # Queries meet whole tiles, not cells: a tile is a run of neighbouring coarse cells of up to ``rows_fit``
+    # vectors (a larger one is cut by a hash), a block a share of the queries.  A query is shuffled once for each
+    # tile that holds a cell of its own, with the list of these cells, a vector once for each block.
+
+    def _tiles(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first tile, tiles) of each coarse cell."""
+        first, parts, at, held = [], [], -1, rows
+        for load in self.coarse_loads.tolist():
+            cut = max(1, math.ceil(load / rows))
+            if held + load > rows or cut > 1:
+                at, held = at + 1, 0
+            first.append(at)
+            parts.append(cut)
+            held = held + load if cut == 1 else rows
+            at += cut - 1
+        return np.array(first, np.int64), np.array(parts, np.int64)
+
+    def _by_block(self, q: DataFrame, n: int, fn, schema: str) -> DataFrame:
+        """Blocks of queries meet the centroids of all cells (N^(1/2) rows)."""
+        blocks = V.block_grid(n, n, self.spark.sparkContext.defaultParallelism, BLOCK_ROWS)[0]
+        left = q.withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+        right = self.cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return _meet(left, right, ["block"], fn, schema)
+
+    def _nearest_cells(self, q: DataFrame, n: int, coarse_probes: int, probes: int) -> DataFrame:
+        """``_id, coarse, cells``: each query's nearest ``probes`` cells of its nearest coarse cells."""
+        top, ids = self.coarse, self.coarse_ids
+        half = 0.5 * (top * top).sum(axis=1)
+
+        def rank(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            out, cells = [NO_CELLS], _Cells(own)
+            for part in _chunks(queries if len(cells.ids) else queries[:0]):
+                x = _stack(part["_u"])
+                near = np.zeros((len(x), len(ids)), bool)
+                order = np.argsort(half - x @ top.T, axis=1, kind="stable")[:, :coarse_probes]
+                np.put_along_axis(near, order, True, axis=1)
+                near = near[:, np.searchsorted(ids, cells.coarse)]
+                score = np.where(near, x @ cells.centroids.T - 0.5 * (cells.centroids ** 2).sum(axis=1), -np.inf)
+                order = _ordered(score, cells.ids, probes)
+                chosen = np.zeros(score.shape, bool)
+                np.put_along_axis(chosen, order, True, axis=1)
+                out.append(cells.lists(part["_id"].to_numpy(), chosen & near))
+            return pd.concat(out)
+        return self._by_block(q.select("_id", "_u"), n, rank, CELL_LISTS)
+
+    def _on_tiles(self, q: DataFrame, n: int, lists: DataFrame, items: DataFrame, fn, schema: str,
+                  few_tiles: bool = False) -> DataFrame:
+        """Queries with ``lists(_id, coarse, ...)`` (arrays) meet the rows of their tiles; ``fn`` gets both sides of a tile."""
+        cores, fit = self.spark.sparkContext.defaultParallelism, max(1, TILE_BYTES // (8 * self.dim))
+        blocks, tiles = V.block_grid(n, self.n, cores, fit)
+        if few_tiles:                                    # codes are short: rather repeat them than the queries
+            blocks, tiles = blocks * tiles, max(1, math.ceil(self.n / fit))
+            blocks = max(math.ceil(n / fit), math.ceil(blocks / tiles))
+        first, parts = self._tiles(math.ceil(self.n / tiles))
+        where = F.broadcast(self.spark.createDataFrame(
+            list(zip(self.coarse_ids.tolist(), first.tolist(), parts.tolist())), "coarse int, first int, parts int"))
+        block = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+        asked = [c for c in lists.columns if c not in ("_id", "coarse")]
+        left = lists.join(where, "coarse").groupBy("_id", "first", "parts").agg(
+            *[F.flatten(F.collect_list(c)).alias(c) for c in asked]).join(q, "_id") \
+            .withColumn("tile", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1))) \
+            .withColumn("block", block).drop("first", "parts")
+        cells = bounded_broadcast(self.cells.select("cell", "coarse").join(where, "coarse"))
+        right = items.join(cells.drop("coarse"), "cell") \
+            .withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("_id", F.lit(1)), "parts")).cast("int")) \
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("first", "parts")
+        if "code" in items.columns:                      # a tile's codes need the centroids of its cells
+            heads = self.cells.join(where, "coarse").select(
+                "cell", F.lit(0).cast("long").alias("_id"), F.lit(None).cast("binary").alias("code"), "centroid",
+                F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("tile")) \
+                .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            right = right.withColumn("centroid", F.lit(None).cast("array<double>")).select(*heads.columns).unionByName(heads)
+        return _meet(left, right, ["tile", "block"], fn, schema)
+
     def query(self, queries: DataFrame, k: int = 1, query_id: str = "query_id", vec: str = "embedding",
               exclude_same_id: bool = False, exact: bool = False, probes: int | None = None,
               short_list: int | None = None) -> DataFrame:
@@ -333,38 +412,38 @@ class TwoLevelIndex:
         q = self._queries(queries, query_id, vec)
         if not self.n:
             return self.spark.createDataFrame([], "query_id long, item_id long, sim double, rank int")
+        n = q.count()
         if exact:                    # any good match will do here: what it leaves open is searched in full
             probes, short_list = probes or min(BAR_PROBES, self.probes), short_list or BAR_LIST * k
         coarse = min(self.coarse_probes if probes is None else probes, len(self.coarse))
-        near = written(self._cell_order(q, self._coarse_order(q, coarse), probes or self.probes).select("_id", "cell"), "ann-probes")
+        near = written(self._nearest_cells(q, n, coarse, probes or self.probes), "ann-probes")
         keep = short_list or self.short_list * k
-        listed = self._in_cells(q, near, self.codes, _by_codes(self.books, keep, exclude_same_id),
-                                "_id long, item_id long, cell int, score double")
-        w = Window.partitionBy("_id").orderBy(F.desc("score"), "item_id")
+        listed = self._on_tiles(q.select("_id", "_u"), n, near, self.codes, _by_codes(self.books, keep, exclude_same_id),
+                                "_id long, item_id long, cell int, score double", few_tiles=True)
+        w = Window.partitionBy("_id").orderBy(F.round("score", 12).desc(), "item_id")
         listed = listed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select("_id", "item_id", "cell")
-        found = written(self._exact_cosines(q, listed, k), "ann-found")
+        found = written(self._exact_cosines(q, n, listed, k), "ann-found")
         if not exact:
-            return found
+            return found.drop("cell")
         more = written(self._could_matter(q, found, k), "ann-more")
-        block = V._block_fn(k, exclude_same_id, digits=12)
-        rest = self._in_cells(q.select("_id", "_v"), more, self.vectors, block, "query_id long, item_id long, sim double")
-        w = Window.partitionBy("query_id").orderBy(F.round("sim", 12).desc(), "item_id")
-        rest = rest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        both = found.select(F.col("query_id").alias("_id"), "item_id").unionByName(
-            rest.select(F.col("query_id").alias("_id"), "item_id")).distinct()
-        cell = self.vectors.select(F.col("_id").alias("item_id"), "cell")
-        return self._exact_cosines(q, both.join(cell, "item_id"), k)
-
-    def _exact_cosines(self, q: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-        """Pairs with the similarity of the original vectors, the best ``k`` of each query."""
-        full = self.vectors.select("cell", F.col("_id").alias("item_id"), F.col("_v").alias("_w"), F.col("norm").alias("_nw"))
-        scored = pairs.join(full, ["cell", "item_id"]).join(q.select("_id", "_v", "norm"), "_id") \
-            .select(F.col("_id").alias("query_id"), "item_id",
-                    (V.dot("_v", "_w") / (F.col("norm") * F.col("_nw") + V.EPS)).alias("sim"))
+        rest = self._on_tiles(q.select("_id", "_v"), n, more, self.vectors.drop("norm"), _in_full(k, exclude_same_id),
+                              "_id long, item_id long, cell int, sim double")
+        w = Window.partitionBy("_id").orderBy(F.round("sim", 12).desc(), "item_id")
+        rest = rest.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("_id", "item_id", "cell")
+        first = found.select(F.col("query_id").alias("_id"), "item_id", "cell")
+        return self._exact_cosines(q, n, first.unionByName(rest).distinct(), k).drop("cell")
+
+    def _exact_cosines(self, q: DataFrame, n: int, pairs: DataFrame, k: int) -> DataFrame:
+        """``_id, item_id, cell`` with the similarity of the original vectors, the best ``k`` of each query."""
+        coarse = bounded_broadcast(self.cells.select("cell", "coarse"))
+        lists = pairs.join(coarse, "cell").groupBy("_id", "coarse").agg(
+            F.collect_list("item_id").alias("items"), F.collect_list("cell").alias("cells"))
+        scored = self._on_tiles(q.select("_id", "_v", "norm"), n, lists, self.vectors, _scored(k),
+                                "query_id long, item_id long, cell int, sim double")
         return V._merge_topk(scored, k)
 
     def _could_matter(self, q: DataFrame, found: DataFrame, k: int) -> DataFrame:
-        """``_id, cell`` of the cells whose nearest possible member could beat or tie a query's k-th match.
+        """``_id, coarse, cells``: the cells whose nearest possible member could beat or tie a query's k-th match.
 
         Cells that were probed are among them: their codes ranked the members, their bound did not.
         """
@@ -372,26 +451,115 @@ class TwoLevelIndex:
         bars = q.join(kth, "_id", "left").withColumn(
             "_bar", F.when(F.col("norm") < LEAST_NORM, -2.0).otherwise(F.coalesce("_bar", F.lit(-2.0))))
         bars = written(bars.select("_id", "_u", "_bar"), "ann-bars")
-        centroids, radius, ids = unit(self.coarse), self.coarse_radius, self.coarse_ids
+        top, radius, ids = unit(self.coarse), self.coarse_radius, self.coarse_ids
 
         def reach(x: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
             angle = np.arccos(np.clip(x @ c.T, -1, 1)) - r - 1e-6
             return np.cos(np.maximum(angle, 0)) + SLACK
 
-        def coarse(batches):
-            for pdf in batches:
-                if len(pdf):
-                    row, at = np.nonzero(reach(_stack(pdf["_u"]), centroids, radius) >= pdf["_bar"].to_numpy()[:, None])
-                    yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[row], "coarse": ids[at]})
+        def matter(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            out, cells = [NO_CELLS], _Cells(own)
+            directions = unit(cells.centroids)
+            for part in _chunks(queries if len(cells.ids) else queries[:0]):
+                x, bar = _stack(part["_u"]), part["_bar"].to_numpy()[:, None]
+                near = (reach(x, top, radius) >= bar)[:, np.searchsorted(ids, cells.coarse)]
+                out.append(cells.lists(part["_id"].to_numpy(), near & (reach(x, directions, cells.radius) >= bar)))
+            return pd.concat(out)
+        return self._by_block(bars, bars.count(), matter, CELL_LISTS)
+
+
+class _Cells:
+    """The cells of an index in one task, by number."""
+
+    def __init__(self, own: pd.DataFrame):
+        own = own.sort_values("cell")
+        self.ids, self.coarse = own["cell"].to_numpy(np.int64), own["coarse"].to_numpy(np.int64)
+        self.radius = own["radius"].to_numpy(np.float64)
+        self.centroids = _stack(own["centroid"]) if len(own) else np.zeros((0, 0))
+
+    def lists(self, ids: np.ndarray, chosen: np.ndarray) -> pd.DataFrame:
+        """One row for each query and coarse cell with a chosen cell; cells of a coarse cell are neighbours."""
+        row, at = np.divmod(np.flatnonzero(chosen), chosen.shape[1])
+        group = np.flatnonzero(np.diff(row * (self.coarse.max(initial=0) + 1) + self.coarse[at], prepend=-1))
+        cells = self.ids[at].astype(np.int32)
+        return pd.DataFrame({"_id": ids[row[group]], "coarse": self.coarse[at[group]].astype(np.int32),
+                             "cells": np.split(cells, group[1:]) if len(group) else []})
+
+
+def _chunks(rows: pd.DataFrame, size: int = 1024):
+    for i in range(0, len(rows), size):
+        yield rows.iloc[i:i + size]
+
+
+def _wanted(queries: pd.DataFrame, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query x cell, cell of each row) of a tile whose rows have these sorted cells."""
+    own, at = np.unique(cells, return_inverse=True)
+    lists = queries["cells"].to_list()
+    flat = np.concatenate(lists)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    there = own[place] == flat
+    out = np.zeros((len(lists), len(own)), bool)
+    out[row[there], place[there]] = True
+    return out, at
+
+
+def _listed(qids: np.ndarray, s: np.ndarray, i: np.ndarray, ids: np.ndarray, cells: np.ndarray, names: list[str]) -> pd.DataFrame:
+    """What ``top_matches`` found, as rows."""
+    row, at = np.nonzero(np.isfinite(s))
+    place = i[row, at]
+    return pd.DataFrame(dict(zip(names, (qids[row], ids[place], cells[place].astype(np.int32), s[row, at]))))
 
-        def fine(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            if queries.empty or own.empty:
-                return pd.DataFrame({"_id": [], "cell": []}).astype({"_id": "int64", "cell": "int32"})
-            bound = reach(_stack(queries["_u"]), unit(_stack(own["centroid"])), own["radius"].to_numpy())
-            row, at = np.nonzero(bound >= queries["_bar"].to_numpy()[:, None])
-            return pd.DataFrame({"_id": queries["_id"].to_numpy()[row], "cell": own["cell"].to_numpy()[at]})
-        wanted = bars.mapInPandas(coarse, "_id long, coarse int")
-        return self._by_coarse(bars, wanted, fine, "_id long, cell int")
+
+def _nothing(names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: [] for c in names}).astype(dict(zip(names, ("int64", "int64", "int32", "float64"))))
+
+
+def _in_full(k: int, exclude_same_id: bool):
+    """The ``k`` best of a tile's vectors for each query, in the cells that could matter to it."""
+    names = ["_id", "item_id", "cell", "sim"]
+
+    def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or items.empty:
+            return _nothing(names)
+        items = items.sort_values(["cell", "_id"])
+        qids, cells, ids = queries["_id"].to_numpy(), items["cell"].to_numpy(), items["_id"].to_numpy()
+        s, i = V.top_matches(qids, ids, k, V._cosines(_stack(queries["_v"]), _stack(items["_v"])), exclude_same_id,
+                             digits=12, wanted=_wanted(queries, cells))
+        return _listed(qids, s, i, ids, cells, names)
+    return fn
+
+
+def _scored(k: int):
+    """The best ``k`` of the listed items of each query by their cosine, summed left to right as ``vectors.cosine``."""
+    names = ["query_id", "item_id", "cell", "sim"]
+
+    def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = [_nothing(names)]
+        if queries.empty or items.empty:
+            return out[0]
+        items = items.sort_values(["cell", "_id"])
+        ids, cells, norms = items["_id"].to_numpy(), items["cell"].to_numpy(), items["norm"].to_numpy()
+        vectors, own = _stack(items["_v"]), np.unique(ids)
+        key = cells.astype(np.int64) * len(own) + np.searchsorted(own, ids)
+        for part in _chunks(queries, 512):
+            lists = part["items"].to_list()
+            item = np.concatenate(lists)
+            place = np.minimum(np.searchsorted(own, item), len(own) - 1)
+            asked = np.concatenate(part["cells"].to_list()).astype(np.int64) * len(own) + place
+            at, n = V._runs(key, np.where(own[place] == item, asked, -1))       # a cut cell's items lie in several tiles
+            row = np.repeat(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), n)
+            x, total = _stack(part["_v"]), np.zeros(len(at))
+            for d in range(x.shape[1]):
+                total += x[row, d] * vectors[at, d]
+            sim = total / (part["norm"].to_numpy()[row] * norms[at] + V.EPS)
+            order = np.lexsort((ids[at], -sim, row))
+            row, at, sim = row[order], at[order], sim[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"query_id": part["_id"].to_numpy()[row[kept]], "item_id": ids[at[kept]],
+                                     "cell": cells[at[kept]].astype(np.int32), "sim": sim[kept]}))
+        return pd.concat(out)
+    return fn
 
 
 def best_matches(queries: DataFrame, catalogue: DataFrame, k: int = 1, query_id: str = "query_id",
@@ -443,24 +611,26 @@ def _code_scores(books: np.ndarray, queries: pd.DataFrame, items: pd.DataFrame):
 
 
 def _by_codes(books: np.ndarray, keep: int, exclude_same_id: bool):
-    """The ``keep`` best rows of a cell for each query."""
+    """The ``keep`` best codes of a tile for each query, in its own cells.
+
+    A code stands for a vector, its centroid and one short vector for each byte: the tile's are
+    written out once, and a product gives the sums of the table look-ups.
+    """
+    names = ["_id", "item_id", "cell", "score"]
+    usable = np.where(np.isfinite(books), books, 0.0)
+
     def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        heads, items = items[items["code"].isna()].sort_values("cell"), items[items["code"].notna()].sort_values(["cell", "_id"])
         if queries.empty or items.empty:
-            return pd.DataFrame({"_id": [], "item_id": [], "cell": [], "score": []}).astype(
-                {"_id": "int64", "item_id": "int64", "cell": "int32", "score": "float64"})
-        out = []
-        for part, ids, score in _code_scores(books, queries, items):
-            qid = part["_id"].to_numpy()
-            if exclude_same_id:
-                score[qid[:, None] == ids[None, :]] = -np.inf
-            order = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-            best = np.take_along_axis(score, order, axis=1)
-            fine = np.isfinite(best)
-            out.append(pd.DataFrame({"_id": np.broadcast_to(qid[:, None], best.shape)[fine], "item_id": ids[order][fine],
-                                     "score": best[fine]}))
-        got = pd.concat(out)
-        got["cell"] = np.int32(items["cell"].iloc[0])
-        return got[["_id", "item_id", "cell", "score"]]
+            return _nothing(names)
+        qids, cells, ids = queries["_id"].to_numpy(), items["cell"].to_numpy(), items["_id"].to_numpy()
+        x = _stack(queries["_u"])
+        code = np.frombuffer(b"".join(items["code"]), np.uint8).reshape(len(ids), len(books))
+        meant = usable[np.arange(len(books)), code].reshape(len(ids), -1)[:, :x.shape[1]]
+        meant = meant + _stack(heads["centroid"])[np.searchsorted(heads["cell"].to_numpy(), cells)]
+        s, i = V.top_matches(qids, ids, keep, V._products(x, meant), exclude_same_id,
+                             digits=12, wanted=_wanted(queries, cells))
+        return _listed(qids, s, i, ids, cells, names)
     return fn
 
 

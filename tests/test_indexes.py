@@ -192,6 +192,27 @@ def test_approximate_recall_and_sizes(spark):
     assert len(index.coarse) <= math.ceil(3000 ** 0.25) and index.cells.count() <= math.ceil(3000 ** 0.25) ** 2
 
 
+def test_queries_are_not_repeated_for_each_cell(spark, monkeypatch):
+    """Vectors without clusters want almost every cell: what is shuffled follows tiles, not cells, and is still exact."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=12)) for i in range(1500)]
+    rows += [(i, rows[i][1] * 2 + 1) for i in range(40)]                       # ids with two vectors
+    frame = vectors_of(spark, rows)
+    index = A.TwoLevelIndex.build(frame, shared_path(spark, "t-ann"), item_id="vec_id")
+    monkeypatch.setattr(A, "TILE_BYTES", 12 * 8 * 400)                         # several tiles, cells cut in two
+    inside, seen = A._meet, []
+
+    def spy(left, right, keys, fn, schema):
+        seen.append(left.count())
+        return inside(left, right, keys, fn, schema)
+    monkeypatch.setattr(A, "_meet", spy)
+    want = matches(V.knn(frame, frame, 3, "vec_id", "vec_id", exclude_same_id=True))
+    assert matches(index.query(frame, 3, "vec_id", exclude_same_id=True, exact=True)) == want
+    assert max(seen) <= 1500 * 8 < 1500 * index.cells.count() / 3
+    approximate = index.query(frame, 3, "vec_id", exclude_same_id=True)
+    assert approximate.columns == ["query_id", "item_id", "sim", "rank"] and approximate.count() == 4500
+
+
 def test_small_and_odd_catalogues(spark):
     def build(rows):
         return A.TwoLevelIndex.build(vectors_of(spark, rows), shared_path(spark, "t-ann"), item_id="vec_id")
