@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.search_index import keys_in, marker_row, sorted_write, source_fingerprint
+from larder.operators.util import written
 
 GRAM = 3
 RAREST = 3                   # pieces of a query that are intersected
@@ -55,7 +56,9 @@ class SubstringIndex:
         sorted_write(texts, f"{path}/texts", ["id"], bloom=["id"])
         texts = spark.read.schema(f"id {id_type}, text string").parquet(f"{path}/texts")
         norm = F.lower(F.col("text")) if ignore_case else F.col("text")
-        sorted_write(texts.select(F.explode(pieces(norm)).alias("gram"), "id"), f"{path}/postings", ["gram", "id"])
+        # written before they are sorted: finding the ranges would cut every text a second time
+        found = written(texts.select(F.explode(pieces(norm)).alias("gram"), "id"), "substring-pieces")
+        sorted_write(found, f"{path}/postings", ["gram", "id"])
         postings = spark.read.schema(f"gram string, id {id_type}").parquet(f"{path}/postings")
         sorted_write(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), f"{path}/grams", ["gram"])
         meta = spark.createDataFrame([(texts.count(), ignore_case, id_type)], META)

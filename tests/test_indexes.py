@@ -317,3 +317,27 @@ def test_point_lookups_skip_row_groups(spark):
         assert 0 < _scan_rows(asked) <= n / 2
     nothing = index.entries(terms=["w00500x3.5"])          # between two stored terms: the Bloom filter or a page says no
     assert nothing.collect() == [] and _scan_rows(nothing) <= n / 4
+
+
+def test_stored_variants_are_those_of_the_general_rule(spark):
+    from larder.operators.search_index import PREFIX, stored_variants
+    words = [(w,) for w in ("a", "ab", "aab", "abcdefg", "abcdefghij", "\u00e9t\u00e9s", "aaaaaaa", "")]
+    df = spark.createDataFrame(words, "term string")
+    both = df.select(stored_variants("term").alias("new"), X.deletion_variants(F.substring("term", 1, PREFIX), 2).alias("old"))
+    assert all(sorted(r.new) == sorted(r.old) for r in both.collect())
+    # plain expressions: no lambda is interpreted for each term of the vocabulary
+    assert "lambda" not in df.select(stored_variants("term"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_weighted_terms_do_not_shuffle_the_postings(spark, monkeypatch):
+    from larder.operators import search_index as I
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1} x") for i in range(60)], "doc_id long, text string")
+    index = I.SearchIndex.build(docs, "doc_id", "text", shared_path(spark, "t-search"))
+    weights = index.vocabulary.select("term", F.lit(1.0).alias("weight"))
+    few = {tuple(r) for r in X.bm25(*index.hits(weights), index.stats.select("n", "avgdl"), 1.2, 0.75).collect()}
+    monkeypatch.setattr(I, "LOOKUP_KEYS", 5)
+    hits, found = index.hits(weights)
+    joined = hits.join(found, "term")
+    assert "Exchange hash" not in joined._jdf.queryExecution().executedPlan().toString()
+    many = X.bm25(hits, found, index.stats.select("n", "avgdl"), 1.2, 0.75).collect()
+    assert {(r[0], round(r[1], 9)) for r in many} == {(a, round(b, 9)) for a, b in few}
