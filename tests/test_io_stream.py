@@ -138,3 +138,14 @@ def test_resume_reads_the_source_and_each_chunk_once(spark):
 def test_resume_of_an_empty_source(spark):
     target = shared_path(spark, "t-none")
     assert IO.resume_missing(spark.range(0).withColumnRenamed("id", "k"), "k", lambda d: d, target) == 0
+
+
+def test_arriving_files_grow_in_number_not_in_size(spark, monkeypatch):
+    from larder.plans import stream_keys as K
+    sizes = {}
+    for size in (1, 1 << 30, 6 << 30):
+        monkeypatch.setattr(K, "stored_bytes", lambda *a: size)
+        sizes[size] = K._arriving(spark, "/nowhere")
+    assert sizes[1] == (4, 2)                                  # a small table arrives as before
+    assert all(size / files <= K.FILE_BYTES for size, (files, _) in sizes.items())
+    assert sizes[6 << 30][1] == K.TRIGGER_FILES

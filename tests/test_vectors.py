@@ -126,3 +126,13 @@ def test_exact_search_uses_every_core():
     assert qb * cb >= 12 and V.block_grid(600_000, 600_000, 12, 131_072) == (qb, cb)
     assert V.block_grid(256, 100_000, 12, 131_072)[0] == 1 and V.block_grid(5, 5, 12, 131_072) == (1, 1)
     assert V.block_grid(0, 0, 12, 131_072) == (1, 1)
+
+
+def test_plugin_encoder_gets_a_few_texts_at_once(spark):
+    class Widest:
+        def transform(self, texts):
+            return [[float(len(texts)), float(len(t or ""))] for t in texts]
+    df = spark.range(1500).repartition(1).selectExpr("id", "IF(id % 5 = 0, NULL, repeat('a', int(id % 7))) AS text")
+    got = V.encode_with(df, "text", Widest()).collect()
+    assert len(got) == 1500 and max(r.embedding[0] for r in got) <= V.ENCODE_ROWS
+    assert all(r.embedding[1] == len(r.text or "") for r in got)
