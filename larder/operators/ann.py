@@ -7,9 +7,9 @@ holds more than N^(1/4) of them (a task that ranks a block of queries reads all
 bounded sample (``TRAIN_ROWS`` vectors per centroid); every vector is assigned.
 
 What a vector leaves to its cell's centroid is product-quantised: one byte for
-each ``SUB`` dimensions.  A query reads the codes of its nearest cells, ranks
-them by table look-ups, and only the short list meets the original vectors for
-exact cosines.  How many cells are probed and how long that list is are measured at build time on a
+each ``SUB`` dimensions.  A query reads the codes of its nearest cells and ranks
+them; only the short list meets the original vectors for
+exact cosines, in the task that holds both: it is never written or shuffled, as it grows with the catalogue.  How many cells are probed and how long that list is are measured at build time on a
 sample of the catalogue for a target recall.
 
 ``query(exact=True)`` goes on where the approximate search stops: a cell whose nearest
@@ -29,20 +29,24 @@ from pyspark.sql import functions as F
 
 from larder.operators import vectors as V
 from larder.operators.search_index import marker_row, sorted_write, source_fingerprint
-from larder.operators.util import bounded_broadcast, written
+from larder.operators.util import bounded_broadcast, dealt_evenly, written
 from larder.session import shared_path
 
 TRAIN_ROWS = 64              # sample vectors for each centroid to learn
 SUB = 4                      # dimensions that one byte of a code stands for
 CODES = 256
 CODE_ROWS = 16_384           # sample vectors that teach the codes
-RECALL_SAMPLE = 256
+RECALL_SAMPLE = 2048         # queries that measure the probes; the error of their shares is left as a margin
 TARGET_RECALL = 0.95
 LEAST_LIST = 16              # candidates for each wanted match that get exact cosines, at least
 BAR_PROBES, BAR_LIST = 4, 8  # cells and candidates that set the bar of a certified search
 EXACT_PAIRS = 1_000_000_000  # comparisons up to which an index is not worth building
 BLOCK_ROWS = 20_000          # vectors of a cell, or queries of a cell, in one task
 TILE_BYTES = 64 << 20        # original vectors of a tile, as doubles
+PIECE = 1024                 # codes that are written out at once, and queries that meet them
+SAMPLE_RANK = 16             # place in a sample of the codes that stands for the last place of the short list
+PACKED = "cell int, ids binary, code binary, vectors binary, centroid array<double>"
+PROBES = "_id long, coarse array<int>, wanted binary, vector binary"
 CELL_LISTS = "_id long, coarse int, cells array<int>"
 NO_CELLS = pd.DataFrame({"_id": [], "coarse": [], "cells": []}).astype({"_id": "int64", "coarse": "int32", "cells": "object"})
 SLACK = 1e-5                 # cosine by which a cell's bound is widened before the cell is left out
@@ -116,12 +120,6 @@ def _encode(residual: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([nearest(padded[:, j * width:(j + 1) * width], books[j]) for j in range(m)], axis=1).astype(np.uint8)
 
 
-def _ordered(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the ``k`` best of each row: similarity to 12 digits, then the smaller id."""
-    wide = np.broadcast_to(ids, sim.shape)
-    return np.lexsort((wide, -np.round(sim, 12)), axis=1)[:, :min(k, sim.shape[1])]
-
-
 class TwoLevelIndex:
     """Stored tables below ``path``: ``coarse``, ``cells``, ``codes``, ``vectors``, ``books``, ``meta``."""
 
@@ -130,7 +128,7 @@ class TwoLevelIndex:
         self.cells = spark.read.schema("coarse int, cell int, centroid array<double>, n long, radius double") \
             .parquet(f"{path}/cells")
         self.codes = spark.read.schema("cell int, _id long, code binary").parquet(f"{path}/codes")
-        self.vectors = spark.read.schema("cell int, _id long, _v array<double>, norm double").parquet(f"{path}/vectors")
+        self.vectors = spark.read.schema("cell int, _id long, _v array<double>, norm double, code binary").parquet(f"{path}/vectors")
         self.dim, self.n, self.short_list = meta["dim"], meta["n"], meta["short_list"]
         self.coarse_probes, self.probes = meta["coarse_probes"], meta["probes"]
         coarse = sorted(spark.read.schema("child int, centroid array<double>, radius double")
@@ -199,7 +197,7 @@ class TwoLevelIndex:
 
         placed = written(cls._placed(assigned, second, loads, books), "ann-placed")
         sorted_write(placed.select("cell", "_id", "code"), f"{path}/codes", ["cell", "_id"])
-        sorted_write(placed.select("cell", "_id", "_v", V.norm("_v").alias("norm")), f"{path}/vectors", ["cell", "_id"])
+        sorted_write(placed.select("cell", "_id", "_v", V.norm("_v").alias("norm"), "code"), f"{path}/vectors", ["cell", "_id"])
         spread = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
         second.join(spread, "cell").select("coarse", "cell", "centroid", "n", "radius").write.mode("overwrite").parquet(f"{path}/cells")
         first.join(loads, first["child"] == loads["coarse"]).select("child", "centroid", "radius") \
@@ -216,7 +214,7 @@ class TwoLevelIndex:
     @classmethod
     def stored(cls, catalogue: DataFrame, source: str, root: str, rebuild: bool = False, **options) -> "TwoLevelIndex":
         """The index of a source below ``root``, built if it is not there, the source's files changed or ``rebuild``."""
-        path = f"{root.rstrip('/')}/ann-{source_fingerprint(catalogue.sparkSession, source)}"
+        path = f"{root.rstrip('/')}/ann-coded-{source_fingerprint(catalogue.sparkSession, source)}"
         return (None if rebuild else cls.open(catalogue.sparkSession, path)) or cls.build(catalogue, path, **options)
 
     @staticmethod
@@ -246,28 +244,55 @@ class TwoLevelIndex:
                      "cell int, _id long, _v array<double>, rest array<double>, code binary, angle double")
 
     def _measured(self, raw: DataFrame, n: int, target: float) -> tuple[int, int, int]:
-        """(coarse cells, cells, short list): the place of the true neighbour's cells and code, at the target share of a sample."""
+        """(coarse cells, cells, short list): the place of the true neighbour's cells and code, at the target share of a sample.
+
+        What a share of the sample may be off by (two standard errors, none if the sample is the whole catalogue) is added to the target.
+        """
         share = min(1.0, 2 * RECALL_SAMPLE / n)
-        sample = written(raw.where(_hash_share("_id", share)).limit(RECALL_SAMPLE), "ann-sample")
+        sample = written(raw.where(_hash_share("_id", share)).orderBy(F.xxhash64("_id", F.lit(17)), "_id").limit(RECALL_SAMPLE), "ann-sample")
         best = V.knn(sample, raw, k=1, query_id="_id", item_id="_id", vec="_v", exclude_same_id=True)
-        home = self.vectors.select("_id", "cell").join(self.cells.select("cell", "coarse"), "cell")
-        true = written(best.select("query_id", F.col("item_id").alias("_id")).join(home, "_id"), "ann-true")
-        q = self._queries(sample, "_id", "_v")
-        order = self._coarse_order(q, len(self.coarse)).join(true.select(F.col("query_id").alias("_id"), "coarse"), ["_id", "coarse"])
-        coarse = order.agg(F.percentile("place", target)).first()[0]
-        coarse = max(1, math.ceil(coarse or 1))
-        fine = self._cell_order(q, self._coarse_order(q, coarse), 1 << 30) \
-            .join(true.select(F.col("query_id").alias("_id"), "cell"), ["_id", "cell"]).agg(F.percentile("place", target)).first()[0]
-        fine = max(1, math.ceil(fine or 1))
-        near = written(self._cell_order(q, self._coarse_order(q, coarse), fine).select("_id", "cell"), "ann-probes")
-        wanted = q.join(true.select(F.col("query_id").alias("_id"), F.col("_id").alias("_true"), F.col("cell").alias("home")), "_id")
-        bars = self._in_cells(wanted, wanted.select("_id", F.col("home").alias("cell")), self.codes, _score_of(self.books),
-                              "_id long, bar double")
-        asked = written(q.join(bars, "_id"), "ann-bars")
-        place = self._in_cells(asked, near, self.codes, _better(self.books), "_id long, n long") \
-            .groupBy("_id").agg((F.sum("n") + 1).alias("place"))
-        short = place.agg(F.percentile("place", target)).first()[0]
-        return coarse, fine, max(LEAST_LIST, math.ceil(short or 1))
+        home = self.codes.join(self.cells.select("cell", "coarse", "centroid"), "cell")
+        true = best.select("query_id", F.col("item_id").alias("_id")).join(home, "_id").dropDuplicates(["query_id"])
+        true = written(true.drop("_id").withColumnRenamed("query_id", "_id"), "ann-true")
+        asked, size = self._queries(sample, "_id", "_v").join(true, "_id"), true.count()
+        miss = 1 - target
+        target = 1 - max(miss - 2 * math.sqrt(miss / max(size, 1) * max(0.0, 1 - size / n)), miss / 8)
+
+        def at(places: DataFrame) -> int:
+            return max(1, math.ceil(places.agg(F.percentile("place", target)).first()[0] or 1))
+        coarse = at(self._home_places(asked, size))
+        fine = at(self._home_places(asked, size, coarse))
+        near = written(self._nearest_cells(asked, size, coarse, fine), "ann-probes")
+        bars = written(asked.select("_id", "_u", "centroid", "code").mapInPandas(_code_score(self.books), "_id long, bar float"), "ann-bars")
+        places = self._on_codes(near.join(bars, "_id"), *self._code_grid(size), self.codes.withColumn("_v", F.lit(None).cast("array<double>")),
+                                _better(self.books, self.dim), "_id long, n long")
+        return coarse, fine, max(LEAST_LIST, at(places.groupBy("_id").agg(F.sum("n").alias("place"))))
+
+    def _home_places(self, asked: DataFrame, n: int, coarse_probes: int | None = None) -> DataFrame:
+        """``_id, place`` of each query's own ``coarse`` cell, or with ``coarse_probes`` of its ``cell`` in so many coarse cells."""
+        top, ids = self.coarse, self.coarse_ids
+        half = 0.5 * (top * top).sum(axis=1)
+
+        def place(score: np.ndarray, at: np.ndarray) -> np.ndarray:
+            own = np.take_along_axis(score, at[:, None], axis=1)
+            return 1 + ((score > own) | (score == own) & (np.arange(score.shape[1]) < at[:, None])).sum(axis=1)
+
+        def rank(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            out, cells = [pd.DataFrame({"_id": np.zeros(0, np.int64), "place": np.zeros(0, np.int64)})], _Cells(own)
+            for part in _chunks(queries if len(cells.ids) else queries[:0]):
+                x = _stack(part["_u"])
+                score, at = x @ top.T - half, np.searchsorted(ids, part["coarse"].to_numpy())
+                if coarse_probes is not None:
+                    order = np.argsort(-score, axis=1, kind="stable")[:, :coarse_probes]
+                    near = np.zeros(score.shape, bool)
+                    np.put_along_axis(near, order, True, axis=1)
+                    there = near[np.arange(len(x)), at]
+                    part, x, near = part[there], x[there], near[there][:, np.searchsorted(ids, cells.coarse)]
+                    score = np.where(near, x @ cells.centroids.T - 0.5 * (cells.centroids ** 2).sum(axis=1), -np.inf)
+                    score, at = np.round(score, 12), np.searchsorted(cells.ids, part["cell"].to_numpy())
+                out.append(pd.DataFrame({"_id": part["_id"].to_numpy(), "place": place(score, at)}))
+            return pd.concat(out)
+        return self._by_block(asked.select("_id", "_u", "coarse", "cell"), n, rank, "_id long, place long")
 
     # ------------------------------------------------------------- querying
 
@@ -278,55 +303,6 @@ class TwoLevelIndex:
         q = q.groupBy("_id").agg(F.max("_v").alias("_v")).withColumn("norm", V.norm("_v"))
         return written(q.withColumn("_u", V.l2_normalize(F.col("_v"), as_float=False)), "ann-queries")
 
-    def _coarse_order(self, q: DataFrame, probes: int) -> DataFrame:
-        """``_id, coarse, place`` of each query's nearest coarse cells (place from 1)."""
-        centroids, ids = self.coarse, self.coarse_ids
-        half = 0.5 * (centroids * centroids).sum(axis=1)
-
-        def rank(batches):
-            for pdf in batches:
-                if len(pdf):
-                    score = _stack(pdf["_u"]) @ centroids.T - half
-                    order = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), order.shape[1]), "coarse": ids[order.ravel()],
-                                        "place": np.tile(np.arange(1, order.shape[1] + 1), len(pdf))})
-        return q.select("_id", "_u").mapInPandas(rank, "_id long, coarse int, place int")
-
-    def _by_coarse(self, q: DataFrame, wanted: DataFrame, fn, schema: str) -> DataFrame:
-        """Queries meet the cells of their coarse cells; a coarse cell's queries are cut into blocks."""
-        blocks = max(1, math.ceil(q.count() / BLOCK_ROWS))
-        left = wanted.join(q, "_id").withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
-        right = self.cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return _meet(left, right, ["coarse", "block"], fn, schema)
-
-    def _cell_order(self, q: DataFrame, wanted: DataFrame, probes: int) -> DataFrame:
-        """``_id, cell, place`` of each query's nearest cells within the coarse cells ``wanted``."""
-        def rank(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            if queries.empty or own.empty:
-                return pd.DataFrame({"_id": [], "cell": [], "score": []}).astype({"_id": "int64", "cell": "int32"})
-            centroids = _stack(own["centroid"])
-            score = _stack(queries["_u"]) @ centroids.T - 0.5 * (centroids * centroids).sum(axis=1)
-            order = _ordered(score, own["cell"].to_numpy(), probes)
-            return pd.DataFrame({"_id": np.repeat(queries["_id"].to_numpy(), order.shape[1]),
-                                 "cell": own["cell"].to_numpy()[order.ravel()],
-                                 "score": np.take_along_axis(score, order, axis=1).ravel()})
-        found = self._by_coarse(q, wanted, rank, "_id long, cell int, score double")
-        w = Window.partitionBy("_id").orderBy(F.desc("score"), "cell")
-        return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= probes).drop("score")
-
-    def _in_cells(self, q: DataFrame, probes: DataFrame, items: DataFrame, fn, schema: str) -> DataFrame:
-        """Queries meet the rows of their cells; large cells are cut into salts, their queries into blocks."""
-        asked = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-        plan = written(self.cells.select("cell", "centroid", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"))
-                       .join(asked, "cell"), "ann-plan")
-        left = probes.join(q, "_id").join(plan, "cell") \
-            .withColumn("block", F.pmod(F.xxhash64("_id"), "blocks").cast("int")) \
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "blocks")
-        right = items.join(plan.drop("centroid"), "cell") \
-            .withColumn("salt", F.pmod(F.xxhash64("_id"), "salts").cast("int")) \
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("salts", "blocks")
-        return _meet(left, right, ["cell", "salt", "block"], fn, schema)
-
     # Queries meet whole tiles, not cells: a tile is a run of neighbouring coarse cells of up to ``rows_fit``
     # vectors (a larger one is cut by a hash), a block a share of the queries.  A query is shuffled once for each
     # tile that holds a cell of its own, with the list of these cells, a vector once for each block.
@@ -347,17 +323,18 @@ class TwoLevelIndex:
     def _by_block(self, q: DataFrame, n: int, fn, schema: str) -> DataFrame:
         """Blocks of queries meet the centroids of all cells (N^(1/2) rows)."""
         blocks = V.block_grid(n, n, self.spark.sparkContext.defaultParallelism, BLOCK_ROWS)[0]
-        left = q.withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
-        right = self.cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return _meet(left, right, ["block"], fn, schema)
+        left = dealt_evenly(q, F.pmod(F.xxhash64("_id"), F.lit(blocks)), blocks)
+        right = dealt_evenly(self.cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), F.col("block"), blocks)
+        return _meet(left, right.drop("block"), ["slot"], fn, schema)
 
     def _nearest_cells(self, q: DataFrame, n: int, coarse_probes: int, probes: int) -> DataFrame:
-        """``_id, coarse, cells``: each query's nearest ``probes`` cells of its nearest coarse cells."""
+        """Each query's nearest ``probes`` cells of its nearest coarse cells: a bit for each cell, and their coarse cells."""
         top, ids = self.coarse, self.coarse_ids
         half = 0.5 * (top * top).sum(axis=1)
 
         def rank(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            out, cells = [NO_CELLS], _Cells(own)
+            out, cells = [pd.DataFrame({"_id": np.zeros(0, np.int64), "coarse": [], "wanted": [], "vector": []})], _Cells(own)
+            first = np.flatnonzero(np.diff(cells.coarse, prepend=-1))
             for part in _chunks(queries if len(cells.ids) else queries[:0]):
                 x = _stack(part["_u"])
                 near = np.zeros((len(x), len(ids)), bool)
@@ -365,21 +342,20 @@ class TwoLevelIndex:
                 np.put_along_axis(near, order, True, axis=1)
                 near = near[:, np.searchsorted(ids, cells.coarse)]
                 score = np.where(near, x @ cells.centroids.T - 0.5 * (cells.centroids ** 2).sum(axis=1), -np.inf)
-                order = _ordered(score, cells.ids, probes)
-                chosen = np.zeros(score.shape, bool)
-                np.put_along_axis(chosen, order, True, axis=1)
-                out.append(cells.lists(part["_id"].to_numpy(), chosen & near))
+                chosen = _first_places(np.round(score, 12), probes) & near
+                row, at = np.nonzero(np.logical_or.reduceat(chosen, first, axis=1))
+                bits = np.zeros((len(x), cells.ids[-1] + 1), bool)
+                bits[:, cells.ids] = chosen
+                out.append(pd.DataFrame({
+                    "_id": part["_id"].to_numpy(), "wanted": [b.tobytes() for b in np.packbits(bits, axis=1)],
+                    "coarse": np.split(cells.coarse[first][at].astype(np.int32), np.searchsorted(row, np.arange(1, len(x)))),
+                    "vector": [v.tobytes() for v in _narrow(_stack(part["_v"]))]}))
             return pd.concat(out)
-        return self._by_block(q.select("_id", "_u"), n, rank, CELL_LISTS)
+        return self._by_block(q.select("_id", "_u", "_v"), n, rank, PROBES)
 
-    def _on_tiles(self, q: DataFrame, n: int, lists: DataFrame, items: DataFrame, fn, schema: str,
-                  few_tiles: bool = False) -> DataFrame:
+    def _on_tiles(self, q: DataFrame, n: int, lists: DataFrame, items: DataFrame, fn, schema: str) -> DataFrame:
         """Queries with ``lists(_id, coarse, ...)`` (arrays) meet the rows of their tiles; ``fn`` gets both sides of a tile."""
-        cores, fit = self.spark.sparkContext.defaultParallelism, max(1, TILE_BYTES // (8 * self.dim))
-        blocks, tiles = V.block_grid(n, self.n, cores, fit)
-        if few_tiles:                                    # codes are short: rather repeat them than the queries
-            blocks, tiles = blocks * tiles, max(1, math.ceil(self.n / fit))
-            blocks = max(math.ceil(n / fit), math.ceil(blocks / tiles))
+        blocks, tiles = V.block_grid(n, self.n, self.spark.sparkContext.defaultParallelism, max(1, TILE_BYTES // (8 * self.dim)))
         first, parts = self._tiles(math.ceil(self.n / tiles))
         where = F.broadcast(self.spark.createDataFrame(
             list(zip(self.coarse_ids.tolist(), first.tolist(), parts.tolist())), "coarse int, first int, parts int"))
@@ -393,13 +369,66 @@ class TwoLevelIndex:
         right = items.join(cells.drop("coarse"), "cell") \
             .withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("_id", F.lit(1)), "parts")).cast("int")) \
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("first", "parts")
-        if "code" in items.columns:                      # a tile's codes need the centroids of its cells
-            heads = self.cells.join(where, "coarse").select(
-                "cell", F.lit(0).cast("long").alias("_id"), F.lit(None).cast("binary").alias("code"), "centroid",
-                F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("tile")) \
-                .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            right = right.withColumn("centroid", F.lit(None).cast("array<double>")).select(*heads.columns).unionByName(heads)
-        return _meet(left, right, ["tile", "block"], fn, schema)
+        groups = int((first + parts).max()) * blocks
+        left, right = (dealt_evenly(df, F.col("tile") * blocks + F.col("block"), groups).drop("tile", "block") for df in (left, right))
+        return _meet(left, right, ["slot"], fn, schema)
+
+    def _code_grid(self, n: int) -> tuple[int, int]:
+        """Blocks and tiles where only codes are read: they are short, so tiles are larger."""
+        fit = max(1, TILE_BYTES // (8 * self.dim))
+        blocks, tiles = V.block_grid(n, self.n, self.spark.sparkContext.defaultParallelism, fit)
+        few = max(1, math.ceil(self.n / max(1, TILE_BYTES // (2 * (len(self.books) + 16)))))
+        return max(math.ceil(n / fit), math.ceil(blocks * tiles / few)), few
+
+    def _on_codes(self, near: DataFrame, blocks: int, tiles: int, items: DataFrame, fn, schema: str) -> DataFrame:
+        """Queries of ``_nearest_cells`` meet the coded rows of their tiles, packed by cell, and the cells' centroids."""
+        first, parts = self._tiles(math.ceil(self.n / tiles))
+        where = F.broadcast(self.spark.createDataFrame(
+            list(zip(self.coarse_ids.tolist(), first.tolist(), parts.tolist())), "coarse int, first int, parts int"))
+        cells = self.cells.join(where, "coarse")
+        cut = items.join(bounded_broadcast(cells.select("cell", "first", "parts")), "cell") \
+            .withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("_id", F.lit(1)), "parts")).cast("int")).drop("first", "parts")
+        heads = cells.select("cell", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "code", "vectors")], "centroid",
+                             F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("tile"))
+        right = cut.mapInPandas(_pack, f"{PACKED}, tile int").unionByName(heads) \
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        span = {c: list(range(f, f + p)) for c, f, p in zip(self.coarse_ids.tolist(), first.tolist(), parts.tolist())}
+        spans = F.array(*[F.array(*map(F.lit, span.get(c, []))).cast("array<int>") for c in range(max(span) + 1)])
+        left = near.withColumn("tile", F.explode(F.array_distinct(F.flatten(F.transform("coarse", lambda c: spans[c]))))) \
+            .withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")).drop("coarse")
+        groups = int((first + parts).max()) * blocks
+        left, right = (dealt_evenly(df, F.col("tile") * blocks + F.col("block"), groups).drop("tile", "block") for df in (left, right))
+        return _meet(left, right, ["slot"], fn, schema)
+
+    def _short_listed(self, q: DataFrame, n: int, near: DataFrame, keep: int, k: int, exclude_same_id: bool) -> DataFrame:
+        """The best ``k`` by exact cosine of the ``keep`` codes (and a few more) that fit each query best in its cells.
+
+        A sample of the codes gives a score that ``keep`` codes should reach; where a tile has both codes and vectors,
+        the codes that reach it are the short list, and what is left of it is ``k`` rows and its length.  Queries
+        whose list is too short are searched again with a lower score.
+        """
+        codes = self.codes.withColumn("_v", F.lit(None).cast("array<double>"))
+        grid = V.block_grid(n, self.n, self.spark.sparkContext.defaultParallelism, max(1, TILE_BYTES // (8 * self.dim)))
+        done, wider = [], 1
+        while True:
+            bars = self._on_codes(near, *self._code_grid(n), codes, _bars(self.books, self.dim, keep, wider, exclude_same_id),
+                                  "_id long, bar float")
+            bars = written(bars.groupBy("_id").agg(F.max("bar").alias("bar")), "ann-list-bars")
+            listed = written(self._on_codes(near.join(bars, "_id"), *grid, self.vectors.drop("norm"),
+                                            _listed_cosines(self.books, self.dim, k, exclude_same_id),
+                                            "query_id long, item_id long, cell int, sim double, n long"), "ann-listed")
+            long = listed.groupBy(F.col("query_id").alias("_id")).agg(F.sum("n").alias("n"))
+            short = written(bars.where(F.col("bar") > F.lit(float("-inf"))).join(long, "_id", "left")
+                            .where(F.coalesce("n", F.lit(0)) < keep).select("_id"), "ann-short")
+            left = short.count()
+            done.append(listed.join(short, listed["query_id"] == short["_id"], "left_anti") if left else listed)
+            if not left:
+                break
+            near, n, wider = near.join(short, "_id", "left_semi"), left, 2 * wider
+        found = done[0]
+        for more in done[1:]:
+            found = found.unionByName(more)
+        return written(V._merge_topk(found.where(F.col("item_id").isNotNull()).drop("n"), k), "ann-found")
 
     def query(self, queries: DataFrame, k: int = 1, query_id: str = "query_id", vec: str = "embedding",
               exclude_same_id: bool = False, exact: bool = False, probes: int | None = None,
@@ -417,16 +446,11 @@ class TwoLevelIndex:
             probes, short_list = probes or min(BAR_PROBES, self.probes), short_list or BAR_LIST * k
         coarse = min(self.coarse_probes if probes is None else probes, len(self.coarse))
         near = written(self._nearest_cells(q, n, coarse, probes or self.probes), "ann-probes")
-        keep = short_list or self.short_list * k
-        listed = self._on_tiles(q.select("_id", "_u"), n, near, self.codes, _by_codes(self.books, keep, exclude_same_id),
-                                "_id long, item_id long, cell int, score double", few_tiles=True)
-        w = Window.partitionBy("_id").orderBy(F.round("score", 12).desc(), "item_id")
-        listed = listed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select("_id", "item_id", "cell")
-        found = written(self._exact_cosines(q, n, listed, k), "ann-found")
+        found = self._short_listed(q, n, near, short_list or self.short_list * k, k, exclude_same_id)
         if not exact:
             return found.drop("cell")
         more = written(self._could_matter(q, found, k), "ann-more")
-        rest = self._on_tiles(q.select("_id", "_v"), n, more, self.vectors.drop("norm"), _in_full(k, exclude_same_id),
+        rest = self._on_tiles(q.select("_id", "_v"), n, more, self.vectors.drop("norm", "code"), _in_full(k, exclude_same_id),
                               "_id long, item_id long, cell int, sim double")
         w = Window.partitionBy("_id").orderBy(F.round("sim", 12).desc(), "item_id")
         rest = rest.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("_id", "item_id", "cell")
@@ -438,7 +462,7 @@ class TwoLevelIndex:
         coarse = bounded_broadcast(self.cells.select("cell", "coarse"))
         lists = pairs.join(coarse, "cell").groupBy("_id", "coarse").agg(
             F.collect_list("item_id").alias("items"), F.collect_list("cell").alias("cells"))
-        scored = self._on_tiles(q.select("_id", "_v", "norm"), n, lists, self.vectors, _scored(k),
+        scored = self._on_tiles(q.select("_id", "_v", "norm"), n, lists, self.vectors.drop("code"), _scored(k),
                                 "query_id long, item_id long, cell int, sim double")
         return V._merge_topk(scored, k)
 
@@ -524,7 +548,7 @@ def _in_full(k: int, exclude_same_id: bool):
             return _nothing(names)
         items = items.sort_values(["cell", "_id"])
         qids, cells, ids = queries["_id"].to_numpy(), items["cell"].to_numpy(), items["_id"].to_numpy()
-        s, i = V.top_matches(qids, ids, k, V._cosines(_stack(queries["_v"]), _stack(items["_v"])), exclude_same_id,
+        s, i = V.top_cosines(qids, _stack(queries["_v"]), ids, _stack(items["_v"]), k, exclude_same_id,
                              digits=12, wanted=_wanted(queries, cells))
         return _listed(qids, s, i, ids, cells, names)
     return fn
@@ -590,69 +614,225 @@ def _assign_top(centroids: np.ndarray):
     return run
 
 
-def _code_scores(books: np.ndarray, queries: pd.DataFrame, items: pd.DataFrame):
-    """(part of the queries, ids, scores by table look-ups) of a cell's codes, ids in order."""
-    m, _, width = books.shape
-    items = items.sort_values("_id")
-    ids = items["_id"].to_numpy()
-    code = np.frombuffer(b"".join(items["code"]), np.uint8).reshape(len(ids), m)
-    centroid = np.asarray(queries["centroid"].iloc[0], np.float64)
-    usable = np.where(np.isfinite(books), books, 0.0)
-    for start in range(0, len(queries), 256):
-        part = queries.iloc[start:start + 256]
-        x = _stack(part["_u"])
-        padded = np.zeros((len(x), m * width))
-        padded[:, :x.shape[1]] = x
-        table = np.einsum("qmw,mcw->qmc", padded.reshape(len(x), m, width), usable)
-        score = np.repeat((x @ centroid)[:, None], len(ids), axis=1)
-        for j in range(m):
-            score += table[:, j, code[:, j]]
-        yield part, ids, score
-
-
-def _by_codes(books: np.ndarray, keep: int, exclude_same_id: bool):
-    """The ``keep`` best codes of a tile for each query, in its own cells.
-
-    A code stands for a vector, its centroid and one short vector for each byte: the tile's are
-    written out once, and a product gives the sums of the table look-ups.
+def _first_places(score: np.ndarray, n: int) -> np.ndarray:
+    """Which are the ``n`` largest of each row; of equal ones the first."""
+    if n >= score.shape[1]:
+        return np.ones(score.shape, bool)
+    bar = np.partition(score, -n, axis=1)[:, -n][:, None]
+    over, same = score > bar, score == bar
+    return over | same & (same.cumsum(axis=1) <= n - over.sum(axis=1, keepdims=True))
+
+
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """The same values in single precision, if they fit."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        single = vectors.astype(np.float32)
+    return single if np.array_equal(single, vectors, equal_nan=True) else vectors
+
+
+def _wide(blobs: list, counts: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors of ``_narrow``, as doubles; a blob has ``counts`` of them."""
+    kinds = [np.float32 if len(b) == 4 * dim * c else np.float64 for b, c in zip(blobs, counts.tolist())]
+    if len(set(kinds)) == 1:
+        return np.frombuffer(b"".join(blobs), kinds[0]).reshape(-1, dim).astype(np.float64)
+    return np.concatenate([np.zeros((0, dim)), *[np.frombuffer(b, t).reshape(-1, dim) for b, t in zip(blobs, kinds)]])
+
+
+def _pack(batches):
+    """Rows of a cell and tile that follow each other as one row."""
+    for pdf in batches:
+        if len(pdf):
+            cell, tile = pdf["cell"].to_numpy(), pdf["tile"].to_numpy()
+            order = np.lexsort((cell, tile))
+            pdf, cell, tile = pdf.iloc[order], cell[order], tile[order]
+            ids, code = pdf["_id"].to_numpy(np.int64), pdf["code"].to_numpy()
+            vectors = None if pdf["_v"].iloc[0] is None else _narrow(_stack(pdf["_v"]))
+            first = np.flatnonzero(np.diff(cell, prepend=-1) | np.diff(tile, prepend=-1))
+            runs = [slice(a, b) for a, b in zip(first, [*first[1:], len(cell)])]
+            yield pd.DataFrame({"cell": cell[first], "ids": [ids[r].tobytes() for r in runs], "code": [b"".join(code[r]) for r in runs],
+                                "vectors": [None if vectors is None else vectors[r].tobytes() for r in runs],
+                                "centroid": None, "tile": tile[first]})
+
+
+def _units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit vectors in single precision, lengths, which have numbers only)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        length = np.linalg.norm(vectors, axis=1)
+        out = np.divide(vectors, length[:, None], out=np.zeros_like(vectors), where=length[:, None] != 0)
+    usable = np.isfinite(out).all(axis=1)
+    out[~usable] = 0
+    return out.astype(np.float32), length, usable
+
+
+class _Coded:
+    """The coded rows of a tile by cell and id; ``cells`` are those that have rows."""
+
+    def __init__(self, books: np.ndarray, dim: int, items: pd.DataFrame):
+        heads, rows = items[items["ids"].isna()].sort_values("cell"), items[items["ids"].notna()]
+        blobs, m = rows["ids"].to_list(), len(books)
+        counts = np.array([len(b) // 8 for b in blobs], np.int64)
+        cell, ids = np.repeat(rows["cell"].to_numpy(np.int64), counts), np.frombuffer(b"".join(blobs), np.int64)
+        order = np.lexsort((ids, cell))
+        self.books, self.dim, self.cell, self.ids = np.where(np.isfinite(books), books, 0.0).astype(np.float32), dim, cell[order], ids[order]
+        self.code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), m)[order]
+        self.cells, self.first, self.sizes = np.unique(self.cell, return_index=True, return_counts=True)
+        heads = heads[np.isin(heads["cell"].to_numpy(np.int64), self.cells)]
+        self.centroids = _stack(heads["centroid"]).astype(np.float32) if len(heads) else np.zeros((0, dim), np.float32)
+        if len(rows) and rows["vectors"].iloc[0] is not None:
+            self.vectors = _wide(rows["vectors"].to_list(), counts, dim)[order]
+
+    def meant(self, places) -> np.ndarray:
+        """What the codes at some places stand for: their centroid and one short vector for each byte."""
+        code = self.code[places]
+        out = self.books[np.arange(len(self.books)), code].reshape(len(code), -1)[:, :self.dim]
+        return out + self.centroids[np.searchsorted(self.cells, self.cell[places])]
+
+    def pieces(self):
+        """(number of the cell, places) of at most ``PIECE`` rows."""
+        for j, (a, n) in enumerate(zip(self.first.tolist(), self.sizes.tolist())):
+            for i in range(a, a + n, PIECE):
+                yield j, slice(i, min(a + n, i + PIECE))
+
+    def reaching(self, x: np.ndarray, near: np.ndarray, bar: np.ndarray):
+        """(rows, places) whose scores reach the rows' bars, piece by piece; ``near`` is cells x rows."""
+        for j, places in self.pieces():
+            rows = np.flatnonzero(near[j])
+            if not len(rows):
+                continue
+            meant = self.meant(places)
+            for i in range(0, len(rows), PIECE):
+                part = rows[i:i + PIECE]
+                row, at = np.divmod(np.flatnonzero(x[part] @ meant.T >= bar[part][:, None]), len(meant))
+                if len(row):
+                    yield part[row], places.start + at
+
+    def ranked(self, x: np.ndarray, qids: np.ndarray, near: np.ndarray, stride: int, rank: int, exclude_same_id: bool) -> np.ndarray:
+        """The score at place ``rank`` among every ``stride``-th row of each query's cells; minus infinity if there are fewer."""
+        picked = np.arange(0, len(self.ids), stride)
+        number = np.searchsorted(self.cells, self.cell[picked])
+        best = np.full((len(x), rank), -np.inf, np.float32)
+        for c in range(0, len(picked), PIECE):
+            places, cell = picked[c:c + PIECE], number[c:c + PIECE]
+            meant, ids = self.meant(places), self.ids[places]
+            order = np.argsort(ids, kind="stable")
+            rows = np.flatnonzero(near[cell[0]:cell[-1] + 1].any(axis=0))
+            for i in range(0, len(rows), PIECE):
+                part = rows[i:i + PIECE]
+                s = x[part] @ meant.T
+                s[~near[cell][:, part].T] = -np.inf
+                if exclude_same_id:
+                    own, n = V._runs(ids[order], qids[part])
+                    s[np.repeat(np.arange(len(part)), n), order[own]] = -np.inf
+                best[part] = np.partition(np.hstack([best[part], s]), -rank, axis=1)[:, -rank:]
+        return best.min(axis=1)
+
+
+def _asked(queries: pd.DataFrame, tile: _Coded) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, unit vectors, lengths, cells of the tile x queries) of the queries that have numbers only."""
+    vectors = _wide(queries["vector"].to_list(), np.ones(len(queries), np.int64), tile.dim)
+    bits = np.unpackbits(np.frombuffer(b"".join(queries["wanted"]), np.uint8).reshape(len(queries), -1), axis=1)
+    near = np.ascontiguousarray(bits[:, tile.cells].T).view(bool)
+    x, length, usable = _units(vectors)
+    near &= usable
+    return queries["_id"].to_numpy(np.int64), vectors, x, length, near
+
+
+def _bars(books: np.ndarray, dim: int, keep: int, wider: int, exclude_same_id: bool):
+    """A score that about ``keep`` codes of a tile reach, or more, for each query; minus infinity if there are fewer.
+
+    Of a long list the bar is the score at a place of every so-manieth code, four standard errors down and ``wider`` times that.
     """
-    names = ["_id", "item_id", "cell", "score"]
-    usable = np.where(np.isfinite(books), books, 0.0)
+    stride = max(1, keep // SAMPLE_RANK)
+    rank = keep if stride == 1 else wider * math.ceil(keep / stride + 4 * math.sqrt(keep / stride))
 
     def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        heads, items = items[items["code"].isna()].sort_values("cell"), items[items["code"].notna()].sort_values(["cell", "_id"])
-        if queries.empty or items.empty:
-            return _nothing(names)
-        qids, cells, ids = queries["_id"].to_numpy(), items["cell"].to_numpy(), items["_id"].to_numpy()
-        x = _stack(queries["_u"])
-        code = np.frombuffer(b"".join(items["code"]), np.uint8).reshape(len(ids), len(books))
-        meant = usable[np.arange(len(books)), code].reshape(len(ids), -1)[:, :x.shape[1]]
-        meant = meant + _stack(heads["centroid"])[np.searchsorted(heads["cell"].to_numpy(), cells)]
-        s, i = V.top_matches(qids, ids, keep, V._products(x, meant), exclude_same_id,
-                             digits=12, wanted=_wanted(queries, cells))
-        return _listed(qids, s, i, ids, cells, names)
+        if queries.empty or not items["ids"].notna().any():
+            return pd.DataFrame({"_id": np.zeros(0, np.int64), "bar": np.zeros(0, np.float32)})
+        tile = _Coded(books, dim, items)
+        qids, _, x, _, near = _asked(queries, tile)
+        return pd.DataFrame({"_id": qids, "bar": tile.ranked(x, qids, near, stride, rank, exclude_same_id)})
     return fn
 
 
-def _score_of(books: np.ndarray):
-    """The code score of each query's ``_true`` item, in the block that holds it."""
+def _listed_cosines(books: np.ndarray, dim: int, k: int, exclude_same_id: bool):
+    """The best ``k`` by cosine of a tile's codes that reach a query's bar, and the number of these codes in one of the rows.
+
+    Similarities are summed left to right as in ``vectors.cosine``.
+    """
+    names = ["query_id", "item_id", "cell", "sim", "n"]
+
+    def in_order(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(v))
+        for d in range(dim):
+            total += v[:, d] * w[:, d]
+        return total
+
     def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"_id": [], "bar": []}).astype({"_id": "int64", "bar": "float64"})]
-        if not (queries.empty or items.empty):
-            for part, ids, score in _code_scores(books, queries, items):
-                row, at = np.nonzero(part["_true"].to_numpy()[:, None] == ids[None, :])
-                out.append(pd.DataFrame({"_id": part["_id"].to_numpy()[row], "bar": score[row, at]}))
-        return pd.concat(out)
+        if queries.empty or not items["ids"].notna().any():
+            return pd.DataFrame({c: [] for c in names})
+        tile = _Coded(books, dim, items)
+        qids, q, x, q_len, near = _asked(queries, tile)
+        v, v_len, usable = _units(tile.vectors)
+        margin = V.rounding(dim)
+        bar = V._below(queries["bar"].to_numpy(np.float64) - 2 * margin, np.dtype(np.float32))   # products differ in their last bits
+        best_s, best_i = np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), np.int64)
+        long = np.zeros(len(qids), np.int64)
+        for rows, places in tile.reaching(x, near, bar):
+            if exclude_same_id:
+                other = tile.ids[places] != qids[rows]
+                rows, places = rows[other], places[other]
+            long += np.bincount(rows, minlength=len(qids))
+            rows, places = rows[usable[places]], places[usable[places]]
+            for i in range(0, len(rows), V.PAIRS_AT_ONCE):
+                row, at = rows[i:i + V.PAIRS_AT_ONCE], places[i:i + V.PAIRS_AT_ONCE]
+                with np.errstate(over="ignore"):
+                    scale = 1 / (1 + V.EPS / np.maximum(q_len[row] * v_len[at], 1e-300))
+                rough = np.einsum("ij,ij->i", x[row], v[at]) * scale
+                least = best_s[row, -1] - margin
+                if k == 1:                               # nothing but the best of these
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    top = np.maximum.reduceat(rough, first)
+                    least = np.maximum(least, np.repeat(top, np.diff(first, append=len(row))) - 2 * margin)
+                row, at = row[rough >= least], at[rough >= least]
+                if len(row):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        sim = np.einsum("ij,ij->i", q[row], tile.vectors[at]) / (q_len[row] * v_len[at] + V.EPS)
+                    V.put_in_order(best_s, best_i, row, np.nan_to_num(sim, nan=-np.inf), at, tile.ids)
+        row, place = np.nonzero(np.isfinite(best_s))
+        at = best_i[row, place]
+        a, b = q[row], tile.vectors[at]
+        with np.errstate(over="ignore", invalid="ignore"):
+            sim = in_order(a, b) / (np.sqrt(in_order(a, a)) * np.sqrt(in_order(b, b)) + V.EPS)
+        found = pd.DataFrame(dict(zip(names, (qids[row], tile.ids[at], tile.cell[at].astype(np.int32), sim, np.where(place == 0, long[row], 0)))))
+        # a list may hold nothing that can match
+        bare = np.flatnonzero((long > 0) & ~np.isfinite(best_s[:, 0]))
+        return pd.concat([found, pd.DataFrame({"query_id": qids[bare], "n": long[bare]})]) if len(bare) else found
     return fn
 
 
-def _better(books: np.ndarray):
-    """How many rows of a block score above a query's ``bar``, itself left out."""
+def _code_score(books: np.ndarray):
+    """The score of a code and its centroid for the query beside them."""
+    usable = np.where(np.isfinite(books), books, 0.0)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = _stack(pdf["_u"])
+                code = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(x), -1)
+                meant = usable[np.arange(len(books)), code].reshape(len(x), -1)[:, :x.shape[1]] + _stack(pdf["centroid"])
+                yield pd.DataFrame({"_id": pdf["_id"], "bar": (x * meant).sum(axis=1).astype(np.float32)})
+    return run
+
+
+def _better(books: np.ndarray, dim: int):
+    """How many codes of a tile reach a query's ``bar``, itself left out."""
     def fn(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"_id": [], "n": []}).astype({"_id": "int64", "n": "int64"})]
-        if not (queries.empty or items.empty):
-            for part, ids, score in _code_scores(books, queries, items):
-                own = part["_id"].to_numpy()[:, None] == ids[None, :]
-                out.append(pd.DataFrame({"_id": part["_id"], "n": ((score > part["bar"].to_numpy()[:, None]) & ~own).sum(axis=1)}))
-        return pd.concat(out)
+        if queries.empty or not items["ids"].notna().any():
+            return pd.DataFrame({"_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        tile = _Coded(books, dim, items)
+        qids, _, x, _, near = _asked(queries, tile)
+        n = np.zeros(len(qids), np.int64)
+        for row, at in tile.reaching(x, near, queries["bar"].to_numpy(np.float32)):
+            n += np.bincount(row[tile.ids[at] != qids[row]], minlength=len(n))
+        return pd.DataFrame({"_id": qids, "n": n})
     return fn
