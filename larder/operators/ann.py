@@ -711,15 +711,17 @@ class _Coded:
         picked = np.arange(0, len(self.ids), stride)
         number = np.searchsorted(self.cells, self.cell[picked])
         best = np.full((len(x), rank), -np.inf, np.float32)
+        near = np.ascontiguousarray(near.T)
         for c in range(0, len(picked), PIECE):
             places, cell = picked[c:c + PIECE], number[c:c + PIECE]
             meant, ids = self.meant(places), self.ids[places]
-            order = np.argsort(ids, kind="stable")
-            rows = np.flatnonzero(near[cell[0]:cell[-1] + 1].any(axis=0))
+            order, some = np.argsort(ids, kind="stable"), near[:, cell[0]:cell[-1] + 1]
+            times = np.bincount(cell - cell[0])
+            rows = np.flatnonzero(some.any(axis=1))
             for i in range(0, len(rows), PIECE):
                 part = rows[i:i + PIECE]
                 s = x[part] @ meant.T
-                s[~near[cell][:, part].T] = -np.inf
+                np.copyto(s, -np.inf, where=np.repeat(~some[part], times, axis=1))
                 if exclude_same_id:
                     own, n = V._runs(ids[order], qids[part])
                     s[np.repeat(np.arange(len(part)), n), order[own]] = -np.inf

@@ -213,6 +213,62 @@ def test_queries_are_not_repeated_for_each_cell(spark, monkeypatch):
     assert approximate.columns == ["query_id", "item_id", "sim", "rank"] and approximate.count() == 4500
 
 
+def test_short_list_stays_in_the_task(spark, monkeypatch):
+    """The short list grows with the catalogue: what leaves a task is k rows for each query and tile, not the list."""
+    rng = np.random.default_rng(12)
+    frame = vectors_of(spark, [(i, rng.normal(size=12)) for i in range(1500)])
+    index = A.TwoLevelIndex.build(frame, shared_path(spark, "t-ann"), item_id="vec_id")
+    inside, seen = A._meet, []
+
+    def spy(*args):
+        out = inside(*args)
+        seen.append(out.count())
+        return out
+    monkeypatch.setattr(A, "_meet", spy)
+    assert index.query(frame, 1, "vec_id", exclude_same_id=True, short_list=200).count() == 1500
+    assert max(seen) <= 1500 * 8
+
+
+def test_list_of_every_code_finds_the_exact_matches(spark, monkeypatch):
+    """Also where the first guess at the list's last score was too high."""
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=10)) for i in range(700)]
+    rows += [(i, rows[i][1] * 3) for i in range(30)] + [(900 + i, rows[5][1]) for i in range(20)]           # ids twice, copies
+    rows += [(950, np.zeros(10)), (951, rows[9][1] * 1e-6), (952, rows[9][1] * 1e150), (953, np.full(10, np.nan))]
+    frame = vectors_of(spark, rows)
+    index = A.TwoLevelIndex.build(vectors_of(spark, rows[:-1]), shared_path(spark, "t-ann"), item_id="vec_id")
+    want = matches(V.knn(frame, vectors_of(spark, rows[:-1]), 3, "vec_id", "vec_id", exclude_same_id=True))
+    whole = dict(query_id="vec_id", exclude_same_id=True, probes=10 ** 6, short_list=len(rows))
+    assert matches(index.query(frame, 3, **whole)) == want
+    inside, asked = A._bars, []
+
+    def high(books, dim, keep, wider, exclude):
+        asked.append(wider)
+        return inside(books, dim, keep // 8 if wider == 1 else keep, wider, exclude)
+    monkeypatch.setattr(A, "_bars", high)
+    assert matches(index.query(frame, 3, **whole)) == want and asked == [1, 2]
+
+
+def test_recall_is_met_beyond_the_sample(spark):
+    """The probes are measured on some vectors; the margin covers what these leave open about the others."""
+    rng = np.random.default_rng(14)
+    frame = vectors_of(spark, [(i, rng.normal(size=20)) for i in range(9000)])
+    index = A.TwoLevelIndex.build(frame, shared_path(spark, "t-ann"), item_id="vec_id")
+    want = matches(V.knn(frame, frame, 1, "vec_id", "vec_id", exclude_same_id=True))
+    got = matches(index.query(frame, 1, "vec_id", exclude_same_id=True))
+    assert sum(got[q][0] == want[q][0] for q in want) >= 0.95 * len(want)
+
+
+def test_vectors_keep_their_values_when_packed():
+    v = np.array([[1.0, 0.1], [2.0, np.nan]])
+    some = v.astype(np.float32).astype(np.float64)
+    blobs = [A._narrow(some).tobytes(), A._narrow(v).tobytes(), A._narrow(np.array([[1e300, 1.0]])).tobytes()]
+    assert [len(b) for b in blobs] == [16, 32, 16]
+    assert np.array_equal(A._wide(blobs, np.array([2, 2, 1]), 2), np.vstack([some, v, [[1e300, 1.0]]]), equal_nan=True)
+    score = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [0.0, 0.0, -np.inf, 0.0, 5.0]])
+    assert A._first_places(score, 2).tolist() == [[False, True, True, False, False], [True, False, False, False, True]]
+
+
 def test_small_and_odd_catalogues(spark):
     def build(rows):
         return A.TwoLevelIndex.build(vectors_of(spark, rows), shared_path(spark, "t-ann"), item_id="vec_id")

@@ -136,3 +136,39 @@ def test_plugin_encoder_gets_a_few_texts_at_once(spark):
     got = V.encode_with(df, "text", Widest()).collect()
     assert len(got) == 1500 and max(r.embedding[0] for r in got) <= V.ENCODE_ROWS
     assert all(r.embedding[1] == len(r.text or "") for r in got)
+
+
+def test_single_precision_decides_nothing():
+    """Similarities closer than single precision tells apart, copies, short and long vectors."""
+    rng = np.random.default_rng(21)
+    head = rng.normal(size=32)
+    c = np.vstack([head + 1e-6 * rng.normal(size=(300, 32)), rng.normal(size=(200, 32)), np.zeros((2, 32))])
+    c[40:60], c[70:90], c[300:310] = c[5], c[6] * 1e-9, c[310:320] * 1e120
+    q = np.vstack([c[::7], head[None, :], 1e-7 * head[None, :], np.full((1, 32), 1e-40)])
+    ci, qi = rng.permutation(len(c)), np.arange(1000, 1000 + len(q))
+    sims = q @ c.T / (np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) + V.EPS)
+    for k in (1, 4):
+        s, i = V._topk_block(qi, q, ci, c, k, True, q_chunk=16, c_chunk=64, digits=12)
+        at = np.argsort(ci)[i]
+        assert np.allclose(s, np.take_along_axis(sims, at, axis=1), rtol=0, atol=1e-12)
+        assert np.allclose(s, -np.sort(-sims, axis=1)[:, :k], rtol=0, atol=2e-12)
+    assert V._below(np.array([-np.inf, 0.1]), np.dtype(np.float32)).tolist()[0] == np.finfo(np.float32).min
+    assert V._below(np.array([0.1]), np.dtype(np.float32))[0] < 0.1
+
+
+def test_normalizing_takes_the_length_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "a array<double>").select(V.l2_normalize("a", as_float=False).alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_groups_get_a_partition_each(spark):
+    from pyspark.sql import functions as F
+
+    from larder.operators.util import dealt_evenly, even_keys
+    for n in (1, 7, 24, 211):
+        keys = spark.createDataFrame([(k,) for k in even_keys(n)], "k int")
+        assert [r[0] for r in keys.select(F.pmod(F.hash("k"), F.lit(n))).collect()] == list(range(n))
+    dealt = dealt_evenly(spark.range(2400), F.col("id") % 24, 24).groupBy(F.spark_partition_id().alias("p"))
+    assert [(r.n, r.rows) for r in dealt.agg(F.countDistinct("slot").alias("n"), F.count("*").alias("rows")).collect()] == [(1, 100)] * 24
+    assert sum(a * b for a, b in [V.block_grid(615_384, 615_384, 6, 131_072)]) % 6 == 0
