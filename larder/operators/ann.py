@@ -732,8 +732,10 @@ class _Coded:
 def _asked(queries: pd.DataFrame, tile: _Coded) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, vectors, unit vectors, lengths, cells of the tile x queries) of the queries that have numbers only."""
     vectors = _wide(queries["vector"].to_list(), np.ones(len(queries), np.int64), tile.dim)
-    bits = np.unpackbits(np.frombuffer(b"".join(queries["wanted"]), np.uint8).reshape(len(queries), -1), axis=1)
-    near = np.ascontiguousarray(bits[:, tile.cells].T).view(bool)
+    bits = np.frombuffer(b"".join(queries["wanted"]), np.uint8).reshape(len(queries), -1)
+    near = np.empty((len(tile.cells), len(queries)), bool)
+    for i in range(0, len(queries), PIECE):                # a query has a bit for every cell of the index
+        near[:, i:i + PIECE] = np.unpackbits(bits[i:i + PIECE], axis=1)[:, tile.cells].T
     x, length, usable = _units(vectors)
     near &= usable
     return queries["_id"].to_numpy(np.int64), vectors, x, length, near
